@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import byte_bpe, token_counts
+from ledgerlake.llm import byte_bpe, license_scan, token_counts, toxicity, vector_search
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+        "op7_license_scan": license_scan.op7_license_scan,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_vector_search": vector_search.op9_vector_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_vector_search": vector_search.OP9_SQL}
