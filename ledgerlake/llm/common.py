@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that is handed to Python. Texts may be long, so batches are kept short.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -114,3 +114,21 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+#: A key with more than one in HOT of all rows is joined apart.
+HOT = 2_000
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count_col: str, total: int) -> DataFrame:
+    """Inner join of rows with one row of facts for each key, safe where a few keys hold most rows.
+
+    ``facts.count_col`` is the number of rows of each key and ``total`` their sum.
+    At most HOT keys can hold more than total / HOT rows each, so their facts are
+    broadcast and their rows stay where they are; the others are joined by a shuffle
+    in which no key is large.
+    """
+    hot = F.col(count_col) > total / HOT
+    few = F.broadcast(facts.where(hot))
+    cold = facts.where(~hot).hint("merge")
+    return rows.join(few, key).unionByName(rows.join(cold, key))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import byte_bpe, license_scan, token_counts, toxicity, vector_search
+from ledgerlake.llm import byte_bpe, license_scan, secret_scan, token_counts, toxicity, vector_search
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+        "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_vector_search": vector_search.op9_vector_search,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_vector_search": vector_search.OP9_SQL}
+    return {"op6_secret_scan": secret_scan.OP6_SQL, "op9_vector_search": vector_search.OP9_SQL}
