@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +41,9 @@ class Scratch:
         """Write df and read it back. The schema is stated, so no file is opened to infer it."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        # Shuffle files of finished steps go when their plans are collected as garbage; ask for it now.
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import byte_bpe, license_scan, near_dedup, secret_scan, token_counts, toxicity, vector_search
+from ledgerlake.llm import byte_bpe, license_scan, line_dedup, near_dedup, secret_scan, token_counts, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_vector_search": vector_search.op9_vector_search,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
