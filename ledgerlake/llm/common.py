@@ -67,16 +67,18 @@ def per_text(
     columns ``keep`` go through unchanged; all other columns are pruned.
     """
     short_batches(df.sparkSession)
-    picked = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    out_schema = f"{kept}, {schema}" if kept else schema
+    extra = [] if text in keep else [F.col(text).cast("string").alias("__text")]
+    picked = df.select(*[F.col(c) for c in keep], *extra)
     n = len(keep)
+    at = n if extra else keep.index(text)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:n])
+    out_schema = f"{kept}, {schema}" if kept else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         target = None
         for batch in batches:
-            rows = work(batch.column(n).to_pylist())
+            rows = work(batch.column(at).to_pylist())
             if target is None:
                 target = _arrow_fields(schema)
             made = [pa.array([r[i] for r in rows], type=t) for i, (_, t) in enumerate(target)]

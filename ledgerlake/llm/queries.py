@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import byte_bpe, license_scan, line_dedup, near_dedup, secret_scan, token_counts, toxicity, vector_search
+from ledgerlake.llm import byte_bpe, decontamination, license_scan, line_dedup, near_dedup, secret_scan, substring_dedup, token_counts, toxicity, vector_search
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_near_dedup": near_dedup.op2_near_dedup,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+        "op5_decontamination": decontamination.op5_decontamination,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_toxicity": toxicity.op8_toxicity,
