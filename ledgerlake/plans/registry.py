@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
+#: The modules whose queries are registered when they are imported.
+MODULES = ("q_adjudicate",)
+
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
@@ -20,9 +24,16 @@ def register(name: str, sql: str | None = None) -> Callable:
     return put
 
 
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"ledgerlake.plans.{name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
