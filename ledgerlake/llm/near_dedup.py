@@ -108,6 +108,19 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
     return mix(mix(total)).astype(np.int64)
 
 
+#: Longs of a set's parity bits.
+PARITY = 8
+
+
+def parity_bits(x: np.ndarray) -> np.ndarray:
+    """64 * PARITY bits: each tells whether an odd number of the set's hashes falls on it.
+
+    Two sets differ in at least as many elements as these bits differ.
+    """
+    odd = np.bincount((x & _U(64 * PARITY - 1)).astype(np.intp), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _per_document(df: DataFrame, schema: str, fields: list, make) -> DataFrame:
     """mapInArrow over (id, text): make(words of one text) gives the values of ``fields`` after the id."""
     short_batches(df.sparkSession)
@@ -123,18 +136,18 @@ def _per_document(df: DataFrame, schema: str, fields: list, make) -> DataFrame:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n_shingles, class, bands) of (id, text): class identifies the set, null where it is empty."""
+    """(id, n_shingles, class, bands, parity) of (id, text): class identifies the set, null where it is empty."""
 
     def make(words):
         import xxhash
 
         x = shingles(words, k)
         if not len(x):
-            return 0, None, None
-        return len(x), xxhash.xxh3_128_digest(x.tobytes()), band_keys(sketch(x))
+            return 0, None, None, None
+        return len(x), xxhash.xxh3_128_digest(x.tobytes()), band_keys(sketch(x)), parity_bits(x)
 
-    fields = [("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))]
-    return _per_document(docs, "n_shingles long, class binary, bands array<long>", fields, make)
+    fields = [("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))]
+    return _per_document(docs, "n_shingles long, class binary, bands array<long>, parity array<long>", fields, make)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -193,7 +206,7 @@ def near_duplicates(
     usable = rows.where(F.col("class").isNotNull() & F.col("id").isNotNull())
 
     # One document of each class stands for it. Its bands are those of any member.
-    classes = usable.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("size"), F.min("bands").alias("bands"))
+    classes = usable.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("size"), F.min("bands").alias("bands"), F.min("parity").alias("parity"))
     classes = scratch.table(classes, "classes")
     keyed = classes.select("class", F.col("rep"), "size", F.explode("bands").alias("key"))
     keys = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -236,8 +249,17 @@ def near_duplicates(
     ).select("key", "rep", "size", F.coalesce("component", "rep").alias("c"))
     mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
     member = scratch.table(join_by_key_counted(member, mixed.select("key", "m"), scratch), "member")
-    one, two = (member.select("key", F.col("rep").alias(x), F.col("size").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
-    rest = one.hint("merge").join(two, "key").where("a > b AND ca <> cb AND 100 * least(na, nb) >= %d * greatest(na, nb)" % percent)
+    # Neighbours of a large group share many keys without being similar enough: the join itself drops
+    # pairs whose sizes or parity bits rule a link out, before they become rows.
+    signed = member.join(classes.select("rep", *[F.col("parity")[i].alias(f"s{i}") for i in range(PARITY)]).hint("merge"), "rep")
+    signed = scratch.table(signed, "signed")
+    differ = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(PARITY))
+    fits = (
+        f"x.rep > y.rep AND x.c <> y.c AND 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
+        f" AND {100 + percent} * (x.size + y.size - ({differ})) >= {2 * percent} * (x.size + y.size)"
+    )
+    rest = signed.alias("x").hint("merge").join(signed.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(fits))
+    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     rest = scratch.table(rest.select("a", "b").distinct(), "pairs3")
     if rest.limit(1).count():
         more = scratch.table(verify(rest, sets_of(rest, "rest"), percent), "links3")
