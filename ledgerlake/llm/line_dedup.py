@@ -18,7 +18,9 @@ number) has a Jaccard similarity of ``percent`` / 100 or more with it.
 A word whose bucket counts at most COLD makes pairs in one join; its list cannot be
 longer. For the other words each line is first compared with the PIVOTS earliest
 lines of the list only, which settles most lines of a large group of variants; only
-lines that are still open meet the whole list. All lists stay whole.
+lines that are still open meet the whole list. All lists stay whole. Of a line's
+candidates the one that promises most is verified first, the others only if it fails:
+one match is enough.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from ledgerlake.llm.near_dedup import BROADCAST_IDS, word_hashes
 _U = np.uint64
 #: Buckets of the rarity table, in blocks that are summed apart.
 BUCKETS, BLOCKS = 1 << 22, 64
-COLD, PIVOTS, MIN_WORDS, PERCENT = 64, 8, 3, 80
+COLD, PIVOTS, MIN_WORDS, PERCENT = 1024, 8, 3, 80
 
 
 def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -64,8 +66,14 @@ def _bucket(words: np.ndarray) -> np.ndarray:
     return (words >> _U(42)).astype(np.int64)
 
 
+def _coded(counts) -> np.ndarray:
+    """Counts as one byte each: exact up to 127, then eight steps for each doubling."""
+    counts = np.asarray(counts, dtype=float)
+    return np.where(counts < 128, counts, np.minimum(255, 127 + 8 * np.log2(np.maximum(counts, 128) / 128))).astype(np.uint8)
+
+
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Words by bucket as one byte each: exact up to 127, then eight steps for each doubling."""
+    """How often the words of each bucket occur in lines, one byte each."""
     size = BUCKETS // BLOCKS
 
     def count(batches):
@@ -94,8 +102,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     total = np.zeros((BLOCKS, size), dtype=np.uint32)
     for r in rows:
         total[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint32)
-    total = total.ravel().astype(float)
-    return np.where(total < 128, total, np.minimum(255, 127 + 8 * np.log2(np.maximum(total, 128) / 128))).astype(np.uint8)
+    return _coded(total.ravel())
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -130,7 +137,7 @@ def _line_rows(docs: DataFrame, table, percent: int, min_words: int) -> DataFram
             kept = np.flatnonzero(use)
             ends = np.searchsorted(line[kept], np.arange(len(n) + 1))
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)) for values in (
-                ranked[kept].astype(np.int64), place[kept].astype(np.int32), (ranked_count[kept] > COLD).astype(bool))]
+                ranked[kept].astype(np.int64), place[kept].astype(np.int32), (ranked_count[kept] > _coded(COLD)).astype(bool))]
             take = pa.array(some)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -147,7 +154,8 @@ def _line_rows(docs: DataFrame, table, percent: int, min_words: int) -> DataFram
 def _needed_sets(docs: DataFrame, needed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, line, set) of the lines (id, line) in ``needed``."""
     by_doc = scratch.table(needed.groupBy("id").agg(F.collect_set("line").alias("lines")), f"{name}-lines")
-    joined = docs.join(by_doc.hint("merge"), "id").select("id", "text", "lines")
+    few = by_doc.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0] <= BROADCAST_IDS
+    joined = docs.join(F.broadcast(by_doc) if few else by_doc.hint("merge"), "id").select("id", "text", "lines")
 
     def run(batches):
         for batch in batches:
@@ -166,7 +174,7 @@ def _needed_sets(docs: DataFrame, needed: DataFrame, scratch: Scratch, name: str
     return scratch.table(joined.mapInArrow(run, "id long, line int, set binary").dropDuplicates(["id", "line"]), f"{name}-sets")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def _check(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """(id, line) of the later lines of pairs whose full sets are similar enough."""
     ends = [pairs.select(F.col(f"{x}id").alias("id"), F.col(f"{x}line").alias("line")) for x in "ab"]
     sets = _needed_sets(docs, ends[0].union(ends[1]).distinct(), scratch, name)
@@ -188,6 +196,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch,
     return scratch.table(chosen.mapInArrow(run, "id long, line int").distinct(), f"{name}-found")
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """(id, line) of lines with a verified match among pairs (aid, aline, bid, bline, gap): the smallest gap first, then the rest."""
+    best = pairs.groupBy("aid", "aline").agg(F.min(F.struct("gap", "bid", "bline")).alias("b"))
+    best = scratch.table(best.select("aid", "aline", F.col("b.bid").alias("bid"), F.col("b.bline").alias("bline")), f"{name}-best")
+    found = _check(docs, best, percent, scratch, f"{name}-1")
+    done = found.select(F.col("id").alias("aid"), F.col("line").alias("aline"))
+    rest = pairs.drop("gap").join(done.hint("merge"), ["aid", "aline"], "left_anti").join(best.hint("merge"), ["aid", "aline", "bid", "bline"], "left_anti")
+    rest = scratch.table(rest, f"{name}-rest")
+    if not rest.limit(1).count():
+        return found
+    return scratch.table(found.union(_check(docs, rest, percent, scratch, f"{name}-2")), f"{name}-all")
+
+
+#: Parity bits on which the sets of a pair differ: the fewer, the more alike they may be.
+_GAP = "bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1)"
+
+
 def _filters(percent: int):
     """The filters on a pair a, b that share a word, b the earlier line."""
     need = f"ceil({percent} * (a.n + b.n) / {100 + percent})"
@@ -195,13 +220,15 @@ def _filters(percent: int):
         f"(b.id < a.id OR (b.id = a.id AND b.line < a.line))"
         f" AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
         f" AND least(a.place, b.place) + 1 + least(a.n - a.place, b.n - b.place) - 1 >= {need}"
-        f" AND a.n + b.n - (bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1)) >= 2 * {need}"
+        f" AND a.n + b.n - ({_GAP}) >= 2 * {need}"
     )
 
 
-def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
-    joined = a.alias("a").hint("merge").join(b.alias("b"), (F.col("a.word") == F.col("b.word")) & _filters(percent))
-    return joined.select(*[F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "ab" for c in ("id", "line")]).distinct()
+def _pairs(a: DataFrame, b: DataFrame, percent: int, how: str) -> DataFrame:
+    """(aid, aline, bid, bline, gap) of lines that share a word and pass the filters."""
+    joined = a.alias("a").join(b.alias("b").hint(how), (F.col("a.word") == F.col("b.word")) & _filters(percent))
+    ends = [F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "ab" for c in ("id", "line")]
+    return joined.select(*ends, F.expr(f"1000 * ({_GAP}) DIV (a.n + b.n)").alias("gap")).distinct()
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -220,8 +247,9 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN
 
     each = classes.select("first.id", "first.line", "n", "b0", "b1", F.explode(F.arrays_zip("words", "places", "hot")).alias("w"))
     posts = each.select(F.col("w.words").alias("word"), "id", "line", "n", F.col("w.places").alias("place"), "b0", "b1", F.col("w.hot").alias("hot"))
+    # No list of these words is longer than COLD, so hash tables of them stay as small as their partitions.
     cold = posts.where("NOT hot")
-    pairs = scratch.table(_pairs(cold, cold, percent), "cold")
+    pairs = scratch.table(_pairs(cold, cold, percent, "shuffle_hash"), "cold")
     found = _verified(docs, pairs, percent, scratch, "cold")
 
     hot = scratch.table(posts.where("hot"), "hot")
@@ -232,9 +260,9 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN
         few = found.count() <= BROADCAST_IDS
         return posts.join(F.broadcast(found) if few else found.hint("merge"), ["id", "line"], "left_anti")
 
-    pairs = scratch.table(_pairs(still_open(hot, found), pivots, percent), "pivot")
+    pairs = scratch.table(_pairs(still_open(hot, found), pivots, percent, "merge"), "pivot")
     near = scratch.table(found.union(_verified(docs, pairs, percent, scratch, "pivot")).distinct(), "near")
-    pairs = scratch.table(_pairs(still_open(hot, near), hot, percent), "rest")
+    pairs = scratch.table(_pairs(still_open(hot, near), hot, percent, "merge"), "rest")
     if pairs.limit(1).count():
         near = scratch.table(near.union(_verified(docs, pairs, percent, scratch, "rest")).distinct(), "nearest")
     scratch.drop("hot")
@@ -267,8 +295,9 @@ def dedup_lines(
     scratch = Scratch(df.sparkSession, "cuts")
     gone = repeated_lines(docs, percent, min_words)
     gone = scratch.table(gone.groupBy("id").agg(F.collect_set("line").alias("__gone")), "gone")
-    rest = df.drop("n_lines", "n_removed")
-    joined = rest.join(gone.withColumnRenamed("id", "__id").hint("merge"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    few = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()[0] <= BROADCAST_IDS
+    rest, gone = df.drop("n_lines", "n_removed"), gone.withColumnRenamed("id", "__id")
+    joined = rest.join(F.broadcast(gone) if few else gone.hint("merge"), F.col(id_col) == F.col("__id"), "left").drop("__id")
     lines = F.split(F.col(text_col), "\n", -1)
     hit = F.col("__gone").isNotNull()
     kept = F.filter(lines, lambda line, i: ~F.array_contains("__gone", i))
