@@ -123,8 +123,8 @@ def find_pages(spark, sf_dir):
     return _holders(spark, sf_dir)
 
 
-@register("repair_citation", f"""WITH {_HELD}, li AS (SELECT item_id // 2 AS line_id, min(item_id) AS lo FROM benchmark GROUP BY 1), f AS (SELECT quote_id // 2 AS line_id, clause_id FROM held GROUP BY ALL
-    HAVING count(DISTINCT quote_id) = (SELECT count(*) FROM benchmark b WHERE b.item_id // 2 = held.quote_id // 2)),
+@register("repair_citation", f"""WITH {_HELD}, li AS (SELECT item_id // 2 AS line_id, min(item_id) AS lo FROM benchmark GROUP BY 1), nq AS (SELECT item_id // 2 AS line_id, count(*) AS n FROM benchmark GROUP BY 1),
+  hc AS (SELECT quote_id // 2 AS line_id, clause_id, count(DISTINCT quote_id) AS k FROM held GROUP BY 1, 2), f AS (SELECT line_id, clause_id FROM hc JOIN nq USING (line_id) WHERE k = n),
   m AS (SELECT line_id, count(*) AS m, min(clause_id) AS one FROM f GROUP BY 1)
   SELECT line_id, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.line_id = li.line_id AND f.clause_id = li.lo) THEN 'keep' WHEN m = 1 THEN 'move' ELSE 'human' END AS verdict,
     CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.line_id = li.line_id AND f.clause_id = li.lo) THEN li.lo WHEN m = 1 THEN one END AS target FROM li LEFT JOIN m USING (line_id)""")
