@@ -57,7 +57,10 @@ class PrefixCounter:
         for piece in self.pieces:
             self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 0), len(piece))
         self.fits = Memo(self._may_follow, 1 << 20)
-        self.chunk = Memo(lambda text: bytes(self.prefixes(text)), 600_000)
+        #: Pairs of characters that stand side by side in some piece; merges never reach over any other pair.
+        self.inside = {piece[i : i + 2] for piece in self.rank for i in range(len(piece) - 1)}
+        self.part = Memo(lambda text: bytes(self.prefixes(text)), 600_000)
+        self.chunk = Memo(self._of_parts, 900_000)
 
     def _merge(self, text: str) -> list[str]:
         """The encoding of a short text by its definition; it decides which pairs may stand side by side."""
@@ -73,6 +76,19 @@ class PrefixCounter:
         left, right = self.pieces[pair >> 20], self.pieces[pair & 0xFFFFF]
         return self._merge(left + right) == [left, right]
 
+    def _of_parts(self, chunk: str) -> bytes:
+        """The counts of a short chunk from those of the parts between which no merge is possible."""
+        inside, n = self.inside, len(chunk)
+        cuts = [i for i in range(1, n) if chunk[i - 1 : i + 1] not in inside]
+        if not cuts:
+            return self.part[chunk]
+        out, done = bytearray(1), 0
+        for a, b in zip([0, *cuts], [*cuts, n]):
+            counts = self.part[chunk[a:b]]
+            out += bytes([done + x for x in counts[1:]])
+            done += counts[-1]
+        return bytes(out)
+
     def prefixes(self, chunk: str) -> list[int]:
         """counts[i]: tokens of the first i characters of a chunk in which spaces are space marks."""
         n, number, reach, fits = len(chunk), self.number.get, self.reach, self.fits
