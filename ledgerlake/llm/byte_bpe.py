@@ -29,7 +29,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Memo, per_text, short_batches
+from ledgerlake.llm.common import Memo, per_text, release, short_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -142,9 +142,9 @@ class Encoder:
 
         self.ranks, self.find = load_ranks(path), regex.compile(pattern).findall
         self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.pieces = Memo(lambda piece: self._pack(merge(piece, self.ranks, self.queue)), 300_000)
-        self.first = Memo(self._chunk, 50_000)
-        self.spaced = Memo(lambda chunk: self._chunk(" " + chunk), 600_000)
+        self.pieces = Memo(lambda piece: self._pack(merge(piece, self.ranks, self.queue)), 250_000)
+        self.first = Memo(self._chunk, 20_000)
+        self.spaced = Memo(lambda chunk: self._chunk(" " + chunk), 350_000)
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -221,6 +221,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
                 taken = vocabulary.take(pa.array(np.frombuffer(ids, dtype="<u4").astype(np.int64)))
                 made.append(taken.buffers()[2].to_pybytes()[: _length(taken)] if len(taken) else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*names, out])
+        release()
 
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` binary"]))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -53,6 +54,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the machine: Spark keeps Python workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_text(
     df: DataFrame,
     keep: list[str],
@@ -85,6 +94,7 @@ def per_text(
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n], *made], names=[*batch.schema.names[:n], *[x for x, _ in target]]
             )
+        release()
 
     return picked.mapInArrow(run, out_schema)
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Scratch, join_by_key, short_batches
+from ledgerlake.llm.common import Scratch, join_by_key, release, short_batches
 from ledgerlake.llm.near_dedup import BROADCAST_IDS, word_hashes
 
 _U = np.uint64
@@ -87,6 +87,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
             [pa.array(range(BLOCKS), pa.int32()), pa.array(part, pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())],
             names=["block", "part", "counts"],
         )
+        release()
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(size, dtype=np.uint64)
@@ -146,6 +147,7 @@ def _line_rows(docs: DataFrame, table, percent: int, min_words: int) -> DataFram
                 ],
                 names=["class", "id", "line", "n", "b0", "b1", "words", "places", "hot"],
             )
+        release()
 
     schema = "class binary, id long, line int, n int, b0 long, b1 long, words array<long>, places array<int>, hot array<boolean>"
     return docs.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Scratch, join_by_key, short_batches
+from ledgerlake.llm.common import Scratch, join_by_key, release, short_batches
 from ledgerlake.llm.components import components
 
 BANDS, ROWS = 40, 6
@@ -131,6 +131,7 @@ def _per_document(df: DataFrame, schema: str, fields: list, make) -> DataFrame:
             rows = [make(hashes[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
             arrays = [pa.array([r[j] for r in rows], kind) for j, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", *[n for n, _ in fields]])
+        release()
 
     return df.mapInArrow(run, f"id long, {schema}")
 
