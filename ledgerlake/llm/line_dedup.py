@@ -112,7 +112,12 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _line_rows(docs: DataFrame, table, percent: int, min_words: int) -> DataFrame:
-    """A row for each line that counts: class, id, line, n, parity bits, and prefix words that may occur elsewhere."""
+    """A row for each line that counts: class, id, line, n, parity bits, and prefix words that may occur elsewhere.
+
+    A prefix word is the first 32 bits of its hash: words that share them share their
+    bucket too, so lists keep their bound, and pairs that meet by chance fail the filters
+    or the verification.
+    """
 
     def run(batches):
         import xxhash
@@ -138,7 +143,7 @@ def _line_rows(docs: DataFrame, table, percent: int, min_words: int) -> DataFram
             kept = np.flatnonzero(use)
             ends = np.searchsorted(line[kept], np.arange(len(n) + 1))
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)) for values in (
-                ranked[kept].astype(np.int64), place[kept].astype(np.int32), (ranked_count[kept] > _coded(COLD)).astype(bool))]
+                (ranked[kept] >> _U(32)).astype(np.uint32).view(np.int32), place[kept].astype(np.int32), (ranked_count[kept] > _coded(COLD)).astype(bool))]
             take = pa.array(some)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -149,7 +154,7 @@ def _line_rows(docs: DataFrame, table, percent: int, min_words: int) -> DataFram
             )
         release()
 
-    schema = "class binary, id long, line int, n int, b0 long, b1 long, words array<long>, places array<int>, hot array<boolean>"
+    schema = "class binary, id long, line int, n int, b0 long, b1 long, words array<int>, places array<int>, hot array<boolean>"
     return docs.mapInArrow(run, schema)
 
 
