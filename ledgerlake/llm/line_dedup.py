@@ -79,7 +79,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(BUCKETS, dtype=np.uint32)
         for batch in batches:
-            words, _ = _sets(_lines(batch.column(0))[0])
+            words, _ = word_hashes(batch.column(0))  # all occurrences: no list of lines can be longer
             total += np.bincount(_bucket(words), minlength=BUCKETS).astype(np.uint32)
         blocks = total.reshape(BLOCKS, size)
         part = np.random.default_rng().integers(0, 16, BLOCKS)  # any part will do: sums do not depend on it
@@ -129,7 +129,8 @@ def _line_rows(docs: DataFrame, table, percent: int, min_words: int) -> DataFram
             n = np.diff(starts)
             line = np.repeat(np.arange(len(n)), n)
             count = counts[_bucket(words)]
-            order = np.lexsort((words, count, line))  # the order within a line; lines stay where they are
+            # By line, then count, then hash. Words come sorted by hash within a line, and the sort is stable.
+            order = np.argsort((line.astype(_U) << _U(40)) | (count.astype(_U) << _U(32)) | (words >> _U(32)), kind="stable")
             place = np.arange(len(words)) - np.repeat(starts[:-1], n)
             ranked, ranked_count = words[order], count[order]
             use = (place < prefix_length(n, percent)[line]) & (ranked_count > 1) & (n[line] > 3)
