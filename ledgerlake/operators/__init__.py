@@ -1 +1 @@
-"""."""
+"""Operators on bills, clauses, hits, judgements and scores."""

@@ -1 +1 @@
-"""."""
+"""Views, queries and their SQL, and the registry."""
