@@ -4,9 +4,10 @@ A seed is a fixed mask laid over consecutive words: words under a 1 are hashed,
 under a 0 are ignored. So a passage in which some words were replaced still shares
 seeds with the benchmark item it came from, wherever the replaced words fall under
 zeros of one of the masks. Seeds of all documents are joined with those of all items;
-around each hit the two texts are laid side by side, and the stretch of words with the
-best balance of equal and unequal words is found. It is an overlap if it has
-MIN_OVERLAP words (or the whole item, if that is shorter) of which 80 % are equal.
+around each hit the two texts are laid side by side, and the longest stretch of words
+of which 80 % are equal is found. It is an overlap if it has MIN_OVERLAP words (or the
+whole item, if that is shorter). Every overlap of this kind holds a seed, wherever its
+replaced words stand: the masks are chosen so, and a test tries all places.
 
 A bit table of fixed size (4 MB), set by the items' seeds, spares most document seeds
 the shuffle; it lets every true hit through. The join decides by the full hashes, and
@@ -24,30 +25,37 @@ from ledgerlake.llm.common import Scratch, join_by_key, short_batches
 from ledgerlake.llm.near_dedup import _ODD, mix, word_hashes
 
 _U = np.uint64
-# The masks.
-MASKS = ("11011011", "1110010111", "110100110101")
-SPAN = max(map(len, MASKS))
+# The masks. Of 13 to 25 words with a fifth replaced at most, four in a row
+# are equal, or two threes with one word between (15 words). Longer overlaps hold such a
+# shorter one. Items of 5 to 12 words need more masks at three lengths only.
+MASKS = ("1111", "1110111")
+SHORT_MASKS = {5: ("11011", "10111", "11101"), 6: ("111011", "110111"), 10: ("111011", "110111")}
 MIN_ITEM, MIN_OVERLAP, PERCENT = 5, 13, 80
 BITS = 25
 #: Benchmark rows of seeds, or of hits, up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def seeds(words: np.ndarray, offsets: np.ndarray, short: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, text, place) of all seeds of a batch of texts: one triple of arrays for each mask.
+def masks_for(lengths: list[int], min_overlap: int = MIN_OVERLAP, percent: int = PERCENT) -> list[str]:
+    """Masks of which one fits every overlap the rule allows; ``lengths`` are those of items under min_overlap."""
+    if percent >= PERCENT and min_overlap >= MIN_OVERLAP:
+        return list(dict.fromkeys([*MASKS, *(m for n in lengths for m in SHORT_MASKS.get(n, ()))]))
+    # Other rules: the run of equal words that n words with so many others cannot do without.
+    other = {n: (100 - percent) * n // 100 for n in [*lengths, *range(min_overlap, 2 * min_overlap)]}
+    return ["1" * max(1, min(8, *(-(-(n - m) // (m + 1)) for n, m in other.items())))]
 
-    ``short`` lists lengths of items under SPAN words: runs of so many words count as
-    seeds too.
-    """
+
+def seeds(words: np.ndarray, offsets: np.ndarray, masks: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, text, place) of all seeds of a batch of texts: one triple of arrays for each mask."""
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     place = np.arange(len(words)) - np.repeat(offsets[:-1], np.diff(offsets))
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(words))
     out = []
-    for number, mask in enumerate([*MASKS, *("1" * n for n in short)]):
+    for mask in masks:
         picks, n = [i for i, c in enumerate(mask) if c == "1"], len(words) - len(mask) + 1
         if n <= 0:
             continue
-        total = np.full(n, _U(len(mask) * 64 + number if number < len(MASKS) else len(mask)), dtype=_U)
+        total = np.full(n, _U(int(mask, 2)), dtype=_U)
         for k, i in enumerate(picks):
             total = total + words[i : n + i] * _ODD[k]
         at = np.flatnonzero(left[:n] >= len(mask))
@@ -55,12 +63,20 @@ def seeds(words: np.ndarray, offsets: np.ndarray, short: list[int]) -> list[tupl
     return out
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, equal words) of the stretch with the best balance: 1 for each equal word, -3 for each other."""
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1]) if end else 0
+def longest_stretch(equal: np.ndarray, percent: int, least: int) -> tuple[int, int, int]:
+    """(start, end, equal words) of the longest stretch of which ``percent`` are equal.
+
+    Unequal words at its ends are left out as far as ``least`` words stay.
+    """
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
+    # For each end the first start whose sum is not above: the lowest sums so far fall, so they can be searched.
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    end = int(np.argmax(np.arange(len(sums)) - first))
+    start = int(first[end])
+    while end - start > least and not equal[end - 1]:
+        end -= 1
+    while end - start > least and not equal[start]:
+        start += 1
     return start, end, int(equal[start:end].sum())
 
 
@@ -95,8 +111,8 @@ def contamination(
 
     start_word counts the document's words from 0. Words are what ASCII white space
     separates, A-Z in lower case. Items under MIN_ITEM words, null or empty take no
-    part; items under SPAN words are found where all their words stand unchanged.
-    Null ids, null and empty texts have no overlap. Ids are meant to be unique: equal
+    part; those under ``min_overlap`` words are found where ``percent`` of the whole item
+    stand in place. Null ids, null and empty texts have no overlap. Ids are meant to be unique: equal
     rows give one. Without documents or items the result is empty.
     """
     spark = docs.sparkSession
@@ -112,14 +128,15 @@ def contamination(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["item", "item_words"])
 
     words = scratch.table(bench.mapInArrow(item_words, "item long, item_words array<long>").where(F.size("item_words") >= MIN_ITEM), "items")
-    short = sorted(r[0] for r in words.where(F.size("item_words") < SPAN).select(F.size("item_words")).distinct().collect())  # under SPAN numbers
+    lengths = sorted(r[0] for r in words.where(F.size("item_words") < min_overlap).select(F.size("item_words")).distinct().collect())  # under min_overlap numbers
+    masks = masks_for(lengths, min_overlap, percent)
 
     def item_seeds(batches):
         for batch in batches:
             lists = batch.column(1)
             flat, offsets = lists.flatten().to_numpy().view(_U), lists.offsets.to_numpy()
             ids = batch.column(0).to_numpy()
-            for seed, text, place in seeds(flat, offsets - offsets[0], short):
+            for seed, text, place in seeds(flat, offsets - offsets[0], masks):
                 yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), pa.array(ids[text]), pa.array(place.astype(np.int32))], names=["seed", "item", "q"])
 
     known = scratch.table(words.mapInArrow(item_seeds, "seed long, item long, q int").distinct(), "seeds")
@@ -130,7 +147,7 @@ def contamination(
         for batch in batches:
             words, offsets = word_hashes(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for seed, text, place in seeds(words, offsets, short):
+            for seed, text, place in seeds(words, offsets, masks):
                 bit = (seed >> _U(64 - BITS)).astype(np.int64)
                 hit = np.flatnonzero((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
                 yield pa.RecordBatch.from_arrays([pa.array(seed[hit].astype(np.int64)), pa.array(ids[text[hit]]), pa.array(place[hit].astype(np.int32))], names=["seed", "id", "p"])
@@ -156,9 +173,10 @@ def contamination(
                 for hit in hits:
                     item, shift = np.array(hit["item_words"], dtype=np.int64).view(_U), hit["shift"]
                     a, b = max(0, -shift), min(len(item), len(own) - shift)
-                    start, end, equal = best_stretch(item[a:b] == own[a + shift : b + shift])
+                    least = min(min_overlap, len(item))
+                    start, end, equal = longest_stretch(item[a:b] == own[a + shift : b + shift], percent, least)
                     n = end - start
-                    if n >= min(min_overlap, len(item)) and 100 * equal >= percent * n:
+                    if n >= least:
                         out.append((doc, hit["item"], a + start + shift, n, equal))
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "item", "start_word", "n_words", "n_equal"])

@@ -1,5 +1,6 @@
 """The operators that compare documents with each other, against brute force on small tables."""
 
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -150,6 +151,37 @@ def test_decontamination(spark):
     assert decontamination.contamination(d.limit(0), b).count() == 0
 
 
+def test_decontamination_finds_all_that_its_rule_allows(spark):
+    # All places of the replaced words; 26 words or more hold 13 to 25 that follow the rule as well.
+    for n in range(5, 26):
+        masks = decontamination.masks_for([n] if n < 13 else [])
+        bits = [[sum(1 << (p + i) for i, c in enumerate(m) if c == "1") for p in range(n - len(m) + 1)] for m in masks]
+        for places in itertools.combinations(range(n), n // 5):
+            whole = (1 << n) - 1 - sum(1 << i for i in places)
+            assert any(whole & b == b for some in bits for b in some), (n, places)
+    rnd = random.Random(16)
+    for _ in range(300):
+        equal = np.array([rnd.random() < 0.75 for _ in range(rnd.randrange(1, 40))])
+        all_ = [b - a for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if 100 * equal[a:b].sum() >= 80 * (b - a)]
+        a, b, same = decontamination.longest_stretch(equal, 80, 13)
+        assert (b - a >= 13) == (max(all_, default=0) >= 13)
+        assert same == equal[a:b].sum() and 100 * same >= 80 * (b - a)
+    # Replaced words at the edge, in a part of a bad whole, and in short items.
+    item = lambda k, n: [f"i{k}w{j}" for j in range(n)]
+    other = lambda words, *places: [x if i not in places else "zz" for i, x in enumerate(words)]
+    cases = [(13, (0,)), (13, (2, 10)), (15, (3, 7, 11)), (20, (1, 9, 18)), (25, (4, 9, 14, 19, 24)), (40, (*range(14, 40, 2),)), (5, (2,)), (6, (3,)), (10, (3, 6))]
+    wrong = [(13, (3, 6, 9)), (30, (*range(0, 30, 3),)), (5, (1, 3))]
+    told = [(k, item(k, n), other(item(k, n), *places)) for k, (n, places) in enumerate(cases + wrong)]
+    pad = ["p%d" % i for i in range(9)]
+    d = spark.createDataFrame([(k, " ".join(pad + leak + pad)) for k, _, leak in told], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(words)) for k, words, _ in told], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(d, b).collect()}
+    assert got == {(k, k) for k in range(len(cases))}
+    # Looser rules have masks of their own.
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(d, b, percent=60).collect()}
+    assert got == {(k, k) for k in range(len(told))}
+
+
 BASE = [
     ("assign", re.compile("""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
