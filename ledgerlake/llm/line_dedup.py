@@ -137,8 +137,8 @@ def _line_rows(docs: DataFrame, table, percent: int, min_words: int) -> DataFram
             bit = np.left_shift(_U(1), words & _U(63))
             high = (words >> _U(6)) & _U(1)
             some = np.flatnonzero((n >= min_words) & (n > 0))
-            safe = np.minimum(starts[:-1], max(0, len(words) - 1))
-            bits = [np.bitwise_xor.reduceat(np.where(high == half, bit, _U(0)), safe) if len(words) else np.zeros(len(n), _U) for half in (_U(0), _U(1))]
+            # One zero more, where blank lines at the end begin: the line before them keeps its last word.
+            bits = [np.bitwise_xor.reduceat(np.append(np.where(high == half, bit, _U(0)), _U(0)), starts[:-1]) for half in (_U(0), _U(1))]
             raw = words.tobytes()
             classes = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts[some].tolist(), starts[some + 1].tolist())]
             kept = np.flatnonzero(use)

@@ -114,6 +114,13 @@ def test_line_dedup(spark, monkeypatch, cold):
             assert r["text"] == want[r["doc_id"]] and r["lang"] == "k"
 
 
+def test_line_dedup_before_blank_lines_at_a_batch_end(spark):
+    # A borderline copy, 4 of 5 words, followed by blank lines only: its last word must count.
+    texts = ["alpha beta gamma delta epsilon", "one two three four five six", "delta alpha gamma beta\n\n", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    assert {(r["id"], r["line"]) for r in line_dedup.repeated_lines(docs).collect()} == {(2, 0)}
+
+
 def test_substring_dedup(spark):
     rnd = random.Random(4)
     sentence = lambda: " ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(1, 30))).capitalize() + rnd.choice([". ", "! ", ".\n"])
