@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after . ! or ? before white space, and at line feeds); a
-sentence of more than LONG words counts as several, cut after every PART words. From
-each sentence a span runs over the next ones until it holds MIN_SENTENCES of them and
+sentence of more than LONG words counts as several. Its words say where it is cut:
+after each word whose hash is the least among NEAR words on either side, and within
+what is still longer than PART words after the least one there. So equal words are cut
+alike wherever they stand, but for a few at both ends of a passage. From each sentence a span runs over the next ones until it holds MIN_SENTENCES of them and
 MIN_WORDS words. All spans are hashed and counted over the whole corpus, and each
 sentence that lies in a repeated span which is not its first occurrence goes. The first
 occurrence is that of the smallest document id, and in it the first one.
@@ -23,15 +25,44 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import Scratch, join_by_key, short_batches
 
-MIN_SENTENCES, MIN_WORDS, LONG, PART = 3, 15, 24, 16
+MIN_SENTENCES, MIN_WORDS, LONG, PART, NEAR = 3, 15, 13, 12, 4
 
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)[^\S\n]*|$|(?=\n))|\n", re.M)
 _WORD = re.compile(r"\S+\s*")
 
 
+def cuts(lists: list[tuple]) -> list[list[int]]:
+    """For each list of words, the numbers of the words that begin a piece, other than the first."""
+    from xxhash import xxh32_intdigest
+
+    # All lists in one array, with NEAR largest values around each.
+    ends = np.cumsum([len(words) + NEAR for words in lists])
+    hashes = np.full(NEAR + int(ends[-1]), 1 << 32, dtype=np.int64)
+    for end, words in zip(ends.tolist(), lists):
+        hashes[end - len(words) : end] = list(map(xxh32_intdigest, words))
+    n = len(hashes) - 2 * NEAR
+    low = hashes[:n]
+    for k in range(1, 2 * NEAR + 1):
+        low = np.minimum(low, hashes[k : n + k])
+    least = np.flatnonzero(hashes[NEAR : n + NEAR] == low) + NEAR + 1
+    out = []
+    for end, words in zip(ends.tolist(), lists):
+        first = end - len(words)
+        a, b = np.searchsorted(least, [first + 1, end])
+        at = [0, *(least[a:b] - first).tolist(), len(words)]
+        open_, found = [(x, y) for x, y in zip(at, at[1:]) if y - x > PART], at[1:-1]
+        while open_:
+            x, y = open_.pop()
+            cut = x + 3 + int(np.argmin(hashes[first + x + 2 : first + y - 3]))
+            found.append(cut)
+            open_ += [(u, v) for u, v in ((x, cut), (cut, y)) if v - u > PART]
+        out.append(sorted(found))
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, tuple]]:
     """(start, end, words) of each sentence, in order; white space after one belongs to it."""
-    out = []
+    out, long = [], []
     for m in _SENTENCE.finditer(text):
         start, end = m.span()
         words = tuple(m.group().lower().split())
@@ -39,12 +70,21 @@ def sentences(text: str) -> list[tuple[int, int, tuple]]:
             if out:  # a line feed goes with the sentence before it
                 out[-1] = (out[-1][0], end, out[-1][2])
                 continue
-        if len(words) <= LONG:
-            out.append((start if out else 0, end, words))
-            continue
-        at = [start if out else 0, *(start + w.start() for i, w in enumerate(_WORD.finditer(m.group())) if i and i % PART == 0), end]
-        out += [(a, b, words[i * PART : (i + 1) * PART]) for i, (a, b) in enumerate(zip(at, at[1:]))]
-    return out
+        if len(words) > LONG:
+            long.append(len(out))
+        out.append((start if out else 0, end, words))
+    if not long:
+        return out
+    pieces, done = [], 0
+    for k, at in zip(long, cuts([out[k][2] for k in long])):
+        start, end, words = out[k]
+        # From the first word on: white space at the front belongs to it.
+        begins = [m.start() for m in _WORD.finditer(text, start, end)]
+        places, numbers = [start, *(begins[i] for i in at), end], [0, *at, len(words)]
+        pieces += out[done:k]
+        pieces += [(places[i], places[i + 1], words[numbers[i] : numbers[i + 1]]) for i in range(len(numbers) - 1)]
+        done = k + 1
+    return pieces + out[done:]
 
 
 def spans(parts: list[tuple]) -> list[tuple[int, int]]:

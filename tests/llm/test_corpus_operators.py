@@ -143,6 +143,35 @@ def test_substring_dedup(spark):
     assert got[700] is None and got[None] == texts[0]
 
 
+def test_passages_are_cut_alike_wherever_they_stand():
+    rnd = random.Random(14)
+    run = lambda n: [f"q{rnd.randrange(10**6)}" for _ in range(n)]
+    found = {kind: 0 for kind in ("bare", "stops", "list")}
+    for kind in found:
+        for k in range(200):
+            passage = run(51 + k % 10 if k % 4 else 400)
+            if kind == "stops":  # four sentences, the first and the last of which run into their surroundings
+                passage = [w + "." if i % 13 == 12 else w for i, w in enumerate(passage)]
+            if kind == "list":
+                passage = [w + "," for w in passage]
+            keys = []
+            for _ in range(2):
+                words = run(rnd.randrange(40)) + passage + run(rnd.randrange(40))
+                parts = substring_dedup.sentences(" ".join(words))
+                assert [w for p in parts for w in p[2]] == words
+                keys.append({tuple(w for p in parts[a:b] for w in p[2]) for a, b in substring_dedup.spans(parts)})
+            found[kind] += bool(keys[0] & keys[1])
+    assert found == {kind: 200 for kind in found}
+    # Words that come again and again: the same pieces at any offset.
+    for period in (1, 2, 3, 7):
+        passage = [f"r{i % period}" for i in range(60)]
+        keys = []
+        for before in (0, 5):
+            parts = substring_dedup.sentences(" ".join(run(before) + passage))
+            keys.append({tuple(w for p in parts[a:b] for w in p[2]) for a, b in substring_dedup.spans(parts)})
+        assert keys[0] & keys[1]
+
+
 def test_decontamination(spark):
     rnd = random.Random(6)
     run = lambda n: [rnd.choice(WORDS) + str(rnd.randrange(50)) for _ in range(n)]
