@@ -42,8 +42,9 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
         # A star has each node once on the left and no left node on the right.
         if now[0] == 0 or tuple(now) == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state, old = tuple(now), edges
+        state = tuple(now)
         large = scratch.table(_pointed(edges, scratch, f"{name}-{step}l", False), f"{name}-{step}large")
         edges = scratch.table(_pointed(large, scratch, f"{name}-{step}s", True), f"{name}-{step}small")
-        del old
+        # The links of the step before are read no more.
+        scratch.drop(f"{name}-{step}l-least", f"{name}-{step}large", f"{name}-{step}s-least", f"{name}-0" if step == 0 else f"{name}-{step - 1}small")
         step += 1

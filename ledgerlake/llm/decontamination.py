@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Scratch, join_by_key, short_batches
+from ledgerlake.llm.common import Scratch, join_by_key, release, slices
 from ledgerlake.llm.near_dedup import _ODD, mix, word_hashes
 
 _U = np.uint64
@@ -116,7 +116,6 @@ def contamination(
     rows give one. Without documents or items the result is empty.
     """
     spark = docs.sparkSession
-    short_batches(spark)
     scratch = Scratch(spark, "leaks")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     bench = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")

@@ -17,7 +17,8 @@ Within a key, every class is first compared with the smallest one only; links ma
 components, and only pairs of different components that share a key are compared
 then. So each link between different sets that shares a key is found or already
 implied, and a group of m copies costs about m comparisons. No group is gathered
-in one task: keys, classes and nodes that hold many rows are joined apart.
+in one task: keys, classes and nodes that hold many rows are joined apart, and a
+large key's last pairs are dealt out block by block (``common.dealt``).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Scratch, join_by_key, release, short_batches
+from ledgerlake.llm.common import Scratch, dealt, join_by_key, release, slices
 from ledgerlake.llm.components import components
 
 BANDS, ROWS = 40, 6
@@ -47,23 +48,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Words over so many bytes are hashed one by one.
+LONG_WORD = 256
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
+#: Masks of the lowest 0 to 8 bytes of a 64-bit number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a batch of texts, and where each text's words start (one more at the end).
 
-    A-Z are lower-cased; words are what ASCII white space separates.
+    A-Z are lower-cased; words are what ASCII white space separates. Eight bytes of
+    all words are mixed in at a time, so the work is done on arrays throughout.
     """
     import xxhash
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    words, offsets = lists.flatten(), lists.offsets.to_numpy()
-    coded = words.dictionary_encode()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=_U)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    empty = np.flatnonzero(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))
-    if len(empty):
-        offsets = offsets - np.searchsorted(empty, offsets)
-        codes = np.delete(codes, empty)
-    return hashes[codes] if len(codes) else np.zeros(0, _U), offsets - offsets[0]
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first, n = int(bounds[0]), int(bounds[-1] - bounds[0])
+    if not n:
+        return np.zeros(0, _U), np.zeros(len(texts) + 1, dtype=np.int64)
+    data = np.zeros(n + 8, dtype=np.uint8)
+    data[:n] = np.frombuffer(texts.buffers()[2], dtype=np.uint8, count=n, offset=first)
+    bounds = bounds - first
+    space = _SPACE[data[:n]]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    ends = ~space
+    ends[:-1] &= space[1:]
+    edges = bounds[(bounds > 0) & (bounds < n)]  # a text's end is a word's end too
+    begins[edges] = ~space[edges]
+    ends[edges - 1] = ~space[edges - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    size = end - start
+    eight = np.ndarray(n + 1, dtype="<u8", buffer=data.data, strides=(1,))
+    hashes = mix(size.astype(_U) ^ (eight[start] & _LOW[np.minimum(size, 8)]) * _ODD[0])
+    at, left = np.flatnonzero(size > 8), 8
+    while len(at):
+        if left >= LONG_WORD:
+            for i in at.tolist():
+                hashes[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+            break
+        rest = size[at] - left
+        hashes[at] = mix((hashes[at] ^ (eight[start[at] + left] & _LOW[np.minimum(rest, 8)])) * _ODD[1])
+        at, left = at[rest > 8], left + 8
+    return hashes, np.searchsorted(start, bounds)
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -123,10 +154,9 @@ def parity_bits(x: np.ndarray) -> np.ndarray:
 
 def _per_document(df: DataFrame, schema: str, fields: list, make) -> DataFrame:
     """mapInArrow over (id, text): make(words of one text) gives the values of ``fields`` after the id."""
-    short_batches(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             hashes, offsets = word_hashes(batch.column(1))
             rows = [make(hashes[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
             arrays = [pa.array([r[j] for r in rows], kind) for j, (_, kind) in enumerate(fields)]
@@ -158,13 +188,12 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    short_batches(pairs.sparkSession)
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
@@ -175,6 +204,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
+        release()
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -198,7 +228,8 @@ def near_duplicates(
     one component. Ids are meant to be unique: where an id has several texts and is
     the smallest of more than one class of copies, its links are confirmed on the
     smallest of its sets. Other columns are dropped; an empty table gives an empty
-    result.
+    result. Ties do not arise: the smallest id stands for its group. A very long text
+    takes about 50 bytes of a worker's memory for each of its words.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
@@ -214,6 +245,7 @@ def near_duplicates(
     keys = scratch.table(keys, "keys")
     shared = keys.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     posts = scratch.table(join_by_key(keyed.select("key", "rep", "size"), keys, "key", "m", shared), "posts")
+    scratch.drop("keys")
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         """The full sets of all documents that stand in pairs."""
@@ -239,8 +271,10 @@ def near_duplicates(
         out = pairs.join(a.hint("merge"), "a", "left").join(b.hint("merge"), "b", "left")
         return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
+    scratch.drop("first-ids")
     open_ = labelled(pairs.join(nearest.hint("merge"), ["a", "b"], "left_anti"), found)
     more = scratch.table(verify(open_, sets, percent), "links2")
+    scratch.drop("first-sets", "pairs1")
     links = links.unionByName(more)
     found = scratch.table(components(links, scratch, "c2"), "found2")
 
@@ -254,20 +288,25 @@ def near_duplicates(
     # pairs whose sizes or parity bits rule a link out, before they become rows.
     signed = member.join(classes.select("rep", *[F.col("parity")[i].alias(f"s{i}") for i in range(PARITY)]).hint("merge"), "rep")
     signed = scratch.table(signed, "signed")
+    scratch.drop("posts", "mixed", "member")
     differ = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(PARITY))
     fits = (
         f"x.rep > y.rep AND x.c <> y.c AND 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
         f" AND {100 + percent} * (x.size + y.size - ({differ})) >= {2 * percent} * (x.size + y.size)"
     )
-    rest = signed.alias("x").hint("merge").join(signed.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(fits))
+    one, other = dealt(signed, "m", ["rep"])
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.__piece") == F.col("y.__piece"))
+    rest = one.alias("x").hint("merge").join(other.alias("y"), same & F.expr(fits))
     rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     rest = scratch.table(rest.select("a", "b").distinct(), "pairs3")
+    scratch.drop("signed")
     if rest.limit(1).count():
         more = scratch.table(verify(rest, sets_of(rest, "rest"), percent), "links3")
         found = scratch.table(components(links.unionByName(more), scratch, "c3"), "found3")
 
     named = classes.join(found.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
     named = scratch.table(named.select("class", "n", F.coalesce("component", "rep").alias("component_id")), "named")
+    scratch.drop("classes", "found1", "found2", "found3", "links1", "links2", "links3", "pairs3", "rest-ids", "rest-sets")
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     told = join_by_key(usable.select("id", "n_shingles", "class"), named, "class", "n", total).select("id", "n_shingles", "component_id")
     alone = rows.where(F.col("class").isNull() | F.col("id").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"))
@@ -278,7 +317,7 @@ def near_duplicates(
 def join_by_key_counted(rows: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
     keys = scratch.table(keys, "mixed")
     total = keys.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    return join_by_key(rows, keys, "key", "m", total).drop("m")
+    return join_by_key(rows, keys, "key", "m", total)
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Scratch, join_by_key, short_batches
+from ledgerlake.llm.common import Scratch, join_by_key, release, slices
 
 MIN_SENTENCES, MIN_WORDS, LONG, PART, NEAR = 3, 15, 13, 12, 4
 
@@ -108,7 +108,6 @@ def spans(parts: list[tuple]) -> list[tuple[int, int]]:
 
 def _span_rows(docs: DataFrame) -> DataFrame:
     """(span, id, first, last, again): again says that the same document has the span before."""
-    short_batches(docs.sparkSession)
 
     def run(batches):
         import xxhash
@@ -132,7 +131,6 @@ def _span_rows(docs: DataFrame) -> DataFrame:
 
 def _cut(joined: DataFrame) -> DataFrame:
     """(row, n_sentences, n_removed, text) of (row, text, gone): the text without the sentences of its spans."""
-    short_batches(joined.sparkSession)
 
     def run(batches):
         for batch in batches:

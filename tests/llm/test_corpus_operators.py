@@ -6,9 +6,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ledgerlake.llm import decontamination, line_dedup, near_dedup, secret_scan, substring_dedup, vector_search
+from ledgerlake.llm import common, decontamination, line_dedup, near_dedup, secret_scan, substring_dedup, vector_search
 
 WORDS = ["w%02d" % i for i in range(90)]
 
@@ -39,11 +40,13 @@ def similar(a, b, percent=80):
     return bool(a) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-@pytest.mark.parametrize("words", [4, 5])
-def test_near_duplicates(spark, words):
-    texts = variants(1, 150, 60) + ["", "A b", "a B", " \t", "a b c d"]
+@pytest.mark.parametrize("words, block", [(4, 4096), (5, 2)])
+def test_near_duplicates(spark, monkeypatch, words, block):
+    monkeypatch.setattr(common, "BLOCK", block)  # 2: every key is dealt out
+    texts = variants(1, 150, 60) + ["", "A b", "a B", " \t", "a b c d", "long " * 30_000, "x" * 500_000, "x" * 500_000]
     data = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (500, None), (None, texts[1])]
     docs = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, component_id string")
+    assert near_dedup.near_duplicates(docs.limit(0), words=words).count() == 0
     got = near_dedup.near_duplicates(docs, words=words).collect()
     assert len(got) == len(data)
     sets = {}
@@ -80,13 +83,13 @@ def test_sketch_estimates_similarity():
         assert abs(guess - truth) < 0.06
 
 
-def brute_lines(texts, percent=80, least=3):
+def brute_lines(texts, percent=80, least=1):
     seen, out = [], []
     for text in texts:
         kept = []
         for line in text.split("\n"):
             words = frozenset(re.findall(r"[^\x20\x09-\x0D]+", lower(line)))
-            if len(words) < least:
+            if len(words) < least or not words:
                 kept.append(line)
                 continue
             if not any(similar(words, s, percent) for s in seen):
@@ -96,15 +99,19 @@ def brute_lines(texts, percent=80, least=3):
     return out
 
 
-@pytest.mark.parametrize("cold", [1024, 1])
-def test_line_dedup(spark, monkeypatch, cold):
+@pytest.mark.parametrize("cold, percent", [(1024, 80), (1, 80), (1, 60)])
+def test_line_dedup(spark, monkeypatch, cold, percent):
     monkeypatch.setattr(line_dedup, "COLD", cold)  # 1: every word takes the way of frequent words
+    monkeypatch.setattr(common, "BLOCK", 16)  # and the lists of most words are dealt out
     lines = variants(2, 160, 30)
-    texts = ["\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)] + ["", "\n\n", "a b\na b"]
-    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)] + [(900, None, 1, "k"), (None, lines[0], 1, "k")], "doc_id long, text string, n_removed int, lang string")
-    got = line_dedup.dedup_lines(docs).collect()
-    assert len(got) == len(texts) + 2
-    want = brute_lines(texts)
+    # One word in all lines, short lines that repeat, and a set next to one that has a word more.
+    texts = ["\n".join(f"the {x}" for x in lines[i : i + 3]) for i in range(0, len(lines), 3)]
+    texts += ["", "\n\n", "a b\na b", "les.", "LES.\n\nles. les.", "a b c", "a b c d", " \t", "x" * 3000 + " y " + "é " * 2000 + "\n" + "z" * 3000, "x" * 3000 + " y é"]
+    data = [(i, t, 1, "k", 0) for i, t in enumerate(texts)] + [(900, None, 1, "k", 0), (None, lines[0], 1, "k", 0), (3, texts[3], 1, "k", 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_removed int, lang string, __cuts int")
+    got = line_dedup.dedup_lines(docs, percent=percent).collect()
+    assert len(got) == len(data)
+    want = brute_lines(texts, percent)
     for r in got:
         if r["doc_id"] is None:
             assert r["text"] == lines[0]
@@ -112,6 +119,20 @@ def test_line_dedup(spark, monkeypatch, cold):
             assert r["text"] is None and r["n_lines"] == 0
         else:
             assert r["text"] == want[r["doc_id"]] and r["lang"] == "k"
+            assert r["n_lines"] == texts[r["doc_id"]].count("\n") + 1
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_word_hashes_tell_words_apart():
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice("aAbZ \t\n\x0b\x1cé日") for _ in range(rnd.randrange(60))) for _ in range(300)]
+    texts += [None, "", "  ", "q" * 255, "q" * 256 + " " + "q" * 257 + " " + "Q" * 1000, "q" * 1000, "w" * 2_000_000]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) for t in texts]
+    hashes, offsets = near_dedup.word_hashes(pa.array(["cut off", *texts, "cut off"]).slice(1, len(texts)))
+    assert np.diff(offsets).tolist() == [len(w) for w in words]
+    told = dict(zip([w for some in words for w in some], hashes.tolist()))
+    assert [told[w] for some in words for w in some] == hashes.tolist()
+    assert len(set(told.values())) == len(told)
 
 
 def test_line_dedup_before_blank_lines_at_a_batch_end(spark):

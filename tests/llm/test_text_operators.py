@@ -11,7 +11,7 @@ import pytest
 
 from ledgerlake.llm import byte_bpe, license_scan, token_counts, toxicity
 
-ODD = ["", " ", "\n", "a", "  a  b ", "Hello, world! it's 42  x", "é日本🎉", "\t\x00z", "a" * 5000, "ab " * 3000, "▁<s>", "x\x1cy \x85z"]
+ODD = ["", " ", "\n", "a", "  a  b ", "Hello, world! it's 42  x", "é日本🎉", "\t\x00z", "a" * 5000, "ab " * 3000, "one word " * 120_000, "▁<s>", "x\x1cy \x85z"]
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,10 @@ def test_prefix_counts_are_exact_at_every_prefix(spark, texts):
     counts = {r["doc_id"]: r["counts"] for r in token_counts.prefix_counts(rows(spark, some)).where("doc_id < 10000").collect()}
     for i, text in enumerate(some):
         assert counts[i] == [len(model.encode(text[:k])) for k in range(len(text) + 1)]
-    cut = {r["doc_id"]: r["text"] for r in token_counts.truncate(rows(spark, some), 7).where("doc_id < 10000").collect()}
+    short = token_counts.truncate(rows(spark, some), 7).collect()
+    assert len(short) == len(some) + 3
+    assert [r["text"] for r in short if r["doc_id"] is None] == ["x y"] and [r["text"] for r in short if r["doc_id"] == 10_000] == [None]
+    cut = {r["doc_id"]: r["text"] for r in short if r["doc_id"] is not None}
     for i, text in enumerate(some):
         assert cut[i] == text[: max(k for k, n in enumerate(counts[i]) if n <= 7)]
 
@@ -65,13 +68,39 @@ def test_byte_bpe_matches_the_library_and_round_trips(spark, texts):
         assert bytes(r["decoded"]) == text.encode()
 
 
-def test_very_long_pre_token():
-    ranks = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
-    queue = byte_bpe.RankQueue(max(ranks.values()) + 1)
-    piece = hashlib.sha512(b"x").hexdigest().encode() * 400
-    ids = byte_bpe.merge(piece, ranks, queue)
-    back = {v: k for k, v in ranks.items()}
-    assert b"".join(back[i] for i in ids) == piece and not queue.top
+@pytest.fixture(scope="module")
+def vocabulary():
+    return byte_bpe.Vocabulary(byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")))
+
+
+def test_very_long_pre_tokens(vocabulary):
+    import tiktoken
+
+    rnd = random.Random(9)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    encoder = byte_bpe.Encoder(vocabulary, P.PATTERN)
+    texts = [base64.b64encode(hashlib.sha512(b"x").digest() * 400).decode(), "a" * 50_000, "ab" * 20_000, "=" * 30_001, "日本" * 8_000]
+    texts += ["".join(rnd.choice(letters) for _ in range(20_000)) for letters in ("etaoin", "ab", "abcdefghijklmnopqrstuvwxyz")]
+    for text, ids in zip(texts, encoder(texts)):
+        assert ids == np.array(library.encode_ordinary(text), dtype="<u4").tobytes()
+    assert not encoder.queue.top
+
+
+def test_merges_that_make_a_lower_rank():
+    # Of "abc", "ab" is merged first only where "bc" is no token; then "abc" comes before other pairs "ab".
+    import tiktoken
+
+    rnd = random.Random(10)
+    for _ in range(40):
+        tokens = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(2, 5))).encode() for _ in range(30)} - {b"a", b"b", b"c"})
+        rnd.shuffle(tokens)
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
+        vocabulary = byte_bpe.Vocabulary(ranks)
+        library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        queue = byte_bpe.RankQueue(vocabulary.size)
+        pieces = [bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(5, 90))) for _ in range(30)]
+        for piece, ids in zip(pieces, byte_bpe.merge(pieces, vocabulary, queue)):
+            assert ids == np.array(library.encode_ordinary(piece.decode()), dtype="<u4").tobytes()
 
 
 def brute_license(text):
