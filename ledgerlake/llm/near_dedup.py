@@ -53,6 +53,8 @@ LONG_WORD = 256
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: Masks of the lowest 0 to 8 bytes of a 64-bit number.
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U)
 
@@ -65,13 +67,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     import xxhash
 
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    bounds = np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     first, n = int(bounds[0]), int(bounds[-1] - bounds[0])
     if not n:
         return np.zeros(0, _U), np.zeros(len(texts) + 1, dtype=np.int64)
     data = np.zeros(n + 8, dtype=np.uint8)
-    data[:n] = np.frombuffer(texts.buffers()[2], dtype=np.uint8, count=n, offset=first)
+    data[:n] = _LOWER[np.frombuffer(texts.buffers()[2], dtype=np.uint8, count=n, offset=first)]
     bounds = bounds - first
     space = _SPACE[data[:n]]
     begins = ~space

@@ -130,6 +130,10 @@ def test_word_hashes_tell_words_apart():
     words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) for t in texts]
     hashes, offsets = near_dedup.word_hashes(pa.array(["cut off", *texts, "cut off"]).slice(1, len(texts)))
     assert np.diff(offsets).tolist() == [len(w) for w in words]
+    some = [t for t in texts if t is not None]  # without nulls arrays are read where they lie
+    for kind in (pa.string(), pa.large_string()):
+        again = near_dedup.word_hashes(pa.array(["Cut off " * 9, *some], kind).slice(1))
+        assert again[0].tolist() == hashes.tolist() and again[1][-1] == len(hashes)
     told = dict(zip([w for some in words for w in some], hashes.tolist()))
     assert [told[w] for some in words for w in some] == hashes.tolist()
     assert len(set(told.values())) == len(told)
