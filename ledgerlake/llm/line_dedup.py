@@ -15,8 +15,9 @@ number) has a Jaccard similarity of ``percent`` / 100 or more with it.
    their bits differ.
 5. *Verification.* What passes is compared on the full sets.
 
-A word whose bucket counts at most COLD makes pairs in one join; its list cannot be
-longer. For the other words each line is first compared with the PIVOTS earliest
+A word whose bucket counts at most COLD has a list that cannot be longer. Such lists are
+shuffled by their word and joined as they stream by, each sorted by the sizes of its sets,
+so that only sizes which can match are paired at all. For the other words each line is first compared with the PIVOTS earliest
 lines of the list only, which settles most lines of a large group of variants; only
 lines that are still open meet the whole list. All lists stay whole. Of a line's
 candidates the one that promises most is verified first, the others only if it fails:
@@ -257,14 +258,81 @@ def _filters(percent: int):
     )
 
 
-def _pairs(a: DataFrame, b: DataFrame, percent: int, how: str, keys: tuple = ("word",)) -> DataFrame:
+def _pairs(a: DataFrame, b: DataFrame, percent: int, keys: tuple = ("word",)) -> DataFrame:
     """(aid, aline, bid, bline, gap) of lines that share a word and pass the filters."""
     same = functools.reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
-    joined = a.alias("a").join(b.alias("b").hint(how), same & _filters(percent))
+    joined = a.alias("a").join(b.alias("b").hint("merge"), same & _filters(percent))
     ends = [F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "ab" for c in ("id", "line")]
     return joined.select(*ends, F.expr(f"1000 * ({_GAP}) DIV (a.n + b.n)").alias("gap")).distinct()
 
 
+_POST = ("word", "id", "line", "n", "left", "b0", "b1")
+#: Rows of lists that are joined at a time, and pairs that are looked at in one step.
+LISTS, STEP = 100_000, 1 << 20
+
+
+def _paired(posts: list[np.ndarray], percent: int):
+    """The pairs within the lists of some words that pass the filters: arrays aid, aline, bid, bline, gap."""
+    word, id_, line, n, left, b0, b1 = posts
+    # By word, then size: the partners of a row that are at least as large follow it.
+    key = (word.view(np.uint32).astype(np.int64) << 31) | n
+    order = np.argsort(key)
+    key, id_, line, n, left = key[order], id_[order], line[order], n[order].astype(np.int64), left[order].astype(np.int64)
+    b0, b1 = b0[order].view(_U), b1[order].view(_U)  # bits of signed numbers would be counted without their sign
+    most = np.minimum(n * 100 // percent, (100 + percent) * left // percent - n)
+    ends = np.searchsorted(key, key - n + most, side="right")
+    first = np.arange(1, len(key) + 1)
+    counts = np.maximum(ends - first, 0)
+    total = np.cumsum(counts)
+    start = 0
+    while start < len(key):
+        done = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, done + STEP, side="right")))
+        some = counts[start:end]
+        i = np.repeat(np.arange(start, end), some)
+        j = np.arange(len(i)) - np.repeat(total[start:end] - some - done, some) + i + 1
+        size = n[i] + n[j]
+        keep = np.flatnonzero((100 + percent) * np.minimum(left[i], left[j]) >= percent * size)
+        i, j, size = i[keep], j[keep], size[keep]
+        gap = np.bitwise_count(b0[i] ^ b0[j]).astype(np.int64) + np.bitwise_count(b1[i] ^ b1[j])
+        keep = np.flatnonzero((100 + percent) * (size - gap) >= 2 * percent * size)
+        i, j, score = i[keep], j[keep], 1000 * gap[keep] // size[keep]
+        later = (id_[i] > id_[j]) | ((id_[i] == id_[j]) & (line[i] > line[j]))
+        a, b = np.where(later, i, j), np.where(later, j, i)
+        differ = np.flatnonzero((id_[a] != id_[b]) | (line[a] != line[b]))
+        a, b, score = a[differ], b[differ], score[differ]
+        yield id_[a], line[a], id_[b], line[b], score
+        start = end
+
+
+def _cold_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """(aid, aline, bid, bline, gap) as by ``_pairs`` of posts with themselves, for words whose lists are short."""
+
+    def run(batches):
+        kept, size = [], 0
+
+        def joined(last: bool):
+            nonlocal kept, size
+            columns = [np.concatenate(c) for c in zip(*kept)]
+            # The list of the last word may go on.
+            cut = size if last else size - int(np.argmax(np.append(columns[0][::-1] != columns[0][-1], True)))
+            for found in _paired([c[:cut] for c in columns], percent) if cut else ():
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(found, (np.int64, np.int32, np.int64, np.int32, np.int64))], names=["aid", "aline", "bid", "bline", "gap"])
+            kept, size = [[c[cut:] for c in columns]], size - cut
+
+        for batch in batches:
+            kept.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= LISTS:
+                yield from joined(False)
+        if size:
+            yield from joined(True)
+        release()
+
+    dealt_out = posts.select(*_POST).repartition("word").sortWithinPartitions("word")
+    return dealt_out.mapInArrow(run, "aid long, aline int, bid long, bline int, gap long").distinct()
+
+
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, line) of every line to remove, of (id, text): those with an earlier match."""
     from pyspark.sql import Window
@@ -280,9 +348,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN
 
     each = classes.select("first.id", "first.line", "n", "b0", "b1", F.explode(F.arrays_zip("words", "left", "hot")).alias("w"))
     posts = each.select(F.col("w.words").alias("word"), "id", "line", "n", F.col("w.left").alias("left"), "b0", "b1", F.col("w.hot").alias("hot"))
-    # No list of these words is longer than COLD, so hash tables of them stay as small as their partitions.
-    cold = posts.where("NOT hot").drop("hot")
-    pairs = scratch.table(_pairs(cold, cold, percent, "shuffle_hash"), "cold")
+    pairs = scratch.table(_cold_pairs(posts.where("NOT hot"), percent), "cold")
     found = _verified(docs, pairs, percent, scratch, "cold")
 
     hot = scratch.table(posts.where("hot").drop("hot"), "hot")
@@ -293,13 +359,13 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN
         few = found.count() <= BROADCAST_IDS
         return posts.join(F.broadcast(found) if few else found.hint("merge"), ["id", "line"], "left_anti")
 
-    pairs = scratch.table(_pairs(still_open(hot, found), pivots, percent, "merge"), "pivot")
+    pairs = scratch.table(_pairs(still_open(hot, found), pivots, percent), "pivot")
     near = scratch.table(found.union(_verified(docs, pairs, percent, scratch, "pivot")).distinct(), "near")
     # What is left meets the whole list; long lists are dealt out in blocks.
     counts = scratch.table(hot.groupBy("word").agg(F.count(F.lit(1)).alias("m")), "counts")
     counted = scratch.table(join_by_key(hot, counts, "word", "m", hot.count()), "counted")
     one, other = dealt(counted, "m", ["id", "line"])
-    pairs = scratch.table(_pairs(still_open(one, near), other, percent, "merge", ("word", "__piece")), "rest")
+    pairs = scratch.table(_pairs(still_open(one, near), other, percent, ("word", "__piece")), "rest")
     if pairs.limit(1).count():
         near = scratch.table(near.union(_verified(docs, pairs, percent, scratch, "rest")).distinct(), "nearest")
     scratch.drop("cold", "hot", "counts", "counted", "pivots", "pivot", "rest")
@@ -335,17 +401,21 @@ def dedup_lines(
     rest = df.drop("n_lines", "n_removed")
     at, cuts, own = fresh(rest, "__id"), fresh(rest, "__cuts"), fresh(rest, "__new")
     gone = repeated_lines(docs, percent, min_words)
-    gone = scratch.table(gone.groupBy("id").agg(F.collect_set("line").alias("gone")), "gone")
-    few = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_IDS
-    gone = gone.select(F.col("id").alias(at), F.col("gone").alias(cuts))
-    joined = rest.join(F.broadcast(gone) if few else gone.hint("merge"), F.col(id_col) == F.col(at), "left").drop(at)
-    lines = F.split(F.col(text_col), "\n", -1)
-    n, hit = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)), F.col(cuts).isNotNull()
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col(cuts)), lambda i: F.get(lines, i))
-    new = F.when(hit & (n > 0), F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    removed = F.when(hit & (n > 0), n - F.size(F.array_except(F.sequence(F.lit(0), n - 1), F.col(cuts)))).otherwise(0)
-    out = joined.select("*", new.alias(own), n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
-    return out.select(*[F.col(own).alias(c) if c == text_col else F.col(c) for c in rest.columns], "n_lines", "n_removed")
+    # A bit for each line that goes, 64 to a number.
+    words = gone.groupBy("id", F.expr("line DIV 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, line % 64)")).alias("b"), F.count(F.lit(1)).alias("n"))
+    held = words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"), F.max("w").alias("top"), F.sum("n").alias("n"))
+    held = scratch.table(held.select("id", F.expr("transform(sequence(0L, top), w -> coalesce(m[w], 0L))").alias("bits"), "n"), "gone")
+    few = held.agg(F.coalesce(F.sum(F.size("bits")), F.lit(0))).first()[0] <= BROADCAST_IDS
+    held = held.select(F.col("id").alias(at), F.col("bits").alias(cuts))
+    joined = rest.join(F.broadcast(held) if few else held.hint("merge"), F.col(id_col) == F.col(at), "left").drop(at)
+    lines, hit = F.split(F.col(text_col), "\n", -1), F.col(cuts).isNotNull() & F.col(text_col).isNotNull()
+    stays = lambda _, i: F.getbit(F.coalesce(F.get(F.col(cuts), F.floor(i / 64).cast("int")), F.lit(0).cast("long")), i % 64) == 0
+    kept = F.when(hit, F.filter(lines, stays))
+    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
+    out = joined.select("*", n.cast("long").alias("n_lines"), kept.alias(own))
+    new = F.when(F.col(own).isNull(), F.col(text_col)).otherwise(F.array_join(own, "\n"))
+    removed = F.when(F.col(own).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size(own))
+    return out.select(*[new.alias(c) if c == text_col else F.col(c) for c in rest.columns], "n_lines", removed.alias("n_removed"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

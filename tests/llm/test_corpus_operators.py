@@ -102,6 +102,7 @@ def brute_lines(texts, percent=80, least=1):
 @pytest.mark.parametrize("cold, percent", [(1024, 80), (1, 80), (1, 60)])
 def test_line_dedup(spark, monkeypatch, cold, percent):
     monkeypatch.setattr(line_dedup, "COLD", cold)  # 1: every word takes the way of frequent words
+    monkeypatch.setattr(line_dedup, "LISTS", 50)
     monkeypatch.setattr(common, "BLOCK", 16)  # and the lists of most words are dealt out
     lines = variants(2, 160, 30)
     # One word in all lines, short lines that repeat, and a set next to one that has a word more.
