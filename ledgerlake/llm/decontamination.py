@@ -27,13 +27,16 @@ from ledgerlake.llm.near_dedup import _ODD, mix, word_hashes
 _U = np.uint64
 # The masks. Of 13 to 25 words with a fifth replaced at most, four in a row
 # are equal, or two threes with one word between (15 words). Longer overlaps hold such a
-# shorter one. Items of 5 to 12 words need more masks at three lengths only.
+# shorter one. Items of 5 to 12 words need more masks at three lengths only;
+# of those under 5 no word may differ.
 MASKS = ("1111", "1110111")
-SHORT_MASKS = {5: ("11011", "10111", "11101"), 6: ("111011", "110111"), 10: ("111011", "110111")}
-MIN_ITEM, MIN_OVERLAP, PERCENT = 5, 13, 80
+SHORT_MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 5: ("11011", "10111", "11101"), 6: ("111011", "110111"), 10: ("111011", "110111")}
+MIN_OVERLAP, PERCENT = 13, 80
 BITS = 25
 #: Benchmark rows of seeds, or of hits, up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Hits of one document that are gathered in one row.
+GATHERED = 1_000
 
 
 def masks_for(lengths: list[int], min_overlap: int = MIN_OVERLAP, percent: int = PERCENT) -> list[str]:
@@ -110,10 +113,14 @@ def contamination(
     """(id, item, start_word, n_words, n_equal): the longest overlap of each document with each item it holds.
 
     start_word counts the document's words from 0. Words are what ASCII white space
-    separates, A-Z in lower case. Items under MIN_ITEM words, null or empty take no
-    part; those under ``min_overlap`` words are found where ``percent`` of the whole item
-    stand in place. Null ids, null and empty texts have no overlap. Ids are meant to be unique: equal
-    rows give one. Without documents or items the result is empty.
+    separates, A-Z in lower case. Items under ``min_overlap`` words are found where
+    ``percent`` of the whole item stand in place (of under five words all must, at 80);
+    null ones and those without words take no part. Null ids, null and empty texts have
+    no overlap. Ids are meant to be unique: equal rows give one. Of overlaps of one
+    document with one item the one with most equal words is told, then the longer, then
+    the first. Other columns are dropped, whatever their names. Without documents or
+    items the result is empty. A very long text takes about 100 bytes of a worker's
+    memory for each of its words.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
@@ -126,7 +133,7 @@ def contamination(
             lists = [words[a:b].astype(np.int64) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["item", "item_words"])
 
-    words = scratch.table(bench.mapInArrow(item_words, "item long, item_words array<long>").where(F.size("item_words") >= MIN_ITEM), "items")
+    words = scratch.table(bench.mapInArrow(item_words, "item long, item_words array<long>").where(F.size("item_words") > 0), "items")
     lengths = sorted(r[0] for r in words.where(F.size("item_words") < min_overlap).select(F.size("item_words")).distinct().collect())  # under min_overlap numbers
     masks = masks_for(lengths, min_overlap, percent)
 
@@ -134,53 +141,71 @@ def contamination(
         for batch in batches:
             lists = batch.column(1)
             flat, offsets = lists.flatten().to_numpy().view(_U), lists.offsets.to_numpy()
-            ids = batch.column(0).to_numpy()
+            ids, sizes = batch.column(0).to_numpy(), np.diff(offsets).astype(np.int32)
             for seed, text, place in seeds(flat, offsets - offsets[0], masks):
-                yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), pa.array(ids[text]), pa.array(place.astype(np.int32))], names=["seed", "item", "q"])
+                columns = seed.astype(np.int64), ids[text], place.astype(np.int32), sizes[text]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "item", "q", "size"])
 
-    known = scratch.table(words.mapInArrow(item_seeds, "seed long, item long, q int").distinct(), "seeds")
+    known = scratch.table(words.mapInArrow(item_seeds, "seed long, item long, q int, size int").distinct(), "seeds")
     table = spark.sparkContext.broadcast(_bit_table(known))  # 4 MB
 
     def doc_seeds(batches):
         bits = np.frombuffer(table.value, dtype=np.uint8)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             words, offsets = word_hashes(batch.column(1))
             ids = batch.column(0).to_numpy()
             for seed, text, place in seeds(words, offsets, masks):
                 bit = (seed >> _U(64 - BITS)).astype(np.int64)
                 hit = np.flatnonzero((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
                 yield pa.RecordBatch.from_arrays([pa.array(seed[hit].astype(np.int64)), pa.array(ids[text[hit]]), pa.array(place[hit].astype(np.int32))], names=["seed", "id", "p"])
+        release()
 
     small = known.count() <= BROADCAST_ROWS
     found = texts.mapInArrow(doc_seeds, "seed long, id long, p int")
     hits = found.join(F.broadcast(known) if small else known.hint("merge"), "seed")
     # Laid side by side, item word j stands at document word j + shift.
-    hits = scratch.table(hits.select("id", "item", (F.col("p") - F.col("q")).alias("shift")).distinct(), "hits")
-    per_item = hits.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    told = scratch.table(words.join(per_item.hint("merge"), "item"), "told")
-    with_words = join_by_key(hits, told, "item", "n", hits.count())
-    by_doc = scratch.table(with_words.groupBy("id").agg(F.collect_list(F.struct("item", "shift", "item_words")).alias("hits")), "by_doc")
-    small = by_doc.count() <= BROADCAST_ROWS // 50
-    joined = texts.join(F.broadcast(by_doc) if small else by_doc.hint("merge"), "id").select("id", "text", "hits")
-
-    def verify(batches):
-        for batch in batches:
+    hits = scratch.table(hits.select("id", "item", "size", (F.col("p") - F.col("q")).alias("shift")).distinct(), "hits")
+    total = hits.count()
+    per_doc = scratch.table(hits.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "per_doc")
+    part = F.pmod(F.xxhash64("item", "shift"), F.ceil(F.col("n") / GATHERED))
+    by_doc = join_by_key(hits, per_doc, "id", "n", total).groupBy("id", part.alias("part"))
+    by_doc = scratch.table(by_doc.agg(F.collect_list(F.struct("item", "shift", "size")).alias("hits")).drop("part"), "by_doc")
+    joined = texts.join(F.broadcast(by_doc) if total <= BROADCAST_ROWS else by_doc.hint("merge"), "id").select("id", "text", "hits")
+
+    def beside(batches):
+        """The words of the document that stand beside those of the item, for each hit."""
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             words, offsets = word_hashes(batch.column(1))
             out = []
             for i, (doc, hits) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 own = words[offsets[i] : offsets[i + 1]]
                 for hit in hits:
-                    item, shift = np.array(hit["item_words"], dtype=np.int64).view(_U), hit["shift"]
-                    a, b = max(0, -shift), min(len(item), len(own) - shift)
-                    least = min(min_overlap, len(item))
-                    start, end, equal = longest_stretch(item[a:b] == own[a + shift : b + shift], percent, least)
-                    n = end - start
-                    if n >= least:
-                        out.append((doc, hit["item"], a + start + shift, n, equal))
+                    a, b = max(0, -hit["shift"]), min(hit["size"], len(own) - hit["shift"])
+                    out.append((doc, hit["item"], hit["shift"], a, own[a + hit["shift"] : b + hit["shift"]].tobytes()))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "item", "shift", "a", "own"])
+        release()
+
+    each = scratch.table(joined.mapInArrow(beside, "id long, item long, shift int, a int, own binary"), "beside")
+    per_item = each.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    told = scratch.table(words.dropDuplicates(["item", "item_words"]).join(per_item.hint("merge"), "item"), "told")
+
+    def verify(batches):
+        for batch in (part for whole in batches for part in slices(whole, 4)):
+            out = []
+            for doc, item, shift, a, own, whole in zip(*(c.to_pylist() for c in batch.columns)):
+                own, whole = np.frombuffer(own, dtype=_U), np.array(whole, dtype=np.int64).view(_U)
+                least, b = min(min_overlap, len(whole)), min(len(whole), a + len(own))
+                start, end, equal = longest_stretch(whole[a:b] == own[: b - a], percent, least)
+                if end - start >= least:
+                    out.append((doc, item, a + start + shift, end - start, equal))
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "item", "start_word", "n_words", "n_equal"])
+        release()
 
-    rows = joined.mapInArrow(verify, "id long, item long, start_word long, n_words long, n_equal long")
+    paired = join_by_key(each, told, "item", "n", each.count()).select("id", "item", "shift", "a", "own", "item_words")
+    rows = paired.mapInArrow(verify, "id long, item long, start_word long, n_words long, n_equal long")
     best = rows.groupBy("id", "item").agg(F.max(F.struct("n_equal", "n_words", (-F.col("start_word")).alias("s"))).alias("b"))
     return best.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.s")).alias("start_word"),

@@ -268,7 +268,7 @@ def _pairs(a: DataFrame, b: DataFrame, percent: int, keys: tuple = ("word",)) ->
 
 _POST = ("word", "id", "line", "n", "left", "b0", "b1")
 #: Rows of lists that are joined at a time, and pairs that are looked at in one step.
-LISTS, STEP = 100_000, 1 << 20
+LISTS, STEP = 50_000, 1 << 18
 
 
 def _paired(posts: list[np.ndarray], percent: int):

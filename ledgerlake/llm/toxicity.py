@@ -13,8 +13,8 @@ ordinary text, and differ in an equally long last part, trained on words that ar
 much more frequent in one class than in the other. So ordinary prose compresses
 alike with both.
 
-The fit uses a bounded sample of labelled rows (``max_toxic``, ``max_ordinary`` rows,
-the first ``max_chars`` characters of each; documented parameters). The model is
+The fit uses a bounded sample of labelled rows (``max_toxic`` and ``max_ordinary`` of
+them, documented parameters), each with its whole text. The model is
 about 70 kB at any size. Scoring reads every window of every whole text, in tasks,
 without a shuffle.
 """
@@ -36,7 +36,7 @@ from ledgerlake.llm.common import per_text
 
 WINDOW, STRIDE = 512, 256
 BACKGROUND, OWN = 32_768, 2_000
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1_500, 4_500, 20_000
+MAX_TOXIC, MAX_ORDINARY = 1_500, 4_500
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -149,7 +149,7 @@ def train(rows: list[tuple[int, str, int]]) -> ToxicityModel:
             counter.update(set(d.split()))
     prose = [p for d in ordinary for p in _pieces(d, 256)]
     shuffled.shuffle(prose)
-    background = _train(prose[:20_000], BACKGROUND, 64)
+    background = _train(prose, BACKGROUND, 64)
     parts = []
     for docs, own, other, n_other in ((toxic, in_toxic, in_ordinary, len(ordinary)), (ordinary, in_ordinary, in_toxic, len(toxic))):
         telling = [p for d in _telling(docs, own, len(docs), other, n_other) for p in _pieces(d, 64)]
@@ -179,8 +179,8 @@ def _calibrate(rows: np.ndarray) -> tuple[float, float, float]:
 
 
 def held_out(id_col: str):
-    """Rows that learning never sees: crc32 of the id as text, mod 5, is 0."""
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    """Rows that learning never sees: crc32 of the id as text, mod 5, is 0. A null id has no labels and is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(
@@ -191,14 +191,13 @@ def fit(
     label_col: str = "toxic",
     max_toxic: int = MAX_TOXIC,
     max_ordinary: int = MAX_ORDINARY,
-    max_chars: int = MAX_CHARS,
 ) -> ToxicityModel:
     """Learn from labelled rows that are not held out.
 
     Rows are chosen by a hash of their id, at most max_toxic and max_ordinary of
     them. Null labels and texts are left out; an id with several labels counts as
-    toxic if one says so, and an id with several texts brings each of them (at
-    most three rows an id).
+    toxic if one says so, and an id with several texts brings the first of them in
+    order.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
@@ -212,17 +211,19 @@ def fit(
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     few = F.broadcast(spark.createDataFrame(list(ids.items()), f"__id {kind}, __y int"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.substring(F.col(text_col), 1, max_chars).alias("__t"))
-    rows = texts.where(F.col("__t").isNotNull()).join(few, "__id").limit(3 * len(ids)).collect()
-    return train([(r["__id"], r["__t"], r["__y"]) for r in rows])
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
+    rows = texts.where(F.col("__t").isNotNull()).join(few, "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t"))
+    return train([(r["__id"], r["__t"], r["__y"]) for r in rows.toLocalIterator()])  # a text for each id at most
 
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id, score, mean_gain, max_gain) for each row, from its whole text alone.
 
     A null or empty text has one empty window and gets the score of no gain. Each
-    input row gives one row, equal rows too. ``keep`` names further columns to
-    carry through.
+    input row gives one row, equal rows and null ids too. ``keep`` names the columns to
+    carry through; others are dropped, whatever their names. An empty table gives an
+    empty result. A very long text takes about three times its size of a worker's
+    memory. Texts that tie have the same score.
     """
 
     def make():

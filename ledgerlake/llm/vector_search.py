@@ -10,12 +10,14 @@ product tile, computed as one matrix product) gives each distance up to a bound:
 Pairs whose lower bound lies above the k-th smallest upper bound of their query
 cannot be among its k nearest. The others (the survivors) are computed again in
 double precision from the original vectors, and the k nearest of each query go on.
-Heaps merge them: within a tile, and then over all tiles of a query. The result is
-exact; the bounds only save work.
+Heaps merge them within a tile, and Spark's ranking over all tiles of a query. The
+result is exact; the bounds only save work.
 
 Spark deals the tiles out: candidates are not repeated while one block of queries
 holds all of them, and else once for each block of QUERY_BLOCK queries; queries are
-repeated once for each block of candidates. No tile grows with the data.
+repeated once for each block of candidates. No tile grows with the data. The work is
+queries times candidates: where a fixed share of all rows are queries, it grows with
+the square of the table, as an exact search must.
 """
 
 from __future__ import annotations
@@ -107,11 +109,12 @@ def nearest(
     Ranks count from 1, nearest first, ties to the smaller id. A row is no
     neighbour of a query with its id. Vectors that are null, empty, all zero or
     hold null or non-finite components take no part, and a query meets only rows
-    of its own number of components. Several rows with one id count once each
-    (equal rows and queries once). Without usable rows the result is empty.
+    of its own number of components. Rows count as often as they are given, equal ones
+    too, and come one after another; equal queries count once. Other columns are
+    dropped, whatever their names. Without usable rows the result is empty.
     """
     q = usable(queries, id_col, vector_col).dropDuplicates(["id", "vec"])
-    v = usable(rows, id_col, vector_col).dropDuplicates(["id", "vec"])
+    v = usable(rows, id_col, vector_col)
     # Two counts decide how many blocks there are; nothing else is gathered.
     n_q, n_v = q.count(), v.count()
     q_blocks, v_blocks = max(1, math.ceil(n_q / query_block)), max(1, math.ceil(n_v / row_block))
@@ -155,7 +158,7 @@ WITH v AS (
 ), d AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, 
     sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS k FROM d
 )

@@ -207,7 +207,7 @@ def test_decontamination(spark):
     d = spark.createDataFrame([(i, " ".join(w).upper()) for i, w in enumerate(docs)] + [(90, None), (91, ""), (None, " ".join(docs[0]))], "doc_id long, text string")
     b = spark.createDataFrame([(i, " \n".join(w)) for i, w in enumerate(items)] + [(50, None), (51, "")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contamination(d, b).collect()}
-    assert set(got) == {(0, 0), (1, 1), (2, 2), (4, 5)}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (4, 5), (5, 6)}
     assert got[1, 1]["start_word"] == 30 and got[1, 1]["n_equal"] == 40
     assert decontamination.contamination(d, b.limit(0)).count() == 0
     assert decontamination.contamination(d.limit(0), b).count() == 0
@@ -215,7 +215,7 @@ def test_decontamination(spark):
 
 def test_decontamination_finds_all_that_its_rule_allows(spark):
     # All places of the replaced words; 26 words or more hold 13 to 25 that follow the rule as well.
-    for n in range(5, 26):
+    for n in range(1, 26):
         masks = decontamination.masks_for([n] if n < 13 else [])
         bits = [[sum(1 << (p + i) for i, c in enumerate(m) if c == "1") for p in range(n - len(m) + 1)] for m in masks]
         for places in itertools.combinations(range(n), n // 5):
@@ -283,3 +283,43 @@ def test_vector_search_is_exact(spark):
         assert [i for _, i in got[q]] == [i for _, i in sorted(d)[:10]]
         assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in sorted(d)[:10]])
     assert vector_search.nearest(df.limit(0), df).count() == 0
+    # A row that is given twice is found twice, a query that is given twice counts once.
+    twice = df.where("vec_id < 400").unionByName(df.where("vec_id IN (0, 5)"))
+    found = vector_search.nearest(twice.where("vec_id = 0"), twice, k=500).where("vec_id = 5").collect()
+    assert len(found) == 2 and found[0]["score"] == found[1]["score"]
+
+
+def test_sentences_are_found_in_one_pass():
+    import time
+
+    def plain(text):
+        """Cut by hand: after . ! ? before white space, with the blanks that follow, and after each line feed."""
+        out, piece = [], ""
+        for i, c in enumerate(text):
+            piece += c
+            blanks = piece.rstrip(" \t")
+            ends = blanks[-1:] in (".", "!", "?") and (len(piece) > len(blanks) or text[i + 1 : i + 2].isspace()) and text[i + 1 : i + 2] not in (" ", "\t", "\n")
+            if c == "\n" or ends:
+                out.append(piece)
+                piece = ""
+        out += [piece] if piece else []
+        merged = []
+        for part in out:  # a piece without words goes with the one before
+            if merged and (not part.split() or not merged[-1].split() and len(merged) > 1):
+                merged[-1] += part
+            else:
+                merged.append(part)
+        return merged
+
+    rnd = random.Random(15)
+    for _ in range(500):
+        text = "".join(rnd.choice(["a", "Bc", ".", "!", "?", " ", "\n", "..."]) for _ in range(rnd.randrange(25)))
+        parts = substring_dedup.sentences(text)
+        assert "".join(text[a:b] for a, b, _ in parts) == text
+        assert [w for _, _, words in parts for w in words] == text.lower().split()
+        cut = [text[a:b] for a, b, words in parts if words]
+        assert [p.split() for p in plain(text) if p.split()] == [p.split() for p in cut]
+    began = time.time()
+    for text in ("." * 300_000, ". " * 150_000, "a." * 150_000, "\n" * 300_000, " " * 300_000):
+        assert "".join(text[a:b] for a, b, _ in substring_dedup.sentences(text)) == text
+    assert time.time() - began < 20

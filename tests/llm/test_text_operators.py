@@ -116,6 +116,10 @@ def brute_license(text):
     return len(words), sorted(places), ",".join(sorted(labels))
 
 
+def words_at(text, k, n):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())[k : k + n]
+
+
 def test_license_phrases_and_templates(spark):
     rnd = random.Random(5)
     words = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "x1", "licensed", "under", "the", "apache"]
@@ -126,6 +130,9 @@ def test_license_phrases_and_templates(spark):
         r = got[i]
         assert (r["n_words"], sorted(r["base_places"]), r["base_labels"]) == brute_license(text)
         assert 0 <= r["score"] <= 1
+        if not r["spans"]:  # then base phrases alone count, each word once
+            inside = {k for phrase in license_scan.PHRASES for n in [len(phrase.split())] for k0 in r["base_places"] if words_at(text, k0, n) == phrase.split() for k in range(k0, k0 + n)}
+            assert r["score"] == pytest.approx(len(inside) / r["n_words"] if r["n_words"] else 0)
     for k, (label, _) in enumerate(license_scan.TEMPLATES):
         assert label in got[len(texts) - len(license_scan.TEMPLATES) + k]["labels"].split(",")
 
@@ -148,6 +155,7 @@ def test_toxicity_on_held_out_rows(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert all(0 <= s <= 1 for s in got.values()) and got[9000] == got[9001]
     held = [i for i in range(600) if toxicity.zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {r["h"] for r in spark.createDataFrame([(None,)], "doc_id long").select(toxicity.held_out("doc_id").alias("h")).collect()} == {False}
     assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in held) >= 0.95 * len(held)
 
 
@@ -162,3 +170,5 @@ def test_empty_tables(spark):
     assert token_counts.count_tokens(none).count() == 0
     assert byte_bpe.decode(byte_bpe.encode(none)).count() == 0
     assert license_scan.scan_licenses(none).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
