@@ -16,14 +16,14 @@ from ledgerlake.llm.common import Scratch
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not in ids(doc_id); rows without an id stay."""
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is not in ids; rows without one stay."""
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity under 0.5; null and empty texts stay."""
+    """Documents with a toxicity under 0.5; null and empty texts and null ids are scored alike, and empty texts stay."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, model, keep=docs.columns)
     return scored.where((F.col("score") < 0.5) | (F.coalesce(F.length("text"), F.lit(0)) == 0)).select(docs.columns)
@@ -36,21 +36,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that with the smallest id; of equal rows one."""
+    """One document of each component of near copies: that with the smallest id.
+
+    Where ids come twice, rows are told apart by their texts: of a component that with
+    the smallest (id, text) stays, and rows with different texts are no copies because
+    they share an id. Rows with a null id, and texts without words, all stay.
+    """
     scratch = Scratch(spark, "near-stage")
-    told = scratch.table(near_dedup.near_duplicates(docs, words=5, percent=80), "told")
-    gone = scratch.table(told.where("NOT kept").select("doc_id").distinct(), "gone")
-    kept = _without(docs, gone)
-    twice = scratch.table(told.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if not twice.limit(1).count():
-        return kept
-    # Rows that share an id: one of them stays.
-    again = kept.join(twice.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(kept, twice).unionByName(again)
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if not ids.limit(1).count():
+        told = near_dedup.near_duplicates(docs, words=5, percent=80)
+        return _without(docs, scratch.table(told.where("NOT kept").select("doc_id"), "gone"))
+    # Numbered in this order, and written, so that numbers stay what they are.
+    numbered = docs.orderBy("doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
+    numbered = scratch.table(numbered.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.col("__row"))), "numbered")
+    told = near_dedup.near_duplicates(numbered, "__row", words=5, percent=80)
+    gone = scratch.table(told.where("NOT kept").select("__row"), "gone")
+    return _without(numbered, gone, "__row").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Documents that hold no passage of a benchmark item. Rows with a null id stay; rows that share an id go together."""
     scratch = Scratch(spark, "leak-stage")
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, scratch.table(found.select("doc_id").distinct(), "found"))
