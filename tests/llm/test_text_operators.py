@@ -66,6 +66,10 @@ def test_byte_bpe_matches_the_library_and_round_trips(spark, texts):
         text = "x y" if r["doc_id"] is None else "" if r["doc_id"] == 10_000 else texts[r["doc_id"]]
         assert bytes(r["ids"]) == np.array(library.encode_ordinary(text), dtype="<u4").tobytes()
         assert bytes(r["decoded"]) == text.encode()
+    twice = byte_bpe.decode(byte_bpe.encode(rows(spark, texts), decoded="again"))
+    assert twice.where("again <> decoded OR again IS NULL").count() == 0
+    ids = spark.createDataFrame([(None,), (bytearray(),)], "ids binary")
+    assert {(r[0] is None, r[1] is None or bytes(r[1])) for r in byte_bpe.decode(ids).collect()} == {(True, True), (False, b"")}
 
 
 @pytest.fixture(scope="module")
