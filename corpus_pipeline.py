@@ -64,7 +64,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, ids, ids_sha256, decoded_sha256): ids as little-endian 32-bit numbers."""
-    both = byte_bpe.decode(byte_bpe.encode(docs))
+    both = byte_bpe.encode(docs, decoded="decoded")
     return both.select(
         "doc_id", "n_bytes", "n_tokens", "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
