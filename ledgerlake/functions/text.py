@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 REDACTED = "[REDACTED]"
 
-# Identifiers to mask, in order: labelled fields (label kept), long numbers, phones, mail addresses.
+# Labels of lines that name a person or a case.
+LABELS = (
+    r"patient(?:'s)?\s*name", "patient", r"insured(?:\s*name)?", "name", "uhid", "mrn", r"ip\s*no\.?", r"policy\s*no\.?", r"member\s*id", r"claim\s*no\.?",
+)
+# Identifiers to mask, in order: labelled lines (label kept), long numbers, phones, mail addresses.
 MASKS = (
-    (r"((?:Name|Patient|Policy No)\s*:\s*)[^\n]+", "$1" + REDACTED),
+    (rf"(?i)((?:^|\n)[ \t]*(?:{'|'.join(LABELS)})[ \t]*[:\-][ \t]*)[^\n]+", "$1" + REDACTED),
     (r"\b[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}(?:[0-9]{4})?\b", REDACTED),
     (r"\+?[0-9]{0,2} ?\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}", REDACTED),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", REDACTED),
@@ -51,4 +55,4 @@ def indian_grouping(column: Column) -> Column:
 
 def parse_amount(column: Column) -> Column:
     """'1,20,000.50' -> cents; null where it is no amount."""
-    return F.expr("1") * (F.regexp_replace(column, ",", "").try_cast("decimal(18,2)") * 100).cast("bigint")
+    return (F.regexp_replace(column, ",", "").try_cast("decimal(18,2)") * 100).cast("bigint")

@@ -62,29 +62,27 @@ def route_item(column: Column, pack: Pack = PACK) -> Column:
     return first_match(column, pack.routes, "other")
 
 
-def _list_hits(lines: DataFrame, entries: DataFrame) -> DataFrame:
-    """Lines with the list entries whose short name stands in their keyed item."""
+def _with_hits(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """Lines with ``__hits``: the list entries (no, entry), in list order, whose short name stands in the keyed item."""
     name = F.trim(search_key(F.regexp_extract("name", r"^([^(/-]*)", 1)))
-    named = entries.withColumn("entry", name).where(F.length("entry") > 3)
-    # The list is a rule pack of fixed size: some hundred rows at most.
-    return lines.join(F.broadcast(named), F.contains(search_key(F.col("item")), F.col("entry")), "left")
+    named = entries.select("no", name.alias("entry")).where(F.length("entry") > 3)
+    # The list is a rule pack of some hundred rows: one array, read by every line where it is.
+    listed = named.agg(F.array_sort(F.collect_list(F.struct("no", "entry"))).alias("__entries"))
+    joined = lines.crossJoin(F.broadcast(listed)).withColumn("__key", search_key(F.col("item")))
+    return joined.withColumn("__hits", F.filter("__entries", lambda e: F.contains(F.col("__key"), e["entry"]))).drop("__entries", "__key")
 
 
 def non_payable_match(lines: DataFrame, entries: DataFrame, pack: Pack = PACK) -> DataFrame:
-    """Add (list_no, allowed): the first entry in list order; an overridden winner leaves the line open."""
-    hit = _list_hits(lines, entries).groupBy(*lines.columns).agg(F.min("no").alias("list_no"), F.min_by("entry", "no").alias("entry"))
-    decided = F.col("list_no").isNotNull() & ~F.col("entry").rlike(pack.overridden)
-    return hit.select(
-        *lines.columns,
-        F.when(decided, F.col("list_no")).alias("list_no"),
-        F.when(decided, F.lit(0)).cast("bigint").alias("allowed"),
-    )
+    """Add (list_no, allowed): the first entry in list order; one that is a named benefit leaves the line open."""
+    first = F.get("__hits", F.lit(0))
+    hit = _with_hits(lines, entries).withColumn("__first", F.when(~first["entry"].rlike(pack.overridden), first))
+    return hit.select(*lines.columns, F.col("__first.no").alias("list_no"), F.when(F.col("__first").isNotNull(), F.lit(0)).cast("bigint").alias("allowed"))
 
 
 def non_payable_longest(lines: DataFrame, entries: DataFrame) -> DataFrame:
     """Add list_no: the entry with the longest name, the first of these in list order."""
-    order = F.struct(F.length("entry"), -F.col("no"))
-    return _list_hits(lines, entries).groupBy(*lines.columns).agg(F.max_by("no", order).alias("list_no"))
+    order = F.array_max(F.transform("__hits", lambda e: F.struct(F.length(e["entry"]).alias("size"), (-e["no"]).alias("no"))))
+    return _with_hits(lines, entries).select(*lines.columns, (-order["no"]).alias("list_no"))
 
 
 def room_entitlement(bills: DataFrame, schedules: DataFrame, table_rows: DataFrame, wording: DataFrame) -> DataFrame:
@@ -169,12 +167,13 @@ def cap_rooms(lines: DataFrame, caps: DataFrame, pack: Pack = PACK) -> DataFrame
     return out.withColumn("over_limit", F.expr("coalesce(cents > per_day * qty, false)")).drop("cap_rate")
 
 
-def breach_ratio(lines: DataFrame) -> DataFrame:
+def breach_ratio(lines: DataFrame, pack: Pack = PACK) -> DataFrame:
     """(bill_id, policy, limit_cents, charged): the breached room line with the smallest ratio limit / charge.
 
-    Ratios are compared as fractions of whole cents, so no rounding decides.
+    A breach on a line that is no room sets no ratio. Ratios are compared as fractions
+    of whole cents, so no rounding decides.
     """
-    breached = lines.where("over_limit").selectExpr(
+    breached = lines.where(F.col("over_limit") & F.col("item").rlike(pack.room)).selectExpr(
         "bill_id", "policy", "line_no", "per_day * greatest(qty, 1) AS limit_cents", "cents AS charged"
     )
     order = F.struct(F.expr("CAST(limit_cents AS DECIMAL(38,18)) / charged"), "line_no")
@@ -182,14 +181,30 @@ def breach_ratio(lines: DataFrame) -> DataFrame:
     return best.select("bill_id", "policy", "b.limit_cents", "b.charged")
 
 
-def second_pass(lines: DataFrame, pack: Pack = PACK) -> DataFrame:
-    """Scale answered lines that follow the room, where the bill's room rate is breached."""
-    ratio = breach_ratio(lines)
+def second_pass(lines: DataFrame, clauses: DataFrame, pack: Pack = PACK, differential_billing: bool = True) -> DataFrame:
+    """Scale answered lines that follow the room, where the bill's room rate is breached. Adds (scaled, deduction, why).
+
+    ``clauses`` (policy, clause_id) state the deduction: without one nothing is deducted,
+    since there would be nothing to cite; nor where differential billing is ruled out.
+    ``deduction`` is the clause that a scaled line cites, ``why`` tells why a line of a
+    breached bill was left alone.
+    """
+    ratio = breach_ratio(lines, pack).join(F.broadcast(clauses.select("policy", F.col("clause_id").alias("__clause"))), "policy", "left")
     joined = lines.join(ratio, ["bill_id", "policy"], "left")
-    scaled = (ame_scope(F.col("item"), pack) == "included") & F.col("limit_cents").isNotNull() & F.col("allowed").isNotNull() & ~F.col("over_limit")
+    scope = ame_scope(F.col("item"), pack)
+    why = (
+        F.when(F.col("limit_cents").isNull(), "no per-day cap was breached")
+        .when(~F.lit(differential_billing), "differential billing was ruled out")
+        .when(F.col("__clause").isNull(), "no clause states the deduction")
+        .when(F.col("allowed").isNull(), "flagged, so there is no amount")
+        .when(F.col("over_limit"), "the room line itself")
+        .when(scope == "excluded", "outside the associated expenses")
+        .when(scope != "included", "not named by the definition")
+    )
+    told = joined.withColumn("why", why).withColumn("scaled", why.isNull())
     new = F.expr("CAST((2 * CAST(allowed AS DECIMAL(20,0)) * limit_cents + charged) DIV (2 * CAST(charged AS DECIMAL(20,0))) AS BIGINT)")
-    out = joined.withColumn("allowed", F.when(scaled, new).otherwise(F.col("allowed")))
-    return out.withColumn("scaled", scaled).drop("limit_cents", "charged")
+    out = told.withColumn("allowed", F.when(F.col("scaled"), new).otherwise(F.col("allowed")))
+    return out.withColumn("deduction", F.when(F.col("scaled"), F.col("__clause"))).drop("limit_cents", "charged", "__clause")
 
 
 def report(lines: DataFrame) -> DataFrame:
@@ -212,10 +227,10 @@ def report_split(lines: DataFrame) -> DataFrame:
     return sums.selectExpr("bill_id", "policy", "paid", "greatest(charged - paid - open, 0) AS cut", "open")
 
 
-def compare_policies(lines: DataFrame, policies: DataFrame, pack: Pack = PACK) -> DataFrame:
+def compare_policies(lines: DataFrame, policies: DataFrame, clauses: DataFrame, pack: Pack = PACK) -> DataFrame:
     """(bill_id, best, best_total, difference): each bill under each policy (policy, place, cap_rate)."""
     every = lines.drop("policy").crossJoin(F.broadcast(policies.select("policy", "place")))
-    done = second_pass(cap_rooms(every, policies.select("policy", "cap_rate"), pack), pack)
+    done = second_pass(cap_rooms(every, policies.select("policy", "cap_rate"), pack), clauses, pack)
     totals = done.groupBy("bill_id", "policy").agg(F.sum("allowed").alias("total")).join(F.broadcast(policies.select("policy", "place")), "policy")
     best = totals.groupBy("bill_id").agg(
         F.max_by("policy", F.struct("total", -F.col("place"))).alias("best"),
@@ -238,16 +253,21 @@ def explain_line(lines: DataFrame) -> DataFrame:
     return lines.withColumn("why", why)
 
 
-def derive_expected(lines: DataFrame, waiting: DataFrame, entries: DataFrame, caps: DataFrame, pack: Pack = PACK) -> DataFrame:
-    """An independent decision list: waiting nil, list nil, room cap, proportionate, full. Adds (expected, rule)."""
+def derive_expected(lines: DataFrame, waiting: DataFrame, entries: DataFrame, caps: DataFrame, clauses: DataFrame, pack: Pack = PACK) -> DataFrame:
+    """An independent decision list: waiting nil, list nil, room cap, proportionate, full. Adds (expected, rule).
+
+    Named benefits of the list decide nothing, and a policy without a clause deducts nothing.
+    """
     nil = waiting.where("waiting IN ('specified', 'initial')").select("bill_id", F.lit(True).alias("nil"))
-    listed = non_payable_longest(lines, entries)
+    benefit = F.trim(search_key(F.regexp_extract("name", r"^([^(/-]*)", 1))).rlike(pack.overridden)
+    listed = non_payable_longest(lines, entries.where(~benefit))
     joined = cap_rooms(listed, caps, pack).join(nil, "bill_id", "left")
+    joined = joined.join(F.broadcast(clauses.select("policy", F.lit(True).alias("stated"))), "policy", "left")
     joined = joined.withColumn("nil", F.coalesce("nil", F.lit(False)))
     on_list = F.col("list_no").isNotNull()
     open_ = ~F.col("nil") & ~on_list
     w = Window.partitionBy("bill_id")
-    ratio = F.when(open_ & F.col("over_limit"), F.struct(F.expr("CAST(per_day * greatest(qty, 1) AS DECIMAL(38,18)) / cents AS r"), F.expr("line_no AS k"), F.expr("per_day * greatest(qty, 1) AS a"), F.expr("cents AS b")))
+    ratio = F.when(open_ & F.col("over_limit") & F.coalesce("stated", F.lit(False)), F.struct(F.expr("CAST(per_day * greatest(qty, 1) AS DECIMAL(38,18)) / cents AS r"), F.expr("line_no AS k"), F.expr("per_day * greatest(qty, 1) AS a"), F.expr("cents AS b")))
     with_ratio = joined.withColumn("worst", F.min(ratio).over(w))
     follows = open_ & (ame_scope(F.col("item"), pack) == "included") & F.col("worst").isNotNull() & ~F.col("over_limit")
     rule = (
@@ -257,4 +277,4 @@ def derive_expected(lines: DataFrame, waiting: DataFrame, entries: DataFrame, ca
     scaled = F.expr("CAST((2 * CAST(cents AS DECIMAL(20,0)) * worst.a + worst.b) DIV (2 * CAST(worst.b AS DECIMAL(20,0))) AS BIGINT)")
     ruled = with_ratio.withColumn("rule", rule)
     expected = F.when(F.col("rule").isin("waiting", "list"), F.lit(0).cast("bigint")).when(F.col("rule") == "proportionate", scaled).otherwise(F.col("allowed"))
-    return ruled.withColumn("expected", expected).drop("worst", "nil", "allowed", "per_day", "over_limit", "list_no")
+    return ruled.withColumn("expected", expected).drop("worst", "nil", "stated", "allowed", "per_day", "over_limit", "list_no")

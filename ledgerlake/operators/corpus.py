@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEADING = r"^([0-9]+(?:\.[0-9]+)+) +(\S.*)$"
+HEADING = r"^[ \t]*([0-9]+(?:\.[0-9]+)*)\.?[ \t]+(\S.*?)[ \t]*$"
 TABLE = "[table]"
-#: Words on which a title does not end.
-FUNCTION_WORDS = r"(?i)\b(the|of|and|or|to|in|for|with|by|a|an|la|de|en|le|und|der|die)$"
+# Words on which a title does not end.
+FUNCTION_WORDS = (
+    r"(?i)\b(the|a|an|of|for|in|to|and|or|is|are|be|with|by|from|as|at|on|which|that|will|shall|any|all|this|these|its|our|we|you|if|under|upto|up)$"
+)
 REF_SHAPES = (r"clause ([0-9]+)", r"section ([0-9]+)", r"item ([0-9]+)")
 
 
@@ -44,7 +46,7 @@ def section_carry(lines: DataFrame, banner: str) -> DataFrame:
 
 
 def heading_candidates(lines: DataFrame) -> DataFrame:
-    """Add (number, title): a dotted number and a title of up to 120 characters that starts with a capital, digit or
+    """Add (number, title): a number, dotted or not, and a title of up to 120 characters that starts with a capital, digit or
     quote and has three letters in a row; null on other lines."""
     title = F.regexp_extract("line", HEADING, 2)
     good = F.col("line").rlike(HEADING) & (F.length(title) <= 120) & title.rlike(r"""^[A-Z0-9"']""") & title.rlike("[A-Za-z]{3}")
@@ -281,8 +283,8 @@ def layout_vote(words: DataFrame, width: float) -> DataFrame:
 
 
 def echo_lines(lines: DataFrame, rendered: DataFrame) -> DataFrame:
-    """(policy, seq): lines of which 80 % of the words stand in the policy's rendered table (policy, words)."""
-    words = F.filter(F.split(F.lower("line"), " "), lambda w: w != "")
-    joined = lines.join(rendered, "policy").withColumn("own", words)
-    echo = F.size(F.filter("own", lambda w: F.array_contains("words", w)))
-    return joined.where((F.size("own") > 0) & (echo * 5 >= F.size("own") * 4)).select("policy", "seq")
+    """(policy, seq): lines of which 80 % of the words stand in the policy's rendered tables (policy, word)."""
+    words = lines.select("policy", "seq", F.explode(F.filter(F.split(F.lower("line"), " "), lambda w: w != "")).alias("word"))
+    known = rendered.select("policy", "word").distinct().withColumn("echo", F.lit(1))
+    told = words.join(known.hint("merge"), ["policy", "word"], "left").groupBy("policy", "seq").agg(F.count(F.lit(1)).alias("n"), F.count("echo").alias("k"))
+    return told.where("k * 5 >= n * 4").select("policy", "seq")

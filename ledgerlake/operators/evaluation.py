@@ -130,10 +130,15 @@ def repair_citation(cited: DataFrame, quotes: DataFrame, holders: DataFrame) ->
 
 
 def supported_prefix(quote: Column, text: Column) -> Column:
-    """Number of leading words of the quote that stand in the text as one run."""
-    words = F.split(normalise_quote(quote), " ")
-    fits = lambda n: F.contains(text, F.array_join(F.slice(words, F.lit(1), n), " "))
-    return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.size(words)), fits)), F.lit(0))
+    """Number of leading words of the quote that stand in the text as one run: one word more at a time, to the first that fails."""
+    start = F.struct(F.lit("").alias("run"), F.lit(0).alias("n"), F.lit(True).alias("fits"))
+
+    def add(state: Column, word: Column) -> Column:
+        run = F.when(state["n"] == 0, word).otherwise(F.concat(state["run"], F.lit(" "), word))
+        fits = state["fits"] & F.contains(text, run)
+        return F.struct(F.when(fits, run).otherwise(state["run"]).alias("run"), (state["n"] + fits.cast("int")).alias("n"), fits.alias("fits"))
+
+    return F.aggregate(F.split(normalise_quote(quote), " "), start, add, lambda s: s["n"])
 
 
 def triage(findings: DataFrame) -> DataFrame:

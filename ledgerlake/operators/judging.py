@@ -77,25 +77,32 @@ def abstain_reason(fabricated: Column, repeated: Column, calls: Column, attempts
 
 
 def retry_loop(lines: DataFrame, search: Callable[[DataFrame, int], DataFrame], judge: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(keys, clause_id, limits, attempts): up to three rounds over the lines that are still open.
+    """(keys, clause_id, limits, attempts, reason) of every line: up to three rounds over the lines that are still open.
 
     ``search(open lines, attempt)`` gives candidates, ``judge`` judgements. A line whose
-    two last searches gave the same clauses stops. ``write(df, name)`` stores each round
-    and reads it back, so that plans do not grow with the rounds.
+    two last searches gave the same clauses stops. Lines without a sure answer come back
+    with nulls and the reason. ``write(df, name)`` stores each round and reads it back, so
+    that plans do not grow with the rounds.
     """
-    open_, done, seen = lines, None, None
+    open_, done, seen, stopped = lines.select(*KEYS), None, None, None
     for attempt in range(MAX_ATTEMPTS):
         found = write(search(open_, attempt), f"found{attempt}")
         sets = found.groupBy(*KEYS).agg(F.array_sort(F.collect_set("clause_id")).alias("ids"))
         if seen is not None:
             same = sets.alias("a").join(seen.alias("b"), KEYS).where("a.ids = b.ids").select(*KEYS)
+            same = write(open_.join(same, KEYS, "left_semi"), f"same{attempt}")
+            stopped = same if stopped is None else stopped.unionByName(same)
             found, open_ = found.join(same, KEYS, "left_anti"), open_.join(same, KEYS, "left_anti")
         judged = judge(found).where("confident").select(*KEYS, "clause_id", "limits", F.lit(attempt + 1).alias("attempts"))
         judged = write(judged, f"judged{attempt}")
         done = judged if done is None else done.unionByName(judged)
         open_ = write(open_.join(judged.select(*KEYS), KEYS, "left_anti"), f"open{attempt}")
         seen = sets
-    return done
+    no = F.lit(False)
+    nothing = [F.lit(None).cast("long").alias("clause_id"), F.lit(None).cast(LIMITS).alias("limits"), F.lit(None).cast("int").alias("attempts")]
+    told = done.withColumn("reason", F.lit(None).cast("string"))
+    told = told.unionByName(open_.select(*KEYS, *nothing, abstain_reason(no, no, F.lit(0), F.lit(MAX_ATTEMPTS)).alias("reason")))
+    return told.unionByName(stopped.select(*KEYS, *nothing, abstain_reason(no, F.lit(True), F.lit(0), F.lit(0)).alias("reason")))
 
 
 def naive_audit(lines: DataFrame, judgements: DataFrame) -> DataFrame:

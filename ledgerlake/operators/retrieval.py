@@ -98,7 +98,7 @@ def fuse_rrf(lists: list[tuple[DataFrame, float]]) -> DataFrame:
 def overlap(a: Column, b: Column) -> Column:
     """Shared distinct words over the root of the product of their numbers: the default scorer, squared and in millionths."""
     common = F.size(F.array_intersect(a, b)).cast("long")
-    return F.expr("1") * F.floor(common * common * 1_000_000 / F.greatest(F.size(a) * F.size(b), F.lit(1))).cast("long")
+    return F.floor(common * common * 1_000_000 / F.greatest(F.size(a) * F.size(b), F.lit(1))).cast("long")
 
 
 def rerank(candidates: DataFrame, top_n: int = 3) -> DataFrame:

@@ -28,10 +28,13 @@ class Pack:
     #: (pattern, rank) from the plainest room up.
     ladder: tuple = ((r"\bsmall\b", 1), (r"\bred\b", 2), (r"\bblue\b", 3), (r"\blarge\b", 4), (r"\bgreen\b", 5))
     #: Non-payable list in its order: (no, name as printed).
-    not_payable: tuple = ((1, "anvil (any)"), (2, "small anvil / tool"), (3, "red ring - spare"), (4, "rod"), (5, "xyz"))
-    overridden: str = r"\brod\b"
+    not_payable: tuple = ((1, "anvil (any)"), (2, "small anvil / tool"), (3, "red ring - spare"), (4, "bolt"), (5, "xyz"))
+    #: Entries that the policies name as a benefit: they never decide a line.
+    overridden: str = r"^bolt$"
     #: Policy -> per-day room cap in hundredths of a per cent of the sum insured.
     caps: dict = field(default_factory=lambda: {"AFRICA": 100, "AMERICA": 150, "ASIA": 50, "EUROPE": 200, "MIDDLE EAST": 75})
+    #: Policy -> the clause that states the proportionate deduction; a policy without one makes none.
+    deductions: dict = field(default_factory=lambda: {"AFRICA": "II.4", "AMERICA": "B.2", "ASIA": "C.7", "EUROPE": "II.9"})
     #: Kind -> months or days to be served.
     initial_days: int = 30
     specified_months: int = 24
@@ -53,5 +56,9 @@ def not_payable_list(spark: SparkSession, pack: Pack = PACK) -> DataFrame:
     return spark.createDataFrame(list(pack.not_payable), "no int, name string")
 
 
+def deduction_clauses(spark: SparkSession, pack: Pack = PACK) -> DataFrame:
+    return spark.createDataFrame(sorted(pack.deductions.items()), "policy string, clause_id string")
+
+
 def room_caps(spark: SparkSession, pack: Pack = PACK) -> DataFrame:
     return spark.createDataFrame(sorted(pack.caps.items()), "policy string, cap_rate int")

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import adjudicate as A
-from ledgerlake.operators.rules import PACK, not_payable_list, room_caps
+from ledgerlake.operators.rules import PACK, deduction_clauses, not_payable_list, room_caps
 from ledgerlake.plans import views as V
 from ledgerlake.plans.registry import register
 
 _CAPS = "caps(policy, cap_rate) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in sorted(PACK.caps.items())) + ")"
-_LIST = "entries(no, name) AS (VALUES (1, 'anvil'), (2, 'small anvil'), (3, 'red ring'))"
+_LIST = "entries(no, name) AS (VALUES (1, 'anvil'), (2, 'small anvil'), (3, 'red ring'), (4, 'bolt'))"
+_DED = "ded(policy, clause) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in sorted(PACK.deductions.items())) + ")"
 _CAPPED = f"""{V.BOTH}, {_CAPS}, capped AS (
   SELECT lb.*, CASE WHEN item LIKE '% gear' THEN sum_insured * cap_rate // 100 END AS per_day FROM lb JOIN caps USING (policy)
 ), decided AS (SELECT *, least(cents, coalesce(per_day * qty, cents)) AS allowed0, coalesce(cents > per_day * qty, false) AS over_limit FROM capped)"""
 _SECOND = f"""{_CAPPED}, worst AS (
   SELECT DISTINCT ON (bill_id, policy) bill_id, policy, per_day * greatest(qty, 1) AS lim, cents AS chg FROM decided WHERE over_limit
   ORDER BY bill_id, policy, CAST(CAST(per_day * greatest(qty, 1) AS HUGEINT) * 1000000000000000000 // cents AS HUGEINT), line_no
+), {_DED}, told AS (
+  SELECT decided.*, lim, chg, clause, CASE WHEN lim IS NULL THEN 'no per-day cap was breached' WHEN clause IS NULL THEN 'no clause states the deduction' WHEN over_limit THEN 'the room line itself'
+      WHEN item LIKE '% gear' OR item LIKE '% gizmo' THEN 'outside the associated expenses' WHEN NOT (item LIKE '% widget' OR item LIKE '% ring') THEN 'not named by the definition' END AS why
+  FROM decided LEFT JOIN worst USING (bill_id, policy) LEFT JOIN ded USING (policy)
 ), passed AS (
-  SELECT decided.*, lim IS NOT NULL AND (item LIKE '% widget' OR item LIKE '% ring') AND NOT over_limit AS scaled,
-    CASE WHEN lim IS NOT NULL AND (item LIKE '% widget' OR item LIKE '% ring') AND NOT over_limit
-      THEN CAST((2 * CAST(allowed0 AS HUGEINT) * lim + chg) // (2 * CAST(chg AS HUGEINT)) AS BIGINT) ELSE allowed0 END AS allowed
-  FROM decided LEFT JOIN worst USING (bill_id, policy)
+  SELECT *, why IS NULL AS scaled, CASE WHEN why IS NULL THEN clause END AS deduction,
+    CASE WHEN why IS NULL THEN CAST((2 * CAST(allowed0 AS HUGEINT) * lim + chg) // (2 * CAST(chg AS HUGEINT)) AS BIGINT) ELSE allowed0 END AS allowed FROM told
 )"""
 _WAIT = f"""{V.BOTH}, told AS (SELECT bill_id, bool_or(item LIKE 'black %') AS accident, bool_or(item LIKE '% rod') AS cond FROM lines GROUP BY bill_id),
 served AS (
@@ -40,7 +43,7 @@ def _capped(spark, sf_dir):
 
 
 def _second(spark, sf_dir):
-    return A.second_pass(_capped(spark, sf_dir))
+    return A.second_pass(_capped(spark, sf_dir), deduction_clauses(spark))
 
 
 @register(
@@ -103,8 +106,8 @@ def cap_total(spark, sf_dir):
 
 @register(
     "non_payable_match",
-    f"""WITH {V.LINES}, {_LIST.replace("(3, 'red ring')", "(3, 'red ring'), (4, 'rod')")}, hit AS (
-      SELECT bill_id, line_no, min(no) AS list_no FROM lines JOIN entries ON contains(item, name) AND length(name) > 3 GROUP BY ALL)
+    f"""WITH {V.LINES}, {_LIST}, hit AS (
+      SELECT bill_id, line_no, min(no) AS list_no FROM lines JOIN entries ON contains(item, name) GROUP BY ALL HAVING min(no) <> 4)
     SELECT bill_id, line_no, list_no, CASE WHEN list_no IS NOT NULL THEN CAST(0 AS BIGINT) END AS allowed FROM lines LEFT JOIN hit USING (bill_id, line_no)""",
 )
 def non_payable_match(spark, sf_dir):
@@ -218,9 +221,9 @@ def breach_ratio(spark, sf_dir):
     return A.breach_ratio(_capped(spark, sf_dir))
 
 
-@register("second_pass", f"WITH {_SECOND} SELECT bill_id, line_no, allowed, scaled FROM passed")
+@register("second_pass", f"WITH {_SECOND} SELECT bill_id, line_no, allowed, scaled, deduction, why FROM passed")
 def second_pass(spark, sf_dir):
-    return _second(spark, sf_dir).select("bill_id", "line_no", "allowed", "scaled")
+    return _second(spark, sf_dir).select("bill_id", "line_no", "allowed", "scaled", "deduction", "why")
 
 
 _FLAGGED = f"""{_SECOND}, final AS (SELECT *, CASE WHEN item LIKE '% plate' THEN NULL ELSE allowed END AS told FROM passed)"""
@@ -260,13 +263,13 @@ def explain_line(spark, sf_dir):
 
 @register(
     "compare_policies",
-    f"""WITH {V.BILLS}, {V.LINES}, {_CAPS}, p AS (SELECT policy, cap_rate, row_number() OVER (ORDER BY policy) AS place FROM caps),
+    f"""WITH {V.BILLS}, {V.LINES}, {_CAPS}, {_DED}, p AS (SELECT policy, cap_rate, row_number() OVER (ORDER BY policy) AS place FROM caps),
     decided AS (SELECT l.*, p.policy, place, CASE WHEN item LIKE '% gear' THEN sum_insured * cap_rate // 100 END AS per_day
       FROM lines l JOIN bills b USING (bill_id) CROSS JOIN p),
     d2 AS (SELECT *, least(cents, coalesce(per_day * qty, cents)) AS allowed0, coalesce(cents > per_day * qty, false) AS over_limit FROM decided),
     worst AS (SELECT DISTINCT ON (bill_id, policy) bill_id, policy, per_day * greatest(qty, 1) AS lim, cents AS chg FROM d2 WHERE over_limit
       ORDER BY bill_id, policy, CAST(per_day * greatest(qty, 1) AS HUGEINT) * 1000000000000000000 // cents, line_no),
-    t AS (SELECT bill_id, policy, any_value(place) AS place, sum(CASE WHEN lim IS NOT NULL AND (item LIKE '% widget' OR item LIKE '% ring') AND NOT over_limit
+    t AS (SELECT bill_id, policy, any_value(place) AS place, sum(CASE WHEN lim IS NOT NULL AND policy IN (SELECT policy FROM ded) AND (item LIKE '% widget' OR item LIKE '% ring') AND NOT over_limit
         THEN (2 * CAST(allowed0 AS HUGEINT) * lim + chg) // (2 * CAST(chg AS HUGEINT)) ELSE allowed0 END) AS total
       FROM d2 LEFT JOIN worst USING (bill_id, policy) GROUP BY bill_id, policy),
     r AS (SELECT *, row_number() OVER (PARTITION BY bill_id ORDER BY total DESC, place) AS k, max(total) OVER (PARTITION BY bill_id) AS hi, min(total) OVER (PARTITION BY bill_id) AS lo FROM t)
@@ -275,15 +278,15 @@ def explain_line(spark, sf_dir):
 def compare_policies(spark, sf_dir):
     places = [(p, i + 1, PACK.caps[p]) for i, p in enumerate(sorted(PACK.caps))]
     policies = spark.createDataFrame(places, "policy string, place int, cap_rate int")
-    return A.compare_policies(V.lines_of_bills(spark, sf_dir), policies)
+    return A.compare_policies(V.lines_of_bills(spark, sf_dir), policies, deduction_clauses(spark))
 
 
 @register(
     "derive_expected",
-    f"""WITH {_WAIT}, {_CAPS}, {_LIST}, hit AS (SELECT bill_id, line_no, max(no) AS no FROM lines JOIN entries ON contains(item, name) GROUP BY ALL),
+    f"""WITH {_WAIT}, {_CAPS}, {_DED}, {_LIST}, hit AS (SELECT bill_id, line_no, max(no) AS no FROM lines JOIN entries ON contains(item, name) AND no <> 4 GROUP BY ALL),
     r AS (SELECT lb.*, waiting IN ('specified', 'initial') AS nil, no IS NOT NULL AS listed, CASE WHEN item LIKE '% gear' THEN lb.sum_insured * cap_rate // 100 END AS pd
       FROM lb JOIN waiting USING (bill_id) JOIN caps ON caps.policy = lb.policy LEFT JOIN hit USING (bill_id, line_no)),
-    worst AS (SELECT DISTINCT ON (bill_id) bill_id, pd * greatest(qty, 1) AS lim, cents AS chg FROM r WHERE NOT nil AND NOT listed AND cents > pd * qty
+    worst AS (SELECT DISTINCT ON (bill_id) bill_id, pd * greatest(qty, 1) AS lim, cents AS chg FROM r WHERE NOT nil AND NOT listed AND cents > pd * qty AND policy IN (SELECT policy FROM ded)
       ORDER BY bill_id, CAST(pd * greatest(qty, 1) AS HUGEINT) * 1000000000000000000 // cents, line_no),
     ruled AS (SELECT r.*, lim, chg, CASE WHEN nil THEN 'waiting' WHEN listed THEN 'list' WHEN item LIKE '% gear' THEN 'room'
       WHEN lim IS NOT NULL AND (item LIKE '% widget' OR item LIKE '% ring') THEN 'proportionate' ELSE 'full' END AS rule FROM r LEFT JOIN worst USING (bill_id))
@@ -293,5 +296,5 @@ def compare_policies(spark, sf_dir):
 def derive_expected(spark, sf_dir):
     lines = V.lines_of_bills(spark, sf_dir)
     waiting = A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir))
-    done = A.derive_expected(lines, waiting, not_payable_list(spark).where("no <= 3"), room_caps(spark))
+    done = A.derive_expected(lines, waiting, not_payable_list(spark), room_caps(spark), deduction_clauses(spark))
     return done.select("bill_id", "line_no", "rule", "expected")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import adjudicate as A
 from ledgerlake.operators import clause_rules as K
 from ledgerlake.operators import corpus as C
-from ledgerlake.operators.rules import not_payable_list, room_caps
+from ledgerlake.operators.rules import deduction_clauses, not_payable_list, room_caps
 from ledgerlake.plans import views as V
-from ledgerlake.plans.q_adjudicate import _CAPS, _LIST, _SECOND, _WAIT, _capped
+from ledgerlake.plans.q_adjudicate import _CAPS, _DED, _LIST, _SECOND, _WAIT, _capped
 from ledgerlake.plans.q_corpus import _ISL, _L, _lines, _numbered
 from ledgerlake.plans.q_retrieval import _FOLLOW, _followed
 from ledgerlake.plans.registry import register
@@ -154,10 +154,10 @@ def build_corpus(spark, sf_dir):
     return labelled.select("policy", "clause_id", F.md5("title").alias("title"), F.md5("text").alias("text"), "rule_type")
 
 
-@register("audit_bills", f"""WITH {_WAIT}, {_CAPS}, {_LIST}, hit AS (SELECT bill_id, line_no, min(no) AS no FROM lines JOIN entries ON contains(item, name) GROUP BY ALL),
+@register("audit_bills", f"""WITH {_WAIT}, {_CAPS}, {_DED}, {_LIST}, hit AS (SELECT bill_id, line_no, min(no) AS no FROM lines JOIN entries ON contains(item, name) GROUP BY ALL HAVING min(no) <> 4),
   r AS (SELECT lb.*, waiting IN ('specified', 'initial') AS nil, no IS NOT NULL AS listed, CASE WHEN item LIKE '% gear' THEN lb.sum_insured * cap_rate // 100 END AS pd
     FROM lb JOIN waiting USING (bill_id) JOIN caps ON caps.policy = lb.policy LEFT JOIN hit USING (bill_id, line_no)),
-  worst AS (SELECT DISTINCT ON (bill_id) bill_id, pd * greatest(qty, 1) AS lim, cents AS chg FROM r WHERE NOT nil AND NOT listed AND cents > pd * qty
+  worst AS (SELECT DISTINCT ON (bill_id) bill_id, pd * greatest(qty, 1) AS lim, cents AS chg FROM r WHERE NOT nil AND NOT listed AND cents > pd * qty AND policy IN (SELECT policy FROM ded)
     ORDER BY bill_id, CAST(pd * greatest(qty, 1) AS HUGEINT) * 1000000000000000000 // cents, line_no),
   fin AS (SELECT r.*, CASE WHEN nil OR listed THEN 0 WHEN item LIKE '% gear' THEN least(cents, pd * qty) WHEN lim IS NOT NULL AND (item LIKE '% widget' OR item LIKE '% ring')
     THEN CAST((2 * CAST(cents AS HUGEINT) * lim + chg) // (2 * CAST(chg AS HUGEINT)) AS BIGINT) ELSE cents END AS allowed FROM r LEFT JOIN worst USING (bill_id))
@@ -168,9 +168,9 @@ def audit_bills(spark, sf_dir):
     lines = V.lines_of_bills(spark, sf_dir)
     nil = A.waiting_nil_lines(lines, A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir))).select(keep)
     rest = lines.join(nil.select(keys), keys, "left_anti")
-    listed = A.non_payable_match(rest, not_payable_list(spark).where("no <= 3")).where("allowed IS NOT NULL").select(keep)
+    listed = A.non_payable_match(rest, not_payable_list(spark)).where("allowed IS NOT NULL").select(keep)
     rest = rest.join(listed.select(keys), keys, "left_anti")
-    scaled = A.second_pass(A.cap_rooms(rest, room_caps(spark))).select(keep)
+    scaled = A.second_pass(A.cap_rooms(rest, room_caps(spark)), deduction_clauses(spark)).select(keep)
     return A.report(nil.unionByName(listed).unionByName(scaled))
 
 

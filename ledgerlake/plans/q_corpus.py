@@ -154,7 +154,7 @@ def trim_address_blocks(spark, sf_dir):
 
 def _referring(spark, sf_dir):
     return V.clauses(spark, sf_dir).withColumn(
-        "text", F.expr("concat('see clause ', (clause_id * 7) % 1000, ' and section ', clause_id + 20, ', item ', clause_id + 41, ' or clause ', clause_id, ' too')")
+        "text", F.expr("concat(text, ' see clause ', (clause_id * 7) % 1000, ' and section ', clause_id + 20, ', item ', clause_id + 41, ' or clause ', clause_id, ' too')")
     )
 
 
@@ -284,12 +284,13 @@ def layout_vote(spark, sf_dir):
     return C.layout_vote(words, 400.0)
 
 
-@register("echo_lines", f"""WITH {_L}, r AS (SELECT source AS policy, list(DISTINCT w) AS words FROM (SELECT source, unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE doc_id % 20 = 0 OR doc_id % 20 = 7) GROUP BY source),
-  o AS (SELECT l.policy, seq, words, list_filter(string_split(lower(line), ' '), lambda w: w <> '') AS own FROM lines l JOIN r USING (policy))
-  SELECT policy, seq FROM o WHERE len(own) > 0 AND len(list_filter(own, lambda w: list_contains(words, w))) * 5 >= len(own) * 4""")
+@register("echo_lines", f"""WITH {_L}, r AS (SELECT DISTINCT source AS policy, unnest(string_split(lower(text), ' ')) AS word FROM documents WHERE regexp_matches(text, '[0-9]')),
+  o AS (SELECT policy, seq, unnest(list_filter(string_split(lower(line), ' '), lambda w: w <> '')) AS word FROM lines),
+  t AS (SELECT o.policy, seq, count(*) AS n, count(r.word) AS k FROM o LEFT JOIN r ON r.policy = o.policy AND r.word = o.word GROUP BY ALL)
+  SELECT policy, seq FROM t WHERE k * 5 >= n * 4""")
 def echo_lines(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents").where("doc_id % 20 IN (0, 7)")  # the documents taken for tables
-    words = docs.select(F.col("source").alias("policy"), F.explode(F.split(F.lower("text"), " ")).alias("w"))
-    return C.echo_lines(_lines(spark, sf_dir), words.groupBy("policy").agg(F.collect_set("w").alias("words")))
+    docs = V.table(spark, sf_dir, "documents").where("text RLIKE '[0-9]'")  # documents with figures are taken for tables
+    words = docs.select(F.col("source").alias("policy"), F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    return C.echo_lines(_lines(spark, sf_dir), words)
 
 

@@ -135,13 +135,13 @@ def repair_citation(spark, sf_dir):
 
 
 @register("supported_prefix", r"""WITH q AS (SELECT item_id, regexp_replace(lower(trim(regexp_replace(translate(text, '‘’“”–—', '''''""--'), '[ \t\n\r]+', ' ', 'g'))), ' ?/ ?', '/', 'g') AS q FROM benchmark),
-  d AS (SELECT doc_id, regexp_replace(lower(trim(regexp_replace(translate(text, '‘’“”–—', '''''""--'), '[ \t\n\r]+', ' ', 'g'))), ' ?/ ?', '/', 'g') AS t FROM documents)
-  SELECT item_id, doc_id, CAST(coalesce(list_max(list_filter(range(1, len(string_split(q, ' ')) + 1), lambda n: contains(t, array_to_string(string_split(q, ' ')[1:n], ' ')))), 0) AS INTEGER) AS words FROM q JOIN d ON doc_id % 20 = item_id % 20""")
+  d AS (SELECT doc_id, source, regexp_replace(lower(trim(regexp_replace(translate(text, '‘’“”–—', '''''""--'), '[ \t\n\r]+', ' ', 'g'))), ' ?/ ?', '/', 'g') AS t FROM documents)
+  SELECT item_id, doc_id, CAST(coalesce(list_max(list_filter(range(1, len(string_split(q, ' ')) + 1), lambda n: contains(t, array_to_string(string_split(q, ' ')[1:n], ' ')))), 0) AS INTEGER) AS words FROM q JOIN d ON source = 'src' || (item_id % 20)""")
 def supported_prefix(spark, sf_dir):
-    # Each quote is held against the documents of its own class of ids, as a line against the clauses of its policy.
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", normalise(F.col("text")).alias("t"))
-    bench = V.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    joined = docs.join(bench.hint("shuffle_hash"), F.expr("doc_id % 20 = item_id % 20"))
+    # Each quote is held against the clauses of its policy.
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("policy"), normalise(F.col("text")).alias("t"))
+    bench = V.table(spark, sf_dir, "benchmark").selectExpr("item_id", "concat('src', item_id % 20) AS policy", "text AS q")
+    joined = docs.join(bench.hint("shuffle_hash"), "policy")
     return joined.select("item_id", "doc_id", E.supported_prefix(F.col("q"), F.col("t")).alias("words"))
 
 

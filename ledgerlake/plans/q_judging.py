@@ -93,7 +93,8 @@ _SCORES = f"""{_CHUNKS}, {_BM25}, {_OVER}, ra AS (SELECT *, row_number() OVER (P
 
 
 @register("retry_loop", f"""WITH {_SCORES}, rounds AS (SELECT query_id, clause_id, score, k, (k - 1) // 3 AS attempt FROM ra WHERE k <= 9), best AS (SELECT * FROM rounds WHERE (k - 1) % 3 = 0 AND score >= 100000)
-  SELECT query_id AS bill_id, 1 AS line_no, arg_min(clause_id, attempt) AS clause_id, CAST(min(attempt) + 1 AS INTEGER) AS attempts FROM best GROUP BY query_id""")
+  SELECT item_id AS bill_id, 1 AS line_no, arg_min(clause_id, attempt) AS clause_id, CAST(min(attempt) + 1 AS INTEGER) AS attempts, CASE WHEN count(clause_id) = 0 THEN 'attempts' END AS reason
+  FROM benchmark b LEFT JOIN best ON best.query_id = b.item_id GROUP BY item_id""")
 def retry_loop(spark, sf_dir):
     candidates = _all_scores(spark, sf_dir)
     ranked = stored(R.top_k(candidates, 9), folder(spark, "ranked")).withColumnRenamed("query_id", "bill_id").withColumn("line_no", F.lit(1))
@@ -106,7 +107,7 @@ def retry_loop(spark, sf_dir):
         return best.select(*J.KEYS, "b.clause_id", F.array().cast(J.LIMITS).alias("limits"), (F.col("b.score") >= 100_000).alias("confident"))
 
     done = J.retry_loop(lines, search, judge, lambda df, name: stored(df, f"{path}/{name}"))
-    return done.select("bill_id", "line_no", "clause_id", "attempts")
+    return done.select("bill_id", "line_no", "clause_id", "attempts", "reason")
 
 
 def _all_scores(spark, sf_dir):

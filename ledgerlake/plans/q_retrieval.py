@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import retrieval as R
 from ledgerlake.plans import views as V
 from ledgerlake.plans.registry import register
+from ledgerlake.plans.scratch import folder, stored
 from ledgerlake.operators.adjudicate import route_item
 
 
@@ -62,14 +63,14 @@ def _vectors(spark, sf_dir):
 
 _DENSE = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), dn AS (
   SELECT q.vec_id AS query_id, c.vec_id AS clause_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), lambda a, b: a + b) AS s
-  FROM v q JOIN v c ON q.label = c.label AND q.vec_id % 25 = 0 AND q.vec_id <> c.vec_id),
+  FROM v q JOIN v c ON q.label = c.label AND q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
   dense AS (SELECT * FROM (SELECT query_id, clause_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, clause_id) AS INTEGER) AS rank FROM dn) WHERE rank <= 20)"""
 
 
 @register("dense_topk", f"WITH {_DENSE} SELECT query_id, clause_id, rank FROM dense")
 def dense_topk(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    asked = rows.where("clause_id % 25 = 0").withColumnRenamed("clause_id", "query_id")
+    asked = rows.where("clause_id % 20 = 0").withColumnRenamed("clause_id", "query_id")
     return R.dense_topk(asked, rows).select("query_id", "clause_id", "rank")
 
 
@@ -159,16 +160,36 @@ def recall_at_k(spark, sf_dir):
     return R.recall_at_k(R.bm25_topk(asked, clauses), key)
 
 
+#: Quotes and candidates up to which they are broadcast, after they were counted.
+FEW = 100_000
+
+
 def holding(texts, quotes, quote: str):
-    """Rows of texts joined with the quotes that they contain: on a shared run of three words first, then verified."""
+    """Rows of texts joined with the quotes that they contain.
+
+    Runs of three words of the texts meet the second run of each quote (its first word
+    may be cut off within a text); only ids and hashes take part in that, and of the
+    texts those with a hit are looked at again. Quotes under five words have no such
+    run: there are few of them, and each text is searched for them where it lies.
+    """
     words = lambda c: F.split(F.regexp_replace(c, r"[ \n]+", " "), " ")
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.element_at(w, i + 1), F.element_at(w, i + 2), F.element_at(w, i + 3)))
-    # The second run of a quote: its first word may be cut off within the text that holds it.
-    keyed = quotes.withColumn("__w", words(F.col(quote))).where(F.size("__w") >= 5)
-    keyed = keyed.withColumn("__k", F.element_at(runs(F.col("__w")), 2)).drop("__w")
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    rest = [c for c in quotes.columns if c != quote]
+    asked = quotes.withColumn("__w", words(F.col(quote)))
+    long = asked.where(F.size("__w") >= 5).withColumn("__k", F.xxhash64(*[F.get("__w", F.lit(i)) for i in (1, 2, 3)])).drop("__w")
+    short = asked.where(F.size("__w") < 5).drop("__w")
+    few = quotes.count() <= FEW
+    small = lambda df: F.broadcast(df) if few else df.hint("merge")
     own = texts.withColumn("__w", words(F.col("text"))).where(F.size("__w") >= 3)
-    own = own.withColumn("__k", F.explode(F.array_distinct(runs(F.col("__w"))))).drop("__w")
-    return own.join(keyed.hint("shuffle_hash"), "__k").where(F.contains(F.col("text"), F.col(quote))).drop("__k")
+    own = own.select("policy", "clause_id", F.explode(F.array_distinct(runs(F.col("__w")))).alias("__k"))
+    hits = own.join(small(long.select("__k", *rest)), "__k").select("policy", "clause_id", *rest).distinct()
+    hits = stored(hits, folder(texts.sparkSession, "holding"))
+    near = F.broadcast(hits) if hits.count() <= FEW else hits.hint("merge")
+    told = texts.join(near, ["policy", "clause_id"]).join(small(long.drop("__k")), rest).where(F.contains(F.col("text"), F.col(quote)))
+    if not short.limit(1).count():
+        return told
+    inside = texts.join(F.broadcast(short) if few else short, F.contains(F.col("text"), F.col(quote)))
+    return told.unionByName(inside.select(told.columns))
 
 
 @register("topic_clauses", f"""WITH {V.LINES}, tp(pattern, priority, ids) AS (VALUES ('gear', 1, [1, 2, 999999999]), ('small', 2, [2, 3]), ('rod', 3, [7])),

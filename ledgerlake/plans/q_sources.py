@@ -23,11 +23,11 @@ def read_bills(spark, sf_dir):
     return S.bill_lines(S.read_bills(spark, path, multi_line=False).where("_corrupt_record IS NULL"))
 
 
-@register("read_clauses", "SELECT source AS policy, doc_id AS clause_id, md5(text) AS text FROM documents WHERE source = 'src3'")
+@register("read_clauses", "SELECT source AS policy, doc_id AS clause_id, md5(text) AS text FROM documents")
 def read_clauses(spark, sf_dir):
     path, clauses = folder(spark, "clauses"), V.clauses(spark, sf_dir)
     S.write_clauses(clauses, path)
-    return S.read_clauses(spark, path, clauses.schema).where("policy = 'src3'").select("policy", "clause_id", F.md5("text").alias("text"))
+    return S.read_clauses(spark, path, clauses.schema).select("policy", "clause_id", F.md5("text").alias("text"))
 
 
 @register("append_trace", "SELECT role AS node, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS size FROM conversations GROUP BY role")
@@ -89,3 +89,27 @@ def stream_audit(spark, sf_dir):
 @register("stream_progress", """SELECT user_id AS job, count(*) FILTER (event_type = 'purchase') AS done, count(*) AS total, arg_max(event_type, CAST(epoch_us(ts) AS HUGEINT) * 10000000 + event_id) AS status FROM events GROUP BY user_id""")
 def stream_progress(spark, sf_dir):
     return G.progress(V.table(spark, sf_dir, "events").selectExpr("user_id AS job", "event_type AS status", "ts", "event_id"))
+
+
+@register("read_text_bills", "SELECT md5(text || chr(10)) AS text, CAST(NULL AS VARCHAR) AS refused, count(*) AS n FROM benchmark GROUP BY ALL")
+def read_text_bills(spark, sf_dir):
+    path = folder(spark, "printed")
+    V.table(spark, sf_dir, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(path)  # a file for each text
+    return S.read_text_bills(spark, path).groupBy(F.md5("text").alias("text"), "refused").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("read_pages", """WITH p AS (SELECT unnest([text, 'item ' || item_id || chr(10)]) AS text, unnest([1, 2]) AS page FROM benchmark) SELECT page, md5(text) AS text, count(*) AS n FROM p GROUP BY ALL""")
+def read_pages(spark, sf_dir):
+    path = folder(spark, "documents")
+    paged = V.table(spark, sf_dir, "benchmark").select(F.concat("text", F.lit("\f"), F.lit("item "), "item_id"))
+    paged.write.option("maxRecordsPerFile", 1).text(path)
+    return S.read_pages(spark, path).groupBy("page", F.md5("text").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("read_exclusion_list", "SELECT CAST(n_nationkey + 1 AS INTEGER) AS no, n_name AS item, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def read_exclusion_list(spark, sf_dir):
+    path = folder(spark, "list")
+    entry = F.struct((F.col("n_nationkey") + 1).alias("no"), F.col("n_name").alias("item"))
+    V.table(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(entry)).alias("value")).write.text(path)  # a list of 25 names
+    customers = V.table(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") + 1).alias("no")).agg(F.count(F.lit(1)).alias("n"))
+    return S.read_exclusion_list(spark, path).join(customers.hint("merge"), "no", "left").select("no", "item", F.coalesce("n", F.lit(0)).alias("n"))

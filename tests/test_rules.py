@@ -9,6 +9,8 @@ from ledgerlake.operators import adjudicate as A
 from ledgerlake.operators import intake as I
 from ledgerlake.operators import memo as M
 from ledgerlake.operators import retrieval as R
+from ledgerlake.operators.rules import not_payable_list
+from ledgerlake.plans.q_retrieval import holding
 from ledgerlake.sources import files as S
 
 LINE = "bill_id long, policy string, line_no int, item string, cents long, qty int, sum_insured long, per_day long, allowed long, over_limit boolean"
@@ -38,10 +40,48 @@ def test_second_pass_ratio(spark):
         (1, "p", 1, "big gear", 800000, 1, 1, 500000, 500000, True), (1, "p", 2, "red widget", 10000000, 1, 1, None, 10000000, False),
         (1, "p", 3, "red gizmo", 100, 1, 1, None, 100, False), (2, "p", 1, "red widget", 77, 1, 1, None, 77, False), (1, "p", 4, "x ring", 50, 1, 1, None, None, False),
     )
-    got = {(r["bill_id"], r["line_no"]): r["allowed"] for r in A.second_pass(df).collect()}
+    got = {(r["bill_id"], r["line_no"]): r["allowed"] for r in A.second_pass(df, stated(spark)).collect()}
     assert got == {(1, 1): 500000, (1, 2): 6250000, (1, 3): 100, (2, 1): 77, (1, 4): None}
 
 
+def stated(spark, policy="p"):
+    return spark.createDataFrame([(policy, "C.7")], "policy string, clause_id string")
+
+
+def test_second_pass_cites_a_clause_or_deducts_nothing(spark):
+    df = lines(
+        spark,
+        (1, "p", 1, "big gear", 800000, 1, 1, 500000, 500000, True), (1, "p", 2, "red widget", 1000, 1, 1, None, 1000, False), (1, "p", 3, "red gizmo", 100, 1, 1, None, 100, False),
+        (1, "p", 4, "x plate", 50, 1, 1, None, 50, False), (2, "p", 1, "red widget", 800, 1, 1, 100, 100, True), (2, "p", 2, "x ring", 70, 1, 1, None, 70, False),
+    )
+    told = lambda out: {(r["bill_id"], r["line_no"]): (r["allowed"], r["deduction"], r["why"]) for r in out.collect()}
+    got = told(A.second_pass(df, stated(spark)))
+    assert got[1, 2] == (625, "C.7", None)
+    assert got[1, 1][2] == "the room line itself" and got[1, 3][2] == "outside the associated expenses" and got[1, 4][2] == "not named by the definition"
+    # A breach on a line that is no room sets no ratio.
+    assert got[2, 2] == (70, None, "no per-day cap was breached")
+    assert told(A.second_pass(df, stated(spark, "other")))[1, 2] == (1000, None, "no clause states the deduction")
+    assert told(A.second_pass(df, stated(spark), differential_billing=False))[1, 2] == (1000, None, "differential billing was ruled out")
+
+
+def test_named_benefits_stay_open_and_equal_lines_stay_apart(spark):
+    row = (1, "p", 1, "red bolt", 100, 1, 1, None, None, False)
+    df = lines(spark, row, row, (1, "p", 2, "SMALL ANVIL (x)", 5, 1, 1, None, None, False), (1, "p", 3, "xyz", 5, 1, 1, None, None, False)).drop("allowed")
+    got = sorted((r["line_no"], r["list_no"], r["allowed"]) for r in A.non_payable_match(df, not_payable_list(spark)).collect())
+    assert got == [(1, None, None), (1, None, None), (2, 1, 0), (3, None, None)]
+    got = sorted((r["line_no"], r["list_no"] or 0) for r in A.non_payable_longest(df, not_payable_list(spark)).collect())
+    assert got == [(1, 4), (1, 4), (2, 2), (3, 0)]
+
+
+def test_holding_finds_short_and_cut_quotes(spark):
+    texts = spark.createDataFrame([("p", 1, "one two three four five six seven"), ("p", 2, "xone two\nthree four five six"), ("q", 3, "lone word"), ("q", 3, "lone word")], "policy string, clause_id long, text string")
+    quotes = ["two three four five six", "ne two three four fiv", "on", "word", "one two\nthree", "seven eight nine ten eleven twelve"]
+    asked = spark.createDataFrame(list(enumerate(quotes)), "query_id int, q string")
+    got = sorted((r["clause_id"], r["query_id"]) for r in holding(texts, asked, "q").collect())
+    want = sorted((t["clause_id"], i) for t in texts.collect() for i, q in enumerate(quotes) if q in t["text"])
+    assert got == want
+
+
 def test_months_served(spark):
     df = spark.createDataFrame([("2024-01-31", "2024-02-29"), ("2024-01-15", "2025-01-14"), ("2024-01-15", "2025-01-15")], "a string, b string")
     got = [r[0] for r in df.select(A.months_served("to_date(a)", "to_date(b)")).collect()]
@@ -64,9 +104,9 @@ def test_readers(spark):
 
 
 def test_masks(spark):
-    df = spark.createDataFrame([("Name: Jo Doe\nmail a.b@c.org tel +1 (555) 555-1234 id 1234 5678 9012",)], "t string")
+    df = spark.createDataFrame([("Claim No. - 77\n UHID: x1\nName: Jo Doe\nmail a.b@c.org tel +1 (555) 555-1234 id 1234 5678 9012",)], "t string")
     out = df.select(T.mask(F.col("t"))).first()[0]
-    assert out == "Name: [REDACTED]\nmail [REDACTED] tel [REDACTED] id [REDACTED]"
+    assert out == "Claim No. - [REDACTED]\n UHID: [REDACTED]\nName: [REDACTED]\nmail [REDACTED] tel [REDACTED] id [REDACTED]"
     assert not df.select(T.has_identifier(T.mask(F.col("t")))).first()[0]
 
 
@@ -79,9 +119,9 @@ def test_windows_overlap_by_one_sentence(spark):
 def test_result_does_not_depend_on_partitions(spark):
     rnd = random.Random(1)
     rows = [(i % 9, "p", i, rnd.choice(["x gear", "x widget", "x gizmo"]), rnd.randrange(1, 9999), 1, 1, 50, rnd.randrange(1, 99), rnd.random() < 0.3) for i in range(200)]
-    a = A.second_pass(lines(spark, *rows)).collect()
+    a = A.second_pass(lines(spark, *rows), stated(spark)).collect()
     rnd.shuffle(rows)
-    b = A.second_pass(lines(spark, *rows).repartition(7)).collect()
+    b = A.second_pass(lines(spark, *rows).repartition(7), stated(spark)).collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
