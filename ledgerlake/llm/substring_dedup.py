@@ -110,7 +110,10 @@ def spans(parts: list[tuple]) -> list[tuple[int, int]]:
 
 
 def _span_rows(docs: DataFrame) -> DataFrame:
-    """(span, id, first, last, again): again says that the same document has the span before."""
+    """(span, id, first, last, again): again says that the same document has the span before.
+
+    One more row of each text, without a span, has the number of its sentences as ``last``.
+    """
 
     def run(batches):
         import xxhash
@@ -125,6 +128,7 @@ def _span_rows(docs: DataFrame) -> DataFrame:
                     key = digest(b"".join(hashed[a:b]))
                     rows.append((key, i, a, b, key in seen))
                     seen.add(key)
+                rows.append((None, i, 0, len(parts), False))
             kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["span", "id", "first", "last", "again"])
@@ -134,12 +138,18 @@ def _span_rows(docs: DataFrame) -> DataFrame:
 
 
 def _cut(joined: DataFrame) -> DataFrame:
-    """(row, n_sentences, n_removed, text) of (row, text, gone): the text without the sentences of its spans."""
+    """(row, n_sentences, n_removed, text) of (row, text, gone, n): the text without the sentences of its spans.
+
+    A text that loses nothing and whose sentences were counted (n) is not cut again.
+    """
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
-            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, gone, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if not gone and n is not None:
+                    rows.append((n, 0, text))
+                    continue
                 parts = sentences(text) if text else []
                 out = np.zeros(len(parts), dtype=bool)
                 for s in gone or []:
@@ -169,14 +179,18 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(df.sparkSession, "spans")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = scratch.table(_span_rows(docs.where(F.col("id").isNotNull())), "rows")
-    counted = rows.groupBy("span").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = rows.where("span IS NOT NULL").groupBy("span").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
     counted = scratch.table(counted, "counted")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     later = join_by_key(rows, counted, "span", "n", total).where("again OR id <> owner")
-    gone = later.groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    told = later.select("id", F.struct("first", "last").alias("s"), F.lit(None).cast("int").alias("n"))
+    sizes = rows.where("span IS NULL").select("id", F.lit(None).cast("struct<first:int,last:int>").alias("s"), F.col("last").alias("n"))
+    # Rows that share an id may have different texts: their sentences are counted again.
+    only = F.when(F.count("n") == 1, F.min("n"))
+    gone = told.unionByName(sizes).groupBy("id").agg(F.collect_set("s").alias("gone"), only.alias("n"))
     gone = scratch.table(gone, "gone")
     scratch.drop("rows", "counted")
-    joined = docs.join(gone.hint("merge"), "id", "left").select("id", "text", "gone")
+    joined = docs.join(gone.hint("merge"), "id", "left").select("id", "text", "gone", "n")
     out = _cut(joined)
     return out.select(F.col("id").alias(id_col), "n_sentences", "n_removed", F.col("text").alias(text_col))
 

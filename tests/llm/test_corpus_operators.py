@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlake.llm import common, decontamination, line_dedup, near_dedup, secret_scan, substring_dedup, vector_search
 
@@ -153,7 +154,14 @@ def test_substring_dedup(spark):
     shared = ["".join(sentence() for _ in range(6)) for _ in range(4)]
     texts = ["".join(rnd.choice(shared) if rnd.random() < 0.3 else sentence() for _ in range(rnd.randrange(1, 12))) for _ in range(50)] + ["", "\n", "x"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(700, None), (None, texts[0])], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert substring_dedup.dedup_substrings(docs.limit(0)).count() == 0
+    more = docs.unionByName(spark.createDataFrame([(3, texts[3]), (3, "A. B.")], docs.schema)).withColumn("n_removed", F.lit("k"))
+    rows = substring_dedup.dedup_substrings(more).collect()
+    assert len(rows) == len(texts) + 4
+    assert sorted(r["n_sentences"] for r in rows if r["doc_id"] == 3) == sorted([2, *[len(substring_dedup.sentences(texts[3]))] * 2])
+    found = substring_dedup.dedup_substrings(docs).collect()
+    assert all(r["n_sentences"] == len(substring_dedup.sentences(texts[r["doc_id"]])) for r in found if r["doc_id"] is not None and r["doc_id"] < len(texts))
+    got = {r["doc_id"]: r["text"] for r in found}
     first, hits = {}, defaultdict(set)
     for i, text in enumerate(texts):
         parts = substring_dedup.sentences(text)
