@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUM_ROW = r"Sum Insured ([0-9]{5,8})"
@@ -106,26 +108,26 @@ def split_unnumbered_definitions(lines: DataFrame, first_clause: DataFrame, leas
 
 
 def parse_exclusion_pairs(rows: DataFrame) -> DataFrame:
-    """(no, item) of (pos, no, item): names squeezed, the first of equal ones, longer than two letters; a missing number
-    is the next free one above the entry before."""
+    """(list, no, item) of (list, pos, no, item): names squeezed, the first of equal ones, longer than two letters; a missing
+    number is the next free one above the entry before. A printed list has some hundred rows and is folded in order; there
+    may be any number of lists."""
     named = rows.withColumn("item", F.trim(F.regexp_replace("item", r"\s+", " "))).where((F.length("item") > 2) & (F.lower("item") != "item"))
-    first = named.groupBy(F.lower("item").alias("k")).agg(F.min_by(F.struct("pos", "no", "item"), "pos").alias("f")).select("f.*")
-    # A printed list has some hundred rows: it is filled in order, as one small group.
+    told = named.select("list", F.lower("item").alias("k"), "pos", F.col("no").cast("int").alias("no"), "item")
+    first = told.groupBy("list", "k").agg(F.min(F.struct("pos", "no", "item")).alias("e"))
+    lists = first.groupBy("list").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    stated = F.filter(F.transform("es", lambda e: e["no"]), lambda n: n.isNotNull())
+    none = F.array().cast("array<struct<no:int,item:string>>")
+    start = F.struct(stated.alias("used"), F.lit(0).alias("before"), none.alias("out"))
 
-    def fill(group):
-        used, before, out = set(group["no"].dropna().astype(int)), 0, []
-        for r in group.sort_values("pos").itertuples():
-            no = r.no
-            if no != no or no is None:
-                no = before + 1
-                while no in used:
-                    no += 1
-                used.add(no)
-            before = int(no)
-            out.append((before, r.item))
-        return type(group)(sorted(out), columns=["no", "item"])
+    def add(state: Column, e: Column) -> Column:
+        # Of the next size(used) + 1 numbers one at least is free.
+        after = F.sequence(state["before"] + 1, state["before"] + 1 + F.size(state["used"]))
+        no = F.coalesce(e["no"], F.array_except(after, state["used"])[0])
+        used = F.array_append(state["used"], no)
+        return F.struct(used.alias("used"), no.alias("before"), F.array_append(state["out"], F.struct(no.alias("no"), e["item"].alias("item"))).alias("out"))
 
-    return first.withColumn("list", F.lit(1)).groupBy("list").applyInPandas(fill, "no int, item string")
+    filled = lists.select("list", F.explode(F.aggregate("es", start, add, lambda state: state["out"])).alias("e"))
+    return filled.select("list", "e.no", "e.item")
 
 
 def damaged_table_cells(cells: DataFrame, least: int = 12) -> DataFrame:
@@ -135,13 +137,13 @@ def damaged_table_cells(cells: DataFrame, least: int = 12) -> DataFrame:
     return data.join(heads, (data["table_id"] == heads["table_id"]) & (data["cell"] == heads["head"]), "left_semi").select("table_id", "row", "col")
 
 
-def embed(df: DataFrame, text: str = "text", size: int = 64, prefix: str = "") -> DataFrame:
-    """Add ``vec``: a unit vector of hashed word counts, the default for want of a model."""
+def embed(df: DataFrame, text: str = "text", size: int = 64, prefix: str = "", model: Callable | None = None) -> DataFrame:
+    """Add ``vec``: what a model gives for (df, name of the text column, prefix); without one a unit vector of hashed word counts."""
+    if model:
+        return model(df, text, prefix)
     words = F.filter(F.split(F.regexp_replace(F.lower(F.concat(F.lit(prefix), text)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
     place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter("__p", lambda p: p == i)).cast("double"))
     told = df.withColumn("__p", place).withColumn("__c", counts)
     norm = F.sqrt(F.aggregate("__c", F.lit(0.0), lambda s, x: s + x * x))
     return told.withColumn("vec", F.transform("__c", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))).drop("__p", "__c")
-
-

@@ -1,7 +1,9 @@
 """Building the clause corpus: page text to lines, headings, clauses, references and tables.
 
-Most stages are windows over (document, sequence): gaps and islands, all documents in
-one job. ``policy`` names a document, ``seq`` the order of its lines.
+Most stages look back along the lines of a document: gaps and islands, all documents in
+one job. ``policy`` names a document, ``page`` its pages and ``seq`` the order of its
+lines. Each page is worked on by itself; what comes over from the pages before is
+folded apart, from one row for each page, so that no task holds a whole document.
 """
 
 from __future__ import annotations
@@ -9,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.plans.scratch import folder, stored
+
 HEADING = r"^[ \t]*([0-9]+(?:\.[0-9]+)*)\.?[ \t]+(\S.*?)[ \t]*$"
 TABLE = "[table]"
 # Words on which a title does not end.
@@ -18,10 +22,56 @@ FUNCTION_WORDS = (
 REF_SHAPES = (r"clause ([0-9]+)", r"section ([0-9]+)", r"item ([0-9]+)")
 
 
+def earlier_pages(pages: DataFrame, how: str) -> DataFrame:
+    """(policy, page, before) of (policy, page, v), a row for each page: the sum, or the last value that is not null, of the pages before.
+
+    Pages are sorted into ranges; each range is folded by itself and then the ranges of
+    a policy, of which there are as many as partitions at most. The ranges are written,
+    so that a task that runs again finds the same ones.
+    """
+    rows = pages.repartitionByRange("policy", "page").withColumn("part", F.spark_partition_id())
+    rows = stored(rows, folder(pages.sparkSession, "pages"))
+    inner = Window.partitionBy("policy", "part").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("policy").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    if how == "sum":
+        whole, over = F.sum("v"), lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    else:
+        whole, over = F.max_by("v", F.when(F.col("v").isNotNull(), F.col("page"))), lambda c, w: F.last(c, ignorenulls=True).over(w)
+    ranges = rows.groupBy("policy", "part").agg(whole.alias("v"))
+    ranges = ranges.select("policy", "part", over("v", outer).alias("far"))
+    near = rows.select("policy", "part", "page", over("v", inner).alias("near"))
+    both = F.col("near") + F.col("far") if how == "sum" else F.coalesce("near", "far")
+    return near.join(ranges.hint("merge"), ["policy", "part"]).select("policy", "page", both.alias("before"))
+
+
+def _in_page(last: int) -> object:
+    return Window.partitionBy("policy", "page").orderBy("seq").rowsBetween(Window.unboundedPreceding, last)
+
+
+def carried(lines: DataFrame, value: Column, name: str, own: bool = True) -> DataFrame:
+    """Add the last value that is not null above each line, or (own) on it."""
+    told = lines.withColumn("__v", value)
+    ends = told.groupBy("policy", "page").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("seq"))).alias("v"))
+    joined = told.join(earlier_pages(ends, "last").hint("merge"), ["policy", "page"])
+    here = F.last("__v", ignorenulls=True).over(_in_page(0 if own else -1))
+    return joined.withColumn(name, F.coalesce(here, F.col("before"))).drop("__v", "before")
+
+
+def counted(lines: DataFrame, flag: Column, name: str) -> DataFrame:
+    """Add the number of lines for which the flag holds, up to each line."""
+    told = lines.withColumn("__v", F.when(flag, 1).otherwise(0))
+    sums = told.groupBy("policy", "page").agg(F.sum("__v").alias("v"))
+    joined = told.join(earlier_pages(sums, "sum").hint("merge"), ["policy", "page"])
+    return joined.withColumn(name, F.sum("__v").over(_in_page(0)) + F.col("before")).drop("__v", "before")
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
-    """(policy, page, pos, seq, line): one ordered stream of lines for each document."""
-    each = pages.select("policy", "page", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return each.withColumn("seq", F.row_number().over(Window.partitionBy("policy").orderBy("page", "pos")))
+    """(policy, page, pos, seq, line): one ordered stream of lines for each document. (policy, page) is unique and not null."""
+    lines = F.split("text", "\n", -1)
+    sizes = pages.select("policy", "page", F.coalesce(F.greatest(F.size(lines), F.lit(0)), F.lit(0)).cast("bigint").alias("v"))
+    joined = pages.join(earlier_pages(sizes, "sum").hint("merge"), ["policy", "page"])
+    each = joined.select("policy", "page", F.posexplode(lines).alias("pos", "line"), "before")
+    return each.select("policy", "page", "pos", (F.col("before") + F.col("pos") + 1).cast("int").alias("seq"), "line")
 
 
 def furniture(lines: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -41,8 +91,7 @@ def drop_furniture(lines: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def section_carry(lines: DataFrame, banner: str) -> DataFrame:
     """Add ``section``: the last banner line at or above each line."""
-    so_far = Window.partitionBy("policy").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("section", F.last(F.when(F.col("line").rlike(banner), F.trim("line")), ignorenulls=True).over(so_far))
+    return carried(lines, F.when(F.col("line").rlike(banner), F.trim("line")), "section")
 
 
 def heading_candidates(lines: DataFrame) -> DataFrame:
@@ -53,6 +102,16 @@ def heading_candidates(lines: DataFrame) -> DataFrame:
     return lines.withColumn("number", F.when(good, F.regexp_extract("line", HEADING, 1))).withColumn("title", F.when(good, title))
 
 
+def with_following(headings: DataFrame, lines: DataFrame, n: int = 3) -> DataFrame:
+    """Headings with next1 to next ``n``: the lines after each, null beyond the last. Lines are numbered without gaps."""
+    asked = headings.select("policy", F.col("seq").alias("head"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    asked = asked.withColumn("seq", (F.col("head") + F.col("i")).cast("int"))
+    near = asked.hint("merge").join(lines.select("policy", "seq", "line"), ["policy", "seq"])
+    each = [F.max(F.when(F.col("i") == i, F.col("line"))).alias(f"next{i}") for i in range(1, n + 1)]
+    found = near.groupBy("policy", F.col("head").alias("seq")).agg(*each)
+    return headings.join(found.hint("merge"), ["policy", "seq"], "left")
+
+
 def _before_colon(text: Column) -> Column:
     """The part before ': ' if it has 4 to 80 characters."""
     head = F.substring_index(text, ": ", 1)
@@ -87,8 +146,7 @@ def fix_letter_spacing(column: Column) -> Column:
 
 def islands(lines: DataFrame) -> DataFrame:
     """(policy, clause_id, title, n_lines, text, pos): the stream cut at headings; lines above the first are left out."""
-    so_far = Window.partitionBy("policy").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("island", F.count("number").over(so_far)).where("island > 0")
+    numbered = counted(lines, F.col("number").isNotNull(), "island").where("island > 0")
     body = F.array_sort(F.collect_list(F.when(F.col("number").isNull(), F.struct("seq", "line"))))
     return numbered.groupBy("policy", "island").agg(
         F.max("number").alias("clause_id"), F.max("title").alias("title"), F.min("seq").alias("pos"),
@@ -102,17 +160,14 @@ def join_wrapped_lines(lines: DataFrame) -> DataFrame:
 
     A line starts a block unless the one before it (blank lines left out) is plain text
     that ends no sentence; a heading or table row always starts one, and ends at itself.
-    A trailing hyphen is stitched. Each decision reads the line before only, so a lag
-    and a running sum do what a fold would.
+    A trailing hyphen is stitched. Each decision reads the line before only, so looking
+    back once and a running sum do what a fold would.
     """
-    order = Window.partitionBy("policy").orderBy("seq")
     some = lines.where("trim(line) <> ''").withColumn("line", F.trim("line"))
     fixed = F.col("line").rlike(HEADING) | F.startswith(F.col("line"), F.lit(TABLE))
-    told = some.withColumn("fixed", fixed)
-    before, was_fixed = F.lag("line").over(order), F.lag("fixed").over(order)
-    starts = before.isNull() | F.col("fixed") | was_fixed | before.rlike(r"[.!?:;]$")
-    told = told.withColumn("starts", starts.cast("int"))
-    told = told.withColumn("block", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    told = carried(some.withColumn("fixed", fixed), F.struct("line", "fixed"), "last", own=False)
+    starts = F.col("last").isNull() | F.col("fixed") | F.col("last.fixed") | F.col("last.line").rlike(r"[.!?:;]$")
+    told = counted(told, starts, "block")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"])
     glued = F.regexp_replace(F.array_join(parts, "\n"), "-\n", "")
     return told.groupBy("policy", "block").agg(F.regexp_replace(glued, "\n", " ").alias("text"))

@@ -7,6 +7,8 @@ shuffle as well.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,20 +81,20 @@ def bm25_topk(queries: DataFrame, clauses: DataFrame, k: int = 20) -> DataFrame:
 
 
 def dense_topk(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, clause_id, score, rank) by dot product among the rows (policy, clause_id, vec) of the query's policy."""
+    """(query_id, policy, clause_id, score, rank) by dot product among the rows (policy, clause_id, vec) of the query's policy."""
     dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     joined = queries.select("query_id", "policy", F.col("vec").alias("q")).join(rows, "policy")
     scored = joined.where("query_id <> clause_id").withColumn("score", dot)
-    return top_k(scored.select("query_id", "clause_id", "score"), k)
+    return top_k(scored.select("query_id", "policy", "clause_id", "score"), k)
 
 
 def fuse_rrf(lists: list[tuple[DataFrame, float]]) -> DataFrame:
-    """(query_id, clause_id, score): weighted reciprocal ranks over several ranked lists."""
-    parts = [df.select("query_id", "clause_id", (F.lit(w) / (RRF + F.col("rank"))).alias("part")) for df, w in lists]
+    """(query_id, policy, clause_id, score): weighted reciprocal ranks over several ranked lists."""
+    parts = [df.select("query_id", "policy", "clause_id", (F.lit(w) / (RRF + F.col("rank"))).alias("part")) for df, w in lists]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("query_id", "clause_id").agg(F.sum("part").alias("score"))
+    return every.groupBy("query_id", "policy", "clause_id").agg(F.sum("part").alias("score"))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -101,27 +103,33 @@ def overlap(a: Column, b: Column) -> Column:
     return F.floor(common * common * 1_000_000 / F.greatest(F.size(a) * F.size(b), F.lit(1))).cast("long")
 
 
-def rerank(candidates: DataFrame, top_n: int = 3) -> DataFrame:
-    """(query_id, clause_id, score, rank) from (query_id, clause_id, window, q_words, words): the best window of each clause, then the best clauses."""
-    scored = candidates.withColumn("score", overlap(F.col("q_words"), F.col("words")))
-    best = scored.groupBy("query_id", "clause_id").agg(F.max(F.struct("score", -F.col("window"))).alias("b"))
-    return top_k(best.select("query_id", "clause_id", F.col("b.score").alias("score")), top_n)
+def rerank(candidates: DataFrame, top_n: int = 3, scorer: Callable | None = None) -> DataFrame:
+    """(query_id, policy, clause_id, score, rank): the best window of each clause, then the best clauses.
+
+    candidates: (query_id, policy, clause_id, window, q_words, words). A scorer is a
+    function from them to the same rows with a ``score``; without one words are compared.
+    """
+    scored = scorer(candidates) if scorer else candidates.withColumn("score", overlap(F.col("q_words"), F.col("words")))
+    best = scored.groupBy("query_id", "policy", "clause_id").agg(F.max(F.struct("score", -F.col("window"))).alias("b"))
+    return top_k(best.select("query_id", "policy", "clause_id", F.col("b.score").alias("score")), top_n)
 
 
 def follow_refs(hits: DataFrame, refs: DataFrame, limit: int = 4) -> DataFrame:
-    """Hits with up to ``limit`` clauses that they name (clause_id, refs), in the order of hits and of their refs, score 0."""
-    named = hits.join(refs, "clause_id").select("query_id", "rank", F.posexplode("refs").alias("pos", "ref"), F.col("clause_id").alias("via"))
-    known = hits.select("query_id", F.col("clause_id").alias("ref"))
-    fresh = named.join(known, ["query_id", "ref"], "left_anti")
-    first = fresh.groupBy("query_id", "ref").agg(F.min(F.struct("rank", "pos", "via")).alias("f"))
+    """Hits with up to ``limit`` clauses of their policy that they name (policy, clause_id, refs), in the order of hits and of their refs, score 0."""
+    joined = hits.hint("merge").join(refs, ["policy", "clause_id"])
+    named = joined.select("query_id", "policy", "rank", F.posexplode("refs").alias("pos", "ref"), F.col("clause_id").alias("via"))
+    known = hits.select("query_id", "policy", F.col("clause_id").alias("ref"))
+    fresh = named.hint("merge").join(known, ["query_id", "policy", "ref"], "left_anti")
+    first = fresh.groupBy("query_id", "policy", "ref").agg(F.min(F.struct("rank", "pos", "via")).alias("f"))
     order = Window.partitionBy("query_id").orderBy("f.rank", "f.pos")
     added = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
-    more = added.select("query_id", F.col("ref").alias("clause_id"), F.lit(0).cast("long").alias("score"), F.col("f.via").alias("via_ref_of"))
-    return hits.select("query_id", "clause_id", "score", F.lit(None).cast("long").alias("via_ref_of")).unionByName(more)
+    more = added.select("query_id", "policy", F.col("ref").alias("clause_id"), F.lit(0).cast("long").alias("score"), F.col("f.via").alias("via_ref_of"))
+    return hits.select("query_id", "policy", "clause_id", "score", F.lit(None).cast("long").alias("via_ref_of")).unionByName(more)
 
 
 def drop_unknown(hits: DataFrame, clauses: DataFrame) -> DataFrame:
-    return hits.join(clauses.select("clause_id"), "clause_id", "left_semi")
+    """Hits that are clauses of their own policy."""
+    return hits.hint("merge").join(clauses.select("policy", "clause_id"), ["policy", "clause_id"], "left_semi")
 
 
 def below_threshold(hits: DataFrame, least: int) -> DataFrame:

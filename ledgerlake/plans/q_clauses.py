@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import adjudicate as A
 from ledgerlake.operators import clause_rules as K
 from ledgerlake.operators import corpus as C
+from ledgerlake.operators import retrieval as R
 from ledgerlake.operators.rules import deduction_clauses, not_payable_list, room_caps
 from ledgerlake.plans import views as V
 from ledgerlake.plans.q_adjudicate import _CAPS, _DED, _LIST, _SECOND, _WAIT, _capped
@@ -116,16 +117,15 @@ def split_unnumbered_definitions(spark, sf_dir):
     return K.split_unnumbered_definitions(lines, first)
 
 
-@register("parse_exclusion_pairs", "SELECT CAST(1 + row_number() OVER (ORDER BY k) * 2 - 2 AS INTEGER) AS no, item FROM (SELECT p_name AS item, min(p_partkey) AS k FROM part GROUP BY p_name)")
+@register("parse_exclusion_pairs", f"""WITH {V.LINES}, p AS (SELECT bill_id, line_no, CASE WHEN line_no % 3 = 1 THEN line_no * 10 END AS no, item FROM lines),
+  f AS (SELECT DISTINCT ON (bill_id, item) * FROM p ORDER BY bill_id, item, line_no), g AS (SELECT *, count(no) OVER (PARTITION BY bill_id ORDER BY line_no) AS k FROM f)
+  SELECT bill_id, CAST(coalesce(max(no) OVER (PARTITION BY bill_id, k), 0) + row_number() OVER (PARTITION BY bill_id, k ORDER BY line_no) - least(k, 1) AS INTEGER) AS no, item FROM g""")
 def parse_exclusion_pairs(spark, sf_dir):
-    # The distinct part names in their first order, with odd numbers; every name comes again with other spacing.
-    from pyspark.sql import Window
-
-    parts = V.table(spark, sf_dir, "part")
-    named = parts.groupBy("p_name").agg(F.min("p_partkey").alias("pos"))
-    numbered = named.select("pos", (F.row_number().over(Window.orderBy("pos")) * 2 - 1).alias("no"), F.col("p_name").alias("item"))
-    again = parts.select((F.col("p_partkey") + 10_000_000).alias("pos"), F.lit(None).cast("int").alias("no"), F.upper(F.replace("p_name", F.lit(" "), F.lit("   "))).alias("item"))
-    return K.parse_exclusion_pairs(numbered.unionByName(again))
+    """Each bill as a printed list: every third entry has a number, names are spaced out and some come again."""
+    spaced = F.replace("item", F.lit(" "), F.lit("   "))
+    no = F.when(F.col("line_no") % 3 == 1, F.col("line_no") * 10)
+    rows = V.bill_lines(spark, sf_dir).select(F.col("bill_id").alias("list"), F.col("line_no").alias("pos"), no.alias("no"), spaced.alias("item"))
+    return K.parse_exclusion_pairs(rows).withColumnRenamed("list", "bill_id")
 
 
 @register("damaged_table_cells", f"WITH {V.LINES} SELECT bill_id AS table_id, line_no AS row, 1 AS col FROM lines l WHERE line_no > 1 AND length(item) > 9 AND item = (SELECT item FROM lines f WHERE f.bill_id = l.bill_id AND f.line_no = 1)")
@@ -141,9 +141,9 @@ def embed(spark, sf_dir):
     return told.select("doc_id", (F.abs(length - 1) < 1e-9).alias("unit"))
 
 
-@register("search", f"WITH {_FOLLOW} SELECT query_id, clause_id, score FROM followed WHERE clause_id IN (SELECT doc_id FROM documents)")
+@register("search", f"WITH {_FOLLOW} SELECT query_id, clause_id, score FROM followed JOIN documents ON doc_id = clause_id AND source = concat('src', query_id % 20)")
 def search(spark, sf_dir):
-    return _followed(spark, sf_dir).join(V.clauses(spark, sf_dir).select("clause_id"), "clause_id", "left_semi").select("query_id", "clause_id", "score")
+    return R.drop_unknown(_followed(spark, sf_dir), V.clauses(spark, sf_dir)).select("query_id", "clause_id", "score")
 
 
 @register("build_corpus", f"""WITH {_ISL}, k AS (SELECT policy, clause_id, title, text, pos, row_number() OVER (PARTITION BY policy, clause_id ORDER BY length(text) DESC, pos) AS r FROM cl WHERE length(text) >= 60)

@@ -84,11 +84,9 @@ def _title_step(title: str, following: str) -> str:
   SELECT policy, seq, CASE WHEN contains(t, ': ') AND length(split_part(t, ': ', 1)) BETWEEN 4 AND 80 THEN split_part(t, ': ', 1) WHEN length(t) > 90
     THEN CASE WHEN regexp_extract(substr(t, 1, 90), '^(.*) [^ ]*$', 1) <> '' THEN regexp_extract(substr(t, 1, 90), '^(.*) [^ ]*$', 1) ELSE substr(t, 1, 90) END ELSE t END AS full_title FROM c""")
 def complete_title(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("policy").orderBy("seq")
-    told = C.heading_candidates(_numbered(spark, sf_dir)).withColumns({f"next{i}": F.lead("line", i).over(w) for i in (1, 2, 3)})
-    return C.complete_title(told.where("title IS NOT NULL")).select("policy", "seq", "full_title")
+    lines = C.heading_candidates(_numbered(spark, sf_dir))
+    told = C.with_following(lines.where("title IS NOT NULL"), lines)
+    return C.complete_title(told).select("policy", "seq", "full_title")
 
 
 @register("is_table_debris", f"""WITH {_L}, w AS (SELECT policy, seq, line, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM lines)

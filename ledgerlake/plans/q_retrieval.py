@@ -83,8 +83,9 @@ _OVER = f"""qw AS (SELECT item_id AS query_id, list_distinct({_TOK.format(t="tex
 
 def _candidates(spark, sf_dir):
     asked = _queries(spark, sf_dir).select("query_id", F.array_distinct(R.tokens(F.col("text"))).alias("q_words"))
-    windows = R.sub_chunk(V.clauses(spark, sf_dir)).select("clause_id", "window", F.array_distinct(R.tokens(F.col("text"))).alias("words"))
-    return _lexical(spark, sf_dir).select("query_id", "clause_id").join(asked, "query_id").join(windows, "clause_id")
+    windows = R.sub_chunk(V.clauses(spark, sf_dir)).select("policy", "clause_id", "window", F.array_distinct(R.tokens(F.col("text"))).alias("words"))
+    found = _lexical(spark, sf_dir).select("query_id", "policy", "clause_id").join(asked, "query_id")
+    return found.hint("merge").join(windows, ["policy", "clause_id"])
 
 
 def _reranked(spark, sf_dir):
@@ -93,7 +94,7 @@ def _reranked(spark, sf_dir):
 
 @register("rerank", f"WITH {_CHUNKS}, {_BM25}, {_OVER} SELECT query_id, clause_id, rank, CAST(score AS BIGINT) AS score FROM rr")
 def rerank(spark, sf_dir):
-    return _reranked(spark, sf_dir)
+    return _reranked(spark, sf_dir).drop("policy")
 
 
 @register("fuse_rrf", f"""WITH {_CHUNKS}, {_BM25}, {_OVER}, p AS (SELECT query_id, clause_id, 0.6 / (60 + rank) AS part FROM rr UNION ALL SELECT query_id, clause_id, 0.4 / (60 + rank) FROM lex)
@@ -111,16 +112,16 @@ _FOLLOW = f"""{_CHUNKS}, {_BM25}, {_OVER}, {_REFS}, nm AS (SELECT query_id, rank
 
 
 def _followed(spark, sf_dir):
-    refs = V.clauses(spark, sf_dir).selectExpr("clause_id", "array(clause_id + 20, (clause_id * 3) % 1000, clause_id + 40) AS refs")
+    refs = V.clauses(spark, sf_dir).selectExpr("policy", "clause_id", "array(clause_id + 20, (clause_id * 3) % 1000, clause_id + 40) AS refs")
     return R.follow_refs(_reranked(spark, sf_dir), refs)
 
 
 @register("follow_refs", f"WITH {_FOLLOW} SELECT * FROM followed")
 def follow_refs(spark, sf_dir):
-    return _followed(spark, sf_dir)
+    return _followed(spark, sf_dir).drop("policy")
 
 
-@register("drop_unknown", f"WITH {_FOLLOW} SELECT query_id, clause_id FROM followed WHERE clause_id IN (SELECT doc_id FROM documents)")
+@register("drop_unknown", f"WITH {_FOLLOW} SELECT query_id, clause_id FROM followed JOIN documents ON doc_id = clause_id AND source = concat('src', query_id % 20)")
 def drop_unknown(spark, sf_dir):
     return R.drop_unknown(_followed(spark, sf_dir), V.clauses(spark, sf_dir)).select("query_id", "clause_id")
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import text as T
 from ledgerlake.operators import adjudicate as A
+from ledgerlake.operators import clause_rules as K
+from ledgerlake.operators import corpus as C
 from ledgerlake.operators import intake as I
 from ledgerlake.operators import memo as M
 from ledgerlake.operators import retrieval as R
@@ -147,3 +149,41 @@ def test_memo_computes_unknown_rows_only(spark):
     first, fresh = M.memoise(df.limit(1), None, ["a", "b"], compute, F.lit(True))
     done, more = M.memoise(df, fresh.withColumn("c", F.lit(99)), ["a", "b"], compute, F.lit(True))
     assert sorted((r["a"], r["c"]) for r in done.collect()) == [(1, 99), (3, 7)] and more.count() == 1
+
+
+def test_pages_are_folded_over_several_ranges(spark):
+    rows = [(f"p{i % 3}", i, None if i % 4 else i) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pages = spark.createDataFrame(rows, "policy string, page int, v long")
+        last = {(r["policy"], r["page"]): r["before"] for r in C.earlier_pages(pages, "last").collect()}
+        sums = {(r["policy"], r["page"]): r["before"] for r in C.earlier_pages(pages.fillna(1, "v"), "sum").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for policy, page, _ in rows:
+        above = [v for p, n, v in rows if p == policy and n < page]
+        assert last[policy, page] == next((v for v in reversed(above) if v is not None), None)
+        assert sums[policy, page] == sum(1 if v is None else v for v in above)
+
+
+def test_lines_are_numbered_and_carried_over_pages(spark):
+    text = [("a", 1, "One.\nx"), ("a", 2, ""), ("a", 3, "y\nTwo.\nz"), ("b", 1, None), ("b", 2, "q")]
+    lines = C.page_lines(spark.createDataFrame(text, "policy string, page int, text string"))
+    got = [tuple(r) for r in C.section_carry(lines, r"^[A-Z].*\.$").orderBy("policy", "seq").select("policy", "seq", "line", "section").collect()]
+    assert got == [("a", 1, "One.", "One."), ("a", 2, "x", "One."), ("a", 3, "", "One."), ("a", 4, "y", "One."), ("a", 5, "Two.", "Two."), ("a", 6, "z", "Two."), ("b", 1, "q", None)]
+
+
+def test_missing_numbers_of_a_list_are_the_next_free_ones(spark):
+    rows = [(1, 1, "soap"), (2, None, "towel"), (3, 2, "gown"), (4, None, "  cap "), (5, None, "SOAP"), (6, 5, "comb"), (7, None, "ab"), (8, None, "mask"), (9, None, "item")]
+    df = spark.createDataFrame([(k, *r) for k in (1, 2) for r in rows], "list int, pos int, no int, item string")
+    want = [(1, "soap"), (3, "towel"), (2, "gown"), (4, "cap"), (5, "comb"), (6, "mask")]
+    assert sorted(map(tuple, K.parse_exclusion_pairs(df).collect())) == sorted((k, *w) for k in (1, 2) for w in want)
+
+
+def test_equal_clause_ids_of_two_policies_stay_apart(spark):
+    hits = spark.createDataFrame([(1, "a", 7, 5, 1), (2, "b", 7, 4, 1)], "query_id long, policy string, clause_id long, score long, rank int")
+    refs = spark.createDataFrame([("a", 7, [8]), ("b", 7, [9])], "policy string, clause_id long, refs array<long>")
+    got = R.follow_refs(hits, refs)
+    assert sorted((r["query_id"], r["clause_id"]) for r in got.collect()) == [(1, 7), (1, 8), (2, 7), (2, 9)]
+    clauses = spark.createDataFrame([("a", 7), ("a", 9), ("b", 7), ("b", 9)], "policy string, clause_id long")
+    assert sorted((r["query_id"], r["clause_id"]) for r in R.drop_unknown(got, clauses).collect()) == [(1, 7), (2, 7), (2, 9)]
