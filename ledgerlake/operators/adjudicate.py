@@ -134,28 +134,46 @@ def months_served(start: str, end: str) -> Column:
     )
 
 
-def assess_waiting(bills: DataFrame, lines: DataFrame, pack: Pack = PACK) -> DataFrame:
-    """(bill_id, waiting): not_assessed, accident, specified (nil), initial (nil) or inside."""
-    told = lines.groupBy("bill_id").agg(
-        F.max(F.col("item").rlike(pack.accident)).alias("accident"),
-        F.max(F.col("item").rlike(r"\brod\b")).alias("condition"),
-    )
-    joined = bills.join(told, "bill_id", "left").withColumn("months", months_served("started", "admitted"))
-    days = F.datediff("admitted", "started")
+def assess_waiting(bills: DataFrame, lines: DataFrame, terms: DataFrame, pack: Pack = PACK) -> DataFrame:
+    """(bill_id, months, days, waiting, clause_id, why): whether a bill falls into a waiting period of its policy.
+
+    ``terms`` holds what each policy states (``waiting_terms``). waiting: not_assessed (a
+    date is missing), accident (carved out of every period), specified (nil: a condition
+    that the policy's own clause confirms), initial (nil) or served. A nil cites its
+    clause. The period for conditions that were there before is named, never applied:
+    nothing on a bill tells.
+    """
+    first = [F.min(F.when(F.col("item").rlike(rf"\b{w}\b"), F.col("line_no"))).alias(f"__{w}") for w in pack.conditions]
+    told = lines.groupBy("bill_id").agg(F.max(F.col("item").rlike(pack.accident)).alias("accident"), *first)
+    joined = bills.join(terms, "policy", "left").join(told, "bill_id", "left").withColumn("months", months_served("started", "admitted"))
+    joined = joined.withColumn("days", F.datediff("admitted", "started"))
+    named = [F.when(F.contains(F.lower("specified_text"), F.lit(w)) & F.col(f"__{w}").isNotNull(), F.struct(F.col(f"__{w}").alias("at"), F.lit(w).alias("word"))) for w in pack.conditions]
+    joined = joined.withColumn("condition", F.array_min(F.array_compact(F.array(*named)))["word"])
     waiting = (
         F.when(F.col("started").isNull() | F.col("admitted").isNull(), "not_assessed")
         .when(F.coalesce("accident", F.lit(False)), "accident")
-        .when(F.coalesce("condition", F.lit(False)) & (F.col("months") < pack.specified_months), "specified")
-        .when(days < pack.initial_days, "initial")
+        .when(F.col("condition").isNotNull() & (F.col("months") < F.col("specified_months")), "specified")
+        .when(F.col("days") < F.col("initial_days"), "initial")
         .otherwise("served")
     )
-    return joined.select("bill_id", "months", days.alias("days"), waiting.alias("waiting"))
+    joined = joined.withColumn("waiting", waiting)
+    over = F.expr("CASE WHEN condition IS NOT NULL THEN concat(', ', condition, ' is named but its ', specified_months, ' months are over') END")
+    before = F.expr("CASE WHEN ped_clause IS NOT NULL THEN concat('; ', ped_clause, ' on earlier conditions was not assessed') END")
+    why = (
+        F.when(F.col("waiting") == "not_assessed", "a date is missing")
+        .when(F.col("waiting") == "accident", "an accident is carved out")
+        .when(F.col("waiting") == "specified", F.expr("concat(specified_clause, ': ', condition, ' waits ', specified_months, ' months, ', months, ' were served')"))
+        .when(F.col("waiting") == "initial", F.expr("concat(initial_clause, ': ', days, ' of ', initial_days, ' days were served')"))
+        .otherwise(F.concat_ws("", F.concat(F.col("months"), F.lit(" months were served")), over, before))
+    )
+    cited = F.when(F.col("waiting") == "specified", F.col("specified_clause")).when(F.col("waiting") == "initial", F.col("initial_clause"))
+    return joined.select("bill_id", "months", "days", "waiting", cited.alias("clause_id"), why.alias("why"))
 
 
 def waiting_nil_lines(lines: DataFrame, waiting: DataFrame) -> DataFrame:
-    """The lines of excluded bills, allowed 0; all later stages leave them alone."""
+    """The lines of excluded bills, allowed 0, with the clause and the reason; all later stages leave them alone."""
     nil = waiting.where("waiting IN ('specified', 'initial')")
-    return lines.join(nil.select("bill_id", "waiting"), "bill_id").withColumn("allowed", F.lit(0).cast("bigint"))
+    return lines.join(nil.select("bill_id", "waiting", "clause_id", "why"), "bill_id").withColumn("allowed", F.lit(0).cast("bigint"))
 
 
 def cap_rooms(lines: DataFrame, caps: DataFrame, pack: Pack = PACK) -> DataFrame:

@@ -28,32 +28,58 @@ def room_clause(told: DataFrame) -> DataFrame:
 
 def sum_insured_options(clauses: DataFrame) -> DataFrame:
     """(policy, options): the sums insured that the policy's tables name, sorted; the standard four where none does."""
-    named = F.flatten(F.collect_list(F.transform(F.regexp_extract_all("text", F.lit(SUM_ROW), F.lit(1)), lambda x: x.cast("bigint"))))
-    found = clauses.groupBy("policy").agg(F.array_sort(F.array_distinct(named)).alias("options"))
+    named = F.transform(F.regexp_extract_all("text", F.lit(SUM_ROW), F.lit(1)), lambda x: x.cast("bigint"))
+    each = clauses.select("policy", F.explode_outer(F.array_distinct(named)).alias("option")).distinct()
+    found = each.groupBy("policy").agg(F.array_sort(F.collect_list("option")).alias("options"))
     standard = F.array(*[F.lit(x).cast("bigint") for x in STANDARD_SUMS])
     return found.withColumn("options", F.when(F.size("options") > 0, F.col("options")).otherwise(standard))
 
 
-def waiting_periods(clauses: DataFrame, kinds: dict) -> DataFrame:
-    """(policy, kind, clause_id, number): of the clauses that carry a kind's code, the shortest, with the first number it states.
+#: Kind -> (pattern of the exclusion code, pattern of the number, number preferred where several are stated, unit).
+WAITING_KINDS = {
+    "ped": (r"(?i)\bexcl\s*-?0?1\b", r"([0-9]{1,3})\s*months", 36, "months"),
+    "specified": (r"(?i)\bexcl\s*-?0?2\b", r"([0-9]{1,3})\s*months", 24, "months"),
+    "initial": (r"(?i)\bexcl\s*-?0?3\b", r"([0-9]{1,3})\s*days", None, "days"),
+}
 
-    kinds: kind -> (pattern of the code, pattern of the number). 36 and 24 are preferred where several are stated.
-    """
-    every = None
-    for kind, (code, number) in kinds.items():
-        stated = F.transform(F.regexp_extract_all("text", F.lit(number), F.lit(1)), lambda x: x.cast("int"))
-        told = clauses.where(F.col("text").rlike(code)).select("policy", F.lit(kind).alias("kind"), "clause_id", F.length("text").alias("size"), stated.alias("all"))
-        every = told if every is None else every.unionByName(told)
-    best = F.when(F.array_contains("all", 36), 36).when(F.array_contains("all", 24), 24).otherwise(F.get("all", F.lit(0)))
-    short = every.groupBy("policy", "kind").agg(F.min_by(F.struct("clause_id", best.alias("number")), F.struct("size", "clause_id")).alias("b"))
-    return short.select("policy", "kind", F.col("b.clause_id").alias("clause_id"), F.col("b.number").alias("number"))
+
+def waiting_periods(clauses: DataFrame, kinds: dict = WAITING_KINDS) -> DataFrame:
+    """(policy, kind, clause_id, months, days): for each kind the shortest clause that carries its code and states a
+    number, and that number: the preferred one if it is among them, else the first. One clause may state several kinds."""
+    t = F.col("text")
+
+    def stated(kind: str) -> Column:
+        code, number, best, unit = kinds[kind]
+        every = F.transform(F.regexp_extract_all("text", F.lit(number), F.lit(1)), lambda x: x.cast("int"))
+        value = F.when(F.array_contains(every, best), best).otherwise(F.get(every, F.lit(0))) if best else F.get(every, F.lit(0))
+        months, days = (value, F.lit(None)) if unit == "months" else (F.lit(None), value)
+        return F.when(t.rlike(code) & value.isNotNull(), F.struct(F.lit(kind).alias("kind"), months.cast("int").alias("months"), days.cast("int").alias("days")))
+
+    told = clauses.select("policy", "clause_id", F.length("text").alias("size"), F.explode(F.array_compact(F.array(*[stated(k) for k in kinds]))).alias("p"))
+    order = F.struct("size", "clause_id")
+    short = told.groupBy("policy", F.col("p.kind").alias("kind")).agg(F.min_by(F.struct("clause_id", "p.months", "p.days"), order).alias("b"))
+    return short.select("policy", "kind", "b.clause_id", "b.months", "b.days")
+
+
+def waiting_terms(periods: DataFrame, clauses: DataFrame) -> DataFrame:
+    """One row for each policy of ``waiting_periods``, with the text of the clause on specified conditions, for ``assess_waiting``."""
+    text = clauses.select(F.col("policy").alias("__p"), F.col("clause_id").alias("__c"), F.col("text").alias("specified_text"))
+    told = periods.join(text.hint("merge"), F.expr("kind = 'specified' AND policy = __p AND clause_id = __c"), "left")
+    pick = lambda kind, field: F.max(F.when(F.col("kind") == kind, F.col(field)))
+    return told.groupBy("policy").agg(
+        pick("specified", "clause_id").alias("specified_clause"), pick("specified", "months").alias("specified_months"), pick("specified", "specified_text").alias("specified_text"),
+        pick("initial", "clause_id").alias("initial_clause"), pick("initial", "days").alias("initial_days"),
+        pick("ped", "clause_id").alias("ped_clause"), pick("ped", "months").alias("ped_months"),
+    )
 
 
 def confirmed_condition(lines: DataFrame, clauses: DataFrame, pattern: str) -> DataFrame:
     """(bill_id, line_no, condition): the first line of a bill whose condition word stands in its policy's clause (policy, text)."""
     told = lines.withColumn("condition", F.regexp_extract("item", pattern, 1)).where("condition <> ''")
-    held = told.join(F.broadcast(clauses), "policy").where(F.contains(F.lower("text"), F.col("condition")))
-    first = held.groupBy("bill_id").agg(F.min_by(F.struct("line_no", "condition"), "line_no").alias("f"))
+    # The texts are searched once for each policy and word, not once for each line.
+    words = told.select("policy", "condition").distinct()
+    held = words.join(clauses.hint("merge"), "policy").where(F.contains(F.lower("text"), F.col("condition"))).select("policy", "condition").distinct()
+    first = told.join(held, ["policy", "condition"], "left_semi").groupBy("bill_id").agg(F.min_by(F.struct("line_no", "condition"), "line_no").alias("f"))
     return first.select("bill_id", "f.line_no", "f.condition")
 
 

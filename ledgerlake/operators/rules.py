@@ -35,9 +35,14 @@ class Pack:
     caps: dict = field(default_factory=lambda: {"AFRICA": 100, "AMERICA": 150, "ASIA": 50, "EUROPE": 200, "MIDDLE EAST": 75})
     #: Policy -> the clause that states the proportionate deduction; a policy without one makes none.
     deductions: dict = field(default_factory=lambda: {"AFRICA": "II.4", "AMERICA": "B.2", "ASIA": "C.7", "EUROPE": "II.9"})
+    #: Words that may name a condition of the specified list; a policy's own clause has to confirm them.
+    conditions: tuple = ("rod", "anvil")
+    #: Policy -> the words of its clause on specified conditions.
+    specified: dict = field(default_factory=lambda: {"AFRICA": "rod", "AMERICA": "rod, ring", "ASIA": "a rod", "EUROPE": "Rod", "MIDDLE EAST": "bolt"})
     #: Kind -> months or days to be served.
     initial_days: int = 30
     specified_months: int = 24
+    preexisting_months: int = 36
 
 
 PACK = Pack()
@@ -60,5 +65,12 @@ def deduction_clauses(spark: SparkSession, pack: Pack = PACK) -> DataFrame:
     return spark.createDataFrame(sorted(pack.deductions.items()), "policy string, clause_id string")
 
 
+def waiting_terms(spark: SparkSession, pack: Pack = PACK) -> DataFrame:
+    """One row for each policy, as ``clause_rules.waiting_terms`` reads it from clauses."""
+    rows = [(p, "W.2", pack.specified_months, words, "W.3", pack.initial_days, "W.1", pack.preexisting_months) for p, words in sorted(pack.specified.items())]
+    names = "specified_clause string, specified_months int, specified_text string, initial_clause string, initial_days int, ped_clause string, ped_months int"
+    return spark.createDataFrame(rows, "policy string, " + names)
+
+
 def room_caps(spark: SparkSession, pack: Pack = PACK) -> DataFrame:
     return spark.createDataFrame(sorted(pack.caps.items()), "policy string, cap_rate int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import adjudicate as A
-from ledgerlake.operators.rules import PACK, deduction_clauses, not_payable_list, room_caps
+from ledgerlake.operators.rules import PACK, deduction_clauses, not_payable_list, room_caps, waiting_terms
 from ledgerlake.plans import views as V
 from ledgerlake.plans.registry import register
 
@@ -33,7 +33,7 @@ served AS (
   FROM bills LEFT JOIN told USING (bill_id)
 ), waiting AS (
   SELECT *, CASE WHEN started IS NULL OR admitted IS NULL THEN 'not_assessed' WHEN coalesce(accident, false) THEN 'accident'
-    WHEN coalesce(cond, false) AND months < {PACK.specified_months} THEN 'specified' WHEN days < {PACK.initial_days} THEN 'initial' ELSE 'served' END AS waiting
+    WHEN coalesce(cond, false) AND policy <> 'MIDDLE EAST' AND months < {PACK.specified_months} THEN 'specified' WHEN days < {PACK.initial_days} THEN 'initial' ELSE 'served' END AS waiting
   FROM served
 )"""
 
@@ -179,22 +179,28 @@ def room_verdict(spark, sf_dir):
 
 @register("months_served", f"WITH {_WAIT} SELECT bill_id, months, days FROM waiting")
 def months_served(spark, sf_dir):
-    return A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir)).select("bill_id", "months", "days")
+    return A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir), waiting_terms(spark)).select("bill_id", "months", "days")
 
 
-@register("assess_waiting", f"WITH {_WAIT} SELECT bill_id, waiting FROM waiting")
+_WHY = """CASE waiting WHEN 'not_assessed' THEN 'a date is missing' WHEN 'accident' THEN 'an accident is carved out'
+  WHEN 'specified' THEN 'W.2: rod waits 24 months, ' || months || ' were served' WHEN 'initial' THEN 'W.3: ' || days || ' of 30 days were served'
+  ELSE months || ' months were served' || CASE WHEN coalesce(cond, false) AND policy <> 'MIDDLE EAST' THEN ', rod is named but its 24 months are over' ELSE '' END || '; W.1 on earlier conditions was not assessed' END AS why"""
+_CITES = "CASE waiting WHEN 'specified' THEN 'W.2' WHEN 'initial' THEN 'W.3' END AS clause_id"
+
+
+@register("assess_waiting", f"WITH {_WAIT} SELECT bill_id, waiting, {_CITES}, {_WHY} FROM waiting")
 def assess_waiting(spark, sf_dir):
-    return A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir)).select("bill_id", "waiting")
+    return A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir), waiting_terms(spark)).select("bill_id", "waiting", "clause_id", "why")
 
 
 @register(
     "waiting_nil_lines",
-    f"WITH {_WAIT} SELECT bill_id, line_no, waiting, CAST(0 AS BIGINT) AS allowed FROM lines JOIN waiting USING (bill_id) WHERE waiting IN ('specified', 'initial')",
+    f"WITH {_WAIT} SELECT bill_id, line_no, waiting, {_CITES}, CAST(0 AS BIGINT) AS allowed FROM lines JOIN waiting USING (bill_id) WHERE waiting IN ('specified', 'initial')",
 )
 def waiting_nil_lines(spark, sf_dir):
     lines = V.bill_lines(spark, sf_dir)
-    nil = A.waiting_nil_lines(lines, A.assess_waiting(V.bills(spark, sf_dir), lines))
-    return nil.select("bill_id", "line_no", "waiting", "allowed")
+    nil = A.waiting_nil_lines(lines, A.assess_waiting(V.bills(spark, sf_dir), lines, waiting_terms(spark)))
+    return nil.select("bill_id", "line_no", "waiting", "clause_id", "allowed")
 
 
 @register(
@@ -295,6 +301,6 @@ def compare_policies(spark, sf_dir):
 )
 def derive_expected(spark, sf_dir):
     lines = V.lines_of_bills(spark, sf_dir)
-    waiting = A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir))
+    waiting = A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir), waiting_terms(spark))
     done = A.derive_expected(lines, waiting, not_payable_list(spark), room_caps(spark), deduction_clauses(spark))
     return done.select("bill_id", "line_no", "rule", "expected")

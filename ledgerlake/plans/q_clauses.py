@@ -8,7 +8,7 @@ from ledgerlake.operators import adjudicate as A
 from ledgerlake.operators import clause_rules as K
 from ledgerlake.operators import corpus as C
 from ledgerlake.operators import retrieval as R
-from ledgerlake.operators.rules import deduction_clauses, not_payable_list, room_caps
+from ledgerlake.operators.rules import deduction_clauses, not_payable_list, room_caps, waiting_terms
 from ledgerlake.plans import views as V
 from ledgerlake.plans.q_adjudicate import _CAPS, _DED, _LIST, _SECOND, _WAIT, _capped
 from ledgerlake.plans.q_corpus import _ISL, _L, _lines, _numbered
@@ -50,17 +50,42 @@ def sum_insured_options(spark, sf_dir):
     return K.sum_insured_options(_tabled(spark, sf_dir)).select("policy", F.array_join("options", ",").alias("options"))
 
 
-_PERIODS = r"""pc AS (SELECT source AS policy, doc_id AS clause_id, length(text) AS n, text FROM documents), pk AS (
-    SELECT policy, 'token' AS kind, clause_id, n, regexp_extract_all(text, '([0-9]{2})', 1) AS a FROM pc WHERE contains(text, 'token')
-    UNION ALL SELECT policy, 'card', clause_id, n, regexp_extract_all(text, '([0-9]{1,4})', 1) FROM pc WHERE regexp_matches(text, '[0-9]{4}')),
-  periods AS (SELECT DISTINCT ON (policy, kind) policy, kind, clause_id, CASE WHEN list_contains(list_transform(a, lambda x: x::INTEGER), 36) THEN 36 WHEN list_contains(list_transform(a, lambda x: x::INTEGER), 24) THEN 24 ELSE a[1]::INTEGER END AS number
-    FROM pk ORDER BY policy, kind, n, clause_id)"""
-_KINDS = {"token": ("token", "([0-9]{2})"), "card": ("[0-9]{4}", "([0-9]{1,4})")}
+def _coded(spark, sf_dir):
+    """Clauses of which some carry exclusion codes with their periods."""
+    code = """CASE clause_id % 6 WHEN 0 THEN ' Code Excl01: 12 or 36 months' WHEN 1 THEN ' Code Excl02: 24 months for rod, anvil' WHEN 2 THEN ' Code Excl02: 18 months for anvil'
+      WHEN 3 THEN ' Code Excl03: 30 days' WHEN 4 THEN ' Code Excl03: no number' ELSE '' END"""
+    return V.clauses(spark, sf_dir).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.expr(code)))
 
 
-@register("waiting_periods", f"WITH {_PERIODS} SELECT policy, kind, clause_id, number FROM periods")
+_PERIODS = r"""pc AS (SELECT source AS policy, doc_id AS clause_id, coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' Code Excl01: 12 or 36 months' WHEN 1 THEN ' Code Excl02: 24 months for rod, anvil'
+    WHEN 2 THEN ' Code Excl02: 18 months for anvil' WHEN 3 THEN ' Code Excl03: 30 days' WHEN 4 THEN ' Code Excl03: no number' ELSE '' END AS text FROM documents),
+  pm AS (SELECT policy, clause_id, text, length(text) AS n, list_transform(regexp_extract_all(text, '([0-9]{1,3})\s*months', 1), lambda x: x::INTEGER) AS ms, list_transform(regexp_extract_all(text, '([0-9]{1,3})\s*days', 1), lambda x: x::INTEGER) AS ds FROM pc),
+  pk AS (SELECT policy, 'ped' AS kind, clause_id, n, CASE WHEN list_contains(ms, 36) THEN 36 ELSE ms[1] END AS months, NULL::INTEGER AS days FROM pm WHERE regexp_matches(text, '(?i)\bexcl\s*-?0?1\b') AND len(ms) > 0
+    UNION ALL SELECT policy, 'specified', clause_id, n, CASE WHEN list_contains(ms, 24) THEN 24 ELSE ms[1] END, NULL FROM pm WHERE regexp_matches(text, '(?i)\bexcl\s*-?0?2\b') AND len(ms) > 0
+    UNION ALL SELECT policy, 'initial', clause_id, n, NULL, ds[1] FROM pm WHERE regexp_matches(text, '(?i)\bexcl\s*-?0?3\b') AND len(ds) > 0),
+  periods AS (SELECT DISTINCT ON (policy, kind) policy, kind, clause_id, months, days FROM pk ORDER BY policy, kind, n, clause_id)"""
+
+
+@register("waiting_periods", f"WITH {_PERIODS} SELECT policy, kind, clause_id, months, days FROM periods")
 def waiting_periods(spark, sf_dir):
-    return K.waiting_periods(V.clauses(spark, sf_dir), _KINDS)
+    return K.waiting_periods(_coded(spark, sf_dir))
+
+
+@register("waiting_by_clauses", f"""WITH {V.BOTH}, {_PERIODS}, tm AS (SELECT policy, max(clause_id) FILTER (kind = 'specified') AS sc, max(months) FILTER (kind = 'specified') AS sm,
+    max(clause_id) FILTER (kind = 'initial') AS ic, max(days) FILTER (kind = 'initial') AS idays FROM periods GROUP BY policy),
+  tt AS (SELECT tm.*, lower(pc.text) AS words FROM tm LEFT JOIN pc ON pc.policy = tm.policy AND pc.clause_id = tm.sc),
+  told AS (SELECT bill_id, bool_or(item LIKE 'black %') AS accident, bool_or(item LIKE '% rod') AS rod, bool_or(item LIKE '% anvil') AS anvil FROM lines GROUP BY bill_id),
+  b AS (SELECT bill_id, started, admitted, accident, (coalesce(rod, false) AND contains(words, 'rod')) OR (coalesce(anvil, false) AND contains(words, 'anvil')) AS cond, sc, sm, ic, idays,
+    (year(admitted) - year(started)) * 12 + month(admitted) - month(started) - (CASE WHEN day(admitted) < day(started) THEN 1 ELSE 0 END) AS months, admitted - started AS d
+    FROM bills LEFT JOIN told USING (bill_id) LEFT JOIN tt ON tt.policy = 'src' || (bill_id % 20)),
+  w AS (SELECT *, CASE WHEN started IS NULL OR admitted IS NULL THEN 'not_assessed' WHEN coalesce(accident, false) THEN 'accident' WHEN cond AND months < sm THEN 'specified' WHEN d < idays THEN 'initial' ELSE 'served' END AS waiting FROM b)
+  SELECT bill_id, waiting, CASE waiting WHEN 'specified' THEN sc WHEN 'initial' THEN ic END AS clause_id FROM w""")
+def waiting_by_clauses(spark, sf_dir):
+    """Periods, their clauses and the confirmed conditions all read from the clauses of a bill's policy."""
+    clauses = _coded(spark, sf_dir)
+    bills = V.bills(spark, sf_dir).withColumn("policy", F.expr("concat('src', bill_id % 20)"))
+    terms = K.waiting_terms(K.waiting_periods(clauses), clauses)
+    return A.assess_waiting(bills, V.bill_lines(spark, sf_dir), terms).select("bill_id", "waiting", "clause_id")
 
 
 _CONDITIONS = [("AFRICA", "bolt and rod"), ("ASIA", "Ring"), ("EUROPE", "none")]
@@ -166,7 +191,7 @@ def audit_bills(spark, sf_dir):
     """Waiting periods, then the list, then rooms, then the second pass, then the report: each stage takes what the one before left open."""
     keys, keep = ["bill_id", "line_no"], ["bill_id", "policy", "line_no", "cents", "allowed"]
     lines = V.lines_of_bills(spark, sf_dir)
-    nil = A.waiting_nil_lines(lines, A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir))).select(keep)
+    nil = A.waiting_nil_lines(lines, A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir), waiting_terms(spark))).select(keep)
     rest = lines.join(nil.select(keys), keys, "left_anti")
     listed = A.non_payable_match(rest, not_payable_list(spark)).where("allowed IS NOT NULL").select(keep)
     rest = rest.join(listed.select(keys), keys, "left_anti")
