@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.text import normalise_quote
 
 
-def score_lines(verdicts: DataFrame, key: DataFrame) -> DataFrame:
-    """Flags of each line (bill_id, line_no): key (expected, key_clause, key_flag) against (allowed, clause).
+def score_lines(verdicts: DataFrame, key: DataFrame, known: DataFrame) -> DataFrame:
+    """Flags of each line (bill_id, line_no): key (policy, expected, key_clause, key_flag) against (allowed, clause).
 
     Right: within one rupee, or both leave the line open. Lines that the key has not
-    filled (no amount and no flag) are marked unfilled and count for nothing else.
+    filled (no amount and no flag) are marked unfilled and count for nothing else. A
+    citation is fabricated where the policy has no such clause (known: policy, clause).
     """
-    both = key.join(verdicts, ["bill_id", "line_no"])
+    there = known.select("policy", "clause").distinct().withColumn("there", F.lit(True))
+    both = key.join(verdicts, ["bill_id", "line_no"]).join(there, ["policy", "clause"], "left")
     filled = F.col("expected").isNotNull() | F.coalesce("key_flag", F.lit(False))
     should, did = F.col("expected").isNull(), F.col("allowed").isNull()
     right = F.when(should, did).otherwise(F.coalesce(F.abs(F.col("allowed") - F.col("expected")) <= 100, F.lit(False)))
@@ -24,6 +26,7 @@ def score_lines(verdicts: DataFrame, key: DataFrame) -> DataFrame:
         (filled & F.coalesce(F.col("clause") == F.col("key_clause"), F.lit(False))).alias("cited"),
         (filled & should).alias("should_abstain"), (filled & did).alias("did_abstain"),
         (filled & should & ~did).alias("false_answer"), (filled & ~should & did).alias("dodge"),
+        (filled & F.col("clause").isNotNull() & F.col("there").isNull()).alias("fabricated"),
     )
 
 
@@ -43,7 +46,7 @@ def score_summary(flags: DataFrame) -> DataFrame:
     return flags.rollup("category").agg(
         n.alias("n"), _rate(right, n).alias("accuracy"), _rate(F.count_if("cited"), n).alias("citations"),
         _rate(off, due).alias("payout_error"), _rate(both, should).alias("recall"), _rate(both, did).alias("precision"),
-        F.count_if("false_answer").alias("false_answers"), F.count_if("dodge").alias("dodges"),
+        F.count_if("false_answer").alias("false_answers"), F.count_if("dodge").alias("dodges"), F.count_if("fabricated").alias("fabricated"),
     )
 
 
@@ -63,6 +66,12 @@ def exclusive_percentile(df: DataFrame, by: str, value: str, percent: int) -> Da
     return ends.select(by, "n", F.when(F.col("n") == 1, F.col("a") * 100).otherwise(F.col("a") * 100 + (F.col("b") - F.col("a")) * (F.col("place") - F.col("low") * 100)).cast("bigint").alias("p"))
 
 
+def latency_summary(runs: DataFrame, by: str, spent: str, calls: str, percent: int = 95) -> DataFrame:
+    """(by, n, p, mean_calls): the percentile of the time spent, and the mean number of calls in hundredths."""
+    mean = runs.groupBy(by).agg(F.expr(f"CAST(sum({calls}) * 100 DIV count(1) AS BIGINT)").alias("mean_calls"))
+    return exclusive_percentile(runs, by, spent, percent).join(mean, by)
+
+
 def retry_summary(summaries: DataFrame) -> DataFrame:
     """(n, fast, attempts, retried, answered_later) over (attempts, fast_path, abstained) of all lines."""
     return summaries.agg(
@@ -71,8 +80,20 @@ def retry_summary(summaries: DataFrame) -> DataFrame:
     )
 
 
-def threshold_gate(summary: DataFrame, least: int) -> DataFrame:
-    return summary.where("category IS NULL").select("n", "accuracy", (F.col("accuracy") >= least).alias("passed"))
+def threshold_gate(summary: DataFrame, runs: DataFrame, key: DataFrame, least: int) -> DataFrame:
+    """(n, accuracy, passed, in_key, in_run, backends, scope, may_record): accuracy against the least.
+
+    ``runs`` (bill_id, line_no, backend) is what was run. A run that left lines of the
+    key out is narrowed; such a run, or one of several backends, passes or fails but may
+    not be recorded. Each part is one row.
+    """
+    whole = key.agg(F.count(F.lit(1)).alias("in_key"))
+    asked = key.select("bill_id", "line_no")
+    run = runs.join(asked, ["bill_id", "line_no"], "left_semi").agg(F.count(F.lit(1)).alias("in_run"), F.count_distinct("backend").alias("backends"))
+    one = summary.where("category IS NULL").select("n", "accuracy", (F.col("accuracy") >= least).alias("passed"))
+    told = one.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(run))
+    scope = F.when(F.col("in_run") < F.col("in_key"), "narrowed").otherwise("whole")
+    return told.withColumn("scope", scope).withColumn("may_record", (scope == "whole") & (F.col("backends") == 1))
 
 
 def key_fill_status(key: DataFrame) -> DataFrame:
@@ -154,10 +175,17 @@ def match_printed_row(key: DataFrame, rows: DataFrame, width: int = 22) -> DataF
 
 
 def audit_profile(progress: DataFrame) -> DataFrame:
-    """(job, n, largest_gap, together): the longest wait between completions and how many came with the one before."""
+    """(job, n, largest_gap, together, retried, backends): the longest wait between completions, how many came with the one
+    before, how many took more than one attempt, and the lines of each backend as ``name=count``, comma-joined."""
     order = Window.partitionBy("job").orderBy("at", "event_id")
     gaps = progress.withColumn("gap", F.col("at") - F.lag("at").over(order))
-    return gaps.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("largest_gap"), F.count_if(F.col("gap") == 0).alias("together"))
+    each = gaps.groupBy("job", "backend").agg(
+        F.count(F.lit(1)).alias("n"), F.max("gap").alias("largest_gap"), F.count_if(F.col("gap") == 0).alias("together"), F.count_if(F.col("attempts") > 1).alias("retried")
+    )
+    names = F.array_join(F.array_sort(F.collect_list(F.concat("backend", F.lit("="), F.col("n")))), ",")
+    return each.groupBy("job").agg(
+        F.sum("n").alias("n"), F.max("largest_gap").alias("largest_gap"), F.sum("together").alias("together"), F.sum("retried").alias("retried"), names.alias("backends")
+    )
 
 
 def time_shares(trace: DataFrame) -> DataFrame:

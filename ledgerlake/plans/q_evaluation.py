@@ -10,26 +10,33 @@ from ledgerlake.plans import views as V
 from ledgerlake.plans.q_retrieval import holding
 from ledgerlake.plans.registry import register
 
-_KEY = f"""{V.BOTH}, v AS (SELECT bill_id, line_no, category, CASE WHEN bill_id % 6 = 0 THEN NULL ELSE cents END AS allowed, bill_id % 4 AS clause,
+_KEY = f"""{V.BOTH}, v AS (SELECT bill_id, line_no, policy, category, CASE WHEN bill_id % 6 = 0 THEN NULL ELSE cents END AS allowed, bill_id % 4 AS clause,
     CASE WHEN bill_id % 5 = 0 THEN NULL ELSE cents + CASE WHEN bill_id % 7 = 0 THEN 500 ELSE 50 END END AS expected, bill_id % 3 AS key_clause, bill_id % 10 = 0 AS key_flag FROM lb),
   fl AS (SELECT *, expected IS NOT NULL OR key_flag AS filled, expected IS NULL AS sh, allowed IS NULL AS di FROM v),
   flags AS (SELECT bill_id, line_no, category, expected, allowed, filled, filled AND CASE WHEN sh THEN di ELSE coalesce(abs(allowed - expected) <= 100, false) END AS "right",
-    filled AND clause = key_clause AS cited, filled AND sh AS should_abstain, filled AND di AS did_abstain, filled AND sh AND NOT di AS false_answer, filled AND NOT sh AND di AS dodge FROM fl)"""
+    filled AND clause = key_clause AS cited, filled AND sh AS should_abstain, filled AND di AS did_abstain, filled AND sh AND NOT di AS false_answer, filled AND NOT sh AND di AS dodge,
+    filled AND clause IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = fl.policy AND n_nationkey % 5 = fl.clause) AS fabricated FROM fl)"""
 
 
 def _key(spark, sf_dir):
     lines = V.lines_of_bills(spark, sf_dir)
     key = lines.selectExpr(
-        "bill_id", "line_no", "category", "CASE WHEN bill_id % 5 = 0 THEN NULL ELSE cents + CASE WHEN bill_id % 7 = 0 THEN 500 ELSE 50 END END AS expected",
+        "bill_id", "line_no", "policy", "category", "CASE WHEN bill_id % 5 = 0 THEN NULL ELSE cents + CASE WHEN bill_id % 7 = 0 THEN 500 ELSE 50 END END AS expected",
         "bill_id % 3 AS key_clause", "bill_id % 10 = 0 AS key_flag",
     )
     verdicts = lines.selectExpr("bill_id", "line_no", "CASE WHEN bill_id % 6 = 0 THEN NULL ELSE cents END AS allowed", "bill_id % 4 AS clause")
     return key, verdicts
 
 
+def _known(spark, sf_dir):
+    """The clauses of each policy: a number for each of its nations."""
+    places = V.table(spark, sf_dir, "nation").join(V.table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    return places.selectExpr("r_name AS policy", "n_nationkey % 5 AS clause")
+
+
 def _flags(spark, sf_dir):
     key, verdicts = _key(spark, sf_dir)
-    return E.score_lines(verdicts, key)
+    return E.score_lines(verdicts, key, _known(spark, sf_dir))
 
 
 @register("score_lines", f"WITH {_KEY} SELECT * FROM flags")
@@ -42,7 +49,7 @@ _SUM = """sm AS (SELECT category, count(*) FILTER (filled) AS n, count(*) FILTER
   CAST(sum(CASE WHEN filled AND expected IS NOT NULL THEN abs(coalesce(allowed, 0) - expected) END) * 10000 // nullif(sum(CASE WHEN filled THEN expected END), 0) AS BIGINT) AS payout_error,
   count(*) FILTER (should_abstain AND did_abstain) * 10000 // nullif(count(*) FILTER (should_abstain), 0) AS recall,
   count(*) FILTER (should_abstain AND did_abstain) * 10000 // nullif(count(*) FILTER (did_abstain), 0) AS precision,
-  count(*) FILTER (false_answer) AS false_answers, count(*) FILTER (dodge) AS dodges FROM flags GROUP BY ROLLUP (category))"""
+  count(*) FILTER (false_answer) AS false_answers, count(*) FILTER (dodge) AS dodges, count(*) FILTER (fabricated) AS fabricated FROM flags GROUP BY ROLLUP (category))"""
 
 
 @register("score_summary", f"WITH {_KEY}, {_SUM} SELECT * FROM sm")
@@ -50,17 +57,20 @@ def score_summary(spark, sf_dir):
     return E.score_summary(_flags(spark, sf_dir))
 
 
-@register("threshold_gate", f"WITH {_KEY}, {_SUM} SELECT n, accuracy, accuracy >= 5200 AS passed FROM sm WHERE category IS NULL")
+@register("threshold_gate", f"""WITH {_KEY}, {_SUM}, ru AS (SELECT count(*) AS in_run, count(DISTINCT CASE WHEN qty = 50 THEN 'fallback' ELSE 'first' END) AS backends FROM lines WHERE cents > 200000)
+  SELECT n, accuracy, accuracy >= 5200 AS passed, in_key, in_run, backends, CASE WHEN in_run < in_key THEN 'narrowed' ELSE 'whole' END AS scope, in_run = in_key AND backends = 1 AS may_record
+  FROM sm, ru, (SELECT count(*) AS in_key FROM lb) WHERE category IS NULL""")
 def threshold_gate(spark, sf_dir):
-    return E.threshold_gate(E.score_summary(_flags(spark, sf_dir)), 5200)
+    runs = V.bill_lines(spark, sf_dir).where("cents > 200000").selectExpr("bill_id", "line_no", "CASE WHEN qty = 50 THEN 'fallback' ELSE 'first' END AS backend")
+    return E.threshold_gate(E.score_summary(_flags(spark, sf_dir)), runs, _key(spark, sf_dir)[0], 5200)
 
 
 @register("latency_summary", """WITH e AS (SELECT user_id AS job, CAST(round(value * 100) AS BIGINT) AS v FROM events), s AS (SELECT job, list_sort(list(v)) AS vs, count(*) AS n FROM e GROUP BY job),
   p AS (SELECT *, least(greatest((n * 95 + 95) // 100, 1), greatest(n - 1, 1)) AS lo FROM s)
-  SELECT job, n, CAST(CASE WHEN n = 1 THEN vs[1] * 100 ELSE vs[lo] * 100 + (vs[lo + 1] - vs[lo]) * (n * 95 + 95 - lo * 100) END AS BIGINT) AS p FROM p""")
+  SELECT job, n, (SELECT CAST(sum(1 + event_id % 3) * 100 // count(*) AS BIGINT) FROM events WHERE user_id = p.job) AS mean_calls, CAST(CASE WHEN n = 1 THEN vs[1] * 100 ELSE vs[lo] * 100 + (vs[lo + 1] - vs[lo]) * (n * 95 + 95 - lo * 100) END AS BIGINT) AS p FROM p""")
 def latency_summary(spark, sf_dir):
-    spent = V.table(spark, sf_dir, "events").selectExpr("user_id AS job", "CAST(round(value * 100) AS BIGINT) AS v")
-    return E.exclusive_percentile(spent, "job", "v", 95)
+    spent = V.table(spark, sf_dir, "events").selectExpr("user_id AS job", "CAST(round(value * 100) AS BIGINT) AS v", "1 + event_id % 3 AS calls")
+    return E.latency_summary(spent, "job", "v", "calls")
 
 
 @register("retry_summary", f"""WITH {V.LINES} SELECT count(*) AS n, count(*) FILTER (qty % 5 = 0) AS fast, CAST(sum(1 + line_no % 3) AS BIGINT) AS attempts, count(*) FILTER (1 + line_no % 3 > 1) AS retried,
@@ -191,10 +201,11 @@ def operative_quote(spark, sf_dir):
     return E.operative_quote(clauses, F.lit("300000")).withColumn("quote", F.md5("quote"))
 
 
-@register("audit_profile", """WITH g AS (SELECT user_id AS job, epoch_us(ts) // 1000000 - lag(epoch_us(ts) // 1000000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS gap FROM events)
-  SELECT job, count(*) AS n, CAST(max(gap) AS BIGINT) AS largest_gap, count(*) FILTER (gap = 0) AS together FROM g GROUP BY job""")
+@register("audit_profile", """WITH g AS (SELECT user_id AS job, epoch_us(ts) // 1000000 - lag(epoch_us(ts) // 1000000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS gap, event_type AS backend, event_id FROM events),
+  c AS (SELECT job, string_agg(backend || '=' || n, ',' ORDER BY backend || '=' || n) AS backends FROM (SELECT job, backend, count(*) AS n FROM g GROUP BY ALL) GROUP BY job)
+  SELECT job, count(*) AS n, CAST(max(gap) AS BIGINT) AS largest_gap, count(*) FILTER (gap = 0) AS together, count(*) FILTER (event_id % 4 = 0) AS retried, any_value(backends) AS backends FROM g JOIN c USING (job) GROUP BY job""")
 def audit_profile(spark, sf_dir):
-    return E.audit_profile(V.table(spark, sf_dir, "events").selectExpr("user_id AS job", "event_id", "unix_seconds(CAST(ts AS TIMESTAMP)) AS at"))
+    return E.audit_profile(V.table(spark, sf_dir, "events").selectExpr("user_id AS job", "event_id", "unix_seconds(CAST(ts AS TIMESTAMP)) AS at", "event_type AS backend", "IF(event_id % 4 = 0, 2, 1) AS attempts"))
 
 
 @register("time_shares", """WITH s AS (SELECT event_type AS kind, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1)
