@@ -19,7 +19,18 @@ TABLE = "[table]"
 FUNCTION_WORDS = (
     r"(?i)\b(the|a|an|of|for|in|to|and|or|is|are|be|with|by|from|as|at|on|which|that|will|shall|any|all|this|these|its|our|we|you|if|under|upto|up)$"
 )
-REF_SHAPES = (r"clause ([0-9]+)", r"section ([0-9]+)", r"item ([0-9]+)")
+# How policies name a clause. (mention, one id in it), in the order in which references are listed.
+REF_SHAPES = (
+    (r"\bSection\s+([A-E][.\- ]\s?[0-9]+(?:\.[0-9]+)*)", r".+"),
+    (r"\bCoverages?\s+((?:[IVX]+\.[0-9]+(?:\.[0-9]+)*\s*,?\s*(?:and\s+)?)+)", r"[IVX]+\.[0-9]+(?:\.[0-9]+)*"),
+    (r"\b[Cc]lause\s+([0-9]+(?:\.[0-9]+)+)", r".+"),
+    (r"\bExclusions?\s+[Nn]o\.?\s*([0-9]+)", r".+"),
+)
+#: What parts the letter of a section from its number.
+SECTION_GAP = r"^([A-E])[.\- ]\s?"
+CODE_MENTION = r"(?:\bExclusions?\s+[Nn]o\.?\s*|(?i:Code[- ]?\s?Excl\s?))(0?[0-9]{1,2})"
+#: A limit that reads as an entitlement to a room: money for each day, or a category.
+ROOM_LIMIT = r"(?i)([0-9][0-9,]*\s*/?-?\s*per\s*day|[a-z][a-z/ .]*room)"
 
 
 def earlier_pages(pages: DataFrame, how: str) -> DataFrame:
@@ -209,23 +220,53 @@ def trim_address_blocks(clauses: DataFrame, marker: str, least: int = 4, short:
 
 
 def extract_refs(clauses: DataFrame, shapes: tuple = REF_SHAPES, most: int = 12) -> DataFrame:
-    """(policy, clause_id, refs): ids that a text names and the policy has, in order of their first place, without itself."""
-    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(s), F.lit(1)) for s in shapes]))
-    named = clauses.select("policy", "clause_id", "text", F.explode(F.array_distinct(found)).alias("ref"))
+    """(policy, clause_id, refs): ids that a text names and the policy has, shape by shape in order of their first place, without itself.
+
+    A shape is (what a mention looks like, what one id in it looks like): lists expand.
+    """
+
+    def ids(span: str, one: str) -> Column:
+        return F.flatten(F.transform(F.regexp_extract_all("text", F.lit(span), F.lit(1)), lambda m: F.regexp_extract_all(m, F.lit(one), F.lit(0))))
+
+    found = F.transform(F.flatten(F.array(*[ids(*s) for s in shapes])), lambda r: F.regexp_replace(r, SECTION_GAP, "$1."))
+    named = clauses.select("policy", F.col("clause_id").cast("string").alias("clause_id"), F.posexplode(found).alias("at", "ref"))
+    named = named.groupBy("policy", "clause_id", "ref").agg(F.min("at").alias("at"))
     known = clauses.select("policy", F.col("clause_id").cast("string").alias("ref")).distinct()
-    named = named.join(known.hint("merge"), ["policy", "ref"], "left_semi").where(F.col("ref") != F.col("clause_id").cast("string"))
-    first = F.least(*[F.nullif(F.instr("text", F.concat(F.lit(s.split("(")[0]), F.col("ref"))), F.lit(0)) for s in shapes])
-    placed = named.withColumn("at", first)
+    named = named.join(known.hint("merge"), ["policy", "ref"], "left_semi")
+    # A text names at most as many ids as its policy has; the list is cut right after it was sorted.
     refs = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "ref"))), lambda x: x["ref"]), 1, most)
-    return placed.groupBy("policy", "clause_id").agg(refs.alias("refs"))
+    listed = named.groupBy("policy", "clause_id").agg(refs.alias("refs"))
+    return listed.withColumn("refs", F.array_remove("refs", F.col("clause_id"))).where(F.size("refs") > 0)
 
 
-def resolve_codes(clauses: DataFrame, code: str, head: int = 160) -> DataFrame:
-    """(policy, code, clause_id): the first clause that carries an exclusion code within its first ``head`` characters."""
+def _bare(code: Column) -> Column:
+    return F.regexp_replace(code, "^0+(?=.)", "")
+
+
+def resolve_codes(clauses: DataFrame, code: str, head: int = 160, order: str = "clause_id") -> DataFrame:
+    """(policy, code, clause_id): the first clause, by the column ``order``, that carries an exclusion code within its first ``head`` characters."""
     codes = F.array_distinct(F.regexp_extract_all(F.substring("text", 1, head), F.lit(code), F.lit(1)))
-    each = clauses.select("policy", "clause_id", F.explode(codes).alias("code"))
-    each = each.withColumn("code", F.regexp_replace("code", "^0+", ""))
-    return each.groupBy("policy", "code").agg(F.min("clause_id").alias("clause_id"))
+    each = clauses.select("policy", "clause_id", F.col(order).alias("__at"), F.explode(codes).alias("code"))
+    each = each.withColumn("code", _bare(F.col("code")))
+    return each.groupBy("policy", "code").agg(F.min_by("clause_id", F.struct("__at", "clause_id")).alias("clause_id"))
+
+
+def append_code_refs(clauses: DataFrame, codes: DataFrame, mention: str = CODE_MENTION, most: int = 12) -> DataFrame:
+    """Clauses (policy, clause_id, text, refs) whose refs also hold the clauses of the codes that they mention (``resolve_codes``).
+
+    Targets come after the refs in order of their first mention, without repeats and
+    without the clause itself; ``most`` in all.
+    """
+    mentions = F.regexp_extract_all("text", F.lit(mention), F.lit(1))
+    each = clauses.select("policy", "clause_id", F.posexplode(mentions).alias("at", "code")).withColumn("code", _bare(F.col("code")))
+    each = each.groupBy("policy", "clause_id", "code").agg(F.min("at").alias("at"))
+    told = each.join(codes.select("policy", "code", F.col("clause_id").cast("string").alias("target")).hint("merge"), ["policy", "code"])
+    # Codes have two digits at most, so a list has a hundred entries at most.
+    lists = told.groupBy("policy", "clause_id").agg(F.array_sort(F.collect_list(F.struct("at", "target"))).alias("targets"))
+    joined = clauses.join(lists.hint("merge"), ["policy", "clause_id"], "left")
+    none = F.array().cast("array<string>")
+    every = F.concat(F.coalesce("refs", none), F.coalesce(F.transform("targets", lambda t: t["target"]), none))
+    return joined.withColumn("refs", F.slice(F.array_remove(F.array_distinct(every), F.col("clause_id").cast("string")), 1, most)).drop("targets")
 
 
 def label_rule_type(clauses: DataFrame, rules: tuple) -> DataFrame:
@@ -237,18 +278,30 @@ def label_rule_type(clauses: DataFrame, rules: tuple) -> DataFrame:
 
 
 def clause_documents(clauses: DataFrame) -> DataFrame:
-    return clauses.select(F.concat_ws(":", "policy", "clause_id").alias("id"), "text", "policy")
+    """(id, text, policy, title, page, rule_type): clauses as documents to index."""
+    return clauses.select(F.concat_ws(":", "policy", "clause_id").alias("id"), "text", "policy", "title", "page", "rule_type")
+
 
+def corpus_counts(clauses: DataFrame, entries: DataFrame | None = None, options: DataFrame | None = None) -> DataFrame:
+    """(policy, rule_type, n): clauses by both, by either and over all, in one pass; null stands for 'all'.
 
-def corpus_counts(clauses: DataFrame) -> DataFrame:
-    """(policy, rule_type, n): by both, by either and over all, in one pass; null stands for 'all'."""
-    return clauses.cube("policy", "rule_type").agg(F.count(F.lit(1)).alias("n"))
+    With ``entries`` also the size of the non-payable list (policy null), with
+    ``options`` (policy, options) also how many sums insured each policy names.
+    """
+    out = clauses.cube("policy", "rule_type").agg(F.count(F.lit(1)).alias("n"))
+    if entries is not None:
+        out = out.unionByName(entries.agg(F.lit(None).cast("string").alias("policy"), F.lit("non-payable list").alias("rule_type"), F.count(F.lit(1)).alias("n")))
+    if options is not None:
+        out = out.unionByName(options.select("policy", F.lit("sums insured").alias("rule_type"), F.size("options").cast("bigint").alias("n")))
+    return out
 
 
-def table_rows(clauses: DataFrame) -> DataFrame:
-    """(policy, clause_id, sum_insured, limit_text): table lines whose first column is the sum insured; the first row of each key."""
+def table_rows(clauses: DataFrame, reads: str = ROOM_LIMIT) -> DataFrame:
+    """(policy, clause_id, sum_insured, limit_text): table lines whose first column is the sum insured and whose limit
+    reads as an entitlement to a room; the first row of each key."""
     row = r"^\[table\] Sum Insured ([0-9,]+)/- - Limit (.+)$"
     each = clauses.select("policy", "clause_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(row))
+    each = each.where(F.regexp_extract("line", row, 2).rlike(reads))
     told = each.select(
         "policy", "clause_id", "pos", F.regexp_replace(F.regexp_extract("line", row, 1), ",", "").cast("bigint").alias("sum_insured"),
         F.regexp_extract("line", row, 2).alias("limit_text"),
@@ -292,6 +345,26 @@ def index_coverage(clauses: DataFrame, floors: DataFrame) -> DataFrame:
     return joined.select("policy", "characters", "n", ((F.col("characters") >= F.col("floor")) & (F.col("n") * 100 >= F.col("pinned") * 95)).alias("ok"))
 
 
+def squash(text: Column) -> Column:
+    """Letters a to z and digits alone, so that joined lines and spaces break no match."""
+    return F.regexp_replace(F.lower(text), "[^0-9a-z]", "")
+
+
+def lost_pages(clauses: DataFrame, probes: DataFrame, size: int = 30, few: int = 1_000_000) -> DataFrame:
+    """(policy, page): pages whose probe, ``size`` squashed characters, stands in no clause of the policy any more.
+
+    A probe has to lie within one clause. Every run of ``size`` characters of every text
+    meets the probes where the text lies, if they are few, else by a shuffle of hashes.
+    """
+    asked = probes.select("policy", "page", "probe").distinct()
+    keys = asked.select("policy", F.xxhash64("probe").alias("__h")).distinct()
+    keys = F.broadcast(keys) if keys.count() <= few else keys.hint("merge")
+    grams = F.array_distinct(F.regexp_extract_all(squash(F.col("text")), F.lit("(?=(.{%d}))" % size), F.lit(1)))
+    each = clauses.select("policy", F.explode(grams).alias("probe")).withColumn("__h", F.xxhash64("probe"))
+    found = each.join(keys, ["policy", "__h"], "left_semi").select("policy", "probe").distinct()
+    return asked.join(found.hint("merge"), ["policy", "probe"], "left_anti").select("policy", "page")
+
+
 def fill_down(cells: DataFrame) -> DataFrame:
     """Add ``filled``: a blank data cell takes the value above it in its column; caption rows pass nothing on."""
     above = Window.partitionBy("table_id", "col", "is_data").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)

@@ -48,8 +48,11 @@ def sentence_windows(text: Column, target: int = 600) -> Column:
 
 
 def sub_chunk(clauses: DataFrame, threshold: int = 1500, target: int = 600) -> DataFrame:
-    """(policy, clause_id, window, text): short texts whole, longer ones as windows."""
-    parts = F.when(F.length("text") <= threshold, F.array("text")).otherwise(sentence_windows(F.col("text"), target))
+    """(policy, clause_id, window, text): short texts whole, longer ones as windows, each under the title where there is one."""
+    windows = sentence_windows(F.col("text"), target)
+    if "title" in clauses.columns:
+        windows = F.transform(windows, lambda w: F.trim(F.concat_ws("\n", F.nullif("title", F.lit("")), w)))
+    parts = F.when(F.length("text") <= threshold, F.array("text")).otherwise(windows)
     return clauses.select("policy", "clause_id", F.posexplode(parts).alias("window", "text"))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import clause_rules as K
 from ledgerlake.operators import corpus as C
+from ledgerlake.operators.rules import not_payable_list
 from ledgerlake.plans import views as V
 from ledgerlake.plans.registry import register
 
@@ -150,23 +152,56 @@ def trim_address_blocks(spark, sf_dir):
     return C.trim_address_blocks(V.clauses(spark, sf_dir), "The").select("policy", "clause_id", F.md5("text").alias("text"))
 
 
+def _id(n: str, div: str) -> str:
+    """Ids of four shapes, by the number of the document."""
+    return f"CASE {n} % 4 WHEN 0 THEN concat('A.', {n}) WHEN 1 THEN concat('II.', {n}) WHEN 2 THEN concat({n} {div} 10, '.', {n} % 10) ELSE concat({n}, '') END"
+
+
+_M = ("4 * (n * 3 % 50)", "4 * (n % 60) + 1", "4 * (n % 60) + 5", "4 * (n % 70) + 2", "4 * (n % 20) + 3")
+
+
 def _referring(spark, sf_dir):
-    return V.clauses(spark, sf_dir).withColumn(
-        "text", F.expr("concat(text, ' see clause ', (clause_id * 7) % 1000, ' and section ', clause_id + 20, ', item ', clause_id + 41, ' or clause ', clause_id, ' too')")
-    )
+    """Clauses with ids of four shapes whose texts name others: alone, in lists and twice."""
+    a, v, w, c, e = (_id(m, "DIV") for m in (f"({m})" for m in _M))
+    told = f"concat(text, ' as in clause ', {c}, ' or Coverages ', {v}, ', ', {w}, ' and ', {v}, ' of Section ', replace({a}, '.', '-'), ' see Exclusion No. ', {e}, ' too')"
+    docs = V.clauses(spark, sf_dir).withColumnRenamed("clause_id", "n")
+    return docs.select("policy", "n", F.expr(_id("n", "DIV")).alias("clause_id"), F.expr(told).alias("text"))
 
 
-@register("extract_refs", """WITH d AS (SELECT source AS policy, doc_id AS clause_id, unnest([(doc_id * 7) % 1000, doc_id + 20, doc_id + 41]) AS ref, unnest([1, 2, 3]) AS k FROM documents),
-  f AS (SELECT policy, clause_id, ref, min(k) AS k FROM d WHERE ref <> clause_id AND EXISTS (SELECT 1 FROM documents x WHERE x.source = d.policy AND x.doc_id = d.ref) GROUP BY ALL)
-  SELECT policy, clause_id, string_agg(ref::VARCHAR, ',' ORDER BY k) AS refs FROM f GROUP BY policy, clause_id""")
+@register("extract_refs", f"""WITH d AS (SELECT source AS policy, doc_id AS n FROM documents), k AS (SELECT policy, {_id("n", "//")} AS clause_id, unnest([{", ".join(_id(f"({m})", "//") for m in _M)}]) AS ref, unnest([1, 2, 3, 4, 5]) AS k FROM d),
+  own AS (SELECT policy, {_id("n", "//")} AS ref FROM d), f AS (SELECT policy, clause_id, ref, min(k) AS k FROM k WHERE ref <> clause_id AND (policy, ref) IN (SELECT policy, ref FROM own) GROUP BY ALL)
+  SELECT policy, clause_id, string_agg(ref, ',' ORDER BY k) AS refs FROM f GROUP BY policy, clause_id""")
 def extract_refs(spark, sf_dir):
     return C.extract_refs(_referring(spark, sf_dir)).select("policy", "clause_id", F.array_join("refs", ",").alias("refs"))
 
 
-@register("resolve_codes", """SELECT source AS policy, ltrim(code, '0') AS code, min(doc_id) AS clause_id FROM (
-  SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(substr(text, 1, 160), ' ([a-z]{2}) ', 1))) AS code FROM documents) GROUP BY ALL""")
+_EXCL = r"Code[- ]?\s?Excl\s?(0?[0-9]{1,2})"
+_CODED = """cd AS (SELECT source AS policy, doc_id AS clause_id, (doc_id * 7) % 1000 AS pos, CASE WHEN doc_id % 5 = 0 THEN doc_id % 7 END AS own, (doc_id + 3) % 7 AS other FROM documents),
+  rc AS (SELECT DISTINCT ON (policy, own) policy, CAST(own AS VARCHAR) AS code, clause_id FROM cd WHERE own IS NOT NULL ORDER BY policy, own, pos, clause_id)"""
+
+
+def _with_codes(spark, sf_dir):
+    """Clauses of which every fifth carries a code in its heading and all name another one at the end."""
+    text = "concat(CASE WHEN clause_id % 5 = 0 THEN concat('Code-Excl0', clause_id % 7, ': ') ELSE '' END, coalesce(text, ''), ' subject to Code Excl ', (clause_id + 3) % 7)"
+    return V.clauses(spark, sf_dir).select("policy", "clause_id", F.expr("(clause_id * 7) % 1000").alias("pos"), F.expr(text).alias("text"))
+
+
+@register("resolve_codes", f"WITH {_CODED} SELECT policy, code, clause_id FROM rc")
 def resolve_codes(spark, sf_dir):
-    return C.resolve_codes(V.clauses(spark, sf_dir), r" ([a-z]{2}) ")
+    clauses = _with_codes(spark, sf_dir).withColumn("text", F.regexp_replace("text", " subject to Code Excl [0-9]$", ""))
+    return C.resolve_codes(clauses, _EXCL, order="pos")
+
+
+@register("append_code_refs", f"""WITH {_CODED}, t AS (SELECT policy, clause_id, CAST(clause_id + 1 AS VARCHAR) AS ref, 0 AS k FROM cd
+    UNION ALL SELECT cd.policy, cd.clause_id, CAST(rc.clause_id AS VARCHAR), 1 FROM cd JOIN rc ON rc.policy = cd.policy AND rc.code = CAST(own AS VARCHAR)
+    UNION ALL SELECT cd.policy, cd.clause_id, CAST(rc.clause_id AS VARCHAR), 2 FROM cd JOIN rc ON rc.policy = cd.policy AND rc.code = CAST(other AS VARCHAR)),
+  f AS (SELECT policy, clause_id, ref, min(k) AS k FROM t WHERE ref <> CAST(clause_id AS VARCHAR) GROUP BY ALL)
+  SELECT policy, clause_id, string_agg(ref, ',' ORDER BY k) AS refs FROM f GROUP BY policy, clause_id""")
+def append_code_refs(spark, sf_dir):
+    clauses = _with_codes(spark, sf_dir)
+    codes = C.resolve_codes(clauses.withColumn("text", F.regexp_replace("text", " subject to Code Excl [0-9]$", "")), _EXCL, order="pos")
+    told = C.append_code_refs(clauses.withColumn("refs", F.array((F.col("clause_id") + 1).cast("string"))), codes)
+    return told.select("policy", "clause_id", F.array_join("refs", ",").alias("refs"))
 
 
 _RULES = (("worthless", "exclusion"), ("token", "definition"), (" onen ", "limit"))
@@ -178,14 +213,19 @@ def label_rule_type(spark, sf_dir):
     return C.label_rule_type(V.clauses(spark, sf_dir), _RULES).select("clause_id", "rule_type")
 
 
-@register("clause_documents", "SELECT source || ':' || doc_id AS id, source AS policy, md5(text) AS text FROM documents")
+@register("clause_documents", f"SELECT source || ':' || doc_id AS id, source AS policy, md5(text) AS text, lang AS title, doc_id % 10 AS page, {_RULE_SQL} AS rule_type FROM documents")
 def clause_documents(spark, sf_dir):
-    return C.clause_documents(V.clauses(spark, sf_dir)).withColumn("text", F.md5("text"))
+    docs = V.table(spark, sf_dir, "documents").selectExpr("source AS policy", "doc_id AS clause_id", "text", "lang AS title", "doc_id % 10 AS page")
+    return C.clause_documents(C.label_rule_type(docs, _RULES)).withColumn("text", F.md5("text"))
 
 
-@register("corpus_counts", f"SELECT source AS policy, rule_type, count(*) AS n FROM (SELECT *, {_RULE_SQL} AS rule_type FROM documents) GROUP BY CUBE (source, rule_type)")
+@register("corpus_counts", f"""SELECT source AS policy, rule_type, count(*) AS n FROM (SELECT *, {_RULE_SQL} AS rule_type FROM documents) GROUP BY CUBE (source, rule_type)
+  UNION ALL SELECT NULL, 'non-payable list', 5
+  UNION ALL SELECT source, 'sums insured', coalesce(nullif(count(DISTINCT doc_id % 5) FILTER (doc_id % 7 = 0), 0), 4) FROM documents GROUP BY source""")
 def corpus_counts(spark, sf_dir):
-    return C.corpus_counts(C.label_rule_type(V.clauses(spark, sf_dir), _RULES))
+    clauses = V.clauses(spark, sf_dir)
+    tabled = clauses.withColumn("text", F.expr("CASE WHEN clause_id % 7 = 0 THEN concat(text, '\\nSum Insured ', 100000 * (1 + clause_id % 5)) ELSE text END"))
+    return C.corpus_counts(C.label_rule_type(clauses, _RULES), not_payable_list(spark), K.sum_insured_options(tabled))
 
 
 def _grouped(n: str) -> str:
@@ -196,7 +236,7 @@ def _grouped(n: str) -> str:
   FROM documents, (VALUES (1), (2), (3)) t(k) WHERE doc_id % 3 = 0""")
 def table_rows(spark, sf_dir):
     row = lambda k, n: f"concat('[table] Sum Insured ', {_grouped(k)}, '/- - Limit Up to ', {n}, ' per day')"
-    rows = ", ".join(row(f"{k}00000", f"clause_id + {k}") for k in (1, 2, 3)) + ", " + row("100000", "0")
+    rows = ", ".join(row(f"{k}00000", f"clause_id + {k}") for k in (1, 2, 3)) + ", " + row("100000", "0") + ", concat('[table] Sum Insured 4,00,000/- - Limit Up to ', clause_id, ' visits')"
     text = F.expr(f"CASE WHEN clause_id % 3 = 0 THEN concat_ws('\\n', substring(text, 1, 40), {rows}) ELSE text END")
     return C.table_rows(V.clauses(spark, sf_dir).withColumn("text", text))
 
@@ -229,6 +269,17 @@ def index_coverage(spark, sf_dir):
     return C.index_coverage(V.clauses(spark, sf_dir), floors)
 
 
+@register("lost_pages", """WITH d AS (SELECT source AS policy, doc_id AS page, text, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS sq FROM documents),
+  p AS (SELECT policy, page, substr(sq, 11, 30) AS probe FROM d WHERE length(sq) >= 40), c AS (SELECT policy, CASE WHEN page % 9 = 0 THEN regexp_replace(lower(substr(text, 1, 20)), '[^0-9a-z]', '', 'g') ELSE sq END AS sq FROM d)
+  SELECT policy, page FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.policy = p.policy AND contains(c.sq, p.probe))""")
+def lost_pages(spark, sf_dir):
+    """Each document as a page of which a probe was kept, against clauses of which every ninth lost its text."""
+    pages = _pages(spark, sf_dir).withColumn("sq", C.squash(F.col("text"))).where("length(sq) >= 40")
+    probes = pages.select("policy", "page", F.substring("sq", 11, 30).alias("probe"))
+    clauses = V.clauses(spark, sf_dir).withColumn("text", F.expr("CASE WHEN clause_id % 9 = 0 THEN substring(text, 1, 20) ELSE text END"))
+    return C.lost_pages(clauses, probes)
+
+
 def _cells(spark, sf_dir):
     """Lines of a bill as a table of two columns, with blanks, under one heading row."""
     lines = V.bill_lines(spark, sf_dir)

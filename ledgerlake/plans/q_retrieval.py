@@ -35,9 +35,11 @@ _CHUNKS = f"""{_WIN}, chunks AS (SELECT d.source AS policy, d.doc_id AS clause_i
   UNION ALL SELECT d.source, d.doc_id, w.w, w.text FROM windows w JOIN documents d USING (doc_id) WHERE length(d.text) > 1500)"""
 
 
-@register("sub_chunk", f"WITH {_CHUNKS} SELECT policy, clause_id, w AS window, md5(text) AS text FROM chunks")
+@register("sub_chunk", f"""WITH {_CHUNKS} SELECT policy, clause_id, w AS window, md5(CASE WHEN length(d.text) > 1500 THEN trim(lang || chr(10) || chunks.text, ' ') ELSE chunks.text END) AS text
+  FROM chunks JOIN documents d ON doc_id = clause_id""")
 def sub_chunk(spark, sf_dir):
-    return R.sub_chunk(V.clauses(spark, sf_dir)).withColumn("text", F.md5("text"))
+    clauses = V.table(spark, sf_dir, "documents").selectExpr("source AS policy", "doc_id AS clause_id", "text", "lang AS title")
+    return R.sub_chunk(clauses).withColumn("text", F.md5("text"))
 
 
 _BM25 = f"""t AS (SELECT source AS policy, doc_id, unnest({_TOK.format(t="text")}) AS term FROM documents), tf AS (SELECT policy, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
