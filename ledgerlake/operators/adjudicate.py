@@ -7,6 +7,8 @@ Every rule is a column or a join over all lines of all bills. Lines carry
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,6 +227,33 @@ def second_pass(lines: DataFrame, clauses: DataFrame, pack: Pack = PACK, differe
     return out.withColumn("deduction", F.when(F.col("scaled"), F.col("__clause"))).drop("limit_cents", "charged", "__clause")
 
 
+def audit_lines(
+    lines: DataFrame, bills: DataFrame, terms: DataFrame, listed: DataFrame, caps: DataFrame, deductions: DataFrame,
+    judge: Callable[[DataFrame], DataFrame] | None = None, pack: Pack = PACK,
+) -> DataFrame:
+    """(bill_id, policy, line_no, cents, allowed, clause_id, why): the whole audit, a row for each line.
+
+    Waiting periods, then the list, then rooms and judgements, then the second pass: each
+    stage takes what the one before left open. ``judge`` gets the lines that reach it and
+    gives (bill_id, line_no, allowed, clause_id, reason) of those it decides; a null
+    amount leaves a line open, with the reason, and the second pass does not touch it.
+    """
+    keys, keep = ["bill_id", "line_no"], ["bill_id", "policy", "line_no", "cents", "allowed"]
+    nil = waiting_nil_lines(lines, assess_waiting(bills, lines, terms, pack)).select(*keep, "clause_id", "why")
+    rest = lines.join(nil.select(keys), keys, "left_anti")
+    named = non_payable_match(rest, listed).where("allowed IS NOT NULL")
+    named = named.select(*keep, F.lit(None).cast("string").alias("clause_id"), F.lit("on the non-payable list").alias("why"))
+    capped = cap_rooms(rest.join(named.select(keys), keys, "left_anti"), caps, pack)
+    if judge:
+        told = judge(capped).select(*keys, F.struct("allowed", "clause_id", "reason").alias("__j"))
+        capped = capped.join(told, keys, "left").withColumn("allowed", F.expr("CASE WHEN __j IS NULL THEN allowed ELSE __j.allowed END"))
+    else:
+        capped = capped.withColumn("__j", F.lit(None).cast("struct<allowed:bigint,clause_id:string,reason:string>"))
+    scaled = second_pass(capped, deductions, pack)
+    cited, why = F.coalesce("deduction", "__j.clause_id"), F.coalesce("__j.reason", "why")
+    return nil.unionByName(named).unionByName(scaled.select(*keep, cited.alias("clause_id"), why.alias("why")))
+
+
 def report(lines: DataFrame) -> DataFrame:
     """(bill_id, policy, n_lines, charged, allowed, flagged) of each bill under each policy."""
     return lines.groupBy("bill_id", "policy").agg(

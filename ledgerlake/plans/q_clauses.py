@@ -179,24 +179,42 @@ def build_corpus(spark, sf_dir):
     return labelled.select("policy", "clause_id", F.md5("title").alias("title"), F.md5("text").alias("text"), "rule_type")
 
 
-@register("audit_bills", f"""WITH {_WAIT}, {_CAPS}, {_DED}, {_LIST}, hit AS (SELECT bill_id, line_no, min(no) AS no FROM lines JOIN entries ON contains(item, name) GROUP BY ALL HAVING min(no) <> 4),
-  r AS (SELECT lb.*, waiting IN ('specified', 'initial') AS nil, no IS NOT NULL AS listed, CASE WHEN item LIKE '% gear' THEN lb.sum_insured * cap_rate // 100 END AS pd
+AUDIT = f"""{_WAIT}, {_CAPS}, {_DED}, {_LIST}, hit AS (SELECT bill_id, line_no, min(no) AS no FROM lines JOIN entries ON contains(item, name) GROUP BY ALL HAVING min(no) <> 4),
+  r AS (SELECT lb.*, waiting, waiting IN ('specified', 'initial') AS nil, no IS NOT NULL AS listed, CASE WHEN item LIKE '% gear' THEN lb.sum_insured * cap_rate // 100 END AS pd
     FROM lb JOIN waiting USING (bill_id) JOIN caps ON caps.policy = lb.policy LEFT JOIN hit USING (bill_id, line_no)),
   worst AS (SELECT DISTINCT ON (bill_id) bill_id, pd * greatest(qty, 1) AS lim, cents AS chg FROM r WHERE NOT nil AND NOT listed AND cents > pd * qty AND policy IN (SELECT policy FROM ded)
     ORDER BY bill_id, CAST(pd * greatest(qty, 1) AS HUGEINT) * 1000000000000000000 // cents, line_no),
-  fin AS (SELECT r.*, CASE WHEN nil OR listed THEN 0 WHEN item LIKE '% gear' THEN least(cents, pd * qty) WHEN lim IS NOT NULL AND (item LIKE '% widget' OR item LIKE '% ring')
-    THEN CAST((2 * CAST(cents AS HUGEINT) * lim + chg) // (2 * CAST(chg AS HUGEINT)) AS BIGINT) ELSE cents END AS allowed FROM r LEFT JOIN worst USING (bill_id))
-  SELECT bill_id, policy, count(*) AS n_lines, CAST(sum(cents) AS BIGINT) AS charged, CAST(sum(allowed) AS BIGINT) AS allowed, CAST(0 AS BIGINT) AS flagged FROM fin GROUP BY bill_id, policy""")
+  ruled AS (SELECT r.*, lim, chg, clause, CASE WHEN nil THEN 'waiting' WHEN listed THEN 'list' WHEN item LIKE '% gear' THEN 'room' WHEN item LIKE '% plate' THEN 'judged' WHEN item LIKE '% bolt' AND qty > 45 THEN 'open'
+    WHEN lim IS NOT NULL AND (item LIKE '% widget' OR item LIKE '% ring') THEN 'proportionate' ELSE 'full' END AS rule FROM r LEFT JOIN worst USING (bill_id) LEFT JOIN ded ON ded.policy = r.policy),
+  fin AS (SELECT *, CASE rule WHEN 'waiting' THEN 0 WHEN 'list' THEN 0 WHEN 'room' THEN least(cents, pd * qty) WHEN 'judged' THEN least(cents, 5000000) WHEN 'open' THEN NULL
+    WHEN 'proportionate' THEN CAST((2 * CAST(cents AS HUGEINT) * lim + chg) // (2 * CAST(chg AS HUGEINT)) AS BIGINT) ELSE cents END AS allowed,
+    CASE WHEN rule = 'waiting' AND waiting = 'specified' THEN 'W.2' WHEN rule = 'waiting' THEN 'W.3' WHEN rule = 'proportionate' THEN clause WHEN rule = 'judged' THEN 'P.1' END AS clause_id FROM ruled)"""
+
+
+def judge_plates(lines):
+    """A judge for the driver's words: plates have a sub-limit that a clause states, many bolts at once stay open."""
+    told = lines.select("bill_id", "line_no", "cents", F.col("item").rlike(r"\bplate\b").alias("limited"), (F.col("item").rlike(r"\bbolt\b") & (F.col("qty") > 45)).alias("open"))
+    return told.where("limited OR open").selectExpr(
+        "bill_id", "line_no", "CASE WHEN limited THEN least(cents, 5000000) END AS allowed", "CASE WHEN limited THEN 'P.1' END AS clause_id", "CASE WHEN open THEN 'attempts' END AS reason"
+    )
+
+
+def audited(lines, bills):
+    """The whole audit under the packs of the driver's words."""
+    spark = lines.sparkSession
+    return A.audit_lines(lines, bills, waiting_terms(spark), not_payable_list(spark), room_caps(spark), deduction_clauses(spark), judge_plates)
+
+
+@register("audit_lines", f"WITH {AUDIT} SELECT bill_id, line_no, allowed, clause_id FROM fin")
+def audit_lines(spark, sf_dir):
+    return audited(V.lines_of_bills(spark, sf_dir), V.bills(spark, sf_dir)).select("bill_id", "line_no", "allowed", "clause_id")
+
+
+@register("audit_bills", f"""WITH {AUDIT} SELECT bill_id, policy, count(*) AS n_lines, CAST(sum(cents) AS BIGINT) AS charged, CAST(coalesce(sum(allowed), 0) AS BIGINT) AS allowed, count(*) FILTER (allowed IS NULL) AS flagged
+  FROM fin GROUP BY bill_id, policy""")
 def audit_bills(spark, sf_dir):
-    """Waiting periods, then the list, then rooms, then the second pass, then the report: each stage takes what the one before left open."""
-    keys, keep = ["bill_id", "line_no"], ["bill_id", "policy", "line_no", "cents", "allowed"]
-    lines = V.lines_of_bills(spark, sf_dir)
-    nil = A.waiting_nil_lines(lines, A.assess_waiting(V.bills(spark, sf_dir), V.bill_lines(spark, sf_dir), waiting_terms(spark))).select(keep)
-    rest = lines.join(nil.select(keys), keys, "left_anti")
-    listed = A.non_payable_match(rest, not_payable_list(spark)).where("allowed IS NOT NULL").select(keep)
-    rest = rest.join(listed.select(keys), keys, "left_anti")
-    scaled = A.second_pass(A.cap_rooms(rest, room_caps(spark)), deduction_clauses(spark)).select(keep)
-    return A.report(nil.unionByName(listed).unionByName(scaled))
+    """Each bill's report: waiting periods, the list, rooms and judgements, the second pass."""
+    return A.report(audited(V.lines_of_bills(spark, sf_dir), V.bills(spark, sf_dir)))
 
 
 @register("stream_intake", f"WITH {V.LINES} SELECT bill_id, line_no, item || ' [REDACTED]' AS text FROM lines")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import memo as M
 from ledgerlake.plans import views as V
+from ledgerlake.plans.q_clauses import AUDIT, audited
 from ledgerlake.plans.registry import register
 from ledgerlake.plans.scratch import folder, stored
 from ledgerlake.sources import files as S
@@ -75,15 +76,21 @@ def resume_scored(spark, sf_dir):
     return finished.select("bill_id", F.lit(True).alias("finished")).unionByName(open_.select("bill_id", F.lit(False).alias("finished")))
 
 
-@register("stream_audit", f"""WITH {V.BOTH} SELECT bill_id, line_no, least(cents, sum_insured) AS allowed FROM lb WHERE cents > 0 AND bill_id % 13 <> 0""")
+@register("stream_audit", f"""WITH {AUDIT} SELECT bill_id, line_no, allowed, clause_id FROM fin WHERE cents > 0 AND bill_id % 13 <> 0""")
 def stream_audit(spark, sf_dir):
+    """Bills arrive whole, in files; each micro-batch goes through the whole audit, lines without an amount go aside."""
     path, target = folder(spark, "incoming"), folder(spark, "audited")
-    raw = V.lines_of_bills(spark, sf_dir).selectExpr("bill_id", "line_no", "item AS text", "CASE WHEN bill_id % 13 = 0 THEN -cents ELSE cents END AS cents", "qty", "sum_insured")
+    cents = "CASE WHEN bill_id % 13 = 0 THEN -cents ELSE cents END AS cents"
+    raw = V.lines_of_bills(spark, sf_dir).selectExpr("bill_id", "policy", "line_no", "item AS text", cents, "qty", "sum_insured", "started", "admitted")
     raw.repartition(4, "bill_id").write.json(path)
-    stream = G.stream_intake(spark, path, "bill_id BIGINT, line_no INT, text STRING, cents BIGINT, qty INT, sum_insured BIGINT", files=2)
-    audit = lambda df: df.select("bill_id", "line_no", F.least("cents", "sum_insured").alias("allowed"))
-    G.stream_audit(stream, audit, target, folder(spark, "offsets")).awaitTermination()
-    return spark.read.schema("bill_id BIGINT, line_no INT, allowed BIGINT").parquet(f"{target}/valid").select("bill_id", "line_no", "allowed")
+    schema = "bill_id BIGINT, policy STRING, line_no INT, text STRING, cents BIGINT, qty INT, sum_insured BIGINT, started DATE, admitted DATE"
+
+    def audit(batch):
+        lines = batch.withColumnRenamed("text", "item")
+        return audited(lines, lines.select("bill_id", "policy", "started", "admitted").distinct()).select("bill_id", "line_no", "allowed", "clause_id")
+
+    G.stream_audit(G.stream_intake(spark, path, schema, files=2), audit, target, folder(spark, "offsets")).awaitTermination()
+    return spark.read.schema("bill_id BIGINT, line_no INT, allowed BIGINT, clause_id STRING").parquet(f"{target}/valid").select("bill_id", "line_no", "allowed", "clause_id")
 
 
 @register("stream_progress", """SELECT user_id AS job, count(*) FILTER (event_type = 'purchase') AS done, count(*) AS total, arg_max(event_type, CAST(epoch_us(ts) AS HUGEINT) * 10000000 + event_id) AS status FROM events GROUP BY user_id""")
