@@ -238,20 +238,24 @@ def audit_lines(
     gives (bill_id, line_no, allowed, clause_id, reason) of those it decides; a null
     amount leaves a line open, with the reason, and the second pass does not touch it.
     """
-    keys, keep = ["bill_id", "line_no"], ["bill_id", "policy", "line_no", "cents", "allowed"]
-    nil = waiting_nil_lines(lines, assess_waiting(bills, lines, terms, pack)).select(*keep, "clause_id", "why")
-    rest = lines.join(nil.select(keys), keys, "left_anti")
-    named = non_payable_match(rest, listed).where("allowed IS NOT NULL")
-    named = named.select(*keep, F.lit(None).cast("string").alias("clause_id"), F.lit("on the non-payable list").alias("why"))
-    capped = cap_rooms(rest.join(named.select(keys), keys, "left_anti"), caps, pack)
+    keys = ["bill_id", "line_no"]
+    nil = assess_waiting(bills, lines, terms, pack).where("waiting IN ('specified', 'initial')")
+    waits = lines.join(nil.select("bill_id", F.struct("clause_id", "why").alias("__w")), "bill_id", "left")
+    named = non_payable_match(waits, listed).withColumn("__listed", F.col("allowed").isNotNull())
+    settled = F.col("__w").isNotNull() | F.col("__listed")
+    # Settled lines go along, marked, instead of being joined out: they set no ratio and no judge sees them.
+    capped = cap_rooms(named, caps, pack).withColumn("__settled", settled).withColumn("over_limit", F.col("over_limit") & ~settled)
     if judge:
-        told = judge(capped).select(*keys, F.struct("allowed", "clause_id", "reason").alias("__j"))
-        capped = capped.join(told, keys, "left").withColumn("allowed", F.expr("CASE WHEN __j IS NULL THEN allowed ELSE __j.allowed END"))
+        told = judge(capped.where("NOT __settled")).select(*keys, F.struct("allowed", "clause_id", "reason").alias("__j"))
+        capped = capped.join(told, keys, "left")
     else:
         capped = capped.withColumn("__j", F.lit(None).cast("struct<allowed:bigint,clause_id:string,reason:string>"))
-    scaled = second_pass(capped, deductions, pack)
-    cited, why = F.coalesce("deduction", "__j.clause_id"), F.coalesce("__j.reason", "why")
-    return nil.unionByName(named).unionByName(scaled.select(*keep, cited.alias("clause_id"), why.alias("why")))
+    decided = capped.withColumn("allowed", F.expr("CASE WHEN __settled THEN NULL WHEN __j IS NULL THEN allowed ELSE __j.allowed END"))
+    scaled = second_pass(decided, deductions, pack)
+    cited = F.when(F.col("__w").isNotNull(), F.col("__w.clause_id")).when(~F.col("__listed"), F.coalesce("deduction", "__j.clause_id"))
+    why = F.when(F.col("__w").isNotNull(), F.col("__w.why")).when(F.col("__listed"), "on the non-payable list").otherwise(F.coalesce("__j.reason", "why"))
+    allowed = F.expr("CASE WHEN __settled THEN 0L ELSE allowed END")
+    return scaled.select("bill_id", "policy", "line_no", "cents", allowed.alias("allowed"), cited.alias("clause_id"), why.alias("why"))
 
 
 def report(lines: DataFrame) -> DataFrame:
