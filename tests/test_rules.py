@@ -187,3 +187,41 @@ def test_equal_clause_ids_of_two_policies_stay_apart(spark):
     assert sorted((r["query_id"], r["clause_id"]) for r in got.collect()) == [(1, 7), (1, 8), (2, 7), (2, 9)]
     clauses = spark.createDataFrame([("a", 7), ("a", 9), ("b", 7), ("b", 9)], "policy string, clause_id long")
     assert sorted((r["query_id"], r["clause_id"]) for r in R.drop_unknown(got, clauses).collect()) == [(1, 7), (2, 7), (2, 9)]
+
+
+def test_waiting_period_is_the_shortest_clause_that_states_a_number(spark):
+    rows = [("p", "a", "Excl01 and Excl02: 12, 24 months or 36 months, with more words"), ("p", "b", "Excl02"), ("p", "c", "Code Excl-03: 30 days"), ("q", "d", "no code, 24 months")]
+    got = {(r["kind"]): (r["clause_id"], r["months"], r["days"]) for r in K.waiting_periods(spark.createDataFrame(rows, "policy string, clause_id string, text string")).collect()}
+    assert got == {"ped": ("a", 36, None), "specified": ("a", 24, None), "initial": ("c", None, 30)}
+
+
+def test_code_references_follow_document_order_and_leave_out_the_clause_itself(spark):
+    rows = [("p", "z", 1, "Code Excl 01: first", ["x"]), ("p", "a", 2, "Code Excl01: second", None), ("p", "m", 3, "see Exclusion No. 1 and Code-Excl 9", ["z", "y"])]
+    df = spark.createDataFrame(rows, "policy string, clause_id string, pos int, text string, refs array<string>")
+    codes = C.resolve_codes(df, r"Code[- ]?\s?Excl\s?(0?[0-9]{1,2})", order="pos")
+    got = {r["clause_id"]: r["refs"] for r in C.append_code_refs(df, codes).collect()}
+    assert got == {"z": ["x"], "a": ["z"], "m": ["z", "y"]}
+
+
+def test_references_expand_lists_and_count_once(spark):
+    rows = [("p", "C.2", "Coverages II.1, II.2 and II.1 of Section C-2, Section A 3 and clause 4.1"), ("p", "II.1", ""), ("p", "II.2", None), ("p", "A.3", ""), ("q", "4.1", "")]
+    got = C.extract_refs(spark.createDataFrame(rows, "policy string, clause_id string, text string")).collect()
+    assert [(r["clause_id"], r["refs"]) for r in got] == [("C.2", ["A.3", "II.1", "II.2"])]
+
+
+def test_a_lost_page_is_found_and_a_moved_one_is_not(spark):
+    page = "The quick brown fox jumps over the lazy dog, 12 times a day"
+    clauses = spark.createDataFrame([("p", "x: " + page.upper().replace(" ", "\n")), ("p", ""), ("p", None)], "policy string, text string")
+    probe = "thequickbrownfoxjumpsoverthela"
+    probes = spark.createDataFrame([("p", 1, probe), ("q", 1, probe), ("p", 2, probe[::-1])], "policy string, page int, probe string")
+    for few in (10, 0):
+        assert sorted(map(tuple, C.lost_pages(clauses, probes, few=few).collect())) == [("p", 2), ("q", 1)]
+
+
+def test_windows_carry_the_title(spark):
+    text = " ".join(f"Sentence number {i} of this long clause." for i in range(60))
+    df = spark.createDataFrame([("p", 1, text, "Room rent"), ("p", 2, "short", "Other"), ("p", 3, text, None)], "policy string, clause_id int, text string, title string")
+    got = R.sub_chunk(df).collect()
+    assert [r["text"] for r in got if r["clause_id"] == 2] == ["short"]
+    assert all(r["text"].startswith("Room rent\nSentence") for r in got if r["clause_id"] == 1)
+    assert all(r["text"].startswith("Sentence") for r in got if r["clause_id"] == 3)
