@@ -168,6 +168,13 @@ class Memo(dict):
         return value
 
 
+def spelling() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that df does not have."""
     taken = {c.lower() for c in df.columns}

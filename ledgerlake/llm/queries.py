@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import byte_bpe, decontamination, license_scan, line_dedup, near_dedup, secret_scan, substring_dedup, token_counts, toxicity, vector_search
+from ledgerlake.llm import (
+    byte_bpe,
+    decontamination,
+    id_files,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    secret_scan,
+    substring_dedup,
+    token_alignment,
+    token_counts,
+    toxicity,
+    vector_search,
+)
 
 
 def queries() -> dict:
@@ -17,6 +30,8 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_vector_search": vector_search.op9_vector_search,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op12_id_files": id_files.op12_id_files,
+        "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
