@@ -9,6 +9,7 @@ from ledgerlake.llm import (
     license_scan,
     line_dedup,
     near_dedup,
+    ranked_search,
     secret_scan,
     substring_dedup,
     token_alignment,
@@ -30,10 +31,11 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_vector_search": vector_search.op9_vector_search,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_ranked_search": ranked_search.op11_ranked_search,
         "op12_id_files": id_files.op12_id_files,
         "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": secret_scan.OP6_SQL, "op9_vector_search": vector_search.OP9_SQL}
+    return {"op6_secret_scan": secret_scan.OP6_SQL, "op9_vector_search": vector_search.OP9_SQL, "op11_ranked_search": ranked_search.OP11_SQL}

@@ -1,7 +1,9 @@
 """Files of token ids, alignments of two vocabularies and ranked search, against libraries and brute force."""
 
 import hashlib
+import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -10,7 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from ledgerlake.llm import id_files, token_alignment
+from ledgerlake.llm import id_files, ranked_search, token_alignment
 from ledgerlake.llm.common import spelling
 
 ODD = [
@@ -176,3 +178,83 @@ def test_a_text_in_parts_is_aligned_as_a_whole(monkeypatch):
 
 def test_an_empty_table_has_no_alignments(spark):
     assert token_alignment.align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# ---- ranked search
+
+_TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def cut(text):
+    return _TERM.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def ranked_by_hand(docs, items, k=20):
+    """docs: (id, text) rows; items: id to the texts of it."""
+    found = [(d, Counter(cut(t)), len(cut(t))) for d, t in docs]
+    n_docs, length = sum(n > 0 for *_, n in found), sum(n for *_, n in found)
+    df = Counter(t for _, c, _ in found for t in c)
+    rows = []
+    for item, texts in items.items():
+        asked, scored = Counter(t for text in set(texts) for t in cut(text)), []
+        for doc, counts, n in found:
+            score = 0
+            for t, times in asked.items():
+                if counts[t]:
+                    m = 100 - 25 + (25 * n * n_docs) // length
+                    score += times * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * counts[t]) // (1000 * counts[t] + 12 * m))
+            if score > 0 and doc is not None:
+                scored.append((-score, doc))
+        rows += [(item, rank, doc, -score) for rank, (score, doc) in enumerate(sorted(scored)[:k], 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rnd = random.Random(7)
+    words = [*"abcdefghij", "Ab", "ab", "é", "É", "x1", "日本", "the", "THE"]
+    line = lambda n: " ".join(rnd.choice(words) + rnd.choice(["", ",", "--", "\t"]) for _ in range(n))
+    docs = [(i, line(rnd.randrange(0, 40))) for i in range(200)] + [(1000 + i, "the the a copy") for i in range(60)]
+    docs += [(3, "a b c"), (3, "a b c"), (None, "a b the"), (500, None), (501, " ,;"), (502, "b " * 5000)]
+    items = {i: [line(rnd.randrange(1, 12))] for i in range(30)} | {40: ["the copy"], 41: [" .. "], 42: ["nowhere"], 43: ["a a a b", "c the"], 44: ["the " * 70]}
+    return docs, items
+
+
+@pytest.mark.parametrize("changes", [{}, {"DOC_TILE": 7, "ITEM_TILE": 4}])
+def test_ranks_match_all_documents_by_all_items(spark, corpus, changes, monkeypatch):
+    for name, value in changes.items():
+        monkeypatch.setattr(ranked_search, name, value)
+    docs, items = corpus
+    df = spark.createDataFrame([(d, t, 5, 5) for d, t in docs], "doc_id long, text string, score int, item int").repartition(3)
+    asked = [(i, t, 1) for i, texts in items.items() for t in [*texts, texts[0]]] + [(None, "a", 1), (99, None, 1)]
+    got = ranked_search.search(df, spark.createDataFrame(asked, "item_id long, text string, rank int"), group_bytes=600 if changes else ranked_search.GROUP_BYTES)
+    assert sorted(map(tuple, got.collect())) == sorted(ranked_by_hand(docs, items))
+
+
+def test_partial_sums_stay_below_two_to_the_53():
+    sums = np.array([[6.0, 3, 2, 9, 1], [1.0, 1, 1, 1, 1]])
+    assert ranked_search.blocks(sums, 4, 10) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    counts = np.array([0, 1, 250_000])
+    assert [x.tolist() for x in ranked_search.layers(counts)] == [[0, 1, 100_000], [0, 0, 100_000], [0, 0, 50_000]]
+    largest = ranked_search.REPEATS * 1000 * math.log(2.0**63) * ranked_search.IMPACT
+    assert largest < ranked_search.EXACT  # one column by itself
+
+
+@pytest.mark.parametrize(("most", "limit", "repeats"), [(4096, 1 << 53, 100_000), (2, 1 << 53, 3), (3, 40_000_000, 2)])
+def test_a_tile_is_the_product_of_whole_numbers(most, limit, repeats, monkeypatch):
+    monkeypatch.setattr(ranked_search, "REPEATS", repeats)
+    rnd = np.random.default_rng(3)
+    counts, impacts, weights = rnd.integers(0, 9, (5, 12)) * (rnd.random((5, 12)) < 0.4), rnd.integers(1, 10**6, (9, 20)) * (rnd.random((9, 20)) < 0.5), rnd.integers(0, 9, 20)
+    vocabulary = np.array([0, 2, 3, 5, 7, 8, 11, 13, 14, 16, 18, 19])
+    (of, place), (doc, code) = np.nonzero(counts), np.nonzero(impacts)
+    tile = (0, 5, vocabulary, of, place, counts[of, place])
+    got = ranked_search.tile_scores(tile, weights, code, impacts[doc, code], doc, 9, most, limit)
+    assert got.tolist() == ((counts * weights[vocabulary]) @ impacts[:, vocabulary].T).tolist()
+
+
+def test_empty_tables_have_no_ranks(spark, corpus):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert ranked_search.search(none, items).count() == 0
+    some = ranked_search.search(spark.createDataFrame(corpus[0][:3], "doc_id long, text string"), none.withColumnRenamed("doc_id", "item_id"))
+    assert (some.count(), some.columns) == (0, ["item_id", "rank", "doc_id", "score"])
