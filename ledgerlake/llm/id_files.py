@@ -29,7 +29,9 @@ from __future__ import annotations
 import math
 import re
 import struct
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -202,16 +204,16 @@ class WordEncoder:
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.model, self.cut, self.level = self.library.model, self.library.pre_tokenizer.pre_tokenize_str, self.library.normalizer.normalize_str
         self.spelled = spelling()
-        self.part = Memo(self._of_part, 1 << 19)
-        self.plain = Memo(self._of_plain, 1 << 19)
-        self.word = Memo(self._of_word, 1 << 20)
+        self.kind = {"<u2": "H", "<u4": "I"}[dtype]
+        self.part = Memo(self._of_part, 1 << 18)
+        self.word = Memo(self._of_word, 600_000)
 
     def _of_part(self, part: str) -> bytes:
         """The ids of a part in the vocabulary's spelling."""
-        return np.array([t.id for t in self.model.tokenize(part)], dtype=self.dtype).tobytes()
-
-    def _of_plain(self, part: str) -> bytes:
-        return self.part[part if part.isascii() else "".join([self.spelled[b] for b in part.encode()])]
+        ids = array(self.kind, [t.id for t in self.model.tokenize(part)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _of_word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -219,11 +221,22 @@ class WordEncoder:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         if _PLAIN.fullmatch(text):
             parts = _PARTS.findall(text.lower())
-            return self.plain[parts[0]] if len(parts) == 1 else b"".join([self.plain[x] for x in parts])
+            if not text.isascii():
+                parts = ["".join([self.spelled[b] for b in part.encode()]) for part in parts]
+            return self.part[parts[0]] if len(parts) == 1 else b"".join([self.part[x] for x in parts])
         return b"".join([self.part[x] for x, _ in self.cut(self.level(text))])
 
+    def _lowered(self, text: str) -> str:
+        """The text in lower case, if all its characters are of Latin-1, for which that is all that the library changes: fewer words to learn."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any([x.lower() in low for x in self.special]) else low
+
     def __call__(self, text: str) -> bytes:
-        data = text.encode()
+        data = self._lowered(text).encode()
         if len(data) <= SHARD_BYTES:
             return b"".join(map(self.word.__getitem__, data.split()))
         out, at = [], 0
