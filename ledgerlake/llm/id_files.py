@@ -196,15 +196,17 @@ class WordEncoder:
     ones, and takes words with the string of a special token as a whole.
     """
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, highest: int = 0):
+        """highest: the largest id that is put beside those of the vocabulary; the ids' bytes are of type ``dtype``."""
         import tokenizers
 
-        self.library, self.dtype = tokenizers.Tokenizer.from_file(path), dtype
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.dtype = "<u2" if max(self.library.get_vocab_size(), highest) <= 0xFFFF else "<u4"
         self.library.no_truncation(), self.library.no_padding()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.model, self.cut, self.level = self.library.model, self.library.pre_tokenizer.pre_tokenize_str, self.library.normalizer.normalize_str
         self.spelled = spelling()
-        self.kind = {"<u2": "H", "<u4": "I"}[dtype]
+        self.kind = {"<u2": "H", "<u4": "I"}[self.dtype]
         self.part = Memo(self._of_part, 1 << 18)
         self.word = Memo(self._of_word, 600_000)
 
@@ -249,9 +251,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, dtype: str) -> WordEncoder:
+def _encoder(path: str, highest: int) -> WordEncoder:
     """One for each Python worker."""
-    return WordEncoder(path, dtype)
+    return WordEncoder(path, highest)
 
 
 # ---- tables
@@ -276,11 +278,8 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     ranged = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def encode(batches):
-        import tokenizers
-
-        size = tokenizers.Tokenizer.from_file(tokenizer).get_vocab_size()
-        dtype = "<u2" if max(size, end or 0) <= 0xFFFF else "<u4"
-        encoder = _encoder(tokenizer, dtype)
+        encoder = _encoder(tokenizer, end or 0)
+        dtype = encoder.dtype
         last = b"" if end is None else np.array([end], dtype=dtype).tobytes()
         ids, tokens, n = [], [], 0
         for batch in (part for whole in batches for part in slices(whole, 1)):
