@@ -17,6 +17,7 @@ LABELS = (
 MASKS = (
     (rf"(?i)((?:^|\n)[ \t]*(?:{'|'.join(LABELS)})[ \t]*[:\-][ \t]*)[^\n]+", "$1" + REDACTED),
     (r"\b[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}(?:[0-9]{4})?\b", REDACTED),
+    (r"\b(?:\+?91[-\s]?)?[6-9][0-9]{9}\b", REDACTED),
     (r"\+?[0-9]{0,2} ?\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}", REDACTED),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", REDACTED),
 )

@@ -52,7 +52,9 @@ def earlier_pages(pages: DataFrame, how: str) -> DataFrame:
     ranges = ranges.select("policy", "part", over("v", outer).alias("far"))
     near = rows.select("policy", "part", "page", over("v", inner).alias("near"))
     both = F.col("near") + F.col("far") if how == "sum" else F.coalesce("near", "far")
-    return near.join(ranges.hint("merge"), ["policy", "part"]).select("policy", "page", both.alias("before"))
+    ranges = ranges.withColumnsRenamed({"policy": "__policy", "part": "__part"}).hint("merge")
+    joined = near.join(ranges, F.col("policy").eqNullSafe(F.col("__policy")) & (F.col("part") == F.col("__part")))
+    return joined.select("policy", "page", both.alias("before"))
 
 
 def _in_page(last: int) -> object:
@@ -77,10 +79,11 @@ def counted(lines: DataFrame, flag: Column, name: str) -> DataFrame:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """(policy, page, pos, seq, line): one ordered stream of lines for each document. (policy, page) is unique and not null."""
+    """(policy, page, pos, seq, line): one ordered stream of lines for each document. (policy, page) is unique; null pages come first, null policies are one."""
     lines = F.split("text", "\n", -1)
     sizes = pages.select("policy", "page", F.coalesce(F.greatest(F.size(lines), F.lit(0)), F.lit(0)).cast("bigint").alias("v"))
-    joined = pages.join(earlier_pages(sizes, "sum").hint("merge"), ["policy", "page"])
+    before = earlier_pages(sizes, "sum").withColumnsRenamed({"policy": "__policy", "page": "__page"}).hint("merge")
+    joined = pages.join(before, F.col("policy").eqNullSafe(F.col("__policy")) & F.col("page").eqNullSafe(F.col("__page")))
     each = joined.select("policy", "page", F.posexplode(lines).alias("pos", "line"), "before")
     return each.select("policy", "page", "pos", (F.col("before") + F.col("pos") + 1).cast("int").alias("seq"), "line")
 
@@ -123,36 +126,55 @@ def with_following(headings: DataFrame, lines: DataFrame, n: int = 3) -> DataFra
     return headings.join(found.hint("merge"), ["policy", "seq"], "left")
 
 
-def _before_colon(text: Column) -> Column:
-    """The part before ': ' if it has 4 to 80 characters."""
-    head = F.substring_index(text, ": ", 1)
-    return F.when(F.contains(text, F.lit(": ")) & F.length(head).between(4, 80), head)
+def strip(column: Column) -> Column:
+    return F.regexp_replace(column, r"^\s+|\s+$", "")
 
 
-def complete_title(headings: DataFrame) -> DataFrame:
-    """Add ``full_title``: the title up to a colon; else up to three following lines (next1, next2, next3) are added
-    while it ends on a function word and is under 90 characters; cut at 90 on a word."""
-    title = F.col("title")
-    for following in ("next1", "next2", "next3"):
-        more = F.col(following).isNotNull() & title.rlike(FUNCTION_WORDS) & (F.length(title) < 90) & ~F.startswith(F.col(following), F.lit(TABLE))
-        title = F.when(_before_colon(title).isNull() & more, F.concat_ws(" ", title, F.trim(following))).otherwise(title)
-    short = F.regexp_extract(F.substring(title, 1, 90), r"^(.*) \S*$", 1)
-    cut = F.when(F.length(title) > 90, F.when(short != "", short).otherwise(F.substring(title, 1, 90))).otherwise(title)
-    return headings.withColumn("full_title", F.coalesce(_before_colon(title), cut))
+def looks_like_title(title: Column) -> Column:
+    """Opens with a capital, digit, quote or bracket, is no row of figures, and has three letters in a row."""
+    return title.rlike("""^[A-Z0-9‘“"(]""") & ~title.rlike(r"^(?i)[0-9\s.,%/₹Rs()-]+$") & title.rlike("[A-Za-z]{3}")
 
 
 def is_table_debris(title: Column) -> Column:
-    """A table marker, more than a fifth numeric words, or capitals only with a digit."""
-    words = F.filter(F.split(title, " "), lambda w: w != "")
-    numbers = F.size(F.filter(words, lambda w: w.rlike(r"^[0-9][0-9.,]*$")))
-    capitals = (F.upper(title) == title) & title.rlike("[A-Z]") & title.rlike("[0-9]")
-    return F.contains(title, F.lit(TABLE)) | (numbers * 5 > F.size(words)) | capitals
+    """A table marker, no words, more than a fifth figures, or capitals only with a digit."""
+    words = F.filter(F.split(title, r"\s+"), lambda w: w != "")
+    figures = F.size(F.filter(words, lambda w: w.rlike(r"^[0-9,.]+%?/?-?$")))
+    capitals = (F.upper(title) == title) & (F.lower(title) != title) & title.rlike("[0-9]")
+    return F.contains(title, F.lit(TABLE)) | (F.size(words) == 0) | (figures * 5 > F.size(words)) | capitals
 
 
 def fix_letter_spacing(column: Column) -> Column:
-    """Join a detached first capital with its word; never A or I before lower case."""
-    once = F.regexp_replace(column, r"(^|\s)([B-HJ-Z]) ([a-z]{2,})", "$1$2$3")
-    return F.regexp_replace(once, r"(^|\s)([A-Z]) ([A-Z]{2,})", "$1$2$3")
+    """Join a detached first capital with its word, at the start of the text only; never A or I before lower case."""
+    once = F.regexp_replace(column, r"^([B-HJ-Z])\s+([a-z]{2,})", "$1$2")
+    return F.regexp_replace(once, r"^([A-Z])\s+([A-Z]{2,})\b", "$1$2")
+
+
+_ENDS = r"[ ,;:]+$"
+
+
+def _before_colon(title: Column) -> Column:
+    """The part before ': ' if it has 4 to 80 characters and three letters in a row; null otherwise."""
+    head = F.substring_index(title, ": ", 1)
+    return F.when(F.contains(title, F.lit(": ")) & F.length(head).between(4, 80) & head.rlike("[A-Za-z]{3}"), strip(F.regexp_replace(head, _ENDS, "")))
+
+
+def complete_title(headings: DataFrame) -> DataFrame:
+    """Add ``title``, from (raw, following): up to its colon; while it ends on a function word it goes on over the following lines, three at most.
+
+    Step by step in columns, so that no step is planned more often than it is used.
+    """
+    told = headings.withColumn("__more", F.filter(F.transform("following", strip), lambda x: ~x.startswith(TABLE)))
+    told = told.withColumn("title", fix_letter_spacing(strip(F.regexp_replace("raw", ":+$", "")))).withColumn("__head", _before_colon(F.col("title")))
+    dangling = F.col("title").rlike(FUNCTION_WORDS.removesuffix("$") + r"\s*$")
+    for i in range(3):
+        told = told.withColumn("__on", F.col("__head").isNull() & (F.size("__more") > i) & dangling & (F.length("title") < 90))
+        told = told.withColumn("title", F.when(F.col("__on"), F.concat("title", F.lit(" "), F.get("__more", F.lit(i)))).otherwise(F.col("title")))
+        told = told.withColumn("__head", F.coalesce("__head", _before_colon(F.col("title"))))
+    told = told.withColumn("__cut", F.substring("title", 1, 90))
+    whole = F.when(F.contains("__cut", F.lit(" ")), F.regexp_extract("__cut", r"(?s)^(.*) [^ ]*$", 1)).otherwise(F.col("__cut"))
+    short = F.when(F.length("title") > 90, whole).otherwise(F.col("title"))
+    told = told.withColumn("title", F.coalesce("__head", strip(F.regexp_replace(short, _ENDS, ""))))
+    return told.drop("__more", "__head", "__on", "__cut")
 
 
 def islands(lines: DataFrame) -> DataFrame:

@@ -171,14 +171,6 @@ def search(spark, sf_dir):
     return R.drop_unknown(_followed(spark, sf_dir), V.clauses(spark, sf_dir)).select("query_id", "clause_id", "score")
 
 
-@register("build_corpus", f"""WITH {_ISL}, k AS (SELECT policy, clause_id, title, text, pos, row_number() OVER (PARTITION BY policy, clause_id ORDER BY length(text) DESC, pos) AS r FROM cl WHERE length(text) >= 60)
-  SELECT policy, clause_id, md5(title) AS title, md5(text) AS text, CASE WHEN contains(text, 'worthless') THEN 'exclusion' ELSE 'other' END AS rule_type FROM k WHERE r = 1""")
-def build_corpus(spark, sf_dir):
-    clauses = C.keep_fullest(C.drop_short(C.islands(C.heading_candidates(_numbered(spark, sf_dir)))))
-    labelled = C.label_rule_type(clauses, (("worthless", "exclusion"),))
-    return labelled.select("policy", "clause_id", F.md5("title").alias("title"), F.md5("text").alias("text"), "rule_type")
-
-
 AUDIT = f"""{_WAIT}, {_CAPS}, {_DED}, {_LIST}, hit AS (SELECT bill_id, line_no, min(no) AS no FROM lines JOIN entries ON contains(item, name) GROUP BY ALL HAVING min(no) <> 4),
   r AS (SELECT lb.*, waiting, waiting IN ('specified', 'initial') AS nil, no IS NOT NULL AS listed, CASE WHEN item LIKE '% gear' THEN lb.sum_insured * cap_rate // 100 END AS pd
     FROM lb JOIN waiting USING (bill_id) JOIN caps ON caps.policy = lb.policy LEFT JOIN hit USING (bill_id, line_no)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import clause_rules as K
 from ledgerlake.operators import corpus as C
 from ledgerlake.operators.rules import not_payable_list
+from ledgerlake.plans import sql_text as S
 from ledgerlake.plans import views as V
 from ledgerlake.plans.registry import register
 
@@ -72,37 +73,40 @@ def heading_candidates(spark, sf_dir):
     return C.heading_candidates(_numbered(spark, sf_dir)).where("number IS NOT NULL").select("policy", "seq", "number", "title")
 
 
-_FW = C.FUNCTION_WORDS
+_DANGLES = C.FUNCTION_WORDS.removesuffix("$") + r"\s*$"
+_STEPS = "".join(
+    f"""s{i} AS (SELECT * REPLACE (CASE WHEN go THEN title || ' ' || more[{i}] ELSE title END AS title) FROM (SELECT *, head IS NULL AND len(more) >= {i}
+    AND regexp_matches(title, '{_DANGLES}') AND length(title) < 90 AS go FROM c{i - 1})), c{i} AS (SELECT * EXCLUDE (go) REPLACE (coalesce(head, {S.colon("title")}) AS head) FROM s{i}),"""
+    for i in (1, 2, 3)
+)
+#: The title of each row of c0: (more, title, head) and what it is known by.
+TITLES = f"""{_STEPS} tt AS (SELECT * REPLACE (coalesce(head, {S.strip("regexp_replace(CASE WHEN length(title) <= 90 THEN title WHEN contains(substr(title, 1, 90), ' ') THEN regexp_extract(substr(title, 1, 90), '(?s)^(.*) [^ ]*$', 1) ELSE substr(title, 1, 90) END, '[ ,;:]+$', '')")}) AS title) FROM c3)"""
 
 
-def _title_step(title: str, following: str) -> str:
-    colon = f"(contains({title}, ': ') AND length(split_part({title}, ': ', 1)) BETWEEN 4 AND 80)"
-    return f"CASE WHEN NOT {colon} AND {following} IS NOT NULL AND regexp_matches({title}, '{_FW}') AND length({title}) < 90 AND NOT starts_with({following}, '[table]') THEN {title} || ' ' || trim({following}) ELSE {title} END"
+def more(nx: str) -> str:
+    return f"list_filter(list_transform(list_filter({nx}, lambda x: x IS NOT NULL), lambda x: {S.strip('x')}), lambda x: NOT starts_with(x, '[table]'))"
 
 
-@register("complete_title", f"""WITH {_N}, nx AS (SELECT *, lead(line) OVER w AS n1, lead(line, 2) OVER w AS n2, lead(line, 3) OVER w AS n3 FROM titled WINDOW w AS (PARTITION BY policy ORDER BY seq)),
-  a AS (SELECT policy, seq, n2, n3, {_title_step("title", "n1")} AS t1 FROM nx WHERE title IS NOT NULL), b AS (SELECT policy, seq, n3, {_title_step("t1", "n2")} AS t2 FROM a),
-  c AS (SELECT policy, seq, {_title_step("t2", "n3")} AS t FROM b)
-  SELECT policy, seq, CASE WHEN contains(t, ': ') AND length(split_part(t, ': ', 1)) BETWEEN 4 AND 80 THEN split_part(t, ': ', 1) WHEN length(t) > 90
-    THEN CASE WHEN regexp_extract(substr(t, 1, 90), '^(.*) [^ ]*$', 1) <> '' THEN regexp_extract(substr(t, 1, 90), '^(.*) [^ ]*$', 1) ELSE substr(t, 1, 90) END ELSE t END AS full_title FROM c""")
+@register("complete_title", f"""WITH {_N}, nx AS (SELECT *, [lead(line) OVER w, lead(line, 2) OVER w, lead(line, 3) OVER w] AS n FROM titled WINDOW w AS (PARTITION BY policy ORDER BY seq)),
+  c0 AS (SELECT policy, seq, more, title, {S.colon("title")} AS head FROM (SELECT policy, seq, {more("n")} AS more, {S.cap(S.strip("regexp_replace(title, ':+$', '')"))} AS title FROM nx WHERE title IS NOT NULL)),
+  {TITLES} SELECT policy, seq, title AS full_title FROM tt""")
 def complete_title(spark, sf_dir):
     lines = C.heading_candidates(_numbered(spark, sf_dir))
-    told = C.with_following(lines.where("title IS NOT NULL"), lines)
-    return C.complete_title(told).select("policy", "seq", "full_title")
+    told = C.with_following(lines.where("title IS NOT NULL"), lines).withColumnRenamed("title", "raw")
+    told = told.withColumn("following", F.filter(F.array("next1", "next2", "next3"), lambda x: x.isNotNull()))
+    return C.complete_title(told).select("policy", "seq", F.col("title").alias("full_title"))
 
 
-@register("is_table_debris", f"""WITH {_L}, w AS (SELECT policy, seq, line, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM lines)
-  SELECT policy, seq FROM w WHERE contains(line, '[table]') OR len(list_filter(ws, lambda x: regexp_matches(x, '^[0-9][0-9.,]*$'))) * 5 > len(ws)
-    OR (upper(line) = line AND regexp_matches(line, '[A-Z]') AND regexp_matches(line, '[0-9]'))""")
+@register("is_table_debris", f"WITH {_L} SELECT policy, seq FROM lines WHERE {S.debris('line')}")
 def is_table_debris(spark, sf_dir):
     return _lines(spark, sf_dir).where(C.is_table_debris(F.col("line"))).select("policy", "seq")
 
 
-@register("fix_letter_spacing", """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'Th', 'T h', 'g'), '(^|\\s)([B-HJ-Z]) ([a-z]{2,})', '\\1\\2\\3', 'g'),
-  '(^|\\s)([A-Z]) ([A-Z]{2,})', '\\1\\2\\3', 'g')) AS text FROM documents""")
+@register("fix_letter_spacing", f"""WITH {_L}, sp AS (SELECT policy, seq, regexp_replace(line, '^([A-Z])(.)', '\\1 \\2') AS line FROM lines) SELECT policy, seq, md5({S.cap("line")}) AS line FROM sp""")
 def fix_letter_spacing(spark, sf_dir):
-    spaced = F.regexp_replace("text", "Th", "T h")
-    return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(C.fix_letter_spacing(spaced)).alias("text"))
+    """Lines whose first capital stands apart."""
+    spaced = F.regexp_replace("line", "^([A-Z])(.)", "$1 $2")
+    return _lines(spark, sf_dir).select("policy", "seq", F.md5(C.fix_letter_spacing(spaced)).alias("line"))
 
 
 def _islands(spark, sf_dir):
