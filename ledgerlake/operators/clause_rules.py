@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,15 +159,3 @@ def damaged_table_cells(cells: DataFrame, least: int = 12) -> DataFrame:
     heads = cells.where((F.col("row") == 1) & (F.length("cell") > least)).select("table_id", F.col("cell").alias("head")).distinct()
     data = cells.where("row > 1")
     return data.join(heads, (data["table_id"] == heads["table_id"]) & (data["cell"] == heads["head"]), "left_semi").select("table_id", "row", "col")
-
-
-def embed(df: DataFrame, text: str = "text", size: int = 64, prefix: str = "", model: Callable | None = None) -> DataFrame:
-    """Add ``vec``: what a model gives for (df, name of the text column, prefix); without one a unit vector of hashed word counts."""
-    if model:
-        return model(df, text, prefix)
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.concat(F.lit(prefix), text)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter("__p", lambda p: p == i)).cast("double"))
-    told = df.withColumn("__p", place).withColumn("__c", counts)
-    norm = F.sqrt(F.aggregate("__c", F.lit(0.0), lambda s, x: s + x * x))
-    return told.withColumn("vec", F.transform("__c", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))).drop("__p", "__c")

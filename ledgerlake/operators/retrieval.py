@@ -7,8 +7,9 @@ shuffle as well.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +84,109 @@ def bm25_topk(queries: DataFrame, clauses: DataFrame, k: int = 20) -> DataFrame:
     return top_k(bm25(queries, clauses).withColumn("score", F.round("score", 9)), k)
 
 
-def dense_topk(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, policy, clause_id, score, rank) by dot product among the rows (policy, clause_id, vec) of the query's policy."""
+# ---- vectors
+
+
+def bucket(word: Column, size: int) -> Column:
+    """The place of a word among ``size`` places, by the first six hexadecimal digits of its md5."""
+    return (F.conv(F.substring(F.md5(word), 1, 6), 16, 10).cast("long") % size).cast("int")
+
+
+def _word_counts(df: DataFrame, keys: list[str], text: Column, size: int) -> DataFrame:
+    return df.select(*keys, F.explode(tokens(text)).alias("word")).groupBy(*keys, bucket(F.col("word"), size).alias("b")).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def fit_idf(df: DataFrame, keys: list[str], text: str = "text", size: int = 256) -> DataFrame:
+    """(b, idf): ln((n + 1) / (df + 1)) of each place over the rows of df; at most ``size`` rows."""
+    held = _word_counts(df, keys, F.col(text), size).groupBy("b").agg(F.count(F.lit(1)).alias("df"))
+    n = df.agg(F.count(F.lit(1)).alias("n"))  # one row
+    return held.crossJoin(F.broadcast(n)).select("b", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)).alias("idf"))
+
+
+def embed(df: DataFrame, keys: list[str], idf: DataFrame, text: str = "text", size: int = 256, prefix: str = "") -> DataFrame:
+    """(keys, vec): unit vectors of hashed word counts, weighted by a fitted ``idf``.
+
+    ``prefix`` is put before the text, as queries get an instruction and documents do
+    not. Rows whose words all weigh nothing have a zero vector. Words of a row are counted
+    before the shuffle, so a row moves as ``size`` numbers at most, however long its text.
+    """
+    weighted = _word_counts(df, keys, F.concat(F.lit(prefix), F.col(text)), size).join(F.broadcast(idf), "b")
+    weighted = weighted.withColumn("w", F.col("tf") * F.col("idf"))
+    entries = weighted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    joined = df.select(*keys).join(entries.hint("merge"), keys, "left")
+    unit = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
+    zeros = F.array_repeat(F.lit(0.0), size)
+    return joined.select(*keys, F.when(F.col("norm") > 0, unit).otherwise(zeros).alias("vec"))
+
+
+def embed_with(df: DataFrame, load: Callable[[], Callable], text: str = "text", prefix: str = "") -> DataFrame:
+    """Add ``vec`` by a model. ``load()`` is called once in each task and gives a function from a list of texts to a matrix; null texts are empty ones."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            yield pd.Series(list(model([prefix + (t or "") for t in batch])))
+
+    return df.withColumn("vec", vectors(F.col(text)))
+
+
+def score_with(candidates: DataFrame, load: Callable[[], Callable], query: str = "query_text", text: str = "text") -> DataFrame:
+    """Add ``score`` by a model that reads pairs: ``load()`` gives, once in each task, a function from (queries, texts) to numbers. A scorer for rerank."""
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for queries, texts in batches:
+            yield pd.Series(model(queries.tolist(), texts.tolist()), dtype=float)
+
+    return candidates.withColumn("score", scores(F.col(query), F.col(text)))
+
+
+def _scored(pairs: DataFrame, k: int, itself: bool) -> DataFrame:
+    """The k best pairs (query_id, policy, q, clause_id, vec) of each query by dot product, to nine decimals, so that the order of a sum does not decide."""
     dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    joined = queries.select("query_id", "policy", F.col("vec").alias("q")).join(rows, "policy")
-    scored = joined.where("query_id <> clause_id").withColumn("score", dot)
-    return top_k(scored.select("query_id", "policy", "clause_id", "score"), k)
+    pairs = pairs if itself else pairs.where("query_id <> clause_id")
+    return top_k(pairs.select("query_id", "policy", "clause_id", F.round(dot, 9).alias("score")), k)
+
+
+def dense_topk(queries: DataFrame, rows: DataFrame, k: int = 20, itself: bool = True) -> DataFrame:
+    """(query_id, policy, clause_id, score, rank) by dot product among the rows (policy, clause_id, vec) of the query's policy: exact, each query meets all of them."""
+    return _scored(queries.select("query_id", "policy", F.col("vec").alias("q")).join(rows.hint("merge"), "policy"), k, itself)
+
+
+def lsh_topk(queries: DataFrame, rows: DataFrame, k: int = 20, width: float = 1.0, together: int = 4, tables: int = 64, seed: int = 7, itself: bool = True) -> DataFrame:
+    """The same by locality-sensitive hashing: only rows that share a bucket with the query are met, and these are scored exactly.
+
+    Buckets of random projections (``width``) come from Spark ML; a key is ``together`` of
+    them and the policy, and one of ``tables`` keys has to agree. Recall is measured by
+    ``recall_of`` against dense_topk, which is the exact way. More tables or wider buckets
+    find more.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=width, numHashTables=together * tables, seed=seed)
+    known = rows.withColumn("v", array_to_vector("vec"))
+    model = lsh.fit(known)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        cells = F.transform("hashes", lambda h: vector_to_array(h)[0].cast("int"))
+        told = model.transform(df).withColumn("cells", cells)
+        keys = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64(t, F.slice("cells", t * together + 1, together)))
+        return told.withColumn("key", F.explode(keys)).drop("v", "hashes", "cells", "vec")
+
+    asked = keyed(queries.select("query_id", "policy", "vec").withColumn("v", array_to_vector("vec")))
+    pairs = asked.join(keyed(known.select("policy", "clause_id", "vec", "v")).hint("merge"), ["policy", "key"]).select("policy", "query_id", "clause_id").distinct()
+    with_q = pairs.join(queries.select("query_id", "policy", F.col("vec").alias("q")).hint("merge"), ["query_id", "policy"])
+    return _scored(with_q.join(rows.select("policy", "clause_id", "vec").hint("merge"), ["policy", "clause_id"]), k, itself)
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(policy, n, hit): how many of the exact rows of each policy were found."""
+    keys = ["query_id", "policy", "clause_id"]
+    told = exact.select(*keys).join(found.select(*keys).withColumn("hit", F.lit(1)).hint("merge"), keys, "left")
+    return told.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hit"))
 
 
 def fuse_rrf(lists: list[tuple[DataFrame, float]]) -> DataFrame:
@@ -106,15 +204,17 @@ def overlap(a: Column, b: Column) -> Column:
     return F.floor(common * common * 1_000_000 / F.greatest(F.size(a) * F.size(b), F.lit(1))).cast("long")
 
 
-def rerank(candidates: DataFrame, top_n: int = 3, scorer: Callable | None = None) -> DataFrame:
+def rerank(candidates: DataFrame, top_n: int = 3, scorer: Callable | None = None, matched: bool = False) -> DataFrame:
     """(query_id, policy, clause_id, score, rank): the best window of each clause, then the best clauses.
 
     candidates: (query_id, policy, clause_id, window, q_words, words). A scorer is a
-    function from them to the same rows with a ``score``; without one words are compared.
+    function from them to the same rows with a ``score`` (see score_with); without one
+    words are compared. With ``matched`` the text of the best window comes along.
     """
     scored = scorer(candidates) if scorer else candidates.withColumn("score", overlap(F.col("q_words"), F.col("words")))
-    best = scored.groupBy("query_id", "policy", "clause_id").agg(F.max(F.struct("score", -F.col("window"))).alias("b"))
-    return top_k(best.select("query_id", "policy", "clause_id", F.col("b.score").alias("score")), top_n)
+    text = [F.max_by("text", F.struct("score", -F.col("window"))).alias("matched")] if matched else []
+    best = scored.groupBy("query_id", "policy", "clause_id").agg(F.max(F.struct("score", -F.col("window"))).alias("b"), *text)
+    return top_k(best.select("query_id", "policy", "clause_id", F.col("b.score").alias("score"), *["matched"] * matched), top_n)
 
 
 def follow_refs(hits: DataFrame, refs: DataFrame, limit: int = 4) -> DataFrame:
@@ -130,6 +230,46 @@ def follow_refs(hits: DataFrame, refs: DataFrame, limit: int = 4) -> DataFrame:
     return hits.select("query_id", "policy", "clause_id", "score", F.lit(None).cast("long").alias("via_ref_of")).unionByName(more)
 
 
+def search(
+    queries: DataFrame,
+    clauses: DataFrame,
+    refs: DataFrame,
+    write: Callable[[DataFrame, str], DataFrame],
+    vectors: tuple[DataFrame, DataFrame] | None = None,
+    scorer: Callable | None = None,
+    k: int = 20,
+    top_n: int = 3,
+    weights: tuple = (0.6, 0.4),
+    cut: int = 900,
+    prefix: str = "",
+) -> DataFrame:
+    """(query_id, policy, clause_id, score, via_ref_of, matched): hybrid search of a table of queries, each within its policy.
+
+    The ``k`` best clauses by vectors and by BM25 are fused by reciprocal ranks (0.6 and
+    0.4), the fused ones are cut into windows and reranked, the best ``top_n`` clauses come
+    with the window that matched, and clauses that they name are added with ``cut``
+    characters of their text. ``vectors`` are those of (queries, clauses); without them
+    hashed words with fitted weights are used, and ``prefix`` goes before the queries only.
+    Clauses are known by (policy, clause_id); hits that are none of ``clauses`` are dropped.
+    The fused candidates are written once, all later steps read them.
+    """
+    if vectors is None:
+        idf = write(fit_idf(clauses, ["policy", "clause_id"]), "idf")
+        vectors = embed(queries, ["query_id", "policy"], idf, prefix=prefix), embed(clauses, ["policy", "clause_id"], idf)
+    dense = dense_topk(*vectors, k)
+    fused = write(fuse_rrf([(dense, weights[0]), (bm25_topk(queries, clauses, k), weights[1])]), "fused")
+    named = fused.join(clauses.select("policy", "clause_id", *[c for c in ("title", "text") if c in clauses.columns]).hint("merge"), ["policy", "clause_id"])
+    windows = sub_chunk(named.dropDuplicates(["policy", "clause_id"]))
+    words = queries.select("query_id", "policy", F.col("text").alias("query_text"), F.array_distinct(tokens(F.col("text"))).alias("q_words"))
+    pairs = fused.select("query_id", "policy", "clause_id").join(words.hint("merge"), ["query_id", "policy"])
+    pairs = pairs.join(windows.withColumn("words", F.array_distinct(tokens(F.col("text")))).hint("merge"), ["policy", "clause_id"])
+    best = write(rerank(pairs, top_n, scorer, matched=True), "reranked")
+    followed = follow_refs(best, refs).join(best.select("query_id", "policy", "clause_id", "matched").hint("merge"), ["query_id", "policy", "clause_id"], "left")
+    texts = clauses.select("policy", "clause_id", F.substring("text", 1, cut).alias("preview"))
+    known = followed.join(texts.hint("merge"), ["policy", "clause_id"])
+    return known.select("query_id", "policy", "clause_id", "score", "via_ref_of", F.coalesce("matched", "preview").alias("matched"))
+
+
 def drop_unknown(hits: DataFrame, clauses: DataFrame) -> DataFrame:
     """Hits that are clauses of their own policy."""
     return hits.hint("merge").join(clauses.select("policy", "clause_id"), ["policy", "clause_id"], "left_semi")

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import adjudicate as A
 from ledgerlake.operators import clause_rules as K
 from ledgerlake.operators import corpus as C
-from ledgerlake.operators import retrieval as R
 from ledgerlake.operators.rules import deduction_clauses, not_payable_list, room_caps, waiting_terms
 from ledgerlake.plans import views as V
 from ledgerlake.plans.q_adjudicate import _CAPS, _DED, _LIST, _SECOND, _WAIT, _capped
 from ledgerlake.plans.q_corpus import _ISL, _L, _lines, _numbered
-from ledgerlake.plans.q_retrieval import _FOLLOW, _followed
 from ledgerlake.plans.registry import register
 from ledgerlake.plans.scratch import folder
 from ledgerlake.streaming import streams as G
@@ -159,18 +157,6 @@ def damaged_table_cells(spark, sf_dir):
     return K.damaged_table_cells(cells, 9)
 
 
-@register("embed", "SELECT doc_id, true AS unit FROM documents WHERE regexp_matches(lower(text), '[a-z0-9]') UNION ALL SELECT doc_id, false FROM documents WHERE NOT regexp_matches(lower(text), '[a-z0-9]')")
-def embed(spark, sf_dir):
-    told = K.embed(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    length = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    return told.select("doc_id", (F.abs(length - 1) < 1e-9).alias("unit"))
-
-
-@register("search", f"WITH {_FOLLOW} SELECT query_id, clause_id, score FROM followed JOIN documents ON doc_id = clause_id AND source = concat('src', query_id % 20)")
-def search(spark, sf_dir):
-    return R.drop_unknown(_followed(spark, sf_dir), V.clauses(spark, sf_dir)).select("query_id", "clause_id", "score")
-
-
 AUDIT = f"""{_WAIT}, {_CAPS}, {_DED}, {_LIST}, hit AS (SELECT bill_id, line_no, min(no) AS no FROM lines JOIN entries ON contains(item, name) GROUP BY ALL HAVING min(no) <> 4),
   r AS (SELECT lb.*, waiting, waiting IN ('specified', 'initial') AS nil, no IS NOT NULL AS listed, CASE WHEN item LIKE '% gear' THEN lb.sum_insured * cap_rate // 100 END AS pd
     FROM lb JOIN waiting USING (bill_id) JOIN caps ON caps.policy = lb.policy LEFT JOIN hit USING (bill_id, line_no)),

@@ -69,11 +69,62 @@ _DENSE = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM em
   dense AS (SELECT * FROM (SELECT query_id, clause_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, clause_id) AS INTEGER) AS rank FROM dn) WHERE rank <= 20)"""
 
 
+def _asked(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return rows.where("clause_id % 20 = 0").withColumnRenamed("clause_id", "query_id"), rows
+
+
 @register("dense_topk", f"WITH {_DENSE} SELECT query_id, clause_id, rank FROM dense")
 def dense_topk(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    asked = rows.where("clause_id % 20 = 0").withColumnRenamed("clause_id", "query_id")
-    return R.dense_topk(asked, rows).select("query_id", "clause_id", "rank")
+    return R.dense_topk(*_asked(spark, sf_dir), itself=False).select("query_id", "clause_id", "rank")
+
+
+@register("dense_recall", f"WITH {_DENSE} SELECT label AS policy, count(*) AS n, true AS enough FROM dense JOIN v ON vec_id = query_id GROUP BY label")
+def dense_recall(spark, sf_dir):
+    """Whether locality-sensitive hashing finds nine tenths of the exact neighbours of each policy."""
+    exact = R.dense_topk(*_asked(spark, sf_dir), itself=False)
+    told = R.recall_of(R.lsh_topk(*_asked(spark, sf_dir), itself=False), exact)
+    return told.select("policy", "n", (F.col("hit") >= 0.9 * F.col("n")).alias("enough"))
+
+
+#: Vectors by hashed words with fitted weights: of clauses (ve) and of queries (qv), and the 20 nearest clauses of each query (dense).
+_EMB = f"""tk AS (SELECT source AS policy, doc_id, unnest({_TOK.format(t="text")}) AS w FROM documents),
+  bc AS (SELECT policy, doc_id, CAST('0x' || substr(md5(w), 1, 6) AS BIGINT) % 256 AS b, count(*) AS tf FROM tk GROUP BY ALL),
+  idf AS (SELECT b, ln((n + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) AS idf FROM bc, (SELECT count(*) AS n FROM documents) GROUP BY b, n),
+  wt AS (SELECT policy, doc_id, b, tf * idf AS w FROM bc JOIN idf USING (b)), nm AS (SELECT policy, doc_id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY ALL),
+  ve AS (SELECT policy, doc_id, b, w / norm AS w FROM wt JOIN nm USING (policy, doc_id) WHERE norm > 0)"""
+_QV = f"""{_EMB}, qk AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS policy, unnest({_TOK.format(t="'find: ' || text")}) AS w FROM benchmark),
+  qb AS (SELECT query_id, policy, CAST('0x' || substr(md5(w), 1, 6) AS BIGINT) % 256 AS b, count(*) AS tf FROM qk GROUP BY ALL), qw_ AS (SELECT query_id, policy, b, tf * idf AS w FROM qb JOIN idf USING (b)),
+  qv AS (SELECT query_id, policy, b, w / norm AS w FROM qw_ JOIN (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw_ GROUP BY query_id) USING (query_id) WHERE norm > 0),
+  dq AS (SELECT item_id AS query_id, source AS policy, doc_id AS clause_id FROM benchmark JOIN documents ON source = 'src' || (item_id % 20)),
+  dots AS (SELECT query_id, policy, clause_id, round(coalesce(s, 0), 9) AS s FROM dq LEFT JOIN (SELECT query_id, policy, doc_id AS clause_id, sum(qv.w * ve.w) AS s FROM qv JOIN ve USING (policy, b) GROUP BY ALL) USING (query_id, policy, clause_id)),
+  dense AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, clause_id) AS INTEGER) AS rank FROM dots) WHERE rank <= 20),
+  fused AS (SELECT query_id, policy, clause_id, sum(part) AS part FROM (SELECT query_id, policy, clause_id, 0.6::DOUBLE / (60 + rank) AS part FROM dense UNION ALL SELECT query_id, policy, clause_id, 0.4::DOUBLE / (60 + rank) FROM lex) GROUP BY ALL)"""
+
+
+@register("embed", f"WITH {_EMB} SELECT doc_id, CAST(b AS INTEGER) AS place, CAST(round(w * 1000000) AS BIGINT) AS weight FROM ve WHERE abs(w) > 1e-9")
+def embed(spark, sf_dir):
+    """Vectors of all documents, number by number where they are not zero."""
+    docs = V.clauses(spark, sf_dir)
+    idf = stored(R.fit_idf(docs, ["policy", "clause_id"]), folder(spark, "idf"))
+    told = R.embed(docs, ["policy", "clause_id"], idf).select("clause_id", F.posexplode("vec").alias("place", "w")).where("abs(w) > 1e-9")
+    return told.select(F.col("clause_id").alias("doc_id"), "place", F.round(F.col("w") * 1_000_000).cast("bigint").alias("weight"))
+
+
+def letter_model():
+    """A small model for the hook: shares of the letters a to h and the length in words, as a matrix."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.count(c) for c in "abcdefgh"] + [len(t.split(" "))] for t in texts], dtype=float).reshape(len(texts), 9)
+
+
+_LETTERS = ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in "abcdefgh")
+
+
+@register("embed_with", f"SELECT doc_id, CAST(unnest(range(9)) AS INTEGER) AS place, CAST(unnest([{_LETTERS}, len(string_split(text, ' '))]) AS DOUBLE) AS value FROM documents")
+def embed_with(spark, sf_dir):
+    """Vectors by a model that is loaded once in each task."""
+    return R.embed_with(V.table(spark, sf_dir, "documents").select("doc_id", "text"), letter_model).select("doc_id", F.posexplode("vec").alias("place", "value"))
 
 
 _OVER = f"""qw AS (SELECT item_id AS query_id, list_distinct({_TOK.format(t="text")}) AS a FROM benchmark),
@@ -99,11 +150,17 @@ def rerank(spark, sf_dir):
     return _reranked(spark, sf_dir).drop("policy")
 
 
-@register("fuse_rrf", f"""WITH {_CHUNKS}, {_BM25}, {_OVER}, p AS (SELECT query_id, clause_id, 0.6 / (60 + rank) AS part FROM rr UNION ALL SELECT query_id, clause_id, 0.4 / (60 + rank) FROM lex)
-  SELECT query_id, clause_id, CAST(round(sum(part) * 1000000) AS BIGINT) AS score FROM p GROUP BY ALL""")
+def _fused(spark, sf_dir):
+    queries, clauses = _queries(spark, sf_dir), V.clauses(spark, sf_dir)
+    keys = ["policy", "clause_id"]
+    idf = stored(R.fit_idf(clauses, keys), folder(spark, "idf"))
+    dense = R.dense_topk(R.embed(queries, ["query_id", "policy"], idf, prefix="find: "), R.embed(clauses, keys, idf))
+    return R.fuse_rrf([(dense, 0.6), (_lexical(spark, sf_dir), 0.4)])
+
+
+@register("fuse_rrf", f"WITH {_BM25}, {_QV} SELECT query_id, clause_id, CAST(round(part * 1000000) AS BIGINT) AS score FROM fused")
 def fuse_rrf(spark, sf_dir):
-    fused = R.fuse_rrf([(_reranked(spark, sf_dir), 0.6), (_lexical(spark, sf_dir), 0.4)])
-    return fused.select("query_id", "clause_id", F.round(F.col("score") * 1_000_000).cast("bigint").alias("score"))
+    return _fused(spark, sf_dir).select("query_id", "clause_id", F.round(F.col("score") * 1_000_000).cast("bigint").alias("score"))
 
 
 _REFS = "refs AS (SELECT doc_id AS clause_id, [doc_id + 20, (doc_id * 3) % 1000, doc_id + 40] AS r FROM documents)"
@@ -207,3 +264,23 @@ def topic_clauses(spark, sf_dir):
 @register("browse_clauses", "SELECT source AS policy, doc_id AS clause_id, md5(substr(text, 1, 420)) AS preview FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e')")
 def browse_clauses(spark, sf_dir):
     return R.browse_clauses(V.clauses(spark, sf_dir), "(?i)licen[sc]e").withColumn("preview", F.md5("preview"))
+
+
+_SEARCH = f"""{_CHUNKS}, {_BM25}, {_QV}, qw AS (SELECT item_id AS query_id, list_distinct({_TOK.format(t="text")}) AS a FROM benchmark),
+  cw AS (SELECT policy, clause_id, w, text, list_distinct({_TOK.format(t="text")}) AS b FROM chunks),
+  sw AS (SELECT query_id, policy, clause_id, w, cw.text, CAST(len(list_intersect(a, b)) AS BIGINT) * len(list_intersect(a, b)) * 1000000 // greatest(len(a) * len(b), 1) AS score FROM fused JOIN qw USING (query_id) JOIN cw USING (policy, clause_id)),
+  sb AS (SELECT DISTINCT ON (query_id, clause_id) * FROM sw ORDER BY query_id, clause_id, score DESC, w),
+  rr AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clause_id) AS INTEGER) AS rank FROM sb) WHERE rank <= 3), {_REFS},
+  nm2 AS (SELECT query_id, policy, rank, clause_id AS via, unnest(r) AS ref, unnest([0, 1, 2]) AS pos FROM rr JOIN refs USING (clause_id)),
+  fr AS (SELECT query_id, policy, ref, min(rank * 10 + pos) AS k, arg_min(via, rank * 10 + pos) AS via FROM nm2 n WHERE NOT EXISTS (SELECT 1 FROM rr WHERE rr.query_id = n.query_id AND rr.clause_id = n.ref) GROUP BY ALL),
+  ad AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS n FROM fr)"""
+
+
+@register("search", f"""WITH {_SEARCH} SELECT query_id, clause_id, CAST(score AS BIGINT) AS score, CAST(NULL AS BIGINT) AS via_ref_of, md5(text) AS matched FROM rr
+  UNION ALL SELECT query_id, ref, 0, via, md5(substr(text, 1, 900)) FROM ad JOIN documents ON doc_id = ref AND source = policy WHERE n <= 4""")
+def search(spark, sf_dir):
+    """Benchmark items against the clauses of their policies: vectors and words fused, windows reranked, references added."""
+    clauses = V.clauses(spark, sf_dir)
+    refs = clauses.selectExpr("policy", "clause_id", "array(clause_id + 20, (clause_id * 3) % 1000, clause_id + 40) AS refs")
+    told = R.search(_queries(spark, sf_dir), clauses, refs, lambda df, name: stored(df, folder(spark, name)), prefix="find: ")
+    return told.select("query_id", "clause_id", "score", "via_ref_of", F.md5("matched").alias("matched"))
