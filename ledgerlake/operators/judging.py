@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.text import parse_amount
 from ledgerlake.operators.adjudicate import LIMITS, allowed_amount
 from ledgerlake.operators.rules import PACK, Pack
 
@@ -29,12 +30,36 @@ def defers_to_schedule(hits: DataFrame, pack: Pack = PACK) -> DataFrame:
     return hits.groupBy(*KEYS).agg(F.max(defers).alias("defers"))
 
 
+# How limits are worded. A share is a whole per cent of the sum insured; an amount carries its currency, so years, codes and counts are none.
+SHARE = r"(?i)(?:^|[^0-9.])([0-9]{1,3})\s*%\s*of\s+(?:the\s+)?sum\s+insured"
+AMOUNT = r"(?i)(?:\bRs\.?|\bINR|₹)\s*[0-9][0-9,]*(?:\.[0-9]{1,2})?(?:\s*/-)?(?:\s*(?:per\s+day|a\s+day|/\s*day|daily))?"
+FIGURE, DAILY = r"([0-9][0-9,]*(?:\.[0-9]{1,2})?)", r"(?i)day|daily"
+
+
+def limits_in(text: Column) -> Column:
+    """The limits that a text states, shares first, each in the order of the text.
+
+    Amounts are rupees with any grouping ("2,00,000", "1,500/-", "750.50"), for each day
+    where the wording says so. All of them apply, so "whichever is lower" needs no rule.
+    """
+    shares = F.transform(
+        F.regexp_extract_all(text, F.lit(SHARE), F.lit(1)),
+        lambda m: F.struct(F.lit(None).cast("bigint").alias("amount"), m.cast("int").alias("percentage"), F.lit("total").alias("basis")),
+    )
+    amounts = F.transform(
+        F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)),
+        lambda m: F.struct(
+            parse_amount(F.regexp_extract(m, FIGURE, 1)).alias("amount"), F.lit(None).cast("int").alias("percentage"),
+            F.when(m.rlike(DAILY), "per_day").otherwise("total").alias("basis"),
+        ),
+    )
+    return F.concat(shares, amounts).cast(LIMITS)
+
+
 def default_judge(candidates: DataFrame) -> DataFrame:
-    """(keys, clause_id, limits, confident): the best candidate and the limits that its text states in figures."""
+    """(keys, clause_id, limits, confident): the best candidate and the limits that its text states."""
     best = candidates.groupBy(*KEYS).agg(F.min_by(F.struct("clause_id", "text", "score"), "rank").alias("b"))
-    amounts = F.regexp_extract_all("b.text", F.lit(r"([0-9]{4,7})"), F.lit(1))
-    limit = lambda a: F.struct((a.cast("bigint") * 100).alias("amount"), F.lit(None).cast("int").alias("percentage"), F.lit("total").alias("basis"))
-    return best.select(*KEYS, F.col("b.clause_id").alias("clause_id"), F.transform(amounts, limit).cast(LIMITS).alias("limits"), (F.col("b.score") >= 300_000).alias("confident"))
+    return best.select(*KEYS, F.col("b.clause_id").alias("clause_id"), limits_in(F.col("b.text")).alias("limits"), (F.col("b.score") >= 300_000).alias("confident"))
 
 
 def guard_unknown_citation(judgements: DataFrame, clauses: DataFrame) -> DataFrame:

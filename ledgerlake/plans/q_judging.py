@@ -20,12 +20,14 @@ def states_exclusion(spark, sf_dir):
     return V.clauses(spark, sf_dir).select("clause_id", J.states_exclusion(F.col("text"), PLAIN).alias("excludes"))
 
 
-_HITS = f"{_CHUNKS}, {_BM25}, {_OVER}, hits AS (SELECT rr.*, d.text FROM rr JOIN documents d ON d.doc_id = rr.clause_id)"
+#: Two of three clauses state limits, among figures that are none.
+_STATED = """concat(text, CASE clause_id % 3 WHEN 0 THEN ' Up to 5% of the sum insured or Rs 2,00,000 per day from 2024.' WHEN 1 THEN ' A limit of Rs. 1,500/- or INR 750.50 daily, code 400001' ELSE '' END)"""
+_HITS = f"{_CHUNKS}, {_BM25}, {_OVER}, hits AS (SELECT rr.*, {_STATED.replace('text,', 'd.text,').replace('clause_id', 'rr.clause_id')} AS text FROM rr JOIN documents d ON d.doc_id = rr.clause_id)"
 
 
 def _hits(spark, sf_dir):
     found = _reranked(spark, sf_dir).withColumnRenamed("query_id", "bill_id").withColumn("line_no", F.lit(1))
-    return found.join(V.clauses(spark, sf_dir).select("clause_id", "text"), "clause_id")
+    return found.join(V.clauses(spark, sf_dir).selectExpr("clause_id", f"{_STATED} AS text"), "clause_id")
 
 
 @register("defers_to_schedule", f"WITH {_HITS} SELECT query_id AS bill_id, 1 AS line_no, bool_or(contains(text, 'token') AND NOT contains(text, 'Licensed')) AS defers FROM hits GROUP BY query_id")
@@ -33,13 +35,17 @@ def defers_to_schedule(spark, sf_dir):
     return J.defers_to_schedule(_hits(spark, sf_dir), PLAIN)
 
 
-_JUDGED = f"{_HITS}, jd AS (SELECT query_id, clause_id, list_transform(regexp_extract_all(text, '([0-9]{{4,7}})', 1), lambda a: a::BIGINT * 100) AS limits, score >= 300000 AS confident, text FROM hits WHERE rank = 1)"
+_JUDGED = f"""{_HITS}, jd AS (SELECT query_id, clause_id, list_transform(regexp_extract_all(text, '{J.AMOUNT}', 0), lambda m: CAST(round(CAST(replace(regexp_extract(m, '{J.FIGURE}', 1), ',', '') AS DOUBLE) * 100) AS BIGINT)) AS limits,
+  list_transform(regexp_extract_all(text, '{J.SHARE}', 1), lambda m: CAST(m AS INTEGER)) AS shares, len(list_filter(regexp_extract_all(text, '{J.AMOUNT}', 0), lambda m: regexp_matches(m, '{J.DAILY}'))) AS daily, score >= 300000 AS confident, text FROM hits WHERE rank = 1)"""
 
 
-@register("judge", f"WITH {_JUDGED} SELECT query_id AS bill_id, 1 AS line_no, clause_id, CAST(len(limits) AS INTEGER) AS n_limits, list_min(limits) AS lowest, confident FROM jd")
+@register("judge", f"WITH {_JUDGED} SELECT query_id AS bill_id, 1 AS line_no, clause_id, CAST(len(limits) + len(shares) AS INTEGER) AS n_limits, list_min(limits) AS lowest, list_min(shares) AS share, CAST(daily AS INTEGER) AS daily, confident FROM jd")
 def judge(spark, sf_dir):
     judged = J.default_judge(_hits(spark, sf_dir))
-    return judged.select("bill_id", "line_no", "clause_id", F.size("limits").alias("n_limits"), F.array_min(F.transform("limits", lambda x: x["amount"])).alias("lowest"), "confident")
+    return judged.select(
+        "bill_id", "line_no", "clause_id", F.size("limits").alias("n_limits"), F.array_min(F.transform("limits", lambda x: x["amount"])).alias("lowest"),
+        F.array_min(F.transform("limits", lambda x: x["percentage"])).alias("share"), F.size(F.filter("limits", lambda x: x["basis"] == "per_day")).alias("daily"), "confident",
+    )
 
 
 def _graded(spark, sf_dir):

@@ -95,7 +95,14 @@ def stream_audit(spark, sf_dir):
 
 @register("stream_progress", """SELECT user_id AS job, count(*) FILTER (event_type = 'purchase') AS done, count(*) AS total, arg_max(event_type, CAST(epoch_us(ts) AS HUGEINT) * 10000000 + event_id) AS status FROM events GROUP BY user_id""")
 def stream_progress(spark, sf_dir):
-    return G.progress(V.table(spark, sf_dir, "events").selectExpr("user_id AS job", "event_type AS status", "ts", "event_id"))
+    """A running stream over files of events that arrive in any order; its last updates, day by day, add up to the progress of each job."""
+    path, target = folder(spark, "events"), folder(spark, "progress")
+    events = V.table(spark, sf_dir, "events").selectExpr("user_id AS job", "event_type AS status", "CAST(ts AS TIMESTAMP) AS ts", "event_id")
+    events.repartition(4, "event_id").write.parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    # All files hold all days here, so none may count as finished before the last file.
+    G.follow_progress(stream, target, folder(spark, "offsets"), late="36500 days").awaitTermination()
+    return G.read_progress(spark.read.parquet(target))
 
 
 @register("read_text_bills", "SELECT md5(text || chr(10)) AS text, CAST(NULL AS VARCHAR) AS refused, count(*) AS n FROM benchmark GROUP BY ALL")

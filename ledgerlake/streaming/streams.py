@@ -39,6 +39,28 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 def stream_progress(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The same for each day of a stream; the watermark lets finished days go from the state."""
-    day = F.window("ts", "1 day").alias("day")
-    return events.withWatermark("ts", late).groupBy(day, "job").agg(F.count_if(F.col("status") == "purchase").alias("done"), F.count(F.lit(1)).alias("total"))
+    """(day, job, done, total, status, last): progress by day of a stream of (job, status, ts, event_id).
+
+    The watermark lets finished days go from the state; what arrives later than that for
+    such a day is left out (and counted by Spark in the query's progress).
+    """
+    day, order = F.window("ts", "1 day").alias("day"), F.struct("ts", "event_id")
+    return events.withWatermark("ts", late).groupBy(day, "job").agg(
+        F.count_if(F.col("status") == "purchase").alias("done"), F.count(F.lit(1)).alias("total"), F.max_by("status", order).alias("status"), F.max(order).alias("last")
+    )
+
+
+def follow_progress(events: DataFrame, target: str, checkpoint: str, late: str = "1 hour"):
+    """Write what changes in each micro-batch, a folder for each, so that a repeated batch overwrites what it wrote before."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    query = stream_progress(events, late).writeStream.outputMode("update").foreachBatch(each)
+    return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_progress(updates: DataFrame) -> DataFrame:
+    """(job, done, total, status) from the updates (with their ``batch``): the last one of each day, and all days of a job."""
+    latest = updates.groupBy("job", "day").agg(F.max_by(F.struct("done", "total", "status", "last"), "batch").alias("u"))
+    return latest.groupBy("job").agg(F.sum("u.done").alias("done"), F.sum("u.total").alias("total"), F.max_by("u.status", "u.last").alias("status"))

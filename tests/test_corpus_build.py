@@ -91,3 +91,17 @@ def test_lines_of_pages_without_a_policy_are_kept(spark):
     pages = spark.createDataFrame([("p", 1, "a\nb"), ("p", None, "c"), (None, 1, "d")], "policy string, page int, text string")
     rows = C.page_lines(pages).collect()
     assert sorted((r["line"], r["seq"]) for r in rows) == [("a", 2), ("b", 3), ("c", 1), ("d", 1)]
+
+
+def test_limits_are_read_by_their_wording(spark):
+    from ledgerlake.operators.judging import limits_in
+
+    texts = (
+        "Up to 5% of the sum insured or Rs 2,00,000 per day from 2024", "up to Rs.750/- per hospitalization and up to Rs.1,500/- per Policy Period",
+        "10% of Sum Insured or INR 1,00,000, whichever is less", "pin 400001, 36 months, 12.5% of the sum insured", "₹ 1,200.50 daily",
+    )
+    got = [[tuple(x) for x in r] for r in told(spark, limits_in, *texts)]
+    assert got == [
+        [(None, 5, "total"), (20_000_000, None, "per_day")], [(75_000, None, "total"), (150_000, None, "total")],
+        [(None, 10, "total"), (10_000_000, None, "total")], [], [(120_050, None, "per_day")],
+    ]
