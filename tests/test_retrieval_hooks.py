@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import retrieval as R
 
 
-def lengths():
-    return lambda texts: np.array([[len(t), 1.0] for t in texts])
-
-
 def test_a_model_gives_vectors_and_null_texts_are_empty(spark):
+    def lengths():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
     df = spark.createDataFrame([(1, "ab"), (2, None)], "i int, text string")
     assert [r["vec"] for r in R.embed_with(df, lengths, prefix="q:").orderBy("i").collect()] == [[4.0, 1.0], [2.0, 1.0]]
 
