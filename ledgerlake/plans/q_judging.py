@@ -63,10 +63,10 @@ def _graded(spark, sf_dir):
     return J.grade(flags.join(J.defers_to_schedule(_hits(spark, sf_dir), PLAIN), J.KEYS))
 
 
-_GRADED = f"""{_JUDGED}, o AS (SELECT query_id, CASE WHEN query_id % 5 = 0 THEN clause_id + 1 ELSE clause_id END AS clause_id, confident FROM jd),
+_GRADED = f"""{_JUDGED}, o AS (SELECT query_id, CASE WHEN query_id % 5 = 0 THEN clause_id + 1 ELSE clause_id END AS clause_id, confident, daily FROM jd),
   df AS (SELECT query_id, bool_or(contains(text, 'token') AND NOT contains(text, 'Licensed')) AS defers FROM hits GROUP BY 1),
   g AS (SELECT o.*, d.source IS NOT NULL AND d.source = 'src' || (query_id % 20) AS known, coalesce(d.text, '') AS t, defers FROM o LEFT JOIN documents d ON d.doc_id = o.clause_id JOIN df USING (query_id)),
-  fg AS (SELECT *, query_id % 4 = 2 AND query_id % 3 <> 0 AND contains(t, 'the') AS room_cap, query_id % 4 = 1 AND NOT contains(t, 'worthless') AS zero FROM g)"""
+  fg AS (SELECT *, (query_id % 4 = 2 OR (query_id % 4 <> 1 AND daily > 0)) AND query_id % 3 <> 0 AND contains(t, 'the') AS room_cap, query_id % 4 = 1 AND NOT contains(t, 'worthless') AS zero FROM g)"""
 
 
 @register("guard_unknown_citation", f"WITH {_GRADED} SELECT query_id AS bill_id, clause_id, known FROM fg")
