@@ -10,6 +10,7 @@ from ledgerlake.plans.q_clauses import AUDIT, audited
 from ledgerlake.plans.registry import register
 from ledgerlake.plans.scratch import folder, stored
 from ledgerlake.sources import files as S
+from ledgerlake.streaming import arrivals as R
 from ledgerlake.streaming import streams as G
 
 
@@ -93,6 +94,32 @@ def stream_audit(spark, sf_dir):
     return spark.read.schema("bill_id BIGINT, line_no INT, allowed BIGINT, clause_id STRING").parquet(f"{target}/valid").select("bill_id", "line_no", "allowed", "clause_id")
 
 
+@register("audit_arrivals", f"""WITH {AUDIT} SELECT bill_id, line_no, allowed, clause_id, bill_id % 11 <> 0 OR bill_id % 5 = 0 AS complete FROM fin WHERE cents > 0 AND bill_id % 13 <> 0""")
+def audit_arrivals(spark, sf_dir):
+    """Bills whose lines come in three parts, some of them twice, and a last part of whole bills ten days later; bills that miss a line close by timeout."""
+    path, target = folder(spark, "parts"), folder(spark, "audited")
+    cents = "CASE WHEN bill_id % 13 = 0 THEN -cents ELSE cents END AS cents"
+    n = "CAST(count(*) OVER (PARTITION BY bill_id) AS INT) + IF(bill_id % 11 = 0 AND bill_id % 5 <> 0, 1, 0) AS n_lines"
+    raw = V.lines_of_bills(spark, sf_dir).selectExpr("bill_id", "policy", "line_no", "item", cents, "qty", "sum_insured", "started", "admitted", n)
+    part = F.expr("IF(bill_id % 5 = 0, 3, line_no % 3)")
+    parted = stored(raw.withColumn("part", part), folder(spark, "lines"))
+    days = "timestamp'2024-01-01' + make_dt_interval(IF(part = 3, 10, 0), part)"
+    for k in range(4):
+        again = parted.where((F.col("part") == k - 1) & (F.col("line_no") % 4 == 0)) if 0 < k < 3 else parted.limit(0)
+        sent = parted.where(F.col("part") == k).unionByName(again).withColumn("arrived", F.expr(days)).drop("part")
+        sent.repartition(2, "bill_id").write.mode("append").parquet(path)
+
+    def audit(lines):
+        bills = lines.select("bill_id", "policy", "started", "admitted").distinct()
+        done = audited(lines.drop("complete"), bills).select("bill_id", "line_no", "allowed", "clause_id")
+        return done.join(lines.select("bill_id", "line_no", "complete"), ["bill_id", "line_no"])
+
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
+    R.audit_arrivals(stream, audit, target, folder(spark, "offsets")).awaitTermination()
+    schema = "bill_id BIGINT, line_no INT, allowed BIGINT, clause_id STRING, complete BOOLEAN"
+    return spark.read.schema(schema).parquet(f"{target}/valid").select("bill_id", "line_no", "allowed", "clause_id", "complete")
+
+
 @register("stream_progress", """SELECT user_id AS job, count(*) FILTER (event_type = 'purchase') AS done, count(*) AS total, arg_max(event_type, CAST(epoch_us(ts) AS HUGEINT) * 10000000 + event_id) AS status FROM events GROUP BY user_id""")
 def stream_progress(spark, sf_dir):
     """A running stream over files of events that arrive in any order; its last updates, day by day, add up to the progress of each job."""
