@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.plans.scratch import folder, stored
+
 
 def content_key(columns: list[str]) -> Column:
     """sha-256 of the columns as JSON, in alphabetical order."""
@@ -19,6 +24,63 @@ def fingerprint(config: dict) -> Column:
     return F.sha2(F.lit(json.dumps(config, sort_keys=True)), 256)
 
 
+def identity(config: dict) -> str:
+    """The same identity as text, to name a run's part of a store."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
+
+
+def read_store(spark: SparkSession, path: str, schema: str, run: str | None = None) -> DataFrame:
+    """Rows of a store (``schema``, fingerprint, part), of one run where it is given: Spark reads that run's folders only.
+
+    A store that does not exist yet is empty.
+    """
+    full = f"{schema}, fingerprint STRING, part STRING"
+    try:
+        rows = spark.read.schema(full).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], full)
+    return rows if run is None else rows.where(F.col("fingerprint") == run)
+
+
+def write_store(rows: DataFrame, path: str, run: str, part: str) -> None:
+    """Put rows into a run's part. Only that part is replaced, when the job commits; other parts and runs stay.
+
+    No rows replace nothing.
+    """
+    named = rows.withColumns({"fingerprint": F.lit(run), "part": F.lit(part)})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint", "part").parquet(path)
+
+
+def memoise_in(
+    df: DataFrame, path: str, config: dict, columns: list[str], compute: Callable[[DataFrame], DataFrame], results: str, valid: Column, part: str | None = None,
+) -> DataFrame:
+    """df with the columns ``results`` (as in a schema) and ``replayed``, from the store at ``path`` or computed.
+
+    ``config`` is all that can change a result beside the ``columns``: another one shares no
+    rows. ``compute`` gets each unknown content once, as (key, ``columns``), and gives (key,
+    ``results``); it runs once, its rows are written before anything reads them. Those that
+    are not ``valid`` are returned but not kept, and contents it leaves out are absent from
+    the result. A call that is repeated under the same ``part`` replays what that part holds
+    and replaces it with the same rows and the new ones.
+    """
+    spark, run, part = df.sparkSession, identity(config), part or uuid.uuid4().hex
+    schema = f"key STRING, {results}"
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    keyed = df.withColumn("key", content_key(columns))
+    known = read_store(spark, path, schema, run)
+    unknown = keyed.select("key", *columns).dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti")
+    done = stored(compute(unknown).select(*names), folder(spark, "computed"))
+    own = stored(known.where(F.col("part") == part).select(*names), folder(spark, "kept"))
+    write_store(done.where(valid).unionByName(own), path, run, part)
+    fresh = done.select("key").withColumn("__fresh", F.lit(True)).dropDuplicates(["key"])
+    kept = read_store(spark, path, schema, run).select(*names).dropDuplicates(["key"])
+    every = kept.unionByName(done.where(~F.coalesce(valid, F.lit(False)))).join(fresh, "key", "left")
+    told = every.withColumn("replayed", F.col("__fresh").isNull()).drop("__fresh")
+    return keyed.join(told, "key").drop("key")
+
+
 def memoise(df: DataFrame, store: DataFrame | None, columns: list[str], compute: Callable[[DataFrame], DataFrame], valid: Column) -> tuple[DataFrame, DataFrame]:
     """(results, fresh): stored rows for keys that are known, computed ones for the others.
 
