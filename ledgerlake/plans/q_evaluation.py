@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import normalise_quote as normalise
 from ledgerlake.operators import evaluation as E
+from ledgerlake.operators import locate as L
 from ledgerlake.plans import views as V
 from ledgerlake.plans.q_retrieval import holding
 from ledgerlake.plans.registry import register
@@ -128,9 +129,25 @@ def quote_sources(spark, sf_dir):
     return E.quote_sources(_holders(spark, sf_dir), quotes)
 
 
-@register("find_pages", f"WITH {_HELD} SELECT quote_id, policy, clause_id FROM held")
+_NORM = r"""regexp_replace(lower(trim(regexp_replace(translate({t}, '‘’“”–—', '''''""--'), '[ \t\n\r]+', ' ', 'g'))), ' ?/ ?', '/', 'g')"""
+
+
+@register("find_pages", rf"""WITH p AS (SELECT doc_id, 'book' || (doc_id // 25) AS policy, {_NORM.format(t="text")} AS t FROM documents),
+  q AS (SELECT item_id AS quote_id, {_NORM.format(t="text")} AS q FROM benchmark
+    UNION ALL SELECT -1 - a.doc_id, {_NORM.format(t="right(a.t, 30) || ' ' || left(b.t, 30)")} FROM p a JOIN p b ON b.doc_id = a.doc_id + 1),
+  s AS (SELECT policy, string_agg(t, ' ' ORDER BY doc_id) AS s FROM p WHERE t <> '' GROUP BY policy),
+  r AS (SELECT policy, doc_id AS page, sum(length(t) + 1) OVER (PARTITION BY policy ORDER BY doc_id) - length(t) - 1 AS a, length(t) AS n FROM p WHERE t <> ''),
+  sp AS (SELECT policy, quote_id, q, string_split(s, q) AS parts FROM s JOIN q ON contains(s, q) AND length(q) >= 12),
+  occ AS (SELECT policy, quote_id, length(q) AS n, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(q) AS at FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM sp))
+  SELECT DISTINCT quote_id, policy, page FROM occ JOIN r USING (policy) WHERE r.a < occ.at + occ.n AND occ.at < r.a + r.n""")
 def find_pages(spark, sf_dir):
-    return _holders(spark, sf_dir)
+    """Documents as pages of books of 25; asked are the benchmark's texts, and for each page its end with the start of the next one."""
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('book', doc_id DIV 25)").alias("policy"), "text")
+    ends = docs.select("doc_id", normalise(F.col("text")).alias("t"))
+    following = ends.select((F.col("doc_id") - 1).alias("doc_id"), F.expr("left(t, 30)").alias("head"))
+    planted = ends.join(following.hint("merge"), "doc_id").select((-1 - F.col("doc_id")).alias("quote_id"), F.expr("concat(right(t, 30), ' ', head)").alias("quote"))
+    quotes = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")).unionByName(planted)
+    return L.find_pages(docs.withColumnRenamed("doc_id", "page"), quotes).select("quote_id", "policy", "page")
 
 
 @register("repair_citation", f"""WITH {_HELD}, li AS (SELECT item_id // 2 AS line_id, min(item_id) AS lo FROM benchmark GROUP BY 1), nq AS (SELECT item_id // 2 AS line_id, count(*) AS n FROM benchmark GROUP BY 1),
