@@ -28,7 +28,7 @@ _U = np.uint64
 # The masks. Of 13 to 25 words with a fifth replaced at most, four in a row
 # are equal, or two threes with one word between (15 words). Longer overlaps hold such a
 # shorter one. Items of 5 to 12 words need more masks at three lengths only;
-# of those under 5 no word may differ.
+# of those under 5 no word may differ. The masks of short items are laid over these items only.
 MASKS = ("1111", "1110111")
 SHORT_MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 5: ("11011", "10111", "11101"), 6: ("111011", "110111"), 10: ("111011", "110111")}
 MIN_OVERLAP, PERCENT = 13, 80
@@ -48,6 +48,19 @@ def masks_for(lengths: list[int], min_overlap: int = MIN_OVERLAP, percent: int =
     return ["1" * max(1, min(8, *(-(-(n - m) // (m + 1)) for n, m in other.items())))]
 
 
+def sizes_of(mask: str, masks: list[str], lengths: list[int]) -> list[int] | None:
+    """The lengths of items that a mask is for: None for all of them, else the short ones that need it."""
+    return None if mask in MASKS or len(masks) == 1 else [n for n in lengths if mask in SHORT_MASKS.get(n, ())]
+
+
+def first_places(seed: np.ndarray, text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where each seed of a text comes first."""
+    order = np.lexsort((place, seed, text))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(text[order]) != 0) | (seed[order][1:] != seed[order][:-1])
+    return order[new]
+
+
 def seeds(words: np.ndarray, offsets: np.ndarray, masks: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, text, place) of all seeds of a batch of texts: one triple of arrays for each mask."""
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -136,15 +149,20 @@ def contamination(
     words = scratch.table(bench.mapInArrow(item_words, "item long, item_words array<long>").where(F.size("item_words") > 0), "items")
     lengths = sorted(r[0] for r in words.where(F.size("item_words") < min_overlap).select(F.size("item_words")).distinct().collect())  # under min_overlap numbers
     masks = masks_for(lengths, min_overlap, percent)
+    meant = {mask: sizes_of(mask, masks, lengths) for mask in masks}
+    # A mask that is the whole item: one place in a document is as good as all, the first is told.
+    whole_item = {mask for mask, n in meant.items() if n == [len(mask)] and "0" not in mask}
 
     def item_seeds(batches):
         for batch in batches:
             lists = batch.column(1)
             flat, offsets = lists.flatten().to_numpy().view(_U), lists.offsets.to_numpy()
             ids, sizes = batch.column(0).to_numpy(), np.diff(offsets).astype(np.int32)
-            for seed, text, place in seeds(flat, offsets - offsets[0], masks):
-                columns = seed.astype(np.int64), ids[text], place.astype(np.int32), sizes[text]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "item", "q", "size"])
+            for mask in masks:
+                for seed, text, place in seeds(flat, offsets - offsets[0], [mask]):
+                    own = np.flatnonzero(np.isin(sizes[text], meant[mask])) if meant[mask] is not None else np.arange(len(text))
+                    columns = seed[own].astype(np.int64), ids[text[own]], place[own].astype(np.int32), sizes[text[own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "item", "q", "size"])
 
     known = scratch.table(words.mapInArrow(item_seeds, "seed long, item long, q int, size int").distinct(), "seeds")
     table = spark.sparkContext.broadcast(_bit_table(known))  # 4 MB
@@ -154,10 +172,13 @@ def contamination(
         for batch in (part for whole in batches for part in slices(whole, 1)):
             words, offsets = word_hashes(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for seed, text, place in seeds(words, offsets, masks):
-                bit = (seed >> _U(64 - BITS)).astype(np.int64)
-                hit = np.flatnonzero((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
-                yield pa.RecordBatch.from_arrays([pa.array(seed[hit].astype(np.int64)), pa.array(ids[text[hit]]), pa.array(place[hit].astype(np.int32))], names=["seed", "id", "p"])
+            for mask in masks:
+                for seed, text, place in seeds(words, offsets, [mask]):
+                    bit = (seed >> _U(64 - BITS)).astype(np.int64)
+                    hit = np.flatnonzero((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
+                    if mask in whole_item:
+                        hit = hit[first_places(seed[hit], text[hit], place[hit])]
+                    yield pa.RecordBatch.from_arrays([pa.array(seed[hit].astype(np.int64)), pa.array(ids[text[hit]]), pa.array(place[hit].astype(np.int32))], names=["seed", "id", "p"])
         release()
 
     small = known.count() <= BROADCAST_ROWS

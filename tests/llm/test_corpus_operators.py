@@ -252,6 +252,48 @@ def test_decontamination_finds_all_that_its_rule_allows(spark):
     assert got == {(k, k) for k in range(len(told))}
 
 
+def test_decontamination_equals_all_documents_against_all_items(spark):
+    # Items of 1 to 16 words in one benchmark, from few words, so that most are met often, in part and next to wrong words.
+    rnd = random.Random(23)
+    run = lambda n: [rnd.choice("abcdefgh") for _ in range(n)]
+    items = [run(n) for n in range(1, 17)] + [["qqq"], ["a", "b"], ["a", "b"]]
+    docs = [run(rnd.choice([0, 1, 2, 5, 12, 40])) for _ in range(40)]
+    for item in items[4:16]:
+        docs.append(run(3) + [w if rnd.random() > 0.12 else "z" for w in item] + run(3))
+
+    def holds(doc, item):
+        least = min(13, len(item))
+        for shift in range(-len(item), len(doc) + 1):
+            same = [0 <= j + shift < len(doc) and doc[j + shift] == w for j, w in enumerate(item)]
+            low, high = max(0, -shift), min(len(item), len(doc) - shift)
+            if any(100 * sum(same[a:b]) >= 80 * (b - a) for a in range(low, high) for b in range(a + least, high + 1)):
+                return True
+        return False
+
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contamination(d, b).collect()}
+    assert set(got) == {(i, k) for i, doc in enumerate(docs) for k, item in enumerate(items) if holds(doc, item)}
+    for (i, k), r in got.items():
+        if len(items[k]) < 5:
+            n = len(items[k])
+            assert r["start_word"] == next(p for p in range(len(docs[i])) if docs[i][p : p + n] == items[k])
+
+
+def test_decontamination_short_items_have_masks_of_their_own(spark):
+    assert decontamination.sizes_of("1", decontamination.masks_for([1, 6]), [1, 6]) == [1]
+    assert decontamination.sizes_of("111011", decontamination.masks_for([6, 10]), [6, 10]) == [6, 10]
+    assert decontamination.sizes_of("1111", decontamination.masks_for([1]), [1]) is None
+    assert decontamination.sizes_of("11", ["11"], [2]) is None  # other rules: one mask for all
+    seed, text, place = np.array([7, 7, 9, 7]), np.array([0, 0, 0, 1]), np.array([5, 2, 1, 8])
+    assert sorted(decontamination.first_places(seed, text, place)) == [1, 2, 3]
+    # A frequent word as an item: one place of it in each document.
+    d = spark.createDataFrame([(i, "the cat " * 500 + f"w{i}") for i in range(20)], "doc_id long, text string")
+    b = spark.createDataFrame([(0, "The"), (1, "some item of thirteen words that no document of this small table holds anywhere")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start_word"], r["n_words"]) for r in decontamination.contamination(d, b).collect()}
+    assert got == {(i, 0, 0, 1) for i in range(20)}
+
+
 BASE = [
     ("assign", re.compile("""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
