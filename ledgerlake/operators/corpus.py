@@ -402,17 +402,6 @@ def render_rows(filled: DataFrame, headers: DataFrame) -> DataFrame:
     return joined.groupBy("table_id", "row").agg(F.concat(F.lit("[table] "), line).alias("line"))
 
 
-def words_to_cells(words: DataFrame, cells: DataFrame) -> DataFrame:
-    """(doc, page, cell, text): words joined to the cell that holds their centre, in reading order."""
-    on = F.expr(
-        "w.doc = c.doc AND w.page = c.page AND (w.x0 + w.x1) / 2 BETWEEN c.cx0 AND c.cx1"
-        " AND (w.top + w.bottom) / 2 BETWEEN c.cy0 AND c.cy1"
-    )
-    picked = words.alias("w").join(cells.alias("c"), on).select("w.doc", "w.page", "c.cell", "w.top", "w.x0", "w.word")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "word"))), lambda w: w["word"]), " ")
-    return picked.groupBy("doc", "page", "cell").agg(text.alias("text"))
-
-
 def drop_phantom_spaces(glyphs: DataFrame) -> DataFrame:
     """Glyphs without spaces that lie in the box of the one before (within 0.5) on one line (under 1.0), between two letters."""
     order = Window.partitionBy("doc", "page").orderBy(F.round("top", 1), "x0", "n")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import clause_rules as K
 from ledgerlake.operators import corpus as C
+from ledgerlake.operators import grid as T
 from ledgerlake.operators.rules import not_payable_list
 from ledgerlake.plans import sql_text as S
 from ledgerlake.plans import views as V
@@ -314,7 +315,25 @@ def words_to_cells(spark, sf_dir):
     words = _words(spark, sf_dir)
     boxes = spark.createDataFrame([(1, 0.0, 60.0, 0.0, 20.0), (2, 60.0, 100.0, 0.0, 20.0)], "cell int, cx0 double, cx1 double, cy0 double, cy1 double")
     cells = words.select("doc", "page").distinct().crossJoin(F.broadcast(boxes))  # two boxes a page
-    return C.words_to_cells(words, cells)
+    return T.words_to_cells(words, cells)
+
+
+@register("table_rows", f"""WITH {V.LINES} SELECT bill_id AS doc, line_no AS row, col, CASE WHEN col = 1 THEN item
+      WHEN bill_id % 2 = 0 AND line_no % 3 = 0 THEN qty::VARCHAR || ' ' || cents::VARCHAR WHEN col = 2 THEN qty::VARCHAR
+      WHEN bill_id % 2 = 1 AND line_no % 2 = 0 THEN lag(cents) OVER (PARTITION BY bill_id, col ORDER BY line_no)::VARCHAR ELSE cents::VARCHAR END AS text
+    FROM lines, (VALUES (1), (2), (3)) c(col)""")
+def table_rows(spark, sf_dir):
+    """Bills as printed tables of item, days and amount; some rows have one cell over two columns, others share the amount's cell with the row below."""
+    lines = V.bill_lines(spark, sf_dir)
+    items = lines.select("bill_id", "line_no", F.posexplode(F.split("item", " ")).alias("i", "word")).selectExpr("bill_id AS doc", "1 AS page", "i * 40.0D AS x0", "i * 40.0D + 30 AS x1", "line_no * 20.0D AS top", "line_no * 20.0D + 8 AS bottom", "word")
+    shared = "bill_id % 2 = 1 AND line_no % 2 = 0"
+    figures = lines.selectExpr("bill_id AS doc", "1 AS page", f"stack(2, 110.0D, 140.0D, CAST(qty AS STRING), 210.0D, 280.0D, IF({shared}, NULL, CAST(cents AS STRING))) AS (x0, x1, word)", "line_no * 20.0D AS top", "line_no * 20.0D + 8 AS bottom")
+    wide, tall = "bill_id % 2 = 0 AND line_no % 3 = 0", "bill_id % 2 = 1"
+    cell = "named_struct('k', {k}, 'cx0', {a}.0D, 'cx1', {b}, 'h', {h})".format
+    boxes = [cell(k=0, a=0, b="100.0D", h="20.0D"), cell(k=1, a=100, b=f"IF({wide}, 300.0D, 200.0D)", h="20.0D"), f"IF({wide} OR {shared}, NULL, {cell(k=2, a=200, b='300.0D', h=f'IF({tall}, 40.0D, 20.0D)')})"]
+    each = lines.selectExpr("bill_id AS doc", "line_no", f"explode(array({', '.join(boxes)})) AS c").where("c IS NOT NULL")
+    cells = each.selectExpr("doc", "1 AS page", "1 AS table_no", "line_no * 3 + c.k AS cell", "c.cx0", "c.cx1", "line_no * 20.0D - 5 AS cy0", "line_no * 20.0D - 5 + c.h AS cy1")
+    return T.table_rows(items.unionByName(figures), cells).select("doc", "row", "col", "text")
 
 
 @register("drop_phantom_spaces", f"""WITH {V.LINES} SELECT bill_id AS doc, line_no AS page, CASE WHEN line_no % 2 = 0 THEN replace(item, ' ', '') ELSE item END AS text FROM lines""")
