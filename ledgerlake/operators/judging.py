@@ -18,6 +18,8 @@ from ledgerlake.operators.rules import PACK, Pack
 
 KEYS = ["bill_id", "line_no"]
 MAX_ATTEMPTS = 3
+#: Calls of search and judge that a line may take.
+MAX_CALLS = 8
 
 
 def states_exclusion(text: Column, pack: Pack = PACK) -> Column:
@@ -96,38 +98,55 @@ def grade(judgements: DataFrame) -> DataFrame:
 def abstain_reason(fabricated: Column, repeated: Column, calls: Column, attempts: Column) -> Column:
     """Why a line stays open: fabricated citation, repeated searches, too many calls, too many attempts, or the detail."""
     return (
-        F.when(fabricated, "fabricated").when(repeated, "repeated searches").when(calls >= 8, "call cap")
+        F.when(fabricated, "fabricated").when(repeated, "repeated searches").when(calls >= MAX_CALLS, "call cap")
         .when(attempts >= MAX_ATTEMPTS, "attempts").otherwise("detail")
     )
 
 
 def retry_loop(lines: DataFrame, search: Callable[[DataFrame, int], DataFrame], judge: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(keys, clause_id, limits, attempts, reason) of every line: up to three rounds over the lines that are still open.
-
-    ``search(open lines, attempt)`` gives candidates, ``judge`` judgements. A line whose
-    two last searches gave the same clauses stops. Lines without a sure answer come back
-    with nulls and the reason. ``write(df, name)`` stores each round and reads it back, so
-    that plans do not grow with the rounds.
+    """(keys, clause_id, limits, attempts, calls, reason) of every line: up to three rounds over the lines that are still open.
+
+    ``search(open lines, attempt)`` gives candidates, with ``calls`` where a line's search
+    takes more than one; ``judge`` gives judgements, with ``decision`` as ``grade`` makes it
+    (and ``known``), else a confident one is saved and another one asked again. Abstaining
+    is final: a citation that is unknown is never asked again nor told. A line whose two
+    last searches gave the same clauses stops before it is judged, one that took MAX_CALLS
+    calls of search and judge after it. Lines without an answer come back with nulls and
+    the reason. ``write(df, name)`` stores each round and reads it back, so that plans do
+    not grow with the rounds.
     """
-    open_, done, seen, stopped = lines.select(*KEYS), None, None, None
+    open_, ends, seen = lines.select(*KEYS, F.lit(0).alias("calls")), [], None
+    nothing = {"clause_id": F.lit(None).cast("long"), "limits": F.lit(None).cast(LIMITS), "attempts": F.lit(None).cast("int")}
+    no, columns = F.lit(False), [*KEYS, "clause_id", "limits", "attempts", "calls", "reason"]
     for attempt in range(MAX_ATTEMPTS):
-        found = write(search(open_, attempt), f"found{attempt}")
-        sets = found.groupBy(*KEYS).agg(F.array_sort(F.collect_set("clause_id")).alias("ids"))
+        found = write(search(open_.drop("calls"), attempt), f"found{attempt}")
+        cost = F.max("calls") if "calls" in found.columns else F.lit(1)
+        sets = found.groupBy(*KEYS).agg(F.array_sort(F.collect_set("clause_id")).alias("ids"), cost.cast("int").alias("cost"))
+        spent = open_.join(sets.select(*KEYS, "cost"), KEYS, "left")
+        open_ = write(spent.select(*KEYS, (F.col("calls") + F.coalesce("cost", F.lit(1))).alias("calls")), f"asked{attempt}")
         if seen is not None:
             same = sets.alias("a").join(seen.alias("b"), KEYS).where("a.ids = b.ids").select(*KEYS)
             same = write(open_.join(same, KEYS, "left_semi"), f"same{attempt}")
-            stopped = same if stopped is None else stopped.unionByName(same)
+            ends.append(same.withColumns({**nothing, "reason": abstain_reason(no, F.lit(True), F.col("calls"), F.lit(attempt))}))
             found, open_ = found.join(same, KEYS, "left_anti"), open_.join(same, KEYS, "left_anti")
-        judged = judge(found).where("confident").select(*KEYS, "clause_id", "limits", F.lit(attempt + 1).alias("attempts"))
-        judged = write(judged, f"judged{attempt}")
-        done = judged if done is None else done.unionByName(judged)
-        open_ = write(open_.join(judged.select(*KEYS), KEYS, "left_anti"), f"open{attempt}")
-        seen = sets
-    no = F.lit(False)
-    nothing = [F.lit(None).cast("long").alias("clause_id"), F.lit(None).cast(LIMITS).alias("limits"), F.lit(None).cast("int").alias("attempts")]
-    told = done.withColumn("reason", F.lit(None).cast("string"))
-    told = told.unionByName(open_.select(*KEYS, *nothing, abstain_reason(no, no, F.lit(0), F.lit(MAX_ATTEMPTS)).alias("reason")))
-    return told.unionByName(stopped.select(*KEYS, *nothing, abstain_reason(no, F.lit(True), F.lit(0), F.lit(0)).alias("reason")))
+        judged = judge(found)
+        if "decision" not in judged.columns:
+            judged = judged.withColumn("decision", F.when(F.col("confident"), "save").otherwise("rewrite"))
+        known = F.col("known") if "known" in judged.columns else F.lit(True)
+        told = judged.where("decision IN ('save', 'abstain')").select(*KEYS, "clause_id", "limits", "decision", known.alias("known"))
+        judged = write(open_.withColumn("calls", F.col("calls") + 1).join(told, KEYS, "left"), f"judged{attempt}")
+        saved, final = judged.where("decision = 'save'"), judged.where("decision = 'abstain'")
+        ends.append(saved.withColumns({"attempts": F.lit(attempt + 1), "reason": F.lit(None).cast("string")}))
+        ends.append(final.withColumns({**nothing, "reason": abstain_reason(~F.col("known"), no, F.lit(0), F.lit(0))}))
+        rest = judged.where("decision IS NULL").select(*KEYS, "calls")
+        over = F.col("calls") >= MAX_CALLS
+        ends.append(rest.where(over).withColumns({**nothing, "reason": abstain_reason(no, no, F.col("calls"), F.lit(attempt))}))
+        open_, seen = rest.where(~over), sets
+    ends.append(open_.withColumns({**nothing, "reason": abstain_reason(no, no, F.col("calls"), F.lit(MAX_ATTEMPTS))}))
+    rows = ends[0].select(*columns)
+    for more in ends[1:]:
+        rows = rows.unionByName(more.select(*columns))
+    return rows
 
 
 def naive_audit(lines: DataFrame, judgements: DataFrame) -> DataFrame:
