@@ -172,6 +172,22 @@ def supported_prefix(spark, sf_dir):
     return joined.select("item_id", "doc_id", E.supported_prefix(F.col("q"), F.col("t")).alias("words"))
 
 
+@register("longest_support", rf"""WITH d AS (SELECT source AS policy, {_NORM.format(t="text")} AS t FROM documents),
+  q AS (SELECT item_id AS quote_id, 'src' || (item_id % 20) AS policy, {_NORM.format(t="text")} AS q FROM benchmark
+    UNION ALL SELECT -1 - doc_id, source, {_NORM.format(t="substr(text, 3, 90) || ' ' || item")} FROM documents JOIN (SELECT min(text) AS item FROM benchmark) ON true),
+  w AS (SELECT *, string_split(q, ' ') AS ws FROM q)
+  SELECT quote_id, w.policy, max(CAST(coalesce(list_max(list_filter(range(1, len(ws) + 1), lambda n: contains(t, array_to_string(ws[1:n], ' ')))), 0) AS INTEGER)) AS words, CAST(max(len(ws)) AS INTEGER) AS total
+  FROM w JOIN d ON d.policy = w.policy GROUP BY quote_id, w.policy""")
+def longest_support(spark, sf_dir):
+    """Asked are the benchmark's texts, and of each document a part of its text with a foreign end."""
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("policy"), "text")
+    bench = V.table(spark, sf_dir, "benchmark")
+    foreign = bench.agg(F.min("text").alias("item"))
+    planted = docs.crossJoin(F.broadcast(foreign)).select((-1 - F.col("doc_id")).alias("quote_id"), "policy", F.expr("concat(substring(text, 3, 90), ' ', item)").alias("quote"))
+    quotes = bench.select(F.col("item_id").alias("quote_id"), F.expr("concat('src', item_id % 20)").alias("policy"), F.col("text").alias("quote")).unionByName(planted)
+    return L.longest_support(docs.select("policy", "text"), quotes)
+
+
 _REVIEW = """k AS (SELECT doc_id AS line_id, source AS policy, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN doc_id + 1 ELSE doc_id END AS clause_id,
     CASE WHEN doc_id % 4 = 0 THEN 'no such words' WHEN doc_id % 4 = 1 THEN substr(text, 3, 12) END AS quote, doc_id % 5 AS expected, 3 AS charged FROM documents),
   j AS (SELECT k.*, d.text FROM k LEFT JOIN documents d ON d.source = k.policy AND d.doc_id = k.clause_id),
