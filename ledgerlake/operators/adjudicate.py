@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import search_key
 from ledgerlake.operators.rules import PACK, Pack, first_match
+from ledgerlake.plans.scratch import folder, stored
 
 LIMITS = "array<struct<amount:bigint,percentage:int,basis:string>>"
 
@@ -110,9 +111,8 @@ def room_entitlement(bills: DataFrame, schedules: DataFrame, table_rows: DataFra
     return best.select("bill_id", "b.source", "b.per_day", "b.category")
 
 
-def room_verdict(lines: DataFrame, entitlement: DataFrame, pack: Pack = PACK) -> DataFrame:
-    """Room lines with (allowed, verdict): capped per day, in full, or flagged; other lines are left out."""
-    rooms = lines.where(F.col("item").rlike(pack.room)).join(entitlement, "bill_id", "left")
+def judge_rooms(rooms: DataFrame, pack: Pack = PACK) -> DataFrame:
+    """Add (verdict, allowed) to room lines that carry their entitlement (source, per_day, category)."""
     occupied, entitled = room_rank(F.col("item"), pack), room_rank(F.coalesce("category", F.lit("")), pack)
     verdict = (
         F.when(F.col("per_day").isNotNull(), "per_day")
@@ -128,6 +128,11 @@ def room_verdict(lines: DataFrame, entitlement: DataFrame, pack: Pack = PACK) ->
     return out.withColumn("allowed", allowed)
 
 
+def room_verdict(lines: DataFrame, entitlement: DataFrame, pack: Pack = PACK) -> DataFrame:
+    """Room lines with (allowed, verdict): capped per day, in full, or flagged; other lines are left out."""
+    return judge_rooms(lines.where(F.col("item").rlike(pack.room)).join(entitlement, "bill_id", "left"), pack)
+
+
 def months_served(start: str, end: str) -> Column:
     """Whole months from start to end: one less where the day of the month is not reached."""
     return F.expr(
@@ -201,6 +206,14 @@ def breach_ratio(lines: DataFrame, pack: Pack = PACK) -> DataFrame:
     return best.select("bill_id", "policy", "b.limit_cents", "b.charged")
 
 
+def with_breach(lines: DataFrame, pack: Pack = PACK) -> DataFrame:
+    """Each line with (limit_cents, charged) of its bill's ``breach_ratio``, taken where the bill's lines lie together."""
+    room = F.col("over_limit") & F.col("item").rlike(pack.room)
+    worst = F.expr("struct(CAST(per_day * greatest(qty, 1) AS DECIMAL(38,18)) / cents AS ratio, line_no, per_day * greatest(qty, 1) AS limit_cents, cents AS charged)")
+    told = lines.withColumn("__worst", F.min(F.when(room, worst)).over(Window.partitionBy("bill_id", "policy")))
+    return told.withColumns({"limit_cents": F.col("__worst.limit_cents"), "charged": F.col("__worst.charged")}).drop("__worst")
+
+
 def second_pass(lines: DataFrame, clauses: DataFrame, pack: Pack = PACK, differential_billing: bool = True) -> DataFrame:
     """Scale answered lines that follow the room, where the bill's room rate is breached. Adds (scaled, deduction, why).
 
@@ -209,8 +222,7 @@ def second_pass(lines: DataFrame, clauses: DataFrame, pack: Pack = PACK, differe
     ``deduction`` is the clause that a scaled line cites, ``why`` tells why a line of a
     breached bill was left alone.
     """
-    ratio = breach_ratio(lines, pack).join(F.broadcast(clauses.select("policy", F.col("clause_id").alias("__clause"))), "policy", "left")
-    joined = lines.join(ratio, ["bill_id", "policy"], "left")
+    joined = with_breach(lines, pack).join(F.broadcast(clauses.select("policy", F.col("clause_id").alias("__clause"))), "policy", "left")
     scope = ame_scope(F.col("item"), pack)
     why = (
         F.when(F.col("limit_cents").isNull(), "no per-day cap was breached")
@@ -246,6 +258,8 @@ def audit_lines(
     # Settled lines go along, marked, instead of being joined out: they set no ratio and no judge sees them.
     capped = cap_rooms(named, caps, pack).withColumn("__settled", settled).withColumn("over_limit", F.col("over_limit") & ~settled)
     if judge:
+        # Written once, so that the judge's branch does not go through the steps above again.
+        capped = stored(capped, folder(lines.sparkSession, "capped"))
         told = judge(capped.where("NOT __settled")).select(*keys, F.struct("allowed", "clause_id", "reason").alias("__j"))
         capped = capped.join(told, keys, "left")
     else:

@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: The modules whose queries are registered when they are imported.
-MODULES = ("q_adjudicate", "q_intake", "q_corpus", "q_corpus_build", "q_retrieval", "q_evaluation", "q_sources", "q_judging", "q_clauses", "q_decision")
+MODULES = ("q_adjudicate", "q_intake", "q_corpus", "q_corpus_build", "q_retrieval", "q_evaluation", "q_sources", "q_judging", "q_clauses", "q_decision", "q_agent")
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
