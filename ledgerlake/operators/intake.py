@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import has_identifier, mask, normalise_item
@@ -144,3 +144,24 @@ def bill_index(bills: DataFrame) -> DataFrame:
     """One row for each bill; the room is rupees a day, else a category, else '-'."""
     room = F.coalesce(F.concat(F.format_number(F.col("per_day") / 100, 0), F.lit("/day")), F.nullif(F.col("category"), F.lit("")), F.lit("-"))
     return bills.select("bill_id", "policy", "sum_insured", "admitted", "started", room.alias("room"))
+
+
+class IdentifiersLeft(ValueError):
+    pass
+
+
+def write_masked(df: DataFrame, path: str, column: str = "text") -> dict:
+    """Mask a column and write the rows; the write itself counts rows, changed ones and those in which an identifier is left.
+
+    A row in which one is left is never written, and the call fails with the figures once
+    the others are. Null texts are written as they are.
+    """
+    seen, was = Observation(), "__was"
+    masked = df.withColumn(was, F.col(column)).withColumn(column, mask(F.col(column)))
+    left = F.coalesce(has_identifier(F.col(column)), F.lit(False))
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(~F.col(column).eqNullSafe(F.col(was))).alias("changed"), F.count_if(left).alias("left")]
+    masked.observe(seen, *counts).where(~left).drop(was).write.mode("overwrite").parquet(path)
+    figures = seen.get
+    if figures["left"]:
+        raise IdentifiersLeft(f"{figures['left']} of {figures['rows']} rows still hold an identifier and are not in {path}")
+    return figures

@@ -8,6 +8,7 @@ from ledgerlake.functions import text as T
 from ledgerlake.operators import intake as I
 from ledgerlake.plans import views as V
 from ledgerlake.plans.registry import register
+from ledgerlake.plans.scratch import folder
 
 
 def _q(s: str) -> str:
@@ -42,6 +43,18 @@ def assert_no_identifiers(spark, sf_dir):
     return every.groupBy("source").agg(F.count("n").alias("n"), F.sum("h").alias("held_back"))
 
 
+_CALLS = "SELECT doc_id, text || ' call 9' || lpad(CAST(doc_id % 1000 AS VARCHAR), 9, '0') || ' now' AS text FROM documents"
+
+
+@register("write_masked", f"SELECT doc_id, sha256({_MASKED}) AS masked, (SELECT count(*) FROM documents) AS changed FROM ({_CALLS})")
+def write_masked(spark, sf_dir):
+    """Each document with a phone number; what was written, and how many rows the write counted as changed."""
+    docs, path = V.table(spark, sf_dir, "documents"), folder(spark, "masked")
+    called = docs.select("doc_id", F.expr("concat(text, ' call 9', lpad(doc_id % 1000, 9, '0'), ' now')").alias("text"))
+    figures = I.write_masked(called, path)
+    return spark.read.parquet(path).select("doc_id", F.sha2("text", 256).alias("masked"), F.lit(figures["changed"]).cast("bigint").alias("changed"))
+
+
 @register("normalise_item", "SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')))) AS item FROM documents")
 def normalise_item(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalise_item(F.col("text")), 256).alias("item"))
