@@ -299,19 +299,29 @@ def naive_query(lines: DataFrame) -> DataFrame:
 
 
 def recall_at_k(ranked: DataFrame, key: DataFrame) -> DataFrame:
-    """(policy, n, hit3, hit20): keys (query_id, policy, clause_id) found in the first 3 and 20; null policy: all."""
-    found = key.join(ranked.select("query_id", "clause_id", "rank"), ["query_id", "clause_id"], "left")
+    """(policy, n, hit3, hit20): keys (query_id, policy, clause_id) found in the first 3 and 20; null policy: all.
+
+    Ranked rows that carry a policy count for the key's policy only, since two policies may number alike.
+    """
+    on = ["query_id", *(["policy"] if "policy" in ranked.columns else []), "clause_id"]
+    found = key.join(ranked.select(*on, "rank").hint("merge"), on, "left")
     return found.rollup("policy").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") <= 3).alias("hit3"), F.count_if(F.col("rank") <= 20).alias("hit20")
     )
 
 
 def topic_clauses(lines: DataFrame, topics: DataFrame, clauses: DataFrame) -> DataFrame:
-    """(bill_id, line_no, clause_id, place): clauses that hand-made topics (pattern, ids) name for a line and the corpus has."""
-    hit = lines.join(F.broadcast(topics), F.expr("rlike(item, pattern)"))
-    each = hit.select("bill_id", "line_no", "priority", F.posexplode("ids").alias("pos", "clause_id"))
-    first = each.groupBy("bill_id", "line_no", "clause_id").agg(F.min(F.struct("priority", "pos")).alias("f"))
-    known = first.join(clauses.select("clause_id"), "clause_id", "left_semi")
+    """(bill_id, line_no, clause_id, place): clauses that hand-made topics (pattern, ids) name for a line and the corpus has.
+
+    Topics that carry a policy speak to lines of that policy only, and their ids are ids of
+    its clauses. Topics are a rule pack of some hundred rows.
+    """
+    own = ["policy"] if "policy" in topics.columns else []
+    speaks = F.expr("rlike(item, pattern)" + (" AND policy = __policy" if own else ""))
+    hit = lines.join(F.broadcast(topics.withColumnRenamed("policy", "__policy")), speaks)
+    each = hit.select("bill_id", "line_no", *own, "priority", F.posexplode("ids").alias("pos", "clause_id"))
+    first = each.groupBy("bill_id", "line_no", *own, "clause_id").agg(F.min(F.struct("priority", "pos")).alias("f"))
+    known = first.join(clauses.select(*own, "clause_id").hint("merge"), [*own, "clause_id"], "left_semi")
     order = Window.partitionBy("bill_id", "line_no").orderBy("f")
     return known.select("bill_id", "line_no", "clause_id", F.row_number().over(order).alias("place"))
 

@@ -261,6 +261,21 @@ def topic_clauses(spark, sf_dir):
     return R.topic_clauses(V.bill_lines(spark, sf_dir), topics, V.clauses(spark, sf_dir))
 
 
+_REGION = "CASE doc_id % 3 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'ASIA' ELSE 'EUROPE' END"
+
+
+@register("topics_of_policy", f"""WITH {V.BOTH}, tp(policy, pattern, priority, ids) AS (VALUES ('AFRICA', 'gear', 1, [1, 3, 6]), ('ASIA', 'gear', 1, [3, 4, 1]), ('ASIA', 'small', 2, [7, 4]), ('EUROPE', 'rod', 3, [7])),
+  e AS (SELECT bill_id, line_no, lb.policy, unnest(ids) AS clause_id, priority * 10 + unnest(range(len(ids))) AS k FROM lb JOIN tp ON contains(item, pattern) AND tp.policy = lb.policy),
+  f AS (SELECT bill_id, line_no, clause_id, min(k) AS k FROM e WHERE (policy, clause_id) IN (SELECT ({_REGION}, doc_id) FROM documents) GROUP BY ALL)
+  SELECT bill_id, line_no, CAST(clause_id AS BIGINT) AS clause_id, CAST(row_number() OVER (PARTITION BY bill_id, line_no ORDER BY k) AS INTEGER) AS place FROM f""")
+def topics_of_policy(spark, sf_dir):
+    """Topics of three policies, of which some name clauses that only another policy has."""
+    rows = [("AFRICA", "gear", 1, [1, 3, 6]), ("ASIA", "gear", 1, [3, 4, 1]), ("ASIA", "small", 2, [7, 4]), ("EUROPE", "rod", 3, [7])]
+    topics = spark.createDataFrame(rows, "policy string, pattern string, priority int, ids array<long>")
+    clauses = V.table(spark, sf_dir, "documents").selectExpr(f"{_REGION} AS policy", "doc_id AS clause_id")
+    return R.topic_clauses(V.lines_of_bills(spark, sf_dir), topics, clauses)
+
+
 @register("browse_clauses", "SELECT source AS policy, doc_id AS clause_id, md5(substr(text, 1, 420)) AS preview FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e')")
 def browse_clauses(spark, sf_dir):
     return R.browse_clauses(V.clauses(spark, sf_dir), "(?i)licen[sc]e").withColumn("preview", F.md5("preview"))
