@@ -291,11 +291,17 @@ def append_code_refs(clauses: DataFrame, codes: DataFrame, mention: str = CODE_M
     return joined.withColumn("refs", F.slice(F.array_remove(F.array_distinct(every), F.col("clause_id").cast("string")), 1, most)).drop("targets")
 
 
-def label_rule_type(clauses: DataFrame, rules: tuple) -> DataFrame:
-    """Add ``rule_type``: the first (pattern, type) that matches, else 'other'."""
+def label_rule_type(clauses: DataFrame, rules: tuple, labels: DataFrame | None = None) -> DataFrame:
+    """Add ``rule_type``: that of a table of labels (policy, clause_id, rule_type), else the first (pattern, type) that matches, else 'other'.
+
+    Labels name a clause once and are not null; labels of clauses that are not there are left out.
+    """
     case = F.lit("other")
     for pattern, kind in reversed(rules):
         case = F.when(F.col("text").rlike(pattern), kind).otherwise(case)
+    if labels is not None:
+        given = labels.select("policy", "clause_id", F.col("rule_type").alias("__given")).hint("merge")
+        return clauses.join(given, ["policy", "clause_id"], "left").withColumn("rule_type", F.coalesce("__given", case)).drop("__given")
     return clauses.withColumn("rule_type", case)
 
 

@@ -218,6 +218,16 @@ def label_rule_type(spark, sf_dir):
     return C.label_rule_type(V.clauses(spark, sf_dir), _RULES).select("clause_id", "rule_type")
 
 
+@register("labels_of_table", f"""WITH given AS (SELECT doc_id, CASE WHEN max(toxic) = 1 THEN 'exclusion' ELSE 'checked' END AS given FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id)
+  SELECT doc_id AS clause_id, coalesce(given, {_RULE_SQL}) AS rule_type FROM documents LEFT JOIN given USING (doc_id)""")
+def labels_of_table(spark, sf_dir):
+    """The label of a table where a clause has one, that of the patterns elsewhere."""
+    clauses = V.clauses(spark, sf_dir)
+    given = V.table(spark, sf_dir, "labels").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("clause_id")).agg(F.max("toxic").alias("toxic"))
+    labels = given.join(clauses.select("policy", "clause_id").hint("merge"), "clause_id").selectExpr("policy", "clause_id", "IF(toxic = 1, 'exclusion', 'checked') AS rule_type")
+    return C.label_rule_type(clauses, _RULES, labels).select("clause_id", "rule_type")
+
+
 @register("clause_documents", f"SELECT source || ':' || doc_id AS id, source AS policy, md5(text) AS text, lang AS title, doc_id % 10 AS page, {_RULE_SQL} AS rule_type FROM documents")
 def clause_documents(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").selectExpr("source AS policy", "doc_id AS clause_id", "text", "lang AS title", "doc_id % 10 AS page")
