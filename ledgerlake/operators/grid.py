@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The side of a tile, in the units of the page.
-TILE = 64.0
+#: Width and height of a tile, in the units of the page: cells are wide and low, and each stands in every tile that it touches.
+TILE = (1024.0, 64.0)
 
 
-def _tile(c: Column) -> Column:
-    return F.floor(c / TILE)
+def _tile(c: Column, side: int) -> Column:
+    return F.floor(c / TILE[side])
 
 
 def _covering(points: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Points (keys, x, y) joined with the cells (keys, cell, cx0, cx1, cy0, cy1) that hold them, edges included."""
-    across, down = F.sequence(_tile(F.col("cx0")), _tile(F.col("cx1"))), F.sequence(_tile(F.col("cy0")), _tile(F.col("cy1")))
+    across, down = F.sequence(_tile(F.col("cx0"), 0), _tile(F.col("cx1"), 0)), F.sequence(_tile(F.col("cy0"), 1), _tile(F.col("cy1"), 1))
     box = cells.where("cx0 <= cx1 AND cy0 <= cy1").select(*keys, "cell", "cx0", "cx1", "cy0", "cy1")
     tiled = box.withColumn("__tx", F.explode(across)).withColumn("__ty", F.explode(down)).hint("merge")
-    placed = points.withColumns({"__tx": _tile(F.col("x")), "__ty": _tile(F.col("y"))})
+    placed = points.withColumns({"__tx": _tile(F.col("x"), 0), "__ty": _tile(F.col("y"), 1)})
     joined = placed.join(tiled, [*keys, "__tx", "__ty"]).where("x BETWEEN cx0 AND cx1 AND y BETWEEN cy0 AND cy1")
     return joined.drop("__tx", "__ty", "cx0", "cx1", "cy0", "cy1")
 
