@@ -2,10 +2,12 @@
 
 import types
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import retrieval as RT
 from ledgerlake.streaming import arrivals as R
 
 
@@ -46,3 +48,30 @@ def test_a_bucket_holds_many_bills_and_times_each_out_by_itself():
     assert send() == [("done", "c", False)]
     state.now = 5000
     assert send() == [] and not state.exists
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("way", [RT.dense_topk, RT.lsh_topk])
+def test_pairs_of_vectors_stay_where_they_meet(spark, way):
+    rng = np.random.default_rng(3)
+    vecs = {i: [float(x) for x in rng.integers(-2, 3, 4)] for i in range(60)}
+    rows = spark.createDataFrame([("p" if i % 2 else "q", i, v) for i, v in vecs.items()], "policy string, clause_id int, vec array<double>")
+    asked = rows.where("clause_id % 10 = 0").withColumnRenamed("clause_id", "query_id")
+    found = way(asked, rows, 7, itself=False)
+    assert "CoGroups" in plan(found) and "Join" not in plan(found)
+    dot = lambda q, i: sum(a * b for a, b in zip(vecs[q], vecs[i]))
+    got = sorted((r["query_id"], r["rank"], r["clause_id"], r["score"]) for r in found.collect())
+    assert all(score == dot(q, i) and i != q for q, _, i, score in got) and len({(q, i) for q, _, i, _ in got}) == len(got)
+    if way is RT.dense_topk:
+        best = lambda q: sorted((-dot(q, i), i) for i in vecs if i % 2 == q % 2 and i != q)[:7]
+        assert got == [(q, k + 1, i, -s) for q in range(0, 60, 10) for k, (s, i) in enumerate(best(q))]
+
+
+def test_vectors_that_have_no_score_come_last(spark):
+    rows = spark.createDataFrame([("p", 1, [1.0, 2.0]), ("p", 2, None), ("p", 3, [1.0]), ("p", 4, [None, 1.0]), ("p", 5, [-1.0, 0.0]), (None, 6, [1.0, 1.0])], "policy string, clause_id int, vec array<double>")
+    asked = spark.createDataFrame([(9, "p", [1.0, 1.0])], "query_id int, policy string, vec array<double>")
+    got = [(r["rank"], r["clause_id"], r["score"]) for r in RT.dense_topk(asked, rows).orderBy("rank").collect()]
+    assert got == [(1, 1, 3.0), (2, 5, -1.0), (3, 2, None), (4, 3, None), (5, 4, None)]
