@@ -75,3 +75,13 @@ def test_vectors_that_have_no_score_come_last(spark):
     asked = spark.createDataFrame([(9, "p", [1.0, 1.0])], "query_id int, policy string, vec array<double>")
     got = [(r["rank"], r["clause_id"], r["score"]) for r in RT.dense_topk(asked, rows).orderBy("rank").collect()]
     assert got == [(1, 1, 3.0), (2, 5, -1.0), (3, 2, None), (4, 3, None), (5, 4, None)]
+
+
+def test_lines_of_a_topic_are_not_gathered_by_its_clause(spark):
+    lines = spark.createDataFrame([(1, 1, "p", "gear"), (1, 2, "q", "small gear"), (2, 1, "p", "rod")], "bill_id int, line_no int, policy string, item string")
+    topics = spark.createDataFrame([("p", "gear", 1, [1, 9]), ("q", "gear", 1, [1, 2]), ("q", "small", 2, [3, 2])], "policy string, pattern string, priority int, ids array<long>")
+    clauses = spark.createDataFrame([("p", 1), ("q", 2), ("q", 3), ("p", 3), ("q", 2)], "policy string, clause_id long")
+    found = RT.topic_clauses(lines, topics, clauses)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 1), (1, 2, 2, 1), (1, 2, 3, 2)]
+    physical = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in physical
