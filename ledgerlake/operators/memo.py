@@ -8,8 +8,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlake.plans.scratch import folder, stored
 
@@ -50,7 +51,7 @@ def write_store(rows: DataFrame, path: str, run: str, part: str) -> None:
     No rows replace nothing.
     """
     named = rows.withColumns({"fingerprint": F.lit(run), "part": F.lit(part)})
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint", "part").parquet(path)
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint", "part").option("compression", "zstd").parquet(path)
 
 
 def memoise_in(
@@ -64,21 +65,38 @@ def memoise_in(
     are not ``valid`` are returned but not kept, and contents it leaves out are absent from
     the result. A call that is repeated under the same ``part`` replays what that part holds
     and replaces it with the same rows and the new ones.
+
+    Rows are shuffled once, without their key, which is made again where it is needed; rows of
+    one content meet in one task. What is returned was written.
     """
     spark, run, part = df.sparkSession, identity(config), part or uuid.uuid4().hex
     schema = f"key STRING, {results}"
-    names = [f.name for f in spark.createDataFrame([], schema).schema]
-    keyed = df.withColumn("key", content_key(columns))
+    types = spark.createDataFrame([], schema).schema.fields[1:]
+    names = [t.name for t in types]
+    result = F.struct(*[F.col(t.name).cast(t.dataType).alias(t.name) for t in types])
     known = read_store(spark, path, schema, run)
-    unknown = keyed.select("key", *columns).dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti")
-    done = stored(compute(unknown).select(*names), folder(spark, "computed"))
-    own = stored(known.where(F.col("part") == part).select(*names), folder(spark, "kept"))
-    write_store(done.where(valid).unionByName(own), path, run, part)
-    fresh = done.select("key").withColumn("__fresh", F.lit(True)).dropDuplicates(["key"])
-    kept = read_store(spark, path, schema, run).select(*names).dropDuplicates(["key"])
-    every = kept.unionByName(done.where(~F.coalesce(valid, F.lit(False)))).join(fresh, "key", "left")
-    told = every.withColumn("replayed", F.col("__fresh").isNull()).drop("__fresh")
-    return keyed.join(told, "key").drop("key")
+    own = known.where(F.col("part") == part).select("key", *names)
+    own = None if own.isEmpty() else stored(own, folder(spark, "kept"))
+    # Never null, said aloud: else Spark filters one branch below by it and shuffles the rows for each.
+    own_key = F.coalesce(content_key(columns), F.lit(""))
+    # One row of each content asks for it.
+    place = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    looked = df.drop("key").repartition(own_key).withColumn("key", own_key).withColumn("__first", place == 1)
+    if known.isEmpty():
+        looked = looked.withColumn("__known", F.lit(None).cast(StructType(types)))
+    else:
+        # A key is twice as long in hex, so it is moved as bytes.
+        text = F.lower(F.hex("bytes"))
+        moved = known.select(F.unhex("key").alias("bytes"), *names).repartition(text).select(text.alias("key"), result.alias("__known"))
+        looked = looked.join(moved.dropDuplicates(["key"]).hint("merge"), "key", "left")
+    unknown = looked.where(F.col("__known").isNull() & F.col("__first")).select("key", *columns)
+    done = compute(unknown).select("key", result.alias("__done")).dropDuplicates(["key"])
+    told = looked.join(done.hint("merge"), "key", "left").withColumn("__result", F.coalesce("__known", "__done")).where("__result IS NOT NULL")
+    others = [c for c in df.columns if c != "key"]
+    told = stored(told.select(*others, "__result.*", F.col("__known").isNotNull().alias("replayed"), "__first"), folder(spark, "told"), "zstd")
+    fresh = told.where(~F.col("replayed") & F.col("__first")).where(valid).select(content_key(columns).alias("key"), *names)
+    write_store(fresh if own is None else fresh.unionByName(own), path, run, part)
+    return told.drop("__first")
 
 
 def memoise(df: DataFrame, store: DataFrame | None, columns: list[str], compute: Callable[[DataFrame], DataFrame], valid: Column) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import memo as M
+from ledgerlake.plans.scratch import stored as kept
 
 
 def run(spark, path, rows, factor, calls, part=None):
@@ -53,3 +54,16 @@ def test_a_run_reads_its_own_folders_only(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(fingerprint" in mine._jdf.queryExecution().toString()
     assert [r["y"] for r in mine.collect()] == [2]
     assert M.read_store(spark, str(tmp_path / "none"), "y INT").count() == 0
+
+
+def test_rows_move_once_and_without_their_key(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(M, "stored", lambda df, path, *rest: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, path, *rest))
+    df = spark.range(40).selectExpr("id", "id % 30 AS x")
+    for rows in (df.where("id < 5"), df):
+        got = M.memoise_in(rows, str(tmp_path / "store"), {}, ["x"], lambda d: d.select("key", F.expr("x * 2 AS y")), "y BIGINT", F.lit(True))
+    # The second run: its rows and what is stored, each shuffled by an expression (so without the key), and the same exchanges again where contents are asked.
+    moved = [line for line in plans[-1].splitlines() if "Exchange" in line and "Reused" not in line]
+    assert moved and all("hashpartitioning(" in m and "REPARTITION_BY_COL" in m for m in moved)
+    assert len({m.split("hashpartitioning(")[1].split("#")[0] for m in moved}) == 2 and "isnotnull(coalesce(sha2" not in plans[-1]
+    assert sorted((r["id"], r["y"], r["replayed"]) for r in got.collect()) == [(i, i % 30 * 2, i % 30 < 5) for i in range(40)]
