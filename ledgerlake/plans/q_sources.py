@@ -107,14 +107,16 @@ def stream_audit(spark, sf_dir):
     path, target = folder(spark, "incoming"), folder(spark, "audited")
     cents = "CASE WHEN bill_id % 13 = 0 THEN -cents ELSE cents END AS cents"
     raw = V.lines_of_bills(spark, sf_dir).selectExpr("bill_id", "policy", "line_no", "item AS text", cents, "qty", "sum_insured", "started", "admitted")
-    raw.repartition(4, "bill_id").write.json(path)
+    raw.repartition(max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "bill_id").write.json(path, compression="gzip")
     schema = "bill_id BIGINT, policy STRING, line_no INT, text STRING, cents BIGINT, qty INT, sum_insured BIGINT, started DATE, admitted DATE"
 
     def audit(batch):
         lines = batch.withColumnRenamed("text", "item")
         return audited(lines, lines.select("bill_id", "policy", "started", "admitted").distinct()).select("bill_id", "line_no", "allowed", "clause_id")
 
-    G.stream_audit(G.stream_intake(spark, path, schema, files=2), audit, target, folder(spark, "offsets")).awaitTermination()
+    # Half of the files in each micro-batch, however many there are.
+    files = -(-len(spark.read.schema(schema).json(path).inputFiles()) // 2)
+    G.stream_audit(G.stream_intake(spark, path, schema, files=files), audit, target, folder(spark, "offsets")).awaitTermination()
     return spark.read.schema("bill_id BIGINT, line_no INT, allowed BIGINT, clause_id STRING").parquet(f"{target}/valid").select("bill_id", "line_no", "allowed", "clause_id")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import mask
 from ledgerlake.operators.intake import validate_lines
+from ledgerlake.plans.scratch import stored
 
 
 def stream_intake(spark: SparkSession, path: str, schema: str, column: str = "text", files: int = 100) -> DataFrame:
@@ -20,12 +21,15 @@ def stream_intake(spark: SparkSession, path: str, schema: str, column: str = "te
 def stream_audit(stream: DataFrame, audit: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, keys: tuple = ("bill_id", "line_no")):
     """Audit each micro-batch; valid lines go to ``target``, rejected ones aside.
 
-    A batch writes its own folder, so a repeated batch overwrites what it wrote before.
+    A batch writes its own folder, so a repeated batch overwrites what it wrote before. The
+    source is read, and what the stream does to it is done, once: the batch is written to
+    ``target``/held, and so are its valid lines without repeats, which ``audit`` gets.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        valid, rejected = validate_lines(batch)
-        audit(valid.dropDuplicates(list(keys))).write.mode("overwrite").parquet(f"{target}/valid/batch={number}")
+        valid, rejected = validate_lines(stored(batch, f"{target}/held/batch={number}"))
+        once = stored(valid.dropDuplicates(list(keys)), f"{target}/once/batch={number}")
+        audit(once).write.mode("overwrite").parquet(f"{target}/valid/batch={number}")
         rejected.write.mode("overwrite").parquet(f"{target}/rejected/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,8 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import adjudicate as A
 from ledgerlake.operators import retrieval as RT
 from ledgerlake.streaming import arrivals as R
+from ledgerlake.streaming import streams as G
 
 
 class State:
@@ -85,3 +87,31 @@ def test_lines_of_a_topic_are_not_gathered_by_its_clause(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 1), (1, 2, 2, 1), (1, 2, 3, 2)]
     physical = found._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in physical
+
+
+def test_a_micro_batch_is_read_from_its_source_once(spark, tmp_path):
+    rows = [(b, n, 100, 1, 5) for b in range(20) for n in (1, 2)] + [(3, 1, 100, 1, 5), (30, 1, -1, 1, 5)]
+    spark.createDataFrame(rows, "bill_id LONG, line_no INT, cents LONG, qty INT, sum_insured LONG").coalesce(1).write.json(f"{tmp_path}/in")
+    seen, schema = spark.sparkContext.accumulator(0), "bill_id LONG, line_no INT, cents LONG, qty INT, sum_insured LONG"
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    source = spark.readStream.schema(schema).json(f"{tmp_path}/in").withColumn("cents", counted("cents"))
+    audit = lambda lines: lines.join(lines.groupBy("bill_id").agg(F.sum("cents").alias("total")), "bill_id").select("bill_id", "line_no", "total")
+    G.stream_audit(source, audit, f"{tmp_path}/out", f"{tmp_path}/offsets").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/valid").select("bill_id", "line_no", "total")
+    assert sorted(map(tuple, got.collect())) == [(b, n, 200) for b in range(20) for n in (1, 2)]
+    assert [r["bill_id"] for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect()] == [30]
+    assert seen.value == len(rows)
+
+
+def test_the_key_of_an_item_is_made_once_for_all_entries(spark):
+    lines = spark.createDataFrame([(1, "Small-Anvil"), (2, "cord"), (3, None)], "line_no int, item string")
+    entries = spark.createDataFrame([(1, "red ring"), (2, "small anvil (any)")], "no int, name string")
+    found = A.non_payable_match(lines, entries)
+    assert sorted(map(tuple, found.collect()))[:2] == [(1, "Small-Anvil", 2, 0), (2, "cord", None, None)]
+    contains = found._jdf.queryExecution().optimizedPlan().toString().split("ontains(")[1:]
+    assert contains and not any(c.startswith("regexp_replace") for c in contains)
