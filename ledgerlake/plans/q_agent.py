@@ -39,10 +39,9 @@ def _audited(spark, sf_dir):
     entitled = _entitlement(spark, sf_dir).withColumn("clause_id", F.lit("R.1"))
 
     def search(open_, attempt):
-        asked = open_.select(*G.KEYS).join(own.select(*G.KEYS, "policy", "item", "qty").hint("merge"), G.KEYS)
-        asked = asked.withColumn("attempt", F.lit(attempt)).withColumn("slot", F.expr(_SLOT)).select(*G.KEYS, "policy", "slot")
+        asked = open_.withColumn("attempt", F.lit(attempt)).withColumn("slot", F.expr(_SLOT)).select(*G.KEYS, "policy", "item", "slot")
         # One clause for each policy and slot: 120 rows at most.
-        return asked.join(F.broadcast(slots.drop("text")), ["policy", "slot"]).select(*G.KEYS, "clause_id", "score", "rank")
+        return asked.join(F.broadcast(slots.drop("text")), ["policy", "slot"]).select(*G.KEYS, "policy", "item", "clause_id", "score", "rank")
 
     return G.audit_with_searches(own, bills, terms, not_payable_list(spark), entitled, deduction_clauses(spark), search, G.graded(own, clauses))
 
