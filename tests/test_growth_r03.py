@@ -115,3 +115,34 @@ def test_the_key_of_an_item_is_made_once_for_all_entries(spark):
     assert sorted(map(tuple, found.collect()))[:2] == [(1, "Small-Anvil", 2, 0), (2, "cord", None, None)]
     contains = found._jdf.queryExecution().optimizedPlan().toString().split("ontains(")[1:]
     assert contains and not any(c.startswith("regexp_replace") for c in contains)
+
+
+def asked_and_clauses(spark):
+    asked = spark.createDataFrame([(1, "p", "Room, rent of a CAFÉ"), (2, "q", "boats i"), (3, None, "room"), (4, "p", " .. "), (5, "r", "room")], "query_id int, policy string, text string")
+    texts = ["room rent room", "ROOM-RENT of cafés, cafÉ", None, "", "Kroom İ i room2", "nothing that is sought"]
+    rows = [(p, i + 10 * k, t) for k, p in enumerate(("p", "q", None)) for i, t in enumerate(texts)]
+    # One clause comes in two rows of three words, another one in rows of two and three.
+    rows += [("p", 50, "room a b"), ("p", 50, "rent room c"), ("q", 51, "boats of"), ("q", 51, "boats and boats")]
+    return asked, spark.createDataFrame(rows, "policy string, clause_id long, text string")
+
+
+def test_words_are_counted_where_they_lie_with_the_same_scores(spark, monkeypatch):
+    asked, clauses = asked_and_clauses(spark)
+    told = lambda: {(r["query_id"], r["policy"], r["clause_id"]): r["score"] for r in RT.bm25(asked, clauses).collect()}
+    here = told()
+    monkeypatch.setattr(RT, "FEW", 0)
+    there = told()
+    assert here == pytest.approx(there) and {(1, "p", 0), (1, "p", 1), (1, "p", 50), (2, "q", 14), (2, "q", 51)} <= here.keys()
+
+
+def test_texts_are_read_and_cut_into_words_once(spark):
+    asked, clauses = asked_and_clauses(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    RT.bm25_topk(asked, clauses.withColumn("text", counted("text"))).collect()
+    assert seen.value == clauses.count()
