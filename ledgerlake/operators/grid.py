@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.plans.scratch import folder, stored
+
 #: Width and height of a tile, in the units of the page: cells are wide and low, and each stands in every tile that it touches.
 TILE = (1024.0, 64.0)
 
@@ -18,14 +20,14 @@ def _tile(c: Column, side: int) -> Column:
     return F.floor(c / TILE[side])
 
 
-def _covering(points: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Points (keys, x, y) joined with the cells (keys, cell, cx0, cx1, cy0, cy1) that hold them, edges included."""
+def _covering(points: DataFrame, cells: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Points (keys, x, y) joined with the cells (keys, cell, cx0, cx1, cy0, cy1) that hold them, edges included; "left" keeps points without one."""
     across, down = F.sequence(_tile(F.col("cx0"), 0), _tile(F.col("cx1"), 0)), F.sequence(_tile(F.col("cy0"), 1), _tile(F.col("cy1"), 1))
     box = cells.where("cx0 <= cx1 AND cy0 <= cy1").select(*keys, "cell", "cx0", "cx1", "cy0", "cy1")
-    tiled = box.withColumn("__tx", F.explode(across)).withColumn("__ty", F.explode(down)).hint("merge")
-    placed = points.withColumns({"__tx": _tile(F.col("x"), 0), "__ty": _tile(F.col("y"), 1)})
-    joined = placed.join(tiled, [*keys, "__tx", "__ty"]).where("x BETWEEN cx0 AND cx1 AND y BETWEEN cy0 AND cy1")
-    return joined.drop("__tx", "__ty", "cx0", "cx1", "cy0", "cy1")
+    tiled = box.withColumn("__tx", F.explode(across)).withColumn("__ty", F.explode(down)).hint("merge").alias("c")
+    placed = points.withColumns({"__tx": _tile(F.col("x"), 0), "__ty": _tile(F.col("y"), 1)}).alias("p")
+    on = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in (*keys, "__tx", "__ty")] + [F.expr("x BETWEEN cx0 AND cx1 AND y BETWEEN cy0 AND cy1")]
+    return placed.join(tiled, on, how).select(*[f"p.{c}" for c in points.columns], "c.cell")
 
 
 def words_to_cells(words: DataFrame, cells: DataFrame) -> DataFrame:
@@ -59,12 +61,15 @@ def table_grid(cells: DataFrame) -> DataFrame:
     left = cells.join(first.hint("merge"), keys).where(F.round("cx0", 1) == F.col("start"))
     rows = left.select(*keys, F.row_number().over(of_table.orderBy("cy0", "cell")).alias("row"), ((F.col("cy0") + F.col("cy1")) / 2).alias("y"))
     places = rows.join(columns.hint("merge"), keys)
-    served = _covering(places, cells, keys).groupBy(*keys, "row", "col").agg(F.min("cell").alias("cell"))
-    return places.select(*keys, "row", "col").join(served.hint("merge"), [*keys, "row", "col"], "left")
+    return _covering(places, cells, keys, "left").groupBy(*keys, "row", "col").agg(F.min("cell").alias("cell"))
 
 
 def table_rows(words: DataFrame, cells: DataFrame) -> DataFrame:
-    """(doc, page, table_no, row, col, cell, text): the table place by place, each with the text of the cell that serves it ('' where there is none)."""
-    text = words_to_cells(words, cells)
-    grid = table_grid(cells)
+    """(doc, page, table_no, row, col, cell, text): the table place by place, each with the text of the cell that serves it ('' where there is none).
+
+    Both sides are written, one after the other, so the shuffle files of one are gone before the next needs room.
+    """
+    spark = words.sparkSession
+    text = stored(words_to_cells(words, cells), folder(spark, "cell-texts"))
+    grid = stored(table_grid(cells), folder(spark, "grid"))
     return grid.join(text.hint("merge"), ["doc", "page", "cell"], "left").select("doc", "page", "table_no", "row", "col", "cell", F.coalesce("text", F.lit("")).alias("text"))
